@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The original analysis reads three static tables once; it has no stream,
+watermark, time window or stateful operator, so nothing is built here.
+"""
