@@ -56,7 +56,7 @@ def lchoose(n: str, k: str) -> str:
 
 def gamma_q(a: str, x: str) -> str:
     """Q(a, x) = 1 - P(a, x), P = sum_n exp(-x + (a+n) ln x - lgamma(a+n+1))."""
-    return (f"(case when ({x}) <= 0 then 1.0 else greatest(0.0, 1.0 - list_sum(list_transform("
+    return (f"(case when isnan({x}) then 'nan'::double when ({x}) <= 0 then 1.0 else greatest(0.0, 1.0 - list_sum(list_transform("
             f"range(0, cast(({x}) + 20 * sqrt({x}) + 60 as bigint)), "
             f"lambda n: exp(-({x}) + (({a}) + n) * ln({x}) - lgamma(({a}) + n + 1))))) end)")
 

@@ -70,13 +70,13 @@ def reliable_checkpoint(df):
     """Cut lineage of a reduced table by writing it to the shared checkpoint folder.
 
     Used before iterative loops (model fits) so a lost executor never forces a
-    re-read of the raw tables. Falls back to the plain frame when no shared
-    folder is configured (the plan is then simply recomputed on failure).
+    re-read of the raw tables. Without a shared folder the reduced table is
+    cached instead (a lost block is then recomputed from its lineage).
     """
     spark = df.sparkSession
     if ensure_checkpoint_dir(spark):
         return df.checkpoint(eager=True)
-    return df
+    return df.cache()
 
 
 def env_int(name: str, default: int) -> int:
