@@ -107,29 +107,29 @@ def label_finer_counts(df: DataFrame, sire: str, year: str, dam: str,
 
 
 def membership_strategy(rows: DataFrame, sire: str, year: str,
-                        poly: DataFrame, mono: DataFrame,
-                        poly_sire: str, poly_year: str,
+                        classified: DataFrame, c_sire: str, c_year: str,
                         mode: str = "independent") -> DataFrame:
     """Label rows by membership in the polygynous / monogamous sets.
 
+    ``classified`` holds one row per (``c_sire``, ``c_year``) with ``strategy``.
+
     ``independent`` (as written in the original): Polygynous when the sire is
     *some* polygynous sire and the year is *some* polygynous year - two
     separate sets; else Monogamous by the same rule; else dropped.
     ``pair``: one lookup on the (sire, year) pair.
 
-    ``poly`` / ``mono`` carry columns ``poly_sire`` / ``poly_year``. A NULL
-    sire or year is never a member (the sets hold no NULL). The sire flags are
-    one shuffle join (the set grows with the data); the year flags are a small
-    table that AQE broadcasts at run time.
+    A NULL sire or year is never a member (the sets hold no NULL). Both flag
+    tables come from the one classified table (its exchange is reused); the
+    sire flags are a shuffle join (the set grows with the data), the year
+    flags a small table that AQE broadcasts once its size is known.
     """
     if mode not in ("independent", "pair"):
         raise ValueError(f"mode must be 'independent' or 'pair', not {mode!r}")
-    flags = (poly.select(F.col(poly_sire).alias("_s"), F.col(poly_year).alias("_y"),
-                         F.lit(1).alias("_p"), F.lit(0).alias("_m"))
-             .unionByName(mono.select(F.col(poly_sire).alias("_s"), F.col(poly_year).alias("_y"),
-                                      F.lit(0).alias("_p"), F.lit(1).alias("_m"))))
+    flags = classified.select(F.col(c_sire).alias("_s"), F.col(c_year).alias("_y"),
+                              (F.col("strategy") == POLY).cast("int").alias("_p"),
+                              (F.col("strategy") == MONO).cast("int").alias("_m"))
     if mode == "pair":
-        pair = flags.groupBy("_s", "_y").agg(F.max("_p").alias("_pp"), F.max("_m").alias("_mm"))
+        pair = flags.select("_s", "_y", F.col("_p").alias("_pp"), F.col("_m").alias("_mm"))
         j = rows.join(pair, (F.col(sire) == F.col("_s")) & (F.col(year) == F.col("_y")), "left")
         is_p = F.col("_pp") == 1
         is_m = F.col("_mm") == 1

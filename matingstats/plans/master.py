@@ -111,10 +111,7 @@ def colony_types_master(m: DataFrame, places: DataFrame, form: str = "refined",
     both the allowed-colony filter and the valley lookup."""
     rows = fixed_master_ped(m, form).select("dam", "sire", "yob", "col_area").distinct()
     rows = rows.join(places.select("col_area", "valley"), "col_area", "inner")
-    lab = sire_year_labels(m)
-    poly = lab.where(F.col("strategy") == C.POLY)
-    mono = lab.where(F.col("strategy") == C.MONO)
-    out = C.membership_strategy(rows, "sire", "yob", poly, mono, "sire", "yob", mode)
+    out = C.membership_strategy(rows, "sire", "yob", sire_year_labels(m), "sire", "yob", mode)
     return out.select("dam", "sire", "yob", "col_area", "strategy", "valley")
 
 

@@ -108,9 +108,7 @@ def valley_types(merged: DataFrame, places: DataFrame, mode: str = "independent"
     (P14, ``independent`` or ``pair``), valley Upper / Lower / Other."""
     rows = merged.select("dam_x", "sire_x", "yrborn", "col_area", "sex").distinct()
     cls = sire_classification(merged)
-    poly = cls.where(F.col("strategy") == C.POLY)
-    mono = cls.where(F.col("strategy") == C.MONO)
-    lab = C.membership_strategy(rows, "sire_x", "yrborn", poly, mono, "sire_x", "yrborn", mode)
+    lab = C.membership_strategy(rows, "sire_x", "yrborn", cls, "sire_x", "yrborn", mode)
     return with_valley(lab, places)
 
 
