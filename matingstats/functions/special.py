@@ -50,8 +50,11 @@ def lgamma(a) -> Column:
 
 
 def log_factorial(n) -> Column:
-    """ln n! for integer n >= 0."""
-    return lgamma(_c(n).cast("double") + 1.0)
+    """ln n! for integer n >= 0: exact table range (n <= 20) via ``factorial``,
+    Stirling's series with four corrections above (abs. error < 1e-14)."""
+    n = _c(n)
+    return F.when(n <= 20, F.log(F.factorial(n.cast("int")).cast("double"))) \
+            .otherwise(_stirling(n.cast("double") + 1.0))
 
 
 def log_choose(n, k) -> Column:

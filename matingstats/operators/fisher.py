@@ -5,8 +5,9 @@ probability prod_i C(r_i, x_i) / C(N, c_1). The p-value sums the
 probabilities of all tables no more probable than the observed one (relative
 tolerance 1e-7).
 
-* 2 x 2 per group: pure column expressions - the support of x_1 is a
-  ``sequence`` folded by ``aggregate``; no Python, no shuffle.
+* 2 x 2 per group: pure column expressions - bisection for the two tails and
+  an ``aggregate`` over the significant part of the support (grows with
+  sqrt(n)); no Python, no shuffle.
 * r x 2 per group: ``groupBy(...).applyInPandas`` - each group is one small
   table (r rows), enumerated with numpy; groups run in parallel.
 * Monte-Carlo: ``spark.range(B)`` spread over partitions, ``mapInPandas``
@@ -43,33 +44,98 @@ def fisher_2x2(tables: DataFrame, groups: Sequence[str], row: str, c1: str, c2:
         F.min_by(F.col(c2), F.col(row)).cast("bigint").alias("_b"),
         F.max_by(F.col(c1), F.col(row)).cast("bigint").alias("_c"),
         F.max_by(F.col(c2), F.col(row)).cast("bigint").alias("_d"))
-    return t.select(*g, "n_rows", F.when(F.col("n_rows") == 2, fisher_2x2_p(
-        F.col("_a"), F.col("_b"), F.col("_c"), F.col("_d"))).alias("p_value"))
+    t = with_fisher_2x2(t, "_a", "_b", "_c", "_d", "_p")
+    return t.select(*g, "n_rows", F.when(F.col("n_rows") == 2, F.col("_p")).alias("p_value"))
 
 
-def fisher_2x2_p(a, b, c, d):
-    """Exact two-sided p-value of [[a, b], [c, d]] as a column expression."""
-    r1, r2, k = a + b, c + d, a + c
-    n = r1 + r2
-    lo = F.greatest(F.lit(0).cast("bigint"), k - r2)
-    hi = F.least(r1, k)
-    base = log_choose(n, k)
+def with_fisher_2x2(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p_value") -> DataFrame:
+    """Add the exact two-sided p-value of [[a, b], [c, d]] as column ``out``.
 
-    def logp(x):
-        return log_choose(r1, x) + log_choose(r2, k - x) - base
+    x = first cell is hypergeometric (log-concave, mode m). The tables no more
+    probable than the observed one form two tails [lo, L] and [R, hi]. L and R
+    are found by bisection on ln p(x); each tail is then summed outward from
+    its crossing point with the ratio recurrence p(x -/+ 1) / p(x) for at most
+    40 sd + 50 terms - past that the terms are below e^-800 of the first, so
+    the sum is exact in double precision while the work grows with sqrt(n).
+    Row constants are computed once as columns before the ``aggregate`` loops
+    (lambdas are evaluated without codegen, so nothing heavy stays inside).
+    """
+    from matingstats.functions.special import log_factorial as lf
+    A, B, C_, D = (F.col(x).cast("bigint") for x in (a, b, c, d))
+    tmp = ["_r1", "_r2", "_k", "_n", "_lo", "_hi", "_mode", "_const", "_thr", "_span", "_pts", "_bis",
+           "_pLR", "_L", "_R", "_inL", "_inR", "_atmode"]
+    x1 = df.withColumns({"_r1": A + B, "_r2": C_ + D, "_k": A + C_})
+    x1 = x1.withColumn("_n", F.col("_r1") + F.col("_r2"))
+    r1, r2, k, n = F.col("_r1"), F.col("_r2"), F.col("_k"), F.col("_n")
+    nd = n.cast("double")
+    var = (k.cast("double") * F.try_divide(r1, nd) * F.try_divide(r2, nd)
+           * ((n - k) / F.greatest(nd - 1.0, F.lit(1.0))))
+    x1 = x1.withColumns({
+        "_lo": F.greatest(F.lit(0).cast("bigint"), k - r2),
+        "_hi": F.least(r1, k),
+        "_const": lf(r1) + lf(r2) + lf(k) + lf(n - k) - lf(n),
+        "_span": (F.lit(50.0) + 40.0 * F.sqrt(F.greatest(F.coalesce(var, F.lit(0.0)), F.lit(0.0)))).cast("bigint"),
+    })
+    lo, hi, const = F.col("_lo"), F.col("_hi"), F.col("_const")
 
-    thr = logp(a) + math.log1p(REL_TOL)
-    total = F.aggregate(F.sequence(lo, hi), F.lit(0.0),
-                        lambda acc, x: acc + F.when(logp(x) <= thr, F.exp(logp(x))).otherwise(0.0))
-    return F.when(n == 0, F.lit(None).cast("double")).otherwise(F.least(F.lit(1.0), total))
+    def logp(x):
+        return const - lf(x) - lf(r1 - x) - lf(k - x) - lf(r2 - k + x)
+
+    x1 = x1.withColumn(
+        "_mode", F.least(hi, F.greatest(lo, F.floor((k + 1).cast("double") * (r1 + 1) / (n + 2)).cast("bigint"))))
+    mode = F.col("_mode")
+    # one ln p expansion serves several points: [a, lo, hi, mode]
+    x1 = x1.withColumn("_pts", F.transform(F.array(A, lo, hi, mode), logp))
+    pts = F.col("_pts")
+    x1 = x1.withColumns({"_thr": pts[0] + math.log1p(REL_TOL)})
+    thr, span = F.col("_thr"), F.col("_span")
+    x1 = x1.withColumns({"_inL": pts[1] <= thr, "_inR": pts[2] <= thr, "_atmode": pts[3] <= thr})
+
+    # both bisections in one loop: left keeps ln p(uL) <= thr < ln p(vL) on the
+    # rising side [lo, mode]; right keeps ln p(uR) > thr >= ln p(vR) on [mode, hi]
+    def step(st, _i):
+        mids = F.array(F.floor((st["uL"] + st["vL"]) / 2).cast("bigint"),
+                       F.floor((st["uR"] + st["vR"]) / 2).cast("bigint"))
+        ok = F.transform(mids, lambda m: logp(m) <= thr)
+        mL, mR = mids[0], mids[1]
+        return F.struct(F.when(ok[0], mL).otherwise(st["uL"]).alias("uL"),
+                        F.when(ok[0], st["vL"]).otherwise(mL).alias("vL"),
+                        F.when(ok[1], st["uR"]).otherwise(mR).alias("uR"),
+                        F.when(ok[1], mR).otherwise(st["vR"]).alias("vR"))
+
+    steps = F.least(F.lit(64), (F.ceil(F.log2((hi - lo + 2).cast("double"))) + 1).cast("int"))
+    init = F.struct(lo.alias("uL"), mode.alias("vL"), mode.alias("uR"), hi.alias("vR"))
+    x2 = x1.withColumn("_bis", F.aggregate(F.sequence(F.lit(1), steps), init, step))
+    x2 = x2.withColumns({"_L": F.col("_bis")["uL"], "_R": F.col("_bis")["vR"]})
+    L, R = F.col("_L"), F.col("_R")
+    x2 = x2.withColumn("_pLR", F.transform(F.array(L, R), lambda x: F.exp(logp(x))))
+
+    def tail(start, first_p, stop, step_sign: int):
+        # sum p(x) for x = start, start +/- 1, ..., stop using the pmf ratio
+        if step_sign < 0:
+            ratio = lambda x: (x * (r2 - k + x)).cast("double") / ((r1 - x + 1) * (k - x + 1)).cast("double")
+        else:
+            ratio = lambda x: ((r1 - x) * (k - x)).cast("double") / ((x + 1) * (r2 - k + x + 1)).cast("double")
+        init = F.struct(first_p.alias("t"), F.lit(0.0).alias("s"))
+        res = F.aggregate(F.sequence(start, stop, F.lit(step_sign).cast("bigint")), init,
+                          lambda st, x: F.struct((st["t"] * ratio(x)).alias("t"), (st["s"] + st["t"]).alias("s")))
+        return res["s"]
+
+    left = F.when(F.col("_inL"), tail(L, F.col("_pLR")[0], F.greatest(lo, L - span), -1)).otherwise(0.0)
+    right = F.when(F.col("_inR"), tail(R, F.col("_pLR")[1], F.least(hi, R + span), 1)).otherwise(0.0)
+    total = F.when(F.col("_atmode"), F.lit(1.0)).otherwise(left + right)
+    p = F.when(n == 0, F.lit(None).cast("double")).otherwise(F.least(F.lit(1.0), total))
+    return x2.withColumn(out, p).drop(*tmp)
 
 
 # ---------------------------------------------------------------- r x 2 exact
 
 def _log_fact_table(n: int) -> np.ndarray:
+    """ln k! for k = 0..n; the running sum is kept in extended precision so the
+    rounding error does not grow with n."""
     out = np.zeros(n + 1)
     if n:
-        out[1:] = np.cumsum(np.log(np.arange(1, n + 1, dtype=np.float64)))
+        out[1:] = np.cumsum(np.log(np.arange(1, n + 1, dtype=np.longdouble)), dtype=np.longdouble)
     return out
 
 
@@ -89,12 +155,13 @@ def fisher_rx2_p(col1: Sequence[int], col2: Sequence[int]) -> float:
         return lf[nn] - lf[kk] - lf[nn - kk]
 
     obs = float(sum(lchoose(int(r), int(v)) for r, v in zip(rows, x)))
-    # partial tables: totals so far and their summed log terms; prune totals that
-    # can no longer reach k or have passed it
+    # partial tables over all rows but the last: running first-column totals and
+    # summed log terms, pruned to totals that can still reach k; the last row's
+    # count is then fixed by the column total
     tot = np.zeros(1, dtype=np.int64)
     lsum = np.zeros(1)
     remaining = int(rows.sum())
-    for r in rows:
+    for r in rows[:-1]:
         r = int(r)
         remaining -= r
         vals = np.arange(r + 1, dtype=np.int64)
@@ -102,6 +169,10 @@ def fisher_rx2_p(col1: Sequence[int], col2: Sequence[int]) -> float:
         nl = (lsum[:, None] + lchoose(r, vals)[None, :]).ravel()
         ok = (nt <= k) & (nt + remaining >= k)
         tot, lsum = nt[ok], nl[ok]
+    last = int(rows[-1])
+    x_last = k - tot
+    ok = (x_last >= 0) & (x_last <= last)
+    lsum = lsum[ok] + lchoose(last, x_last[ok])
     base = lchoose(n, k)
     sel = lsum <= obs + math.log1p(REL_TOL)
     return float(min(1.0, np.exp(lsum[sel] - base).sum()))

@@ -13,6 +13,9 @@ sum_g l_g: every evaluation is one grouped Spark job (``applyInPandas`` per
 group, each group a handful of cells) followed by a sum; a batch of candidate
 parameter vectors is scored in the same job. The driver only holds the
 parameter vector and runs Newton steps with finite-difference derivatives.
+The likelihood is even in sigma, so sigma itself is a free parameter (|sigma|
+is reported); a fit on the boundary sigma = 0 converges like any interior one.
+Each Newton step scores the trial point and its derivative stencil in one job.
 Fixed-effect standard errors come from the beta block of the Hessian at the
 optimum (conditional on sigma).
 """
@@ -43,7 +46,7 @@ def _expit(eta: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * eta))
 
 
-def group_loglik(s: np.ndarray, n: np.ndarray, xb: np.ndarray, sigma: np.ndarray, iters: int = 30) -> np.ndarray:
+def group_loglik(s: np.ndarray, n: np.ndarray, xb: np.ndarray, sigma: np.ndarray, iters: int = 60) -> np.ndarray:
     """Laplace log-likelihood of one group for K parameter vectors.
 
     ``s``, ``n``: cells (C,); ``xb``: linear predictors (K, C); ``sigma``: (K,).
@@ -54,7 +57,7 @@ def group_loglik(s: np.ndarray, n: np.ndarray, xb: np.ndarray, sigma: np.ndarray
         p = _expit(eta)
         grad = (sigma[:, None] * (s - n * p)).sum(axis=1) - u
         hess = -(sigma[:, None] ** 2 * n * p * (1 - p)).sum(axis=1) - 1.0
-        step = grad / hess
+        step = np.clip(grad / hess, -2.0, 2.0)   # damped: h is concave, steps stay bounded
         u = u - step
         if np.all(np.abs(step) < 1e-12):
             break
@@ -82,7 +85,7 @@ class _Objective:
             for j, lvl in enumerate(levels[1:], start=1):
                 x[:, j] = (pdf["lvl"].to_numpy() == lvl).astype(float)
             beta = th[:, :-1]
-            sigma = np.exp(th[:, -1])
+            sigma = np.abs(th[:, -1])
             xb = beta @ x.T
             ll = group_loglik(pdf["s"].to_numpy(), pdf["n"].to_numpy(), xb, sigma)
             return pd.DataFrame({"k": np.arange(len(th), dtype=np.int32), "ll": ll})
@@ -120,8 +123,30 @@ def _derivatives(f: _Objective, theta: np.ndarray, h: float = 1e-4):
     return f0, g, H
 
 
+def _pooled_start(cells: DataFrame, levels: list[str]) -> np.ndarray:
+    """Fixed effects of the pooled logistic fit (sigma = 0): closed form for one factor."""
+    tot = {r["lvl"]: (r["s"], r["n"]) for r in
+           cells.groupBy("lvl").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
+
+    def logit(lvl):
+        s, n = tot[lvl]
+        q = min(max(s / n, 1e-6), 1 - 1e-6)
+        return math.log(q / (1 - q))
+
+    b0 = logit(levels[0])
+    return np.array([b0] + [logit(lvl) - b0 for lvl in levels[1:]])
+
+
+def _ascent_direction(g: np.ndarray, H: np.ndarray) -> np.ndarray:
+    """Newton direction with the Hessian's eigenvalues forced negative, so it always ascends."""
+    w, V = np.linalg.eigh((H + H.T) / 2.0)
+    w = -np.maximum(np.abs(w), 1e-8)
+    d = -(V @ ((V.T @ g) / w))
+    return d if np.all(np.isfinite(d)) else g
+
+
 def random_intercept_logit(df: DataFrame, y: str, factor: str, group: str,
-                           max_iter: int = 40, tol: float = 1e-8) -> DataFrame:
+                           max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
     """Fit y ~ factor + (1 | group); returns a tidy table
     (effect, term, estimate, std_error, z_value, p_value)."""
     spark = df.sparkSession
@@ -130,25 +155,21 @@ def random_intercept_logit(df: DataFrame, y: str, factor: str, group: str,
     f = _Objective(cells, levels)
     p = len(levels)
     theta = np.zeros(p + 1)
-    theta[-1] = math.log(0.5)
-    f0 = f(theta)[0]
+    theta[:p] = _pooled_start(cells, levels)
+    theta[-1] = 0.2
+    f0, g, H = _derivatives(f, theta)
     for _ in range(max_iter):
-        f0, g, H = _derivatives(f, theta)
-        try:
-            d = -np.linalg.solve(H, g)
-            if g @ d <= 0:
-                raise np.linalg.LinAlgError
-        except np.linalg.LinAlgError:
-            d = g / max(1.0, np.abs(g).max())
-        steps = np.array([1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125])
-        cand = theta[None, :] + steps[:, None] * d[None, :]
-        cand[:, -1] = np.maximum(cand[:, -1], -20.0)
-        vals = f(cand)
-        best = int(np.argmax(vals))
-        if vals[best] <= f0 + tol * (1 + abs(f0)):
-            break
-        theta, f0 = cand[best], vals[best]
-        if np.abs(steps[best] * d).max() < 1e-7:
+        d = _ascent_direction(g, H)
+        step, moved = 1.0, False
+        while step > 1e-6:
+            cand = theta + step * d
+            fc, gc, Hc = _derivatives(f, cand)
+            if np.isfinite(fc) and fc >= f0 - 1e-12 * (1 + abs(f0)):
+                theta, gain, moved = cand, fc - f0, True
+                f0, g, H = fc, gc, Hc
+                break
+            step /= 4.0
+        if not moved or (np.abs(step * d).max() < 1e-8) or abs(gain) < tol * (1 + abs(f0)):
             break
     f0, g, H = _derivatives(f, theta)
     hb = H[:p, :p]
@@ -158,7 +179,7 @@ def random_intercept_logit(df: DataFrame, y: str, factor: str, group: str,
     except np.linalg.LinAlgError:
         se = np.full(p, np.nan)
     names = [INTERCEPT] + [f"{factor}{lvl}" for lvl in levels[1:]]
-    sigma = float(math.exp(theta[-1]))
+    sigma = float(abs(theta[-1]))
     rows = [("fixed", names[i], float(theta[i]), float(se[i])) for i in range(p)]
     rows += [("ran_pars", f"sd__(Intercept)|{group}", sigma, None),
              ("ran_pars", f"var__(Intercept)|{group}", sigma * sigma, None),

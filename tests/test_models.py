@@ -82,3 +82,18 @@ def test_mixed_logit_tends_to_plain_logistic(spark):
     assert fit["(Intercept)"]["estimate"] == pytest.approx(b0, abs=0.05)
     assert fit["valleyUpper"]["estimate"] == pytest.approx(b1, abs=0.05)
     assert fit["sd__(Intercept)|g"]["estimate"] < 0.3
+
+
+def test_mixed_logit_recovers_group_spread(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    u = rng.normal(0, 1.0, 40)
+    for g in range(40):
+        for lvl, base in (("Lower", -0.5), ("Upper", 0.5)):
+            eta = base + u[g]
+            for y in (rng.random(150) < 1 / (1 + np.exp(-eta))).astype(int):
+                rows.append((g, lvl, int(y)))
+    df = spark.createDataFrame(rows, "g int, valley string, y int")
+    fit = {r["term"]: r for r in random_intercept_logit(df, "y", "valley", "g").collect()}
+    assert fit["sd__(Intercept)|g"]["estimate"] == pytest.approx(1.0, abs=0.35)
+    assert fit["valleyUpper"]["estimate"] == pytest.approx(1.0, abs=0.25)

@@ -138,3 +138,25 @@ def test_rank_sum_hand_value(spark):
     swapped = df.withColumn("lvl", F.when(F.col("lvl") == "Monogamous", "Zeta").otherwise(F.col("lvl")))
     w2 = {r["g"]: r["W"] for r in rank_sum_test(swapped, "g", "lvl", "n").collect()}
     assert got["v"]["W"] + w2["v"] == pytest.approx(len(x) * len(y))
+
+
+def _p2x2_reference(a, b, c, d):
+    r1, r2, k = a + b, c + d, a + c
+    n = r1 + r2
+    lg = math.lgamma
+    const = lg(r1 + 1) + lg(r2 + 1) + lg(k + 1) + lg(n - k + 1) - lg(n + 1)
+    lo, hi = max(0, k - r2), min(r1, k)
+    xs = np.arange(lo, hi + 1)
+    lp = np.array([const - lg(x + 1) - lg(r1 - x + 1) - lg(k - x + 1) - lg(r2 - k + x + 1) for x in xs])
+    thr = const - lg(a + 1) - lg(r1 - a + 1) - lg(k - a + 1) - lg(r2 - k + a + 1) + math.log1p(1e-7)
+    return min(1.0, float(np.exp(lp[lp <= thr]).sum()))
+
+
+def test_fisher_2x2_windowed_sum_is_exact_for_large_margins(spark):
+    from matingstats.operators.fisher import with_fisher_2x2
+    tables = [(73192, 72372, 72692, 73192), (55298, 56126, 54462, 55298), (20000, 20500, 21000, 19000),
+              (5, 0, 0, 5), (0, 7, 3, 0), (12, 0, 0, 0)]
+    df = spark.createDataFrame(tables, "a long, b long, c long, d long")
+    got = {tuple(r[:4]): r["p"] for r in with_fisher_2x2(df, "a", "b", "c", "d", "p").collect()}
+    for t in tables:
+        assert got[t] == pytest.approx(_p2x2_reference(*t), rel=1e-8, abs=1e-14)
