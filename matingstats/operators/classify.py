@@ -61,6 +61,18 @@ def count_dams(matings: DataFrame, sire: str, year: str, dam: str) -> DataFrame:
     return out.withColumn("strategy", strategy_label(F.col("n_dams") > 1))
 
 
+def label_pairs(matings: DataFrame, sire: str, year: str, dam: str) -> DataFrame:
+    """Strategy per (sire, year) on known sire, dam and year, without the count.
+
+    Same label as ``count_dams`` (n_distinct(dam) > 1 <=> min(dam) < max(dam)),
+    but one map-side-combined aggregate and one shuffle instead of the two of
+    a distinct count. Used wherever ``n_dams`` itself is not an output.
+    """
+    known = matings.where(F.col(sire).isNotNull() & F.col(dam).isNotNull() & F.col(year).isNotNull())
+    st = known.groupBy(sire, year).agg(F.min(dam).alias("_dmin"), F.max(dam).alias("_dmax"))
+    return st.select(sire, year, strategy_label(F.col("_dmin") < F.col("_dmax")).alias("strategy"))
+
+
 def label_groups(df: DataFrame, sire: str, year: str, dam: str,
                  na_is_value: bool = True) -> DataFrame:
     """One row per (sire, year): ``n_rows`` (offspring) and ``strategy``.

@@ -43,6 +43,8 @@ def uncount(df: DataFrame, weight: str, chunk: int = 65536) -> DataFrame:
                 .select(*keep, w.alias("_w"),
                         F.explode(F.sequence(F.lit(0).cast("bigint"),
                                              F.ceil(w / F.lit(chunk)).cast("bigint") - 1)).alias("_k")))
+    # chunk rows of one heavy row are hashed apart, so its copies are made by many tasks
+    chunks = chunks.repartition(*[F.col(c) for c in keep], F.col("_k"))
     size = F.least(F.lit(chunk).cast("bigint"), F.col("_w") - F.col("_k") * chunk)
     return (chunks.select(*keep, F.explode(F.array_repeat(F.lit(1), size.cast("int"))).alias("_one"))
                   .drop("_one"))

@@ -72,7 +72,7 @@ def sire_classification(merged: DataFrame) -> DataFrame:
 
 def sire_strategy_again(clean: DataFrame) -> DataFrame:
     """The D7 rule on the cleaned offspring table."""
-    return C.count_dams(clean, "sire", "yrborn", "dam").select("sire", "yrborn", "strategy")
+    return C.label_pairs(clean, "sire", "yrborn", "dam")
 
 
 def offspring_strategy(clean: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def valley_types(merged: DataFrame, places: DataFrame, mode: str = "independent"
     """Distinct (dam, sire, year, colony, sex), strategy by membership
     (P14, ``independent`` or ``pair``), valley Upper / Lower / Other."""
     rows = merged.select("dam_x", "sire_x", "yrborn", "col_area", "sex").distinct()
-    cls = sire_classification(merged)
+    cls = C.label_pairs(merged, "sire_x", "yrborn", "dam_x")   # D7 labels; n_dams not needed here
     lab = C.membership_strategy(rows, "sire_x", "yrborn", cls, "sire_x", "yrborn", mode)
     return with_valley(lab, places)
 
