@@ -144,6 +144,11 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "mixed_colonies": lambda i: X.mixed_colonies(i.clean, i.master),
     "plot_fill": lambda i: X.plot_fill(i.types_master()),
     "plot_stack": lambda i: X.plot_stack(i.types_small(), i.types_master()),
+    "plot_fill_valley_year_small": lambda i: X.plot_fill_valley_year_small(i.types_small()),
+    "plot_fill_pairings": lambda i: X.plot_fill_pairings(i.merged),
+    "plot_stack_years": lambda i: X.plot_stack_years(i.merged, i.master),
+    "plot_stack_sires": lambda i: X.plot_stack_sires(i.merged, i.master),
+    "plot_stack_colonies": lambda i: X.plot_stack_colonies(i.clean, i.master),
     # source / sink
     "csv_round_trip": _csv_round_trip,
 }
@@ -304,22 +309,58 @@ select col_area, strategy, n_individuals, source, source || '_' || strategy as s
             when 'Master_Monogamous' then 3 when 'Master_Polygynous' then 4 end as integer) as strategy_fill_order
 from (select col_area, strategy, count(*) as n_individuals, 'Small' as source from os group by col_area, strategy
       union all select col_area, strategy, n_individuals, 'Master' as source from scm)""")
-    q["plot_fill"] = b("""
-select valley, yob, strategy, round(y, 6) as y, round(prop, 6) as prop,
-       round(ymax, 6) as ymax, round(ymax - prop, 6) as ymin
-from (select valley, yob, strategy, y, prop,
-             sum(prop) over (partition by valley, yob order by strategy desc
-                             rows between unbounded preceding and current row) as ymax
-      from (select valley, yob, strategy, cast(n_individuals as double) as y,
-                   n_individuals / sum(n_individuals) over (partition by valley, yob) as prop from svym))""")
-    q["plot_stack"] = b("""
-select dataset, valley, fill_group, round(y, 6) as y, round(ymax, 6) as ymax, round(ymax - y, 6) as ymin
-from (select dataset, valley, fill_group, cast(n_individuals as double) as y,
-             sum(cast(n_individuals as double)) over (partition by dataset, valley order by fill_group desc
-                 rows between unbounded preceding and current row) as ymax from mv)""", mv)
+    q["plot_fill"] = b(_fill_sql("svym", "valley", "yob", "strategy", "n_individuals"))
+    q["plot_stack"] = b(_stack_sql("mv", "dataset", "valley", "fill_group", "n_individuals"), mv)
+    q["plot_fill_valley_year_small"] = b(_fill_sql("types_small_vys", "valley", "yrborn", "strategy",
+                                                   "n_individuals"), {"types_small_vys": """
+  select valley, yrborn, strategy, count(*) as n_individuals from types_small group by valley, yrborn, strategy"""})
+    q["plot_fill_pairings"] = b(_fill_sql("pby", None, "yrborn", "strategy", "n_dams"))
+    myc = {"myc": """
+  select yob as yrborn, count as n_sires, type as strategy, 'master' as dataset, 'master_' || type as fill_group
+  from combined_counts
+  union all
+  select try_cast(yrborn as integer) as yrborn, n_dams as n_sires, strategy, 'small' as dataset,
+         'small_' || strategy as fill_group from cls"""}
+    q["plot_stack_years"] = b(_stack_sql("myc", "dataset", "yrborn", "fill_group", "n_sires"), myc)
+    msc = {"msc": """
+  select cast(yrborn as integer) as yrborn, count(distinct sire_x) as n_sires, 'genotype_data' as dataset,
+         'genotype_data_' || strategy as fill_group from sl_mating group by yrborn, strategy
+  union all
+  select yob as yrborn, count(distinct sire) as n_sires, 'master_data' as dataset,
+         'master_data_' || strategy as fill_group from master_level group by yob, strategy"""}
+    q["plot_stack_sires"] = b(_stack_sql("msc", "dataset", "yrborn", "fill_group", "n_sires"), msc)
+    mcol = {"mcol": """
+  select col_area, source, n_individuals, source || '_' || strategy as strategy_fill,
+         cast(case source || '_' || strategy when 'Small_Monogamous' then 1 when 'Small_Polygynous' then 2
+              when 'Master_Monogamous' then 3 when 'Master_Polygynous' then 4 end as integer) as strategy_fill_order
+  from (select col_area, strategy, count(*) as n_individuals, 'Small' as source from os group by col_area, strategy
+        union all select col_area, strategy, n_individuals, 'Master' as source from scm)"""}
+    q["plot_stack_colonies"] = b(_stack_sql("mcol", "source", "col_area", "strategy_fill", "n_individuals",
+                                            order="strategy_fill_order"), mcol)
     q["csv_round_trip"] = b("select * from merged")
     return q
 
 
+def _fill_sql(src: str, facet, x: str, fill: str, y: str) -> str:
+    keys = f"{facet}, {x}" if facet else x
+    return f"""
+select {keys}, {fill}, round(y, 6) as y, round(prop, 6) as prop, round(ymax, 6) as ymax, round(ymax - prop, 6) as ymin
+from (select {keys}, {fill}, y, prop,
+             sum(prop) over (partition by {keys} order by {fill} desc
+                             rows between unbounded preceding and current row) as ymax
+      from (select {keys}, {fill}, y, y / sum(y) over (partition by {keys}) as prop
+            from (select {keys}, {fill}, sum(cast({y} as double)) as y from {src} group by {keys}, {fill})))"""
+
+
+def _stack_sql(src: str, facet, x: str, fill: str, y: str, order: str | None = None) -> str:
+    keys = f"{facet}, {x}" if facet else x
+    grp = f"{keys}, {fill}" + (f", {order}" if order else "")
+    return f"""
+select {grp}, round(y, 6) as y, round(ymax, 6) as ymax, round(ymax - y, 6) as ymin
+from (select {grp}, y, sum(y) over (partition by {keys} order by {order or fill} desc
+                                    rows between unbounded preceding and current row) as ymax
+      from (select {grp}, sum(cast({y} as double)) as y from {src} group by {grp}))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return _sql()

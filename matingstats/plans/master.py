@@ -109,9 +109,16 @@ def colony_types_master(m: DataFrame, places: DataFrame, form: str = "refined",
     """Distinct (dam, sire, yob, colony) in allowed colonies, strategy by
     membership in the D24 sets, valley. One inner join with the dimension is
     both the allowed-colony filter and the valley lookup."""
-    rows = fixed_master_ped(m, form).select("dam", "sire", "yob", "col_area").distinct()
-    rows = rows.join(places.select("col_area", "valley"), "col_area", "inner")
-    out = C.membership_strategy(rows, "sire", "yob", sire_year_labels(m), "sire", "yob", mode)
+    distinct_rows = fixed_master_ped(m, form).select("dam", "sire", "yob", "col_area").distinct()
+    if form == "refined":
+        # the refined form keeps every row, and the label (some dam known and
+        # either two distinct dams or also a missing one) does not change under
+        # de-duplication: take it from the distinct rows, one pass over the input
+        labels = C.label_groups(_known_sire_year(distinct_rows), "sire", "yob", "dam", na_is_value=True)
+    else:
+        labels = sire_year_labels(m)
+    rows = distinct_rows.join(places.select("col_area", "valley"), "col_area", "inner")
+    out = C.membership_strategy(rows, "sire", "yob", labels, "sire", "yob", mode)
     return out.select("dam", "sire", "yob", "col_area", "strategy", "valley")
 
 

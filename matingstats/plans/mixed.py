@@ -85,27 +85,37 @@ def mixed_colonies(clean: DataFrame, m: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------- plot tables D45
 
-def fill_positions(df: DataFrame, facet: str | None, x: str, fill: str, y: str) -> DataFrame:
+def _bars(df: DataFrame, keys: list[str], fill: str, y: str, order: str | None) -> DataFrame:
+    """One segment per (facet, x, fill): rows of the same fill in one bar are
+    drawn as adjacent segments, i.e. their sum."""
+    cols = [*keys, fill] + ([order] if order and order != fill else [])
+    return df.groupBy(*cols).agg(F.sum(F.col(y).cast("double")).alias("y"))
+
+
+def fill_positions(df: DataFrame, facet: str | None, x: str, fill: str, y: str,
+                   order: str | None = None) -> DataFrame:
     """``position = "fill"`` - each bar scaled to 1 and stacked.
 
     The first fill level is drawn on top (stacking runs over levels in
-    reverse order), so offsets accumulate in descending level order.
+    reverse order), so offsets accumulate in descending level order
+    (``order`` gives an explicit level-order column).
     """
     keys = [facet, x] if facet else [x]
     w = Window.partitionBy(*keys)
-    ws = w.orderBy(F.col(fill).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.select(*keys, fill, F.col(y).cast("double").alias("y"))
+    ws = w.orderBy(F.col(order or fill).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = _bars(df, keys, fill, y, order)
     out = out.withColumn("prop", safe_div(F.col("y"), F.sum("y").over(w)))
     out = out.withColumn("ymax", F.sum("prop").over(ws))
     return out.withColumn("ymin", F.col("ymax") - F.col("prop"))
 
 
-def stack_positions(df: DataFrame, facet: str | None, x: str, fill: str, y: str) -> DataFrame:
+def stack_positions(df: DataFrame, facet: str | None, x: str, fill: str, y: str,
+                    order: str | None = None) -> DataFrame:
     """``position = "stack"`` - bars stacked in reverse level order."""
     keys = [facet, x] if facet else [x]
-    ws = Window.partitionBy(*keys).orderBy(F.col(fill).desc()) \
+    ws = Window.partitionBy(*keys).orderBy(F.col(order or fill).desc()) \
                .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.select(*keys, fill, F.col(y).cast("double").alias("y"))
+    out = _bars(df, keys, fill, y, order)
     out = out.withColumn("ymax", F.sum("y").over(ws))
     return out.withColumn("ymin", F.col("ymax") - F.col("y"))
 
@@ -119,3 +129,29 @@ def plot_stack(types_small: DataFrame, types_master: DataFrame) -> DataFrame:
     """Chart data behind the stacked valley comparison."""
     return stack_positions(mixed_valleys(types_small, types_master), "dataset", "valley",
                            "fill_group", "n_individuals")
+
+
+def plot_fill_valley_year_small(types_small: DataFrame) -> DataFrame:
+    """Chart data: small-data offspring proportions by year within valley."""
+    return fill_positions(S.valley_year_summary(types_small), "valley", "yrborn", "strategy", "n_individuals")
+
+
+def plot_fill_pairings(merged: DataFrame) -> DataFrame:
+    """Chart data: proportion of pairings by year."""
+    return fill_positions(S.pairings_by_year(merged), None, "yrborn", "strategy", "n_dams")
+
+
+def plot_stack_years(merged: DataFrame, m: DataFrame) -> DataFrame:
+    """Chart data: yearly counts of both sets stacked by data set and strategy."""
+    return stack_positions(mixed_year_counts(merged, m), "dataset", "yrborn", "fill_group", "n_sires")
+
+
+def plot_stack_sires(merged: DataFrame, m: DataFrame) -> DataFrame:
+    """Chart data: distinct sires of both sets stacked."""
+    return stack_positions(mixed_sires(merged, m), "dataset", "yrborn", "fill_group", "n_sires")
+
+
+def plot_stack_colonies(clean: DataFrame, m: DataFrame) -> DataFrame:
+    """Chart data: colony counts of both sets stacked in the fixed level order."""
+    return stack_positions(mixed_colonies(clean, m), "source", "col_area", "strategy_fill", "n_individuals",
+                           order="strategy_fill_order")

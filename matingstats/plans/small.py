@@ -107,7 +107,10 @@ def valley_types(merged: DataFrame, places: DataFrame, mode: str = "independent"
     """Distinct (dam, sire, year, colony, sex), strategy by membership
     (P14, ``independent`` or ``pair``), valley Upper / Lower / Other."""
     rows = merged.select("dam_x", "sire_x", "yrborn", "col_area", "sex").distinct()
-    cls = C.label_pairs(merged, "sire_x", "yrborn", "dam_x")   # D7 labels; n_dams not needed here
+    # D7 labels (n_dams is not needed here). min/max of dam per (sire, year) do
+    # not change under de-duplication, so they are taken from the distinct rows:
+    # the merged table is computed once and feeds both branches.
+    cls = C.label_pairs(rows, "sire_x", "yrborn", "dam_x")
     lab = C.membership_strategy(rows, "sire_x", "yrborn", cls, "sire_x", "yrborn", mode)
     return with_valley(lab, places)
 

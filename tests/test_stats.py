@@ -160,3 +160,13 @@ def test_fisher_2x2_windowed_sum_is_exact_for_large_margins(spark):
     got = {tuple(r[:4]): r["p"] for r in with_fisher_2x2(df, "a", "b", "c", "d", "p").collect()}
     for t in tables:
         assert got[t] == pytest.approx(_p2x2_reference(*t), rel=1e-8, abs=1e-14)
+
+
+def test_monte_carlo_is_deterministic_per_seed(spark):
+    t = spark.createDataFrame([("a", 3, 9), ("b", 8, 2), ("c", 5, 5)], "r string, x long, y long")
+    p1 = fisher_monte_carlo(spark, t, "x", "y", B=5000, seed=11).first()["p_value"]
+    p2 = fisher_monte_carlo(spark, t, "x", "y", B=5000, seed=11).first()["p_value"]
+    assert p1 == p2
+    # a table at the most probable configuration is never extreme: p = 1
+    flat = spark.createDataFrame([("a", 5, 5), ("b", 5, 5)], "r string, x long, y long")
+    assert fisher_monte_carlo(spark, flat, "x", "y", B=2000, seed=1).first()["p_value"] == 1.0
