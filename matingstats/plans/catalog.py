@@ -10,6 +10,7 @@ doubles rounded to 6 places.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +24,38 @@ from matingstats.sources import roles
 
 
 class Inputs:
-    """Role frames of one data directory (lazy DataFrames, built once)."""
+    """Role frames of one data directory, each built on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.master = roles.master_raw(spark, sf_dir)
-        self.parent = roles.gen_parent(spark, sf_dir)
-        self.meta = roles.gen_meta(spark, sf_dir)
-        self.places = roles.places(spark, sf_dir)
-        self.places_small = roles.places_small(spark, sf_dir)
-        self.merged = S.merged_ped(self.parent, self.meta)
-        self.clean = S.clean_offspring(self.merged)
+
+    @cached_property
+    def master(self) -> DataFrame:
+        return roles.master_raw(self.spark, self.sf_dir)
+
+    @cached_property
+    def parent(self) -> DataFrame:
+        return roles.gen_parent(self.spark, self.sf_dir)
+
+    @cached_property
+    def meta(self) -> DataFrame:
+        return roles.gen_meta(self.spark, self.sf_dir)
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return roles.places(self.spark, self.sf_dir)
+
+    @cached_property
+    def places_small(self) -> DataFrame:
+        return roles.places_small(self.spark, self.sf_dir)
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        return S.merged_ped(self.parent, self.meta)
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return S.clean_offspring(self.merged)
 
     def types_small(self, mode: str = "independent") -> DataFrame:
         return S.valley_types(self.merged, self.places_small, mode)

@@ -25,8 +25,24 @@ LOWER = "Lower Valley"
 OTHER = "Other"
 
 
+# Types of the source columns the role views read. Reading with this schema
+# skips footer-based schema inference at plan time and reads only these columns.
+COLUMN_TYPES = {
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderdate": "timestamp_ntz",
+               "o_orderpriority": "string"},
+    "customer": {"c_custkey": "bigint", "c_nationkey": "int"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string"},
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    types = COLUMN_TYPES.get(name, {})
+    if cols and all(c in types for c in cols):
+        ddl = ", ".join(f"{c} {types[c]}" for c in cols)
+        return spark.read.schema(ddl).parquet(path)
+    df = spark.read.parquet(path)
     return df.select(*cols) if cols else df
 
 
