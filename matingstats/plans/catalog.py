@@ -115,6 +115,8 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "unique_matings": lambda i: S.unique_matings(i.merged),
     "sire_dam_year": lambda i: S.sire_dam_year(i.merged),
     "sire_classification": lambda i: S.sire_classification(i.merged),
+    "polygynous_sires": lambda i: S.polygynous_sires(i.merged),
+    "monogamous_sires": lambda i: S.monogamous_sires(i.merged),
     "offspring_strategy": lambda i: S.offspring_strategy(i.clean),
     "colony_summary": lambda i: S.colony_summary(i.clean),
     "valley_types_independent": lambda i: i.types_small("independent"),
@@ -126,6 +128,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "pairings_by_year": lambda i: S.pairings_by_year(i.merged),
     "pairings_wide": lambda i: S.pairings_wide(i.merged),
     "chisq_year": lambda i: S.chisq_year(i.merged),
+    "valley_table": lambda i: S.valley_table(i.types_small()),
     "chisq_valley": lambda i: S.chisq_valley(i.types_small()),
     "chisq_residuals": lambda i: S.chisq_valley_residuals(i.types_small()),
     "year_valley_table": lambda i: S.year_valley_wide(i.types_small()),
@@ -139,6 +142,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "master_monogamous": lambda i: M.master_monogamous(i.master),
     "offspring_by_year": lambda i: M.offspring_by_year(i.master),
     "year_shares": lambda i: M.year_shares(i.master),
+    "year_table_master": lambda i: M.year_table(i.master),
     "chisq_master": lambda i: M.chisq_master(i.master),
     "master_residuals": lambda i: M.master_residuals(i.master),
     "master_level": lambda i: M.master_level(i.master),
@@ -147,6 +151,10 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "colony_types_master": lambda i: i.types_master(),
     "colony_year_counts": lambda i: M.colony_year_counts(i.master),
     "colony_year_number": lambda i: M.colony_year_number(i.master),
+    "colony_list_analysis": lambda i: M.colony_list(i.master, form="analysis"),
+    "colony_year_counts_analysis": lambda i: M.colony_year_counts(i.master, form="analysis"),
+    "colony_year_number_analysis": lambda i: M.colony_year_number(i.master, form="analysis"),
+    "colony_table": lambda i: M.colony_table(i.master),
     "valley_master": lambda i: M.valley_master(i.types_master()),
     "valley_year_master": lambda i: M.valley_year_master(i.types_master()),
     "rank_sum_master": lambda i: M.rank_sum_master(i.types_master()),
@@ -190,6 +198,8 @@ def _sql() -> dict[str, str]:
     q["unique_matings"] = b("select * from unique_matings")
     q["sire_dam_year"] = b("select * from sdy")
     q["sire_classification"] = b("select * from cls")
+    q["polygynous_sires"] = b("select * from cls where strategy = 'Polygynous'")
+    q["monogamous_sires"] = b("select * from cls where strategy = 'Monogamous'")
     q["offspring_strategy"] = b("select * from os")
     q["colony_summary"] = b("select col_area, strategy, count(*) as n_individuals from os group by col_area, strategy")
     q["valley_types_independent"] = b("select * from types_small")
@@ -218,6 +228,7 @@ from pby group by yrborn""")
   select valley, cast(coalesce(sum(case when strategy = 'Monogamous' then n_individuals end), 0) as bigint) as Monogamous,
          cast(coalesce(sum(case when strategy = 'Polygynous' then n_individuals end), 0) as bigint) as Polygynous
   from vs group by valley""", "vw_long": O.long_cells("vw", "valley")}
+    q["valley_table"] = b("select * from vw", vw)
     q["chisq_valley"] = b(O.chisq_sql("vw_long", "valley", "strategy", "n"), vw)
     q["chisq_residuals"] = b(O.chisq_sql("vw_long", "valley", "strategy", "n", residuals=True), vw)
     q["year_valley_table"] = b("select * from yv_wide")
@@ -264,6 +275,7 @@ join m_groups g on m.sire = g.sire and m.yob = g.yob where g.strategy = 'Monogam
   select yob, cast(coalesce(sum(case when type = 'Monogamous' then count end), 0) as bigint) as Monogamous,
          cast(coalesce(sum(case when type = 'Polygynous' then count end), 0) as bigint) as Polygynous
   from combined_counts group by yob""", "yw_long": O.long_cells("yw", "yob")}
+    q["year_table_master"] = b("select * from yw", yw)
     q["chisq_master"] = b(O.chisq_sql("yw_long", "yob", "strategy", "n"), yw)
     q["master_residuals"] = b(
         "select yob, strategy as type, observed, expected, stdres from ("
@@ -274,6 +286,21 @@ join m_groups g on m.sire = g.sire and m.yob = g.yob where g.strategy = 'Monogam
     q["colony_types_master"] = b("select dam, sire, yob, col_area, strategy, valley from types_master")
     q["colony_year_counts"] = b("select * from ccm")
     q["colony_year_number"] = b("select * from scm")
+    q["colony_table"] = b("""
+select col_area, cast(coalesce(sum(case when strategy = 'Monogamous' then n_individuals end), 0) as bigint) as Monogamous,
+       cast(coalesce(sum(case when strategy = 'Polygynous' then n_individuals end), 0) as bigint) as Polygynous
+from scm group by col_area""")
+    an = {"fixed_a": "select * from master_raw where sire is not null and yob is not null and dam is not null",
+          "groups_a": """
+  select sire, yob, case when count(distinct dam) > 1 then 'Polygynous' else 'Monogamous' end as strategy
+  from fixed_a group by sire, yob""",
+          "ccm_a": """
+  select f.yob, f.col_area, g.strategy, cast(count(*) as bigint) as count
+  from fixed_a f join groups_a g on f.sire = g.sire and f.yob = g.yob group by f.yob, f.col_area, g.strategy"""}
+    q["colony_list_analysis"] = b(f"select distinct {O.trimws('lower(col_area)')} as col_area from fixed_a", an)
+    q["colony_year_counts_analysis"] = b("select * from ccm_a", an)
+    q["colony_year_number_analysis"] = b(
+        "select col_area, strategy, count(*) as n_individuals from ccm_a group by col_area, strategy", an)
     q["valley_master"] = b("select * from svm")
     q["valley_year_master"] = b("select * from svym")
     q["rank_sum_master"] = b("select * from (" + O.rank_sum_sql("svym", "valley", "strategy", "n_individuals") + ")")

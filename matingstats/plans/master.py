@@ -63,6 +63,11 @@ def year_cells(m: DataFrame) -> DataFrame:
     return complete_cells(offspring_by_year(m), ["yob"], "type", C.LEVELS, "count")
 
 
+def year_table(m: DataFrame) -> DataFrame:
+    """D26 wide: yob x (Monogamous, Polygynous) offspring counts, absent cells 0."""
+    return pivot_wider(offspring_by_year(m), ["yob"], "type", "count", C.LEVELS)
+
+
 def chisq_master(m: DataFrame) -> DataFrame:
     """T1 on the year x type table of D25."""
     return chisq_test(year_cells(m), "yob", "type", "count")

@@ -68,6 +68,16 @@ def sire_classification(merged: DataFrame) -> DataFrame:
             .select("sire_x", "yrborn", F.col("n_dams").cast("bigint").alias("n_dams"), "strategy")
 
 
+def polygynous_sires(merged: DataFrame) -> DataFrame:
+    """The polygynous rows of D7 (sorted at output)."""
+    return sire_classification(merged).where(F.col("strategy") == C.POLY)
+
+
+def monogamous_sires(merged: DataFrame) -> DataFrame:
+    """The monogamous rows of D7 (sorted at output)."""
+    return sire_classification(merged).where(F.col("strategy") == C.MONO)
+
+
 # ------------------------------------------------------- strategy per pup
 
 def sire_strategy_again(clean: DataFrame) -> DataFrame:
@@ -182,6 +192,11 @@ def valley_cells(types: DataFrame) -> DataFrame:
     return complete_cells(valley_summary(types), ["valley"], "strategy", C.LEVELS, "n_individuals")
 
 
+def valley_table(types: DataFrame) -> DataFrame:
+    """D20 wide: valley x (Monogamous, Polygynous), absent cells 0."""
+    return pivot_wider(valley_summary(types), ["valley"], "strategy", "n_individuals", C.LEVELS)
+
+
 def chisq_valley(types: DataFrame) -> DataFrame:
     """T1 on D20."""
     return chisq_test(valley_cells(types), "valley", "strategy", "n_individuals")
