@@ -42,8 +42,10 @@ def rank_sum_test(df: DataFrame, group: str, level: str, value: str,
     d = w - nx * ny / 2.0
     z = safe_div(d - F.signum(d) * 0.5, F.sqrt(var))
     tested = F.col("_levels") > 1
-    out = agg.select(
+    # z is materialised first so the tail expression refers to a column, not a copy of z's tree
+    st = agg.select(group, tested.alias("_tested"), w.alias("_w"), z.alias("_z"))
+    out = st.select(
         group,
-        F.when(tested, norm_two_sided(z)).alias("p_value"),
-        F.when(tested, w).alias("W"))
+        F.when(F.col("_tested"), norm_two_sided(F.col("_z"))).alias("p_value"),
+        F.when(F.col("_tested"), F.col("_w")).alias("W"))
     return out.withColumn("Significant", significance_yes_no("p_value", alpha))
