@@ -8,8 +8,9 @@ tolerance 1e-7).
 * 2 x 2 per group: pure column expressions - bisection for the two tails and
   an ``aggregate`` over the significant part of the support (grows with
   sqrt(n)); no Python, no shuffle.
-* r x 2 per group: ``groupBy(...).applyInPandas`` - each group is one small
-  table (r rows), enumerated with numpy; groups run in parallel.
+* r x 2 per group, r <= 3: the same tail mass nested once - the first row's
+  count runs over its significant window, exploded and spread over tasks;
+  larger tables: ``groupBy(...).applyInPandas`` enumeration with numpy.
 * Monte-Carlo: ``spark.range(B)`` spread over partitions, ``mapInPandas``
   draws random tables with the observed margins (successive hypergeometric
   draws per row); a draw is a hit when sum ln x_ij! is at least the observed
@@ -51,52 +52,70 @@ def fisher_2x2(tables: DataFrame, groups: Sequence[str], row: str, c1: str, c2:
 def with_fisher_2x2(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p_value") -> DataFrame:
     """Add the exact two-sided p-value of [[a, b], [c, d]] as column ``out``.
 
-    x = first cell is hypergeometric (log-concave, mode m). The tables no more
-    probable than the observed one form two tails [lo, L] and [R, hi]. L and R
-    are found by bisection on ln p(x); each tail is then summed outward from
-    its crossing point with the ratio recurrence p(x -/+ 1) / p(x) for at most
-    40 sd + 50 terms - past that the terms are below e^-800 of the first, so
-    the sum is exact in double precision while the work grows with sqrt(n).
-    Row constants are computed once as columns before the ``aggregate`` loops
-    (lambdas are evaluated without codegen, so nothing heavy stays inside).
+    The first cell is hypergeometric (r1 = a + b, r2 = c + d, k = a + c); the
+    p-value is the mass of the cells no more probable than ``a``.
     """
     from matingstats.functions.special import log_factorial as lf
     A, B, C_, D = (F.col(x).cast("bigint") for x in (a, b, c, d))
-    tmp = ["_r1", "_r2", "_k", "_n", "_lo", "_hi", "_mode", "_const", "_thr", "_span", "_pts", "_bis",
-           "_pLR", "_L", "_R", "_inL", "_inR", "_atmode"]
-    x1 = df.withColumns({"_r1": A + B, "_r2": C_ + D, "_k": A + C_})
-    x1 = x1.withColumn("_n", F.col("_r1") + F.col("_r2"))
-    r1, r2, k, n = F.col("_r1"), F.col("_r2"), F.col("_k"), F.col("_n")
+    x = df.withColumns({"_f_r1": A + B, "_f_r2": C_ + D, "_f_k": A + C_})
+    r1, r2, k = F.col("_f_r1"), F.col("_f_r2"), F.col("_f_k")
+    n = r1 + r2
+    obs = (lf(r1) + lf(r2) + lf(k) + lf(n - k) - lf(n)
+           - lf(A) - lf(r1 - A) - lf(k - A) - lf(r2 - k + A))
+    x = x.withColumn("_f_thr", obs + math.log1p(REL_TOL))
+    x = with_hyper_tail(x, "_f_r1", "_f_r2", "_f_k", "_f_thr", "_f_mass")
+    p = F.when(n == 0, F.lit(None).cast("double")).otherwise(F.col("_f_mass"))
+    return x.withColumn(out, p).drop("_f_r1", "_f_r2", "_f_k", "_f_thr", "_f_mass")
+
+
+def with_hyper_tail(df: DataFrame, r1: str, r2: str, k: str, thr: str, out: str) -> DataFrame:
+    """Add ``out`` = sum of P(X = x) over the x with ln P(X = x) <= ``thr``,
+    X hypergeometric (draw k from r1 + r2, r1 marked), as column expressions.
+
+    X is log-concave with mode m, so {x : ln P <= thr} is two tails [lo, L]
+    and [R, hi]. L and R are found by bisection on ln P; each tail is then
+    summed outward from its crossing point with the ratio recurrence
+    P(x -/+ 1) / P(x) for at most 40 sd + 50 terms - past that the terms are
+    below e^-800 of the first, so the sum is exact in double precision while
+    the work grows with sqrt(n), not n. Row constants are computed once as
+    columns before the ``aggregate`` loops (lambdas are evaluated without
+    codegen, so nothing heavy stays inside them).
+    """
+    from matingstats.functions.special import log_factorial as lf
+    tmp = ["_h_r1", "_h_r2", "_h_k", "_h_n", "_h_lo", "_h_hi", "_h_mode", "_h_const", "_h_thr", "_h_span",
+           "_h_pts", "_h_bis", "_h_pLR", "_h_L", "_h_R", "_h_inL", "_h_inR", "_h_atmode"]
+    x1 = df.withColumns({"_h_r1": F.col(r1).cast("bigint"), "_h_r2": F.col(r2).cast("bigint"),
+                         "_h_k": F.col(k).cast("bigint"), "_h_thr": F.col(thr).cast("double")})
+    x1 = x1.withColumn("_h_n", F.col("_h_r1") + F.col("_h_r2"))
+    r1_, r2_, k_, n, thr_ = (F.col(c) for c in ("_h_r1", "_h_r2", "_h_k", "_h_n", "_h_thr"))
     nd = n.cast("double")
-    var = (k.cast("double") * F.try_divide(r1, nd) * F.try_divide(r2, nd)
-           * ((n - k) / F.greatest(nd - 1.0, F.lit(1.0))))
+    var = (k_.cast("double") * F.try_divide(r1_, nd) * F.try_divide(r2_, nd)
+           * ((n - k_) / F.greatest(nd - 1.0, F.lit(1.0))))
     x1 = x1.withColumns({
-        "_lo": F.greatest(F.lit(0).cast("bigint"), k - r2),
-        "_hi": F.least(r1, k),
-        "_const": lf(r1) + lf(r2) + lf(k) + lf(n - k) - lf(n),
-        "_span": (F.lit(50.0) + 40.0 * F.sqrt(F.greatest(F.coalesce(var, F.lit(0.0)), F.lit(0.0)))).cast("bigint"),
+        "_h_lo": F.greatest(F.lit(0).cast("bigint"), k_ - r2_),
+        "_h_hi": F.least(r1_, k_),
+        "_h_const": lf(r1_) + lf(r2_) + lf(k_) + lf(n - k_) - lf(n),
+        "_h_span": (F.lit(50.0) + 40.0 * F.sqrt(F.greatest(F.coalesce(var, F.lit(0.0)), F.lit(0.0)))).cast("bigint"),
     })
-    lo, hi, const = F.col("_lo"), F.col("_hi"), F.col("_const")
+    lo, hi, const, span = F.col("_h_lo"), F.col("_h_hi"), F.col("_h_const"), F.col("_h_span")
 
     def logp(x):
-        return const - lf(x) - lf(r1 - x) - lf(k - x) - lf(r2 - k + x)
+        return const - lf(x) - lf(r1_ - x) - lf(k_ - x) - lf(r2_ - k_ + x)
 
     x1 = x1.withColumn(
-        "_mode", F.least(hi, F.greatest(lo, F.floor((k + 1).cast("double") * (r1 + 1) / (n + 2)).cast("bigint"))))
-    mode = F.col("_mode")
-    # one ln p expansion serves several points: [a, lo, hi, mode]
-    x1 = x1.withColumn("_pts", F.transform(F.array(A, lo, hi, mode), logp))
-    pts = F.col("_pts")
-    x1 = x1.withColumns({"_thr": pts[0] + math.log1p(REL_TOL)})
-    thr, span = F.col("_thr"), F.col("_span")
-    x1 = x1.withColumns({"_inL": pts[1] <= thr, "_inR": pts[2] <= thr, "_atmode": pts[3] <= thr})
-
-    # both bisections in one loop: left keeps ln p(uL) <= thr < ln p(vL) on the
-    # rising side [lo, mode]; right keeps ln p(uR) > thr >= ln p(vR) on [mode, hi]
+        "_h_mode", F.least(hi, F.greatest(lo, F.floor((k_ + 1).cast("double") * (r1_ + 1) / (n + 2)).cast("bigint"))))
+    mode = F.col("_h_mode")
+    # one ln P expansion serves several points: [lo, hi, mode]
+    x1 = x1.withColumn("_h_pts", F.transform(F.array(lo, hi, mode), logp))
+    pts = F.col("_h_pts")
+    x1 = x1.withColumns({"_h_inL": pts[0] <= thr_, "_h_inR": pts[1] <= thr_, "_h_atmode": pts[2] <= thr_})
+
+    # both bisections in one loop: left keeps ln P(uL) <= thr < ln P(vL) on the
+    # rising side [lo, mode]; right keeps ln P(uR) > thr >= ln P(vR) on [mode, hi]
     def step(st, _i):
         mids = F.array(F.floor((st["uL"] + st["vL"]) / 2).cast("bigint"),
                        F.floor((st["uR"] + st["vR"]) / 2).cast("bigint"))
-        ok = F.transform(mids, lambda m: logp(m) <= thr)
+        ok = F.transform(mids, lambda m: logp(m) <= thr_)
         mL, mR = mids[0], mids[1]
         return F.struct(F.when(ok[0], mL).otherwise(st["uL"]).alias("uL"),
                         F.when(ok[0], st["vL"]).otherwise(mL).alias("vL"),
@@ -105,27 +124,27 @@ def with_fisher_2x2(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p
 
     steps = F.least(F.lit(64), (F.ceil(F.log2((hi - lo + 2).cast("double"))) + 1).cast("int"))
     init = F.struct(lo.alias("uL"), mode.alias("vL"), mode.alias("uR"), hi.alias("vR"))
-    x2 = x1.withColumn("_bis", F.aggregate(F.sequence(F.lit(1), steps), init, step))
-    x2 = x2.withColumns({"_L": F.col("_bis")["uL"], "_R": F.col("_bis")["vR"]})
-    L, R = F.col("_L"), F.col("_R")
-    x2 = x2.withColumn("_pLR", F.transform(F.array(L, R), lambda x: F.exp(logp(x))))
+    x2 = x1.withColumn("_h_bis", F.aggregate(F.sequence(F.lit(1), steps), init, step))
+    x2 = x2.withColumns({"_h_L": F.col("_h_bis")["uL"], "_h_R": F.col("_h_bis")["vR"]})
+    L, R = F.col("_h_L"), F.col("_h_R")
+    x2 = x2.withColumn("_h_pLR", F.transform(F.array(L, R), lambda x: F.exp(logp(x))))
 
     def tail(start, first_p, stop, step_sign: int):
-        # sum p(x) for x = start, start +/- 1, ..., stop using the pmf ratio
+        # sum P(x) for x = start, start +/- 1, ..., stop using the pmf ratio
         if step_sign < 0:
-            ratio = lambda x: (x * (r2 - k + x)).cast("double") / ((r1 - x + 1) * (k - x + 1)).cast("double")
+            ratio = lambda x: (x * (r2_ - k_ + x)).cast("double") / ((r1_ - x + 1) * (k_ - x + 1)).cast("double")
         else:
-            ratio = lambda x: ((r1 - x) * (k - x)).cast("double") / ((x + 1) * (r2 - k + x + 1)).cast("double")
+            ratio = lambda x: ((r1_ - x) * (k_ - x)).cast("double") / ((x + 1) * (r2_ - k_ + x + 1)).cast("double")
         init = F.struct(first_p.alias("t"), F.lit(0.0).alias("s"))
         res = F.aggregate(F.sequence(start, stop, F.lit(step_sign).cast("bigint")), init,
                           lambda st, x: F.struct((st["t"] * ratio(x)).alias("t"), (st["s"] + st["t"]).alias("s")))
         return res["s"]
 
-    left = F.when(F.col("_inL"), tail(L, F.col("_pLR")[0], F.greatest(lo, L - span), -1)).otherwise(0.0)
-    right = F.when(F.col("_inR"), tail(R, F.col("_pLR")[1], F.least(hi, R + span), 1)).otherwise(0.0)
-    total = F.when(F.col("_atmode"), F.lit(1.0)).otherwise(left + right)
-    p = F.when(n == 0, F.lit(None).cast("double")).otherwise(F.least(F.lit(1.0), total))
-    return x2.withColumn(out, p).drop(*tmp)
+    left = F.when(F.col("_h_inL"), tail(L, F.col("_h_pLR")[0], F.greatest(lo, L - span), -1)).otherwise(0.0)
+    right = F.when(F.col("_h_inR"), tail(R, F.col("_h_pLR")[1], F.least(hi, R + span), 1)).otherwise(0.0)
+    # the mode is the most probable point: at or below the threshold means every point is
+    total = F.when(F.col("_h_atmode"), F.lit(1.0)).otherwise(left + right)
+    return x2.withColumn(out, F.least(F.lit(1.0), total)).drop(*tmp)
 
 
 # ---------------------------------------------------------------- r x 2 exact
@@ -179,8 +198,68 @@ def fisher_rx2_p(col1: Sequence[int], col2: Sequence[int]) -> float:
 
 
 def fisher_rx2(tables: DataFrame, groups: Sequence[str], row: str, c1: str, c2: str) -> DataFrame:
-    """Per group: table rows and exact p-value (NULL when fewer than two rows)."""
+    """Per group: table rows and exact p-value (NULL when fewer than two rows).
+
+    Tables of up to three rows (the valley tables) run as column expressions,
+    distributed over the first row's support (``_fisher_rx3``); larger tables
+    fall back to a grouped pandas enumeration of the same sum.
+    """
     g = list(groups)
+    packed = tables.groupBy(*g).agg(
+        # one table per group, a handful of rows (bounded by the valley dimension)
+        F.sort_array(F.collect_list(F.struct(F.col(row).alias("key"), F.col(c1).cast("bigint").alias("x"),
+                                             (F.col(c1) + F.col(c2)).cast("bigint").alias("r")))).alias("_rows"))
+    packed = packed.withColumn("n_rows", F.size("_rows").cast("int"))
+    small = _fisher_rx3(packed.where(F.col("n_rows") <= 3), g)
+    large_groups = packed.where(F.col("n_rows") > 3).select(*g)
+    large = _fisher_rx2_pandas(tables.join(large_groups, g, "left_semi"), g, row, c1, c2)
+    return small.unionByName(large)
+
+
+def _fisher_rx3(packed: DataFrame, g: list) -> DataFrame:
+    """Exact r x 2 Fisher test for r <= 3 as a distributed sum.
+
+    With first-column counts (x1, x2, x3) and row totals (r1, r2, r3):
+    P(x) = H1(x1) * H23(x2 | x1), H1 hypergeometric (r1, r2 + r3, k) and
+    H23 hypergeometric (r2, r3, k - x1). So
+    p = sum over x1 of H1(x1) * [mass of H23 at or below thr - ln H1(x1)],
+    and the inner mass is ``with_hyper_tail``. x1 runs over its significant
+    window (40 sd + 50 around the mode); the window's points are exploded and
+    spread over tasks, so the work is distributed and grows about linearly in n.
+    """
+    from matingstats.functions.special import log_choose as lc
+    x = packed.select(*g, "n_rows",
+                      *[F.coalesce(F.get(F.col("_rows"), i)[f], F.lit(0).cast("bigint")).alias(f"_{f}{i + 1}")
+                        for i in range(3) for f in ("r", "x")])
+    r1, r2, r3 = F.col("_r1"), F.col("_r2"), F.col("_r3")
+    k = F.col("_x1") + F.col("_x2") + F.col("_x3")
+    x = x.withColumns({"_k": k, "_n": r1 + r2 + r3, "_r23": r2 + r3})
+    k, n, r23 = F.col("_k"), F.col("_n"), F.col("_r23")
+    obs = (lc(r1, F.col("_x1")) + lc(r2, F.col("_x2")) + lc(r3, F.col("_x3")) - lc(n, k))
+    nd = n.cast("double")
+    sd = F.sqrt(F.greatest(F.coalesce(k.cast("double") * F.try_divide(r1, nd) * F.try_divide(r23, nd)
+                                      * ((n - k) / F.greatest(nd - 1.0, F.lit(1.0))), F.lit(0.0)), F.lit(0.0)))
+    lo = F.greatest(F.lit(0).cast("bigint"), k - r23)
+    hi = F.least(r1, k)
+    mode = F.least(hi, F.greatest(lo, F.floor((k + 1).cast("double") * (r1 + 1) / (n + 2)).cast("bigint")))
+    span = (F.lit(50.0) + 40.0 * sd).cast("bigint")
+    x = x.withColumns({"_thr": obs + math.log1p(REL_TOL),
+                       "_wlo": F.greatest(lo, mode - span), "_whi": F.least(hi, mode + span)})
+    e = x.select(*g, "n_rows", "_r1", "_r2", "_r3", "_r23", "_k", "_n", "_thr",
+                 F.explode(F.sequence(F.col("_wlo"), F.col("_whi"))).alias("_y1"))
+    e = e.repartition(*[F.col(c) for c in g], F.col("_y1"))
+    lp1 = lc(F.col("_r1"), F.col("_y1")) + lc(F.col("_r23"), F.col("_k") - F.col("_y1")) - lc(F.col("_n"), F.col("_k"))
+    e = e.withColumn("_lp1", lp1)
+    e = e.withColumns({"_m": F.col("_k") - F.col("_y1"), "_t2": F.col("_thr") - F.col("_lp1")})
+    e = with_hyper_tail(e, "_r2", "_r3", "_m", "_t2", "_inner")
+    res = e.groupBy(*g).agg(F.first("n_rows").alias("n_rows"),
+                            F.sum(F.exp(F.col("_lp1")) * F.col("_inner")).alias("_p"))
+    p = F.when(F.col("n_rows") > 1, F.least(F.lit(1.0), F.col("_p")))
+    return res.select(*g, F.col("n_rows").cast("int").alias("n_rows"), p.alias("p_value"))
+
+
+def _fisher_rx2_pandas(tables: DataFrame, g: list, row: str, c1: str, c2: str) -> DataFrame:
+    """Grouped pandas enumeration for tables with more than three rows."""
     schema_fields = [f for f in tables.schema.fields if f.name in g]
     from pyspark.sql import types as T
     out_schema = T.StructType(schema_fields + [T.StructField("n_rows", T.IntegerType()),
