@@ -2,8 +2,8 @@
 
 ``queries()`` maps a name to ``f(spark, sf_dir) -> DataFrame``; ``oracle_sql()``
 maps the same name to the DuckDB statement computing the same table from the
-same parquet files. Queries without SQL (model fits, Monte-Carlo) are checked
-on rows only. Column names and types agree on both sides: counts bigint,
+same parquet files. Queries without SQL (the Monte-Carlo test and the mixed
+model) are checked on rows only; the logistic fits have IRLS as a recursive CTE. Column names and types agree on both sides: counts bigint,
 doubles rounded to 6 places.
 """
 
@@ -387,6 +387,11 @@ from (select col_area, strategy, count(*) as n_individuals, 'Small' as source fr
     q["plot_stack_colonies"] = b(_stack_sql("mcol", "source", "col_area", "strategy_fill", "n_individuals",
                                             order="strategy_fill_order"), mcol)
     q["csv_round_trip"] = b("select * from merged")
+    q["logit_year"] = b(O.logit_sql("master_level", "yob", "strategy_bin", "yob"))
+    q["logit_year_small"] = b(O.logit_sql("sl_mating", "yrborn", "strategy_bin", "yrborn"))
+    q["logit_deviance"] = b(O.deviance_sql("master_level", "yob", "strategy_bin", "yob", "master")
+                            + " union all "
+                            + O.deviance_sql("sl_mating", "yrborn", "strategy_bin", "yrborn", "small"))
     return q
 
 

@@ -55,10 +55,12 @@ def lchoose(n: str, k: str) -> str:
 
 
 def gamma_q(a: str, x: str) -> str:
-    """Q(a, x) = 1 - P(a, x), P = sum_n exp(-x + (a+n) ln x - lgamma(a+n+1))."""
+    """Q(a, x) = 1 - P(a, x), P = sum_j exp(-x + (a+j) ln x - lgamma(a+j+1)).
+
+    The lambda variable has a name no column uses, so it never shadows one."""
     return (f"(case when isnan({x}) then 'nan'::double when ({x}) <= 0 then 1.0 else greatest(0.0, 1.0 - list_sum(list_transform("
             f"range(0, cast(({x}) + 20 * sqrt({x}) + 60 as bigint)), "
-            f"lambda n: exp(-({x}) + (({a}) + n) * ln({x}) - lgamma(({a}) + n + 1))))) end)")
+            f"lambda q_term: exp(-({x}) + (({a}) + q_term) * ln({x}) - lgamma(({a}) + q_term + 1))))) end)")
 
 
 def chisq_sf(stat: str, df: str) -> str:
@@ -296,3 +298,54 @@ p as (
          least(1.0, sum(case when {lp} <= {lp_obs} + ln(1 + 1e-7) then exp({lp}) else 0 end)) as p
   from e3 group by g)
 """
+
+
+def _irls_sql(src: str, x: str, y: str) -> str:
+    """Logistic IRLS (Newton) on grouped (x, y, w) rows as a recursive CTE; the
+    last iterate carries X'WX for the standard errors and the deviance."""
+    p = "(1 / (1 + exp(-(it.b0 + it.b1 * g.x))))"
+    return f"""
+with recursive g as (
+  select cast({x} as double) as x, cast({y} as double) as y, cast(count(*) as double) as w
+  from {src} where {x} is not null and {y} is not null group by {x}, {y}),
+it(i, b0, b1) as (
+  select 0, 0.0::double, 0.0::double
+  union all
+  select i + 1, b0 + (s11 * u0 - s01 * u1) / (s00 * s11 - s01 * s01),
+         b1 + (s00 * u1 - s01 * u0) / (s00 * s11 - s01 * s01)
+  from (select i, b0, b1, sum(w * q) as s00, sum(w * q * x) as s01, sum(w * q * x * x) as s11,
+               sum(w * (y - p)) as u0, sum(w * (y - p) * x) as u1
+        from (select it.i, it.b0, it.b1, g.x, g.y, g.w, {p} as p, {p} * (1 - {p}) as q from it, g)
+        group by i, b0, b1)
+  where i < 60),
+fit as (select b0, b1 from it where i = 60),
+fin as (
+  select any_value(b0) as b0, any_value(b1) as b1,
+         sum(w * q) as s00, sum(w * q * x) as s01, sum(w * q * x * x) as s11,
+         -2 * sum(w * (y * ln(p) + (1 - y) * ln(1 - p))) as dev, sum(w) as n, sum(w * y) as sy
+  from (select fit.b0, fit.b1, g.x, g.y, g.w, 1 / (1 + exp(-(fit.b0 + fit.b1 * g.x))) as p,
+               (1 / (1 + exp(-(fit.b0 + fit.b1 * g.x)))) * (1 - 1 / (1 + exp(-(fit.b0 + fit.b1 * g.x)))) as q
+        from fit, g))"""
+
+
+def logit_sql(src: str, x: str, y: str, name: str) -> str:
+    se0 = "sqrt(s11 / (s00 * s11 - s01 * s01))"
+    se1 = "sqrt(s00 / (s00 * s11 - s01 * s01))"
+    return "select * from (" + _irls_sql(src, x, y) + f"""
+select '(Intercept)' as term, round(b0, 6) as estimate, round({se0}, 6) as std_error,
+       round(b0 / {se0}, 6) as z_value, round({norm_two_sided(f'(b0 / {se0})')}, 6) as p_value from fin
+union all
+select '{name}' as term, round(b1, 6) as estimate, round({se1}, 6) as std_error,
+       round(b1 / {se1}, 6) as z_value, round({norm_two_sided(f'(b1 / {se1})')}, 6) as p_value from fin)"""
+
+
+def deviance_sql(src: str, x: str, y: str, name: str, dataset: str) -> str:
+    null_dev = "(-2 * (sy * ln(sy / n) + (n - sy) * ln(1 - sy / n)))"
+    return "select * from (" + _irls_sql(src, x, y) + f"""
+select 'NULL' as term, cast(null as integer) as df, cast(null as double) as deviance,
+       round(n - 1, 6) as resid_df, round({null_dev}, 6) as resid_dev, cast(null as double) as p_value,
+       '{dataset}' as dataset from fin
+union all
+select '{name}' as term, 1 as df, round({null_dev} - dev, 6) as deviance, round(n - 2, 6) as resid_df,
+       round(dev, 6) as resid_dev, round({chisq_sf(f'({null_dev} - dev)', '1')}, 6) as p_value,
+       '{dataset}' as dataset from fin)"""
