@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: AQE re-plans joins at run time (broadcast
@@ -77,10 +75,3 @@ def reliable_checkpoint(df):
     if ensure_checkpoint_dir(spark):
         return df.checkpoint(eager=True)
     return df.cache()
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

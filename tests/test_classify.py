@@ -106,3 +106,13 @@ def test_prefix_in_merge(spark):
                                  "uid string, sire string, dam string, yrborn string, col_area string, sex string")
     merged = S.merged_ped(parent, meta)
     assert [r["uid"] for r in merged.collect()] == ["7"]
+
+
+def test_study_places_dimension(spark):
+    from matingstats.sources.roles import study_places
+    p = study_places(spark)
+    got = {r["col_area"]: r["valley"] for r in p.collect()}
+    assert len(got) == 15 and got["river"] == "Lower Valley" and got["northpk"] == "Upper Valley"
+    m = master(spark, [("A", "d1", 2001, " River "), ("A", "d2", 2001, "NorthPk"), ("A", "d1", 2001, "elsewhere")])
+    rows = {(r["col_area"], r["valley"], r["strategy"]) for r in M.colony_types_master(m, p).collect()}
+    assert rows == {("river", "Lower Valley", "Polygynous"), ("northpk", "Upper Valley", "Polygynous")}
