@@ -46,7 +46,8 @@ def fisher_2x2(tables: DataFrame, groups: Sequence[str], row: str, c1: str, c2:
         F.max_by(F.col(c1), F.col(row)).cast("bigint").alias("_c"),
         F.max_by(F.col(c2), F.col(row)).cast("bigint").alias("_d"))
     t = with_fisher_2x2(t, "_a", "_b", "_c", "_d", "_p")
-    return t.select(*g, "n_rows", F.when(F.col("n_rows") == 2, F.col("_p")).alias("p_value"))
+    return t.select(*g, F.col("n_rows").cast("int").alias("n_rows"),
+                    F.when(F.col("n_rows") == 2, F.col("_p")).alias("p_value"))
 
 
 def with_fisher_2x2(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p_value") -> DataFrame:

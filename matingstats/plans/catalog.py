@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matingstats.plans import contingency as CT
 from matingstats.plans import master as M
 from matingstats.plans import mixed as X
 from matingstats.plans import oracle as O
@@ -49,6 +50,10 @@ class Inputs:
     def places_small(self) -> DataFrame:
         return roles.places_small(self.spark, self.sf_dir)
 
+    @cached_property
+    def docs(self) -> DataFrame:
+        return CT.labelled_docs(self.spark, self.sf_dir)
+
     @cached_property
     def merged(self) -> DataFrame:
         return S.merged_ped(self.parent, self.meta)
@@ -179,6 +184,12 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "plot_stack_years": lambda i: X.plot_stack_years(i.merged, i.master),
     "plot_stack_sires": lambda i: X.plot_stack_sires(i.merged, i.master),
     "plot_stack_colonies": lambda i: X.plot_stack_colonies(i.clean, i.master),
+    # the same tests on the labelled documents (FIXTURES §3 second table family)
+    "toxic_by_lang": lambda i: CT.outcome_table(i.docs, "lang"),
+    "chisq_lang_toxic": lambda i: CT.chisq(i.docs, "lang"),
+    "fisher_lang_toxic": lambda i: CT.fisher_exact(i.docs, "lang"),
+    "fisher_quality_toxic": lambda i: CT.fisher_exact_2x2(i.docs, "quality"),
+    "fisher_mc_lang_toxic": lambda i: CT.fisher_mc(i.docs, "lang"),
     # source / sink
     "csv_round_trip": _csv_round_trip,
 }
@@ -387,6 +398,28 @@ from (select col_area, strategy, count(*) as n_individuals, 'Small' as source fr
     q["plot_stack_colonies"] = b(_stack_sql("mcol", "source", "col_area", "strategy_fill", "n_individuals",
                                             order="strategy_fill_order"), mcol)
     q["csv_round_trip"] = b("select * from merged")
+    docs = {"ld": "select l.doc_id, l.quality, l.toxic, d.lang from labels l join documents d on l.doc_id = d.doc_id",
+            "tl": """
+  select lang, cast(sum(case when toxic = 1 then 1 else 0 end) as bigint) as yes,
+         cast(sum(case when toxic = 0 then 1 else 0 end) as bigint) as no, 'lang_x_toxic' as contrast
+  from ld group by lang""",
+            "tq": """
+  select quality, cast(sum(case when toxic = 1 then 1 else 0 end) as bigint) as yes,
+         cast(sum(case when toxic = 0 then 1 else 0 end) as bigint) as no, 'quality_x_toxic' as contrast
+  from ld group by quality""",
+            "tl_long": "select lang, 'yes' as outcome, yes as n from tl union all select lang, 'no' as outcome, no as n from tl"}
+    q["toxic_by_lang"] = b("select * from tl", docs)
+    q["chisq_lang_toxic"] = b("select 'lang_x_toxic' as contrast, * from ("
+                              + O.chisq_sql("tl_long", "lang", "outcome", "n") + ")", docs)
+    q["fisher_lang_toxic"] = b("select * from (" + O.fisher_r4_sql("tl", "contrast", "lang", "yes", "no") + """
+select t.g as contrast, cast(t.nrows as integer) as n_rows, round(case when t.nrows > 1 then p.p end, 6) as p_value
+from t left join p on t.g = p.g)""", docs)
+    f2q = O.fisher_2x2_sql("a", "b", "c", "d")
+    q["fisher_quality_toxic"] = b(f"""
+select contrast, cast(n_rows as integer) as n_rows, case when n_rows = 2 then round({f2q}, 6) end as p_value from (
+  select contrast, count(*) as n_rows, arg_min(yes, quality) as a, arg_min(no, quality) as b,
+         arg_max(yes, quality) as c, arg_max(no, quality) as d
+  from tq group by contrast)""", docs)
     q["logit_year"] = b(O.logit_sql("master_level", "yob", "strategy_bin", "yob"))
     q["logit_year_small"] = b(O.logit_sql("sl_mating", "yrborn", "strategy_bin", "yrborn"))
     q["logit_deviance"] = b(O.deviance_sql("master_level", "yob", "strategy_bin", "yob", "master")

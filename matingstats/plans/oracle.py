@@ -349,3 +349,30 @@ union all
 select '{name}' as term, 1 as df, round({null_dev} - dev, 6) as deviance, round(n - 2, 6) as resid_df,
        round(dev, 6) as resid_dev, round({chisq_sf(f'({null_dev} - dev)', '1')}, 6) as p_value,
        '{dataset}' as dataset from fin)"""
+
+
+def fisher_r4_sql(wide: str, group: str, row: str, c1: str, c2: str) -> str:
+    """Exact r x 2 Fisher per group for tables of at most four rows (enumeration)."""
+    rows = range(1, 5)
+    lp = " + ".join(lchoose(f"r{i}", v) for i, v in zip(rows, ["i", "j", "l", "k - i - j - l"])) \
+        + " - " + lchoose("n", "k")
+    lp_obs = " + ".join(lchoose(f"r{i}", f"x{i}") for i in rows) + " - " + lchoose("n", "k")
+    picks = ",\n".join(
+        f"coalesce(max(case when rk = {i} then x end), 0) as x{i}, coalesce(max(case when rk = {i} then r end), 0) as r{i}"
+        for i in rows)
+    return f"""
+with rr as (
+  select {group} as g, row_number() over (partition by {group} order by {row}) as rk,
+         cast({c1} as bigint) as x, cast({c1} + {c2} as bigint) as r
+  from {wide}),
+t as (select g, count(*) as nrows, {picks} from rr group by g),
+t2 as (select *, x1 + x2 + x3 + x4 as k, r1 + r2 + r3 + r4 as n from t),
+e1 as (select *, unnest(range(0, r1 + 1)) as i from t2),
+e2 as (select *, unnest(range(0, r2 + 1)) as j from e1 where i <= k),
+e3 as (select *, unnest(range(0, r3 + 1)) as l from e2 where i + j <= k),
+e4 as (select * from e3 where k - i - j - l between 0 and r4),
+p as (
+  select g, any_value(nrows) as nrows,
+         least(1.0, sum(case when {lp} <= {lp_obs} + ln(1 + 1e-7) then exp({lp}) else 0 end)) as p
+  from e4 group by g)
+"""

@@ -60,3 +60,16 @@ def test_offspring_cells_sum_to_rows(views):
     known = m.where(F.col("sire").isNotNull() & F.col("yob").isNotNull()).count()
     assert M.offspring_by_year(m).agg(F.sum("count")).first()[0] == known
     assert M.master_polygynous(m).count() + M.master_monogamous(m).count() == known
+
+
+def test_document_label_contrasts(spark):
+    import math
+    from matingstats.plans import contingency as CT
+    docs = CT.labelled_docs(spark, SF_CHECK)
+    table = {r["lang"]: (r["yes"], r["no"]) for r in CT.outcome_table(docs, "lang").collect()}
+    assert table == {"de": (6, 40), "en": (36, 226), "es": (4, 35), "fr": (5, 47)}
+    exact = CT.fisher_exact(docs, "lang").first()
+    assert exact["n_rows"] == 4
+    assert exact["p_value"] == pytest.approx(0.8781708488, abs=1e-9)
+    mc = CT.fisher_mc(docs, "lang", B=20000, seed=3).first()["p_value"]
+    assert abs(mc - 0.8781708488) < 4 * math.sqrt(0.878 * 0.122 / 20000)

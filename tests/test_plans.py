@@ -9,7 +9,7 @@ from tests.conftest import SF_SMALL
 
 # queries that run Python on purpose (reduced data only) and their operator
 PYTHON_OK = {"fisher_year_rx2": "FlatMapGroupsInPandas", "valid_fisher": "FlatMapGroupsInPandas",  # >3-row fallback branch
-             "final_table": "FlatMapGroupsInPandas"}
+             "final_table": "FlatMapGroupsInPandas", "fisher_lang_toxic": "FlatMapGroupsInPandas"}
 # model fits return a tiny result frame; their work happens while fitting
 MODELS = {"logit_year", "logit_year_small", "logit_deviance", "mixed_logit"}
 
@@ -22,7 +22,7 @@ def physical(df) -> str:
 def plans(spark):
     out = {}
     for name, fn in queries().items():
-        if name in MODELS or name in ("csv_round_trip", "fisher_colony_mc"):
+        if name in MODELS or name in ("csv_round_trip", "fisher_colony_mc", "fisher_mc_lang_toxic"):
             continue
         out[name] = physical(fn(spark, SF_SMALL))
     return out
