@@ -212,8 +212,12 @@ def fisher_rx2(tables: DataFrame, groups: Sequence[str], row: str, c1: str, c2:
                                              (F.col(c1) + F.col(c2)).cast("bigint").alias("r")))).alias("_rows"))
     packed = packed.withColumn("n_rows", F.size("_rows").cast("int"))
     small = _fisher_rx3(packed.where(F.col("n_rows") <= 3), g)
-    large_groups = packed.where(F.col("n_rows") > 3).select(*g)
-    large = _fisher_rx2_pandas(tables.join(large_groups, g, "left_semi"), g, row, c1, c2)
+    # larger tables: unpack the same per-group rows (no join needed to route them)
+    large_rows = (packed.where(F.col("n_rows") > 3)
+                  .select(*g, F.explode("_rows").alias("_t"))
+                  .select(*g, F.col("_t")["key"].alias(row), F.col("_t")["x"].alias(c1),
+                          (F.col("_t")["r"] - F.col("_t")["x"]).alias(c2)))
+    large = _fisher_rx2_pandas(large_rows, g, row, c1, c2)
     return small.unionByName(large)
 
 
