@@ -30,6 +30,17 @@ from pyspark.sql import functions as F
 
 from matingstats.functions.special import log_choose
 
+# The grouped and Monte-Carlo functions below run in Python workers. Pickling
+# this module by value ships their code with the task, so executors need no
+# installed copy of the package.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # pragma: no cover - older cloudpickle
+    pass
+
 REL_TOL = 1e-7
 
 
