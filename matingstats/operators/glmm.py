@@ -176,10 +176,25 @@ def _ascent_direction(g: np.ndarray, H: np.ndarray) -> np.ndarray:
 
 def random_intercept_logit(df: DataFrame, y: str, factor: str, group: str,
                            max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
-    """Fit y ~ factor + (1 | group); returns a tidy table
+    """Fit y ~ factor + (1 | group) on row-level 0/1 data; returns a tidy table
     (effect, term, estimate, std_error, z_value, p_value)."""
-    spark = df.sparkSession
-    cells = reliable_checkpoint(_cells(df, y, factor, group))
+    return _fit(_cells(df, y, factor, group), factor, group, max_iter, tol)
+
+
+def random_intercept_logit_counts(df: DataFrame, group: str, factor: str, trials: str, successes: str,
+                                  max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
+    """The same fit from counts (trials and successes per group and level):
+    the sufficient statistics, so no row per observation is ever made."""
+    cells = (df.where(F.col(group).isNotNull() & F.col(factor).isNotNull())
+               .groupBy(F.col(group).cast("string").alias("g"), F.col(factor).cast("string").alias("lvl"))
+               .agg(F.sum(trials).cast("double").alias("n"), F.sum(successes).cast("double").alias("s"))
+               .where(F.col("n") > 0))
+    return _fit(cells, factor, group, max_iter, tol)
+
+
+def _fit(cells: DataFrame, factor: str, group: str, max_iter: int, tol: float) -> DataFrame:
+    spark = cells.sparkSession
+    cells = reliable_checkpoint(cells)
     levels = sorted(r["lvl"] for r in cells.select("lvl").distinct().collect())
     f = _Objective(cells, levels)
     p = len(levels)

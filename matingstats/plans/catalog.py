@@ -109,8 +109,13 @@ def _deviance(i: Inputs) -> DataFrame:
 
 
 def _mixed_logit(i: Inputs) -> DataFrame:
-    from matingstats.operators.glmm import random_intercept_logit
-    return random_intercept_logit(M.long_offspring(i.types_master()), "strategy_bin", "valley", "yob")
+    """T9 on D39: fitted from the (yob, valley) counts of D35 - the sufficient
+    statistics of the one-row-per-offspring table, which is never built."""
+    from matingstats.operators.glmm import random_intercept_logit_counts
+    wide = M.valley_year_wide(i.types_master())
+    counts = wide.select("yob", "valley", (F.col("Monogamous") + F.col("Polygynous")).alias("trials"),
+                         F.col("Polygynous").alias("successes"))
+    return random_intercept_logit_counts(counts, "yob", "valley", "trials", "successes")
 
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {

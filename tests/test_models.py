@@ -97,3 +97,20 @@ def test_mixed_logit_recovers_group_spread(spark):
     fit = {r["term"]: r for r in random_intercept_logit(df, "y", "valley", "g").collect()}
     assert fit["sd__(Intercept)|g"]["estimate"] == pytest.approx(1.0, abs=0.35)
     assert fit["valleyUpper"]["estimate"] == pytest.approx(1.0, abs=0.25)
+
+
+def test_mixed_logit_from_counts_equals_rows(spark):
+    from matingstats.operators.glmm import random_intercept_logit_counts
+    from matingstats.operators.reshape import uncount
+    counts = spark.createDataFrame(
+        [(g, v, int(20 + 7 * g + (5 if v == "Upper" else 0)), int(9 + 3 * g + (4 if v == "Upper" else 0) - (g % 3)))
+         for g in range(6) for v in ("Lower", "Upper")], "g int, valley string, trials long, successes long")
+    a = {r["term"]: r["estimate"] for r in random_intercept_logit_counts(counts, "g", "valley", "trials",
+                                                                         "successes").collect()}
+    rows = uncount(counts.select("g", "valley", F.col("successes").alias("count")), "count") \
+        .withColumn("y", F.lit(1)).unionByName(
+        uncount(counts.select("g", "valley", (F.col("trials") - F.col("successes")).alias("count")), "count")
+        .withColumn("y", F.lit(0)))
+    b = {r["term"]: r["estimate"] for r in random_intercept_logit(rows, "y", "valley", "g").collect()}
+    for k in ("(Intercept)", "valleyUpper", "logLik"):
+        assert a[k] == pytest.approx(b[k], rel=1e-7, abs=1e-9)
