@@ -79,3 +79,16 @@ def test_factor_order(spark):
     lv = ["Small_Monogamous", "Small_Polygynous"]
     assert one(spark, T.factor_order("a", lv), row=("Small_Polygynous",)) == 2
     assert one(spark, T.factor_order("a", lv), row=("Other",)) is None
+
+
+def test_zero_if_na(spark):
+    assert one(spark, T.zero_if_na("a"), "a long", (None,)) == 0
+    assert one(spark, T.zero_if_na("a"), "a long", (4,)) == 4
+
+
+def test_case_when_first_match_and_null_condition(spark):
+    expr = T.case_when((F.col("a") > 5, "big"), (F.col("a") > 1, "mid"), default="small")
+    assert one(spark, expr, "a long", (9,)) == "big"
+    assert one(spark, expr, "a long", (3,)) == "mid"
+    assert one(spark, expr, "a long", (None,)) == "small"     # NULL condition is not a match
+    assert one(spark, T.case_when((F.col("a") > 5, "big")), "a long", (1,)) is None
