@@ -327,15 +327,15 @@ select cast(sum(case when regexp_full_match(coalesce(valley, ''), '[0-9]+') then
        cast(sum(case when regexp_full_match(cast(Polygynous as varchar), '[0-9]+') then 0 else 1 end) as bigint)
          as Polygynous
 from svym_wide""")
-    f2m = O.fisher_2x2_sql("a", "b", "c", "d")
+    rxm = O.fisher_rx3_sql("svym_wide_y", "yob", "valley", "Monogamous", "Polygynous")
     q["fisher_per_year"] = b(f"""
-select yob as year, case when tested then round({f2m}, 6) end as p_value,
-       case when not tested then 'NA' when {f2m} < 0.05 then 'Yes' else 'No' end as Significant
-from (
-  select yob, count(*) > 1 and sum(case when Monogamous + Polygynous > 0 then 1 else 0 end) > 1 as tested,
-         arg_min(Monogamous, valley) as a, arg_min(Polygynous, valley) as b,
-         arg_max(Monogamous, valley) as c, arg_max(Polygynous, valley) as d
-  from svym_wide where yob is not null group by yob)""")
+select * from ({rxm}
+select t.g as year, case when tested then round(p.p, 6) end as p_value,
+       case when not tested then 'NA' when p.p < 0.05 then 'Yes' else 'No' end as Significant
+from (select g, nrows > 1 and nz > 1 as tested from t
+      join (select yob, sum(case when Monogamous + Polygynous > 0 then 1 else 0 end) as nz
+            from svym_wide_y group by yob) z on t.g = z.yob) t
+left join p on t.g = p.g)""", {"svym_wide_y": "select * from svym_wide where yob is not null"})
     q["long_offspring"] = b("""
 select yob, valley, strategy, case when strategy = 'Polygynous' then 1 else 0 end as strategy_bin
 from (select yob, valley, strategy, unnest(range(0, count)) as i from (

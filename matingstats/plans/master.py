@@ -16,7 +16,7 @@ from matingstats.functions import text as T
 from matingstats.functions.special import safe_div
 from matingstats.operators import classify as C
 from matingstats.operators.chisq import chisq_test, std_residuals
-from matingstats.operators.fisher import fisher_2x2, fisher_monte_carlo
+from matingstats.operators.fisher import fisher_monte_carlo, fisher_rx2
 from matingstats.operators.ranksum import rank_sum_test
 from matingstats.operators.reshape import (complete_cells, non_integer_audit, pivot_longer,
                                            pivot_wider, uncount)
@@ -184,7 +184,7 @@ def fisher_per_year(types: DataFrame) -> DataFrame:
     """Fisher test of valley x strategy per year; tested only when at
     least two valleys have offspring (G11); label "Yes" / "No" / "NA"."""
     wide = valley_year_wide(types).where(F.col("yob").isNotNull())
-    res = fisher_2x2(wide, ["yob"], "valley", C.MONO, C.POLY)
+    res = fisher_rx2(wide, ["yob"], "valley", C.MONO, C.POLY)   # any number of valleys
     nonzero = wide.groupBy("yob").agg(
         F.sum(F.when(F.col(C.MONO) + F.col(C.POLY) > 0, 1).otherwise(0)).alias("_nz"))
     res = res.join(nonzero, "yob")

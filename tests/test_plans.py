@@ -9,7 +9,8 @@ from tests.conftest import SF_SMALL
 
 # queries that run Python on purpose (reduced data only) and their operator
 PYTHON_OK = {"fisher_year_rx2": "FlatMapGroupsInPandas", "valid_fisher": "FlatMapGroupsInPandas",  # >3-row fallback branch
-             "final_table": "FlatMapGroupsInPandas", "fisher_lang_toxic": "FlatMapGroupsInPandas"}
+             "final_table": "FlatMapGroupsInPandas", "fisher_lang_toxic": "FlatMapGroupsInPandas",
+             "fisher_per_year": "FlatMapGroupsInPandas"}
 # model fits return a tiny result frame; their work happens while fitting
 MODELS = {"logit_year", "logit_year_small", "logit_deviance", "mixed_logit"}
 
