@@ -67,17 +67,17 @@ def with_fisher_2x2(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p
     The first cell is hypergeometric (r1 = a + b, r2 = c + d, k = a + c); the
     p-value is the mass of the cells no more probable than ``a``.
     """
-    from matingstats.functions.special import log_factorial as lf
-    A, B, C_, D = (F.col(x).cast("bigint") for x in (a, b, c, d))
-    x = df.withColumns({"_f_r1": A + B, "_f_r2": C_ + D, "_f_k": A + C_})
-    r1, r2, k = F.col("_f_r1"), F.col("_f_r2"), F.col("_f_k")
-    n = r1 + r2
-    obs = (lf(r1) + lf(r2) + lf(k) + lf(n - k) - lf(n)
-           - lf(A) - lf(r1 - A) - lf(k - A) - lf(r2 - k + A))
-    x = x.withColumn("_f_thr", obs + math.log1p(REL_TOL))
-    x = with_hyper_tail(x, "_f_r1", "_f_r2", "_f_k", "_f_thr", "_f_mass")
-    p = F.when(n == 0, F.lit(None).cast("double")).otherwise(F.col("_f_mass"))
-    return x.withColumn(out, p).drop("_f_r1", "_f_r2", "_f_k", "_f_thr", "_f_mass")
+    from matingstats.functions.special import log_factorial_sql as lf
+    x = df.withColumns({"_f_a": F.col(a).cast("bigint"), "_f_r1": (F.col(a) + F.col(b)).cast("bigint"),
+                        "_f_r2": (F.col(c) + F.col(d)).cast("bigint"), "_f_k": (F.col(a) + F.col(c)).cast("bigint")})
+    r1, r2, k, a_ = "_f_r1", "_f_r2", "_f_k", "_f_a"
+    n = f"({r1} + {r2})"
+    obs = (f"{lf(r1)} + {lf(r2)} + {lf(k)} + {lf(f'{n} - {k}')} - {lf(n)} - {lf(a_)} - {lf(f'{r1} - {a_}')}"
+           f" - {lf(f'{k} - {a_}')} - {lf(f'{r2} - {k} + {a_}')}")
+    x = x.withColumn("_f_thr", F.expr(f"({obs}) + {math.log1p(REL_TOL)!r}"))
+    x = with_hyper_tail(x, r1, r2, k, "_f_thr", "_f_mass")
+    p = F.when(F.col(r1) + F.col(r2) == 0, F.lit(None).cast("double")).otherwise(F.col("_f_mass"))
+    return x.withColumn(out, p).drop("_f_a", "_f_r1", "_f_r2", "_f_k", "_f_thr", "_f_mass")
 
 
 def with_hyper_tail(df: DataFrame, r1: str, r2: str, k: str, thr: str, out: str) -> DataFrame:
@@ -91,72 +91,64 @@ def with_hyper_tail(df: DataFrame, r1: str, r2: str, k: str, thr: str, out: str)
     below e^-800 of the first, so the sum is exact in double precision while
     the work grows with sqrt(n), not n. Row constants are computed once as
     columns before the ``aggregate`` loops (lambdas are evaluated without
-    codegen, so nothing heavy stays inside them).
+    codegen, so nothing heavy stays inside them). The expressions are written
+    as SQL text: one parse per stage instead of thousands of small calls.
     """
-    from matingstats.functions.special import log_factorial as lf
+    from matingstats.functions.special import log_factorial_sql as lf
     tmp = ["_h_r1", "_h_r2", "_h_k", "_h_n", "_h_lo", "_h_hi", "_h_mode", "_h_const", "_h_thr", "_h_span",
            "_h_pts", "_h_bis", "_h_pLR", "_h_L", "_h_R", "_h_inL", "_h_inR", "_h_atmode"]
+    E = F.expr
     x1 = df.withColumns({"_h_r1": F.col(r1).cast("bigint"), "_h_r2": F.col(r2).cast("bigint"),
                          "_h_k": F.col(k).cast("bigint"), "_h_thr": F.col(thr).cast("double")})
-    x1 = x1.withColumn("_h_n", F.col("_h_r1") + F.col("_h_r2"))
-    r1_, r2_, k_, n, thr_ = (F.col(c) for c in ("_h_r1", "_h_r2", "_h_k", "_h_n", "_h_thr"))
-    nd = n.cast("double")
-    var = (k_.cast("double") * F.try_divide(r1_, nd) * F.try_divide(r2_, nd)
-           * ((n - k_) / F.greatest(nd - 1.0, F.lit(1.0))))
+    x1 = x1.withColumn("_h_n", E("_h_r1 + _h_r2"))
+    var = ("(CAST(_h_k AS DOUBLE) * try_divide(_h_r1, CAST(_h_n AS DOUBLE)) * try_divide(_h_r2, CAST(_h_n AS DOUBLE))"
+           " * ((_h_n - _h_k) / greatest(CAST(_h_n AS DOUBLE) - 1.0, 1.0)))")
     x1 = x1.withColumns({
-        "_h_lo": F.greatest(F.lit(0).cast("bigint"), k_ - r2_),
-        "_h_hi": F.least(r1_, k_),
-        "_h_const": lf(r1_) + lf(r2_) + lf(k_) + lf(n - k_) - lf(n),
-        "_h_span": (F.lit(50.0) + 40.0 * F.sqrt(F.greatest(F.coalesce(var, F.lit(0.0)), F.lit(0.0)))).cast("bigint"),
+        "_h_lo": E("greatest(CAST(0 AS BIGINT), _h_k - _h_r2)"),
+        "_h_hi": E("least(_h_r1, _h_k)"),
+        "_h_const": E(f"{lf('_h_r1')} + {lf('_h_r2')} + {lf('_h_k')} + {lf('_h_n - _h_k')} - {lf('_h_n')}"),
+        "_h_span": E(f"CAST(50.0 + 40.0 * sqrt(greatest(coalesce({var}, 0.0), 0.0)) AS BIGINT)"),
     })
-    lo, hi, const, span = F.col("_h_lo"), F.col("_h_hi"), F.col("_h_const"), F.col("_h_span")
 
-    def logp(x):
-        return const - lf(x) - lf(r1_ - x) - lf(k_ - x) - lf(r2_ - k_ + x)
+    def logp(v: str) -> str:
+        return f"(_h_const - {lf(v)} - {lf(f'_h_r1 - {v}')} - {lf(f'_h_k - {v}')} - {lf(f'_h_r2 - _h_k + {v}')})"
 
-    x1 = x1.withColumn(
-        "_h_mode", F.least(hi, F.greatest(lo, F.floor((k_ + 1).cast("double") * (r1_ + 1) / (n + 2)).cast("bigint"))))
-    mode = F.col("_h_mode")
+    x1 = x1.withColumn("_h_mode", E("least(_h_hi, greatest(_h_lo, CAST(floor(CAST(_h_k + 1 AS DOUBLE) * (_h_r1 + 1)"
+                                    " / (_h_n + 2)) AS BIGINT)))"))
     # one ln P expansion serves several points: [lo, hi, mode]
-    x1 = x1.withColumn("_h_pts", F.transform(F.array(lo, hi, mode), logp))
-    pts = F.col("_h_pts")
-    x1 = x1.withColumns({"_h_inL": pts[0] <= thr_, "_h_inR": pts[1] <= thr_, "_h_atmode": pts[2] <= thr_})
+    x1 = x1.withColumn("_h_pts", E(f"transform(array(_h_lo, _h_hi, _h_mode), v -> {logp('v')})"))
+    x1 = x1.withColumns({"_h_inL": E("_h_pts[0] <= _h_thr"), "_h_inR": E("_h_pts[1] <= _h_thr"),
+                         "_h_atmode": E("_h_pts[2] <= _h_thr")})
 
     # both bisections in one loop: left keeps ln P(uL) <= thr < ln P(vL) on the
-    # rising side [lo, mode]; right keeps ln P(uR) > thr >= ln P(vR) on [mode, hi]
-    def step(st, _i):
-        mids = F.array(F.floor((st["uL"] + st["vL"]) / 2).cast("bigint"),
-                       F.floor((st["uR"] + st["vR"]) / 2).cast("bigint"))
-        ok = F.transform(mids, lambda m: logp(m) <= thr_)
-        mL, mR = mids[0], mids[1]
-        return F.struct(F.when(ok[0], mL).otherwise(st["uL"]).alias("uL"),
-                        F.when(ok[0], st["vL"]).otherwise(mL).alias("vL"),
-                        F.when(ok[1], st["uR"]).otherwise(mR).alias("uR"),
-                        F.when(ok[1], mR).otherwise(st["vR"]).alias("vR"))
-
-    steps = F.least(F.lit(64), (F.ceil(F.log2((hi - lo + 2).cast("double"))) + 1).cast("int"))
-    init = F.struct(lo.alias("uL"), mode.alias("vL"), mode.alias("uR"), hi.alias("vR"))
-    x2 = x1.withColumn("_h_bis", F.aggregate(F.sequence(F.lit(1), steps), init, step))
-    x2 = x2.withColumns({"_h_L": F.col("_h_bis")["uL"], "_h_R": F.col("_h_bis")["vR"]})
-    L, R = F.col("_h_L"), F.col("_h_R")
-    x2 = x2.withColumn("_h_pLR", F.transform(F.array(L, R), lambda x: F.exp(logp(x))))
-
-    def tail(start, first_p, stop, step_sign: int):
+    # rising side [lo, mode]; right keeps ln P(uR) > thr >= ln P(vR) on [mode, hi].
+    # transform over a one-element array binds the midpoints and their tests once.
+    step = (
+        "element_at(transform(array(named_struct("
+        "'mL', CAST(floor((st.uL + st.vL) / 2) AS BIGINT), 'mR', CAST(floor((st.uR + st.vR) / 2) AS BIGINT))),"
+        f" m -> element_at(transform(array(named_struct('mL', m.mL, 'mR', m.mR,"
+        f" 'okL', {logp('m.mL')} <= _h_thr, 'okR', {logp('m.mR')} <= _h_thr)),"
+        " q -> named_struct('uL', IF(q.okL, q.mL, st.uL), 'vL', IF(q.okL, st.vL, q.mL),"
+        " 'uR', IF(q.okR, st.uR, q.mR), 'vR', IF(q.okR, q.mR, st.vR))), 1)), 1)")
+    steps = "least(64, CAST(ceil(log2(CAST(_h_hi - _h_lo + 2 AS DOUBLE))) + 1 AS INT))"
+    init = "named_struct('uL', _h_lo, 'vL', _h_mode, 'uR', _h_mode, 'vR', _h_hi)"
+    x2 = x1.withColumn("_h_bis", E(f"aggregate(sequence(1, {steps}), {init}, (st, i) -> {step})"))
+    x2 = x2.withColumns({"_h_L": E("_h_bis.uL"), "_h_R": E("_h_bis.vR")})
+    x2 = x2.withColumn("_h_pLR", E(f"transform(array(_h_L, _h_R), v -> exp({logp('v')}))"))
+
+    left_ratio = ("CAST(v * (_h_r2 - _h_k + v) AS DOUBLE) / CAST((_h_r1 - v + 1) * (_h_k - v + 1) AS DOUBLE)")
+    right_ratio = ("CAST((_h_r1 - v) * (_h_k - v) AS DOUBLE) / CAST((v + 1) * (_h_r2 - _h_k + v + 1) AS DOUBLE)")
+
+    def tail(start: str, first_p: str, stop: str, sign: int, ratio: str) -> str:
         # sum P(x) for x = start, start +/- 1, ..., stop using the pmf ratio
-        if step_sign < 0:
-            ratio = lambda x: (x * (r2_ - k_ + x)).cast("double") / ((r1_ - x + 1) * (k_ - x + 1)).cast("double")
-        else:
-            ratio = lambda x: ((r1_ - x) * (k_ - x)).cast("double") / ((x + 1) * (r2_ - k_ + x + 1)).cast("double")
-        init = F.struct(first_p.alias("t"), F.lit(0.0).alias("s"))
-        res = F.aggregate(F.sequence(start, stop, F.lit(step_sign).cast("bigint")), init,
-                          lambda st, x: F.struct((st["t"] * ratio(x)).alias("t"), (st["s"] + st["t"]).alias("s")))
-        return res["s"]
-
-    left = F.when(F.col("_h_inL"), tail(L, F.col("_h_pLR")[0], F.greatest(lo, L - span), -1)).otherwise(0.0)
-    right = F.when(F.col("_h_inR"), tail(R, F.col("_h_pLR")[1], F.least(hi, R + span), 1)).otherwise(0.0)
+        return (f"aggregate(sequence({start}, {stop}, CAST({sign} AS BIGINT)), named_struct('t', {first_p}, 's', 0.0D),"
+                f" (acc, v) -> named_struct('t', acc.t * ({ratio}), 's', acc.s + acc.t)).s")
+
+    left = f"IF(_h_inL, {tail('_h_L', '_h_pLR[0]', 'greatest(_h_lo, _h_L - _h_span)', -1, left_ratio)}, 0.0D)"
+    right = f"IF(_h_inR, {tail('_h_R', '_h_pLR[1]', 'least(_h_hi, _h_R + _h_span)', 1, right_ratio)}, 0.0D)"
     # the mode is the most probable point: at or below the threshold means every point is
-    total = F.when(F.col("_h_atmode"), F.lit(1.0)).otherwise(left + right)
-    return x2.withColumn(out, F.least(F.lit(1.0), total)).drop(*tmp)
+    total = f"IF(_h_atmode, 1.0D, {left} + {right})"
+    return x2.withColumn(out, E(f"least(1.0D, {total})")).drop(*tmp)
 
 
 # ---------------------------------------------------------------- r x 2 exact
@@ -243,30 +235,30 @@ def _fisher_rx3(packed: DataFrame, g: list) -> DataFrame:
     window (40 sd + 50 around the mode); the window's points are exploded and
     spread over tasks, so the work is distributed and grows about linearly in n.
     """
-    from matingstats.functions.special import log_choose as lc
+    from matingstats.functions.special import log_factorial_sql as lf
+
+    def lc(nn: str, kk: str) -> str:
+        return f"({lf(nn)} - {lf(kk)} - {lf(f'({nn}) - ({kk})')})"
+
+    E = F.expr
     x = packed.select(*g, "n_rows",
                       *[F.coalesce(F.get(F.col("_rows"), i)[f], F.lit(0).cast("bigint")).alias(f"_{f}{i + 1}")
                         for i in range(3) for f in ("r", "x")])
-    r1, r2, r3 = F.col("_r1"), F.col("_r2"), F.col("_r3")
-    k = F.col("_x1") + F.col("_x2") + F.col("_x3")
-    x = x.withColumns({"_k": k, "_n": r1 + r2 + r3, "_r23": r2 + r3})
-    k, n, r23 = F.col("_k"), F.col("_n"), F.col("_r23")
-    obs = (lc(r1, F.col("_x1")) + lc(r2, F.col("_x2")) + lc(r3, F.col("_x3")) - lc(n, k))
-    nd = n.cast("double")
-    sd = F.sqrt(F.greatest(F.coalesce(k.cast("double") * F.try_divide(r1, nd) * F.try_divide(r23, nd)
-                                      * ((n - k) / F.greatest(nd - 1.0, F.lit(1.0))), F.lit(0.0)), F.lit(0.0)))
-    lo = F.greatest(F.lit(0).cast("bigint"), k - r23)
-    hi = F.least(r1, k)
-    mode = F.least(hi, F.greatest(lo, F.floor((k + 1).cast("double") * (r1 + 1) / (n + 2)).cast("bigint")))
-    span = (F.lit(50.0) + 40.0 * sd).cast("bigint")
-    x = x.withColumns({"_thr": obs + math.log1p(REL_TOL),
-                       "_wlo": F.greatest(lo, mode - span), "_whi": F.least(hi, mode + span)})
+    x = x.withColumns({"_k": E("_x1 + _x2 + _x3"), "_n": E("_r1 + _r2 + _r3"), "_r23": E("_r2 + _r3")})
+    obs = f"{lc('_r1', '_x1')} + {lc('_r2', '_x2')} + {lc('_r3', '_x3')} - {lc('_n', '_k')}"
+    sd = ("sqrt(greatest(coalesce(CAST(_k AS DOUBLE) * try_divide(_r1, CAST(_n AS DOUBLE))"
+          " * try_divide(_r23, CAST(_n AS DOUBLE)) * ((_n - _k) / greatest(CAST(_n AS DOUBLE) - 1.0, 1.0)), 0.0), 0.0))")
+    lo = "greatest(CAST(0 AS BIGINT), _k - _r23)"
+    hi = "least(_r1, _k)"
+    mode = f"least({hi}, greatest({lo}, CAST(floor(CAST(_k + 1 AS DOUBLE) * (_r1 + 1) / (_n + 2)) AS BIGINT)))"
+    span = f"CAST(50.0 + 40.0 * {sd} AS BIGINT)"
+    x = x.withColumns({"_thr": E(f"({obs}) + {math.log1p(REL_TOL)!r}"),
+                       "_wlo": E(f"greatest({lo}, {mode} - {span})"), "_whi": E(f"least({hi}, {mode} + {span})")})
     e = x.select(*g, "n_rows", "_r1", "_r2", "_r3", "_r23", "_k", "_n", "_thr",
                  F.explode(F.sequence(F.col("_wlo"), F.col("_whi"))).alias("_y1"))
     e = e.repartition(*[F.col(c) for c in g], F.col("_y1"))
-    lp1 = lc(F.col("_r1"), F.col("_y1")) + lc(F.col("_r23"), F.col("_k") - F.col("_y1")) - lc(F.col("_n"), F.col("_k"))
-    e = e.withColumn("_lp1", lp1)
-    e = e.withColumns({"_m": F.col("_k") - F.col("_y1"), "_t2": F.col("_thr") - F.col("_lp1")})
+    e = e.withColumn("_lp1", E(f"{lc('_r1', '_y1')} + {lc('_r23', '_k - _y1')} - {lc('_n', '_k')}"))
+    e = e.withColumns({"_m": E("_k - _y1"), "_t2": E("_thr - _lp1")})
     e = with_hyper_tail(e, "_r2", "_r3", "_m", "_t2", "_inner")
     res = e.groupBy(*g).agg(F.first("n_rows").alias("n_rows"),
                             F.sum(F.exp(F.col("_lp1")) * F.col("_inner")).alias("_p"))
