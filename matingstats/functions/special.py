@@ -130,3 +130,42 @@ def safe_div(a, b) -> Column:
             .when(a == 0.0, F.lit(float("nan")))
             .when(a > 0.0, F.lit(float("inf")))
             .otherwise(F.lit(float("-inf"))))
+
+
+# ---------------------------------------------------------------- SQL-text forms
+# The same formulas as SQL text over SQL expressions (column names), for
+# operators that build them per query: one parse instead of one call per node.
+
+def lgamma_sql(a: str) -> str:
+    z = f"(CAST({a} AS DOUBLE) + {float(_SHIFT)!r})"
+    stirling = (f"(({z} - 0.5) * ln({z}) - {z} + {_HALF_LOG_2PI!r} + 1.0 / (12.0 * {z}) "
+                f"- 1.0 / (360.0 * {z} * {z} * {z}) + 1.0 / (1260.0 * {z} * {z} * {z} * {z} * {z}) "
+                f"- 1.0 / (1680.0 * {z} * {z} * {z} * {z} * {z} * {z} * {z}))")
+    logs = " + ".join(f"ln(CAST({a} AS DOUBLE) + {float(k)!r})" for k in range(_SHIFT))
+    return f"({stirling} - ({logs}))"
+
+
+def gamma_q_sql(a: str, x: str) -> str:
+    """Regularised upper incomplete gamma Q(a, x) as SQL text (see ``gamma_q``)."""
+    a, x = f"CAST({a} AS DOUBLE)", f"CAST({x} AS DOUBLE)"
+    front = f"exp(-{x} + {a} * ln({x}) - {lgamma_sql(a)})"
+    series = (f"aggregate(sequence(1, CAST(100.0 + 20.0 * sqrt({a} + {x}) AS INT)), "
+              f"named_struct('t', 1.0D / {a}, 's', 1.0D / {a}), "
+              f"(gq_acc, gq_n) -> named_struct('t', gq_acc.t * {x} / ({a} + gq_n), "
+              f"'s', gq_acc.s + gq_acc.t * {x} / ({a} + gq_n)), gq_acc -> gq_acc.s)")
+    depth = f"CAST(120.0 + 20.0 * sqrt({a}) AS INT)"
+    cf = (f"aggregate(sequence({depth}, 1, -1), {x} + 2.0 * {depth} + 1.0 - {a}, "
+          f"(gq_t, gq_i) -> {x} + 2.0 * (gq_i - 1) + 1.0 - {a} + (-(gq_i * (gq_i - {a}))) / gq_t)")
+    return (f"(CASE WHEN {a} IS NULL OR {x} IS NULL THEN CAST(NULL AS DOUBLE) "
+            f"WHEN isnan({x}) OR isnan({a}) THEN CAST('NaN' AS DOUBLE) "
+            f"WHEN {x} <= 0.0 THEN 1.0D "
+            f"WHEN {x} < {a} + 1.0 THEN greatest(0.0D, 1.0D - {series} * {front}) "
+            f"ELSE {front} / {cf} END)")
+
+
+def chisq_sf_sql(stat: str, df: str) -> str:
+    return gamma_q_sql(f"(CAST({df} AS DOUBLE) / 2.0)", f"(CAST({stat} AS DOUBLE) / 2.0)")
+
+
+def norm_two_sided_sql(z: str) -> str:
+    return gamma_q_sql("0.5D", f"(CAST({z} AS DOUBLE) * CAST({z} AS DOUBLE) / 2.0)")

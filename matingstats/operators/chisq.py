@@ -16,7 +16,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matingstats.functions.special import chisq_sf, safe_div
+from matingstats.functions.special import chisq_sf_sql, safe_div
 
 
 def _with_expected(cells: DataFrame, groups: Sequence[str], row: str, col: str, n: str) -> DataFrame:
@@ -47,7 +47,7 @@ def chisq_test(cells: DataFrame, row: str, col: str, n: str = "n",
         F.first("_nr").alias("n_rows"), F.first("_nc").alias("n_cols"))
     out = out.withColumn("df", ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("int"))
     return out.select(*groups, "statistic", "df",
-                      chisq_sf(F.col("statistic"), F.col("df")).alias("p_value"),
+                      F.expr(chisq_sf_sql("statistic", "df")).alias("p_value"),
                       F.col("n_rows").cast("int").alias("n_rows"),
                       F.col("n_cols").cast("int").alias("n_cols"))
 

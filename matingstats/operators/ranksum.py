@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matingstats.functions.special import norm_two_sided, safe_div
+from matingstats.functions.special import norm_two_sided_sql, safe_div
 from matingstats.functions.text import significance_yes_no
 
 
@@ -46,6 +46,6 @@ def rank_sum_test(df: DataFrame, group: str, level: str, value: str,
     st = agg.select(group, tested.alias("_tested"), w.alias("_w"), z.alias("_z"))
     out = st.select(
         group,
-        F.when(F.col("_tested"), norm_two_sided(F.col("_z"))).alias("p_value"),
+        F.when(F.col("_tested"), F.expr(norm_two_sided_sql("_z"))).alias("p_value"),
         F.when(F.col("_tested"), F.col("_w")).alias("W"))
     return out.withColumn("Significant", significance_yes_no("p_value", alpha))
