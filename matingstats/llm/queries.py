@@ -5,10 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matingstats.llm import chat_events, decontaminate, host_reputation, secret_scan, simhash_vp, stream_dedup
+from matingstats.llm import (bpe_matrix, chat_events, decontaminate, host_reputation, secret_scan, simhash_vp, stream_dedup,
+                             suffix_dedup, token_store, toxicity)
+from matingstats.llm.common import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that occur twice."""
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.expr("coalesce(aggregate(spans, 0L, (a, x) -> a + x.e - x.s), 0L)")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out; with the sentences that offend."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                        (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
@@ -63,6 +83,26 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.decisions(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are read back from the token files."""
+    path = new_folder(spark, "tokens")
+    token_store.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_tokens(spark, path)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the bytes that they decode to."""
+    return bpe_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``docs`` (doc_id, text)."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    back = bpe_matrix.decode(bpe_matrix.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on page URLs; a labelled page is bad when the label of its id says quality 0."""
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
@@ -72,10 +112,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_store": op8_token_store,
+    "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -118,3 +118,32 @@ def op10(pages):
         fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
         best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
         yield i, host, path, best and best[1] + best[2], best and best[0]
+
+
+def op8(docs):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    start = 0
+    for d, text in sorted(docs):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        yield d, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        start += len(ids)
+
+
+def op9(docs):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for d, text in docs:
+        ids = e.encode_ordinary(text or "")
+        yield d, len(ids), sha(" ".join(map(str, ids))), sha(e.decode_bytes(ids))
