@@ -85,6 +85,15 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with further columns that are computed once a row.
+
+    Catalyst copies a column's expression to where it is used, also into filters and into lambda functions, which run
+    for each element. What a generator puts out stays a column.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def sql_string(s: str) -> str:
     """A SQL literal that Spark reads back as ``s``."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"

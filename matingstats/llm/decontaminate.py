@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.llm.common import ROW, ascii_lower, sql_string, with_row_key
+from matingstats.llm.common import ROW, ascii_lower, once, sql_string, with_row_key
 
 WINDOW = 13
 #: Windows that may be shipped as a literal set (about 100 bytes each, with their words).
@@ -63,9 +63,10 @@ def _by_set(docs: DataFrame, windows: list) -> DataFrame:
         # a shorter item is rare: its first word is looked up before the window is hashed
         found.append(_positions(length, f"h[i] IN ({listed({w['head'] for w in own})}) AND {test}"))
     keys = ", ".join(sorted({sql_string(w["key"]) for w in windows}))
-    docs = docs.withColumn("hits", F.expr(f"concat({', '.join(found)})") if found else F.expr("CAST(array() AS array<struct<pos:int,len:int>>)"))
-    docs = docs.withColumn("hits", F.expr("transform(hits, c -> named_struct('pos', c.pos, 'len', c.len, 'key', array_join(slice(words, c.pos + 1, c.len), ' ')))"))
-    return docs.withColumn("hits", F.expr(f"filter(hits, c -> c.key IN ({keys}))")) if windows else docs
+    none = "CAST(array() AS array<struct<pos:int,len:int>>)"
+    named = (f"transform(concat({', '.join(found) or none}), c -> "
+             "named_struct('pos', c.pos, 'len', c.len, 'key', array_join(slice(words, c.pos + 1, c.len), ' ')))")
+    return once(docs, hits=F.expr(f"filter({named}, c -> c.key IN ({keys}))" if windows else named))
 
 
 def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -77,25 +78,25 @@ def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
     found = (seen.join(wanted, ["hash", "len"])
              .groupBy(F.col(ROW).alias("of")).agg(F.collect_list(F.struct("pos", "len", "key")).alias("found")))
     docs = docs.join(found, docs[ROW] == found["of"], "left").drop("of")
-    return docs.withColumn("hits", F.expr("""filter(coalesce(found, array()),
+    return once(docs, hits=F.expr("""filter(coalesce(found, array()),
         c -> array_join(slice(words, c.pos + 1, c.len), ' ') = c.key)""")).drop("found")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set: int = MAX_SET, text_col: str = "text") -> DataFrame:
     """``docs`` (with a key ``ROW``) and n_words, n_hit and hits (pos, len, key), sorted and verified."""
     windows = benchmark_windows(benchmark, n)
-    docs = docs.withColumn("words", words(F.col(text_col)))
-    docs = docs.withColumn("h", F.expr("transform(words, x -> xxhash64(x))"))
+    docs = once(docs, words=words(F.col(text_col)))
+    docs = once(docs, h=F.expr("transform(words, x -> xxhash64(x))"))
     distinct = windows.select("key", "len", "hash", "head").distinct()
     if distinct.limit(max_set + 1).count() <= max_set:
         docs = _by_set(docs, distinct.collect())
     else:
         docs = _by_join(docs, windows)
-    covered = """aggregate(hits, named_struct('end', 0, 'n', 0L), (a, c) -> named_struct(
+    covered = """aggregate(array_sort(hits), named_struct('end', 0, 'n', 0L), (a, c) -> named_struct(
         'end', greatest(a.end, c.pos + c.len),
         'n', a.n + greatest(0, c.pos + c.len - greatest(a.end, c.pos))), a -> a.n)"""
-    return (docs.withColumn("hits", F.array_sort("hits")).withColumn("n_words", F.size("words").cast("long"))
-            .withColumn("n_hit", F.expr(covered)).drop("words", "h"))
+    docs = once(docs, n_hit=F.expr(covered))
+    return docs.withColumn("n_words", F.size("words").cast("long")).withColumn("hits", F.array_sort("hits")).drop("words", "h")
 
 
 def is_contaminated() -> Column:

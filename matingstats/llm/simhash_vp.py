@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.llm.common import ROW, ascii_lower, by_value, maybe_broadcast, stored, with_row_key
+from matingstats.llm.common import ROW, ascii_lower, by_value, maybe_broadcast, once, stored, with_row_key
 
 by_value(__name__)
 
@@ -44,7 +44,7 @@ MAX_BITS = 4
 
 
 def shingle_hashes(text, n: int = SHINGLE):
-    """XXH64 (seed 42) of each run of ``n`` words, repeats included; of all words if fewer; none if no words."""
+    """Columns words and, from it, XXH64 (seed 42) of each run of ``n`` words, repeats included; of all words if fewer; none if no words."""
     words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     return words, F.expr(f"""CASE WHEN size(words) = 0 THEN array()
         WHEN size(words) < {n} THEN array(xxhash64(array_join(words, ' ')))
@@ -67,8 +67,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", n: int = SHINGLE) -> D
         return pd.Series([majority(x) for x in hashes], dtype="int64")
 
     words, hashes = shingle_hashes(F.col(text_col), n)
-    return (docs.withColumn("words", words).withColumn("h", hashes)
-            .withColumn("fp", voted("h")).drop("words", "h", text_col))
+    return once(docs, words=words).withColumn("fp", voted(hashes)).drop("words", text_col)
 
 
 def _distance(values: np.ndarray, point: int, mask: int) -> np.ndarray:
