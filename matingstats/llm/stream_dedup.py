@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from matingstats.llm.common import ROW, ascii_lower, maybe_broadcast, new_folder, small_enough, stored, with_row_key
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no space allocated ahead for each of many small stores.
+_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+          "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def _normal(text_col: str):
@@ -40,8 +41,9 @@ def digest_state(log: DataFrame, checkpoint: str) -> DataFrame:
     """
     spark = log.sparkSession
     groups = log.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", ROW, "file")).alias("keep"))
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (groups.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
                  .option("checkpointLocation", checkpoint).start())
@@ -51,7 +53,8 @@ def digest_state(log: DataFrame, checkpoint: str) -> DataFrame:
         return stored(state.select(F.col("key.digest").alias("digest"), F.col("value")[kept[0]].alias("n"),
                                    F.col("value")[kept[1]].alias("keep")), "state")
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _row_decisions(keyed: DataFrame, id_col: str, text_col: str, digest_chars: int, batch_bytes: int, max_broadcast: int) -> DataFrame:
