@@ -46,10 +46,10 @@ def unescape(text: Column) -> Column:
 
 def events_from_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """A table with a row per turn as a log: each row is one whole message."""
-    order = Window.partitionBy(conv_col).orderBy(F.col(turn_col).asc_nulls_first(), "role", "text")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     n = F.row_number().over(order).cast("long")
-    return turns.select(F.col(conv_col).alias("conv_id"), n.alias("seq"), n.alias("message"),
-                        F.lit("message").alias("kind"), F.col("role"), F.col("text"))
+    return turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), "role", "text") \
+        .select("conv_id", n.alias("seq"), n.alias("message"), F.lit("message").alias("kind"), "role", "text")
 
 
 def reconstruct(log: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def reconstruct(log: DataFrame) -> DataFrame:
     start = F.expr("array_max(transform(events, (e, i) -> IF(e.kind = 'delta', 0, i)))")
     return (live.withColumn("start", start).withColumn("tail", F.expr("slice(events, start + 1, size(events))"))
             .select("conv_id", "message",
-                    F.expr("coalesce(filter(events, e -> e.role != '')[0].role, '')").alias("role"),
+                    F.expr("coalesce(get(filter(events, e -> e.role != ''), 0).role, '')").alias("role"),
                     F.expr("array_join(transform(tail, e -> e.text), '')").alias("text")))
 
 
