@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of the documents that are here and not held out; rejects toxic documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    scored = toxicity.score(docs.withColumn("__text", F.col("text")), model, text_col="__text")
-    return scored.where(F.col("score") < TOXIC).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")  # a column of documents may be called like a result
+    return toxicity.score(docs.select(whole, "text"), model).where(F.col("score") < TOXIC).select("document.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,133 @@
-"""DuckDB SQL of the queries ``opN_<name>`` that SQL can express."""
+"""DuckDB SQL of the queries ``opN_<name>`` that SQL can express.
+
+Left out: op3 (a learnt model), op5 (XXH64 and components), op8 and op9 (merges of a tokenizer); these
+are tested against brute force, a round trip and held-out labels.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from matingstats.llm import secret_scan
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _lower(text: str) -> str:
+    return f"translate({text}, '{_UPPER}', '{_LOWER}')"
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all({_lower(f'coalesce({text}, {chr(39) * 2})')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+_OP1 = f"""
+WITH b AS (SELECT item_id, {_words('text')} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, len(part) AS n, array_to_string(part, ' ') AS key
+       FROM (SELECT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 13 THEN [w]
+             ELSE list_transform(range(len(w) - 12), lambda i: w[i + 1:i + 13]) END) AS part FROM b)),
+sizes AS (SELECT DISTINCT n FROM bw),
+d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+win AS (SELECT doc_id, n, unnest(range(greatest(len(w) - n + 1, 0))) AS p, w FROM d, sizes),
+dw AS (SELECT doc_id, n, p, array_to_string(w[p + 1:p + n], ' ') AS key FROM win),
+hit AS (SELECT doc_id, p, n, item_id FROM dw JOIN bw USING (n, key)),
+pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+_OP2 = """
+WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(b) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(array_slice(b, p + 1, p + 200)) AS k FROM (SELECT doc_id, b, unnest(range(greatest(n - 199, 0))) AS p FROM n)),
+often AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, p FROM w SEMI JOIN often USING (k)),
+g AS (SELECT doc_id, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS run
+      FROM (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 200, true) AS fresh FROM r)),
+s AS (SELECT doc_id, run, min(p) AS s, max(p) + 200 AS e FROM g GROUP BY ALL),
+gaps AS (SELECT doc_id, s AS upto, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS begin FROM s
+         UNION ALL SELECT doc_id, n AS upto, coalesce((SELECT max(e) FROM s WHERE s.doc_id = n.doc_id), 0) AS begin FROM n),
+kept AS (SELECT doc_id, string_agg(hex(array_slice(b, begin + 1, upto)), '' ORDER BY begin) AS k FROM gaps JOIN n USING (doc_id) GROUP BY 1),
+sums AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM s GROUP BY 1)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM n JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)"""
+
+
+def _op4() -> str:
+    rules = secret_scan.RULES
+    each = []
+    for k, r in enumerate(rules):
+        p = r.pattern.replace("'", "''")
+        each.append(f"""SELECT doc_id, {k} AS rule, '{r.kind}' AS kind, {str(r.base).lower()} AS base, len(m) AS n, len(g) AS gn,
+            sum(len(b) + len(m)) OVER (PARTITION BY doc_id ORDER BY i) AS "end"
+            FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(regexp_extract_all(t, '{p}', {r.group})) AS g,
+                         unnest(list_slice(string_split_regex(t, '{p}'), 1, len(regexp_extract_all(t, '{p}')))) AS b,
+                         unnest(range(len(regexp_extract_all(t, '{p}')))) AS i FROM d WHERE regexp_matches(t, '{p}'))
+            QUALIFY len(g) >= {r.least}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    own = "concat(kind, ':', \"end\" - n, ':', \"end\")"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({' UNION ALL '.join(each)}),
+a AS (SELECT doc_id, {counts}, string_agg({own}, ',' ORDER BY "end" - n, rule) AS spans,
+             string_agg({own}, ',' ORDER BY "end" - n, rule) FILTER (base) AS based FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)"""
+
+
+def _escaped(text: str) -> str:
+    return rf"regexp_replace({text}, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g')"
+
+
+_OP6 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+             sum(20 + length({_escaped('role')}) + length({_escaped('text')})) AS n FROM t GROUP BY 1)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(n AS BIGINT) AS formatted_chars FROM a"""
+
+_OP7 = f"""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {_lower("coalesce(text, '')")} AS t FROM documents) WINDOW g AS (PARTITION BY t)"""
+
+
+def _shrunk(level: str, prior: str) -> str:
+    """The posterior of a level (columns n, bad) around the column ``prior`` of a joined parent."""
+    return f"""(SELECT *, s * m + bad AS a, s * (1 - m) + n - bad AS b FROM (SELECT *, least(greatest({prior}, 1e-6), 1 - 1e-6) AS m FROM {level}),
+        (SELECT CASE WHEN over IS NULL OR base <= 0 OR over <= 0 THEN 50.0 ELSE least(50.0, greatest(1.0, base / over - 1)) END AS s FROM
+          (SELECT sum(n * (pow(bad / n - m, 2) - m * (1 - m) / n)) AS over, sum(n * m * (1 - m) * (1 - 1 / n)) AS base
+           FROM (SELECT *, least(greatest({prior}, 1e-6), 1 - 1e-6) AS m FROM {level}) WHERE n > 0)))"""
+
+
+_OP10 = rf"""
+WITH p AS (SELECT page_id, {_lower("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+l AS (SELECT doc_id AS page_id, max(CAST(1 - quality AS DOUBLE)) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+h AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
+             string_split(host, '.')[-1] AS suffix FROM p LEFT JOIN l USING (page_id) GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+x AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT coalesce((sum(bad) + 1) / (sum(n) + 2), 0.5) FROM d) AS whole FROM d GROUP BY 1),
+xm AS (SELECT suffix, a / (a + b) AS sm FROM {_shrunk('x', 'whole')}),
+dj AS (SELECT * FROM d JOIN xm USING (suffix)),
+dm AS (SELECT domain, a / (a + b) AS dm FROM {_shrunk('dj', 'sm')}),
+hj AS (SELECT * FROM h JOIN dm USING (domain)),
+hp AS (SELECT host, greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) AS low FROM {_shrunk('hj', 'dm')}),
+r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS r(v, rh, rp)),
+f AS (SELECT DISTINCT page_id, host, path, arg_max(rh || rp, len(rh || rp)) AS rule, arg_max(v, len(rh || rp)) AS v
+      FROM (SELECT DISTINCT page_id, host, path FROM p) JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN hp USING (host) LEFT JOIN f USING (page_id, host, path)"""
+
+SQL: dict[str, str] = {
+    "op1_decontaminate": _OP1,
+    "op2_suffix_dedup": _OP2,
+    "op4_secrets": _op4(),
+    "op6_chat": _OP6,
+    "op7_exact_dedup": _OP7,
+    "op10_url_filter": _OP10,
+}
 
 
 def oracle_sql() -> dict[str, str]:
