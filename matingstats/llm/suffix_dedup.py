@@ -9,15 +9,15 @@ without giving up any repeat:
    same content (64-bit BLAKE2b) repeat as a whole, without any further search. What remains are names whose segments differ:
    the edges of repeated passages and the surroundings of edits. One segment of each content is examined.
 3. The examined segments are dealt by name into shards of about ``shard_bytes``. In each shard their concatenation is suffix-sorted
-   up to ``least`` bytes and its Burrows-Wheeler transform searched breadth first: the intervals of strings of length 1, 2, 3, ... are
-   extended backwards by one byte, all at once; intervals of one suffix end there. Intervals alive at length l are
-   the suffixes with a common prefix of at least l, so at ``least`` the rest are the repeats, and the expansion
-   stops. No extension crosses the start of a segment.
+   up to ``least`` bytes and its Burrows-Wheeler transform, over words of ``WORD`` bytes, searched breadth first: all intervals of one
+   length are extended backwards by a word at once; intervals of one suffix end there. Intervals alive at length l are
+   the suffixes with a common prefix of at least l, for rising l, so at ``least`` the rest are the repeats, and the expansion
+   stops. No extension crosses the start of a segment. (Words, not bytes: 25 steps instead of 200, same intervals.)
 4. Names with more than ``hot_bytes`` of differing segments would make one shard too large; their windows are
    compared by a 128-bit hash, counted with pre-aggregation, over all tasks.
 
-Names and segments are counted and joined by Spark with pre-aggregation, a common passage included. Lists that are sent to every executor
-are counted first (``max_broadcast`` entries), else the join shuffles.
+Names and segments are counted and joined by Spark with pre-aggregation, a common passage included. The texts are joined by row key twice, to
+cut the examined segments and to remove the spans; both lists grow with the input and are not broadcast.
 
 Defined results: a null text counts as empty; strings shorter than ``least`` are never removed; a repeated row repeats
 all of its strings; an empty table gives an empty result; other columns are ignored.
@@ -33,13 +33,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.llm.common import ROW, by_value, maybe_broadcast, stored, with_row_key
+from matingstats.llm.common import ROW, by_value, stored, with_row_key
 
 by_value(__name__)
 
 LEAST = 200
-#: Bytes of the strings that name windows; a power of two, at most ``least``.
-GRAM = 32
+#: Bytes of the strings that name windows of 128 bytes and more; shorter windows have shorter ones.
+GRAM = 64
+#: Bytes by which intervals are extended at a time: the symbols of the transform are words.
+WORD = 8
 #: Windows of a segment at most; a longer run is cut.
 LONGEST = 4096
 
@@ -65,11 +67,12 @@ def _least_of(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[:n], h[width - have:width - have + n]) if have < width else h[:n]
 
 
-def segments(texts: list[bytes], least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def segments(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
     """(which text, start, windows, name, content, again) of the segments of all texts; texts have ``least`` bytes at least.
 
     ``again``: the string that names the segment occurs in it more than once.
     """
+    gram = min(GRAM, 1 << max(0, (least // 2).bit_length() - 1))
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     begins = ends - [len(t) for t in texts]
@@ -100,21 +103,21 @@ def segments(texts: list[bytes], least: int = LEAST, gram: int = GRAM) -> tuple[
     return of, start - begins[of], stop - start, name[start].view(np.int64), np.frombuffer(content, dtype=np.int64), times > 1
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``data`` sorted by the ``depth`` bytes (or more) that follow."""
+def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of ``data`` sorted by the ``depth`` bytes (or more) that follow, and the word of ``WORD`` bytes at each position."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    key = padded[:n].copy()
-    for k in range(1, 8):
-        key = key << np.uint64(8) | padded[k:n + k]
-    have = 8
+    padded = np.concatenate([data, np.zeros(WORD, dtype=np.uint8)]).astype(np.uint64)
+    words = padded[:n].copy()
+    for k in range(1, WORD):
+        words = words << np.uint64(8) | padded[k:n + k]
+    key, have = words, WORD
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
         if have >= depth or rank[order[-1]] == n - 1:
-            return order
+            return order, words
         after = np.zeros(n, dtype=np.int64)
         after[:max(n - have, 0)] = rank[have:] + 1
         key, have = rank * (n + 2) + after, 2 * have
@@ -126,50 +129,60 @@ def repeats(data: np.ndarray, is_first: np.ndarray, least: int) -> np.ndarray:
     Strings lie within the runs that begin where ``is_first`` is true.
     """
     n = len(data)
-    order = suffix_order(data, least)
-    place = np.empty(n, dtype=np.int32)
-    place[order] = np.arange(n, dtype=np.int32)
-    # the transform as a map: from a suffix to the one that starts a byte earlier, by their places in the order
-    back = np.where(is_first, -1, np.roll(place, 1)).astype(np.int32)[order]
-    byte = data[order]
-    at = np.arange(n, dtype=np.int32)
-    group = byte.astype(np.int32)
-    owner = np.full(n, -1, dtype=np.int32)
-    for length in range(1, least + 1):
-        if length > 1:  # extend each interval backwards
-            to = back[at]
-            ok = to >= 0
-            to, group = to[ok], group[ok]
-            owner[to] = group
-            at = np.flatnonzero(owner >= 0).astype(np.int32) if len(to) > n // 12 else np.sort(to)
-            group = owner[at]
-            owner[to] = -1
-        if not len(at):
-            break
-        edge = np.empty(len(at), dtype=bool)  # a new interval: another one before, or another byte
-        edge[0] = True
-        edge[1:] = (group[1:] != group[:-1]) | (byte[at[1:]] != byte[at[:-1]])
-        alone = edge & np.append(edge[1:], True)
-        group = np.cumsum(edge, dtype=np.int32)[~alone]
-        at = at[~alone]
-    return np.sort(order[at])
-
-
-def _cut_texts(rows: DataFrame, wanted: DataFrame, out: str, make, max_broadcast: int) -> DataFrame:
+    order, words = suffix_order(data, least)
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    starts = np.flatnonzero(is_first)
+    offset = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    room = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n)
+    # the transform as a map: from a suffix to the one that starts a word earlier, by their places in the order
+    back = np.full(n, -1, dtype=np.int64)
+    back[WORD:] = place[:-WORD] if n > WORD else -1
+    back[offset < WORD] = -1
+    back, words = back[order], words[order]
+    length = least % WORD or WORD
+    at = np.flatnonzero(room[order] >= length)  # suffixes that have a string of that length
+    group = np.zeros(len(at), dtype=np.int64)
+    symbol = words >> np.uint64(8 * (WORD - length))
+    owner = np.full(n, -1, dtype=np.int64)
+    while True:
+        edge = np.ones(len(at), dtype=bool)  # a new interval: another one before, or another symbol
+        own = symbol[at]
+        edge[1:] = (group[1:] != group[:-1]) | (own[1:] != own[:-1])
+        several = np.flatnonzero(~(edge & np.append(edge[1:], True)))
+        at, group = at[several], np.cumsum(edge)[several]
+        if length >= least or not len(at):
+            return np.sort(order[at])
+        to = back[at]  # extend each interval backwards
+        ok = np.flatnonzero(to >= 0)
+        to = to[ok]
+        owner[to] = group[ok]
+        at = np.flatnonzero(owner >= 0) if len(to) > n // 12 else np.sort(to)
+        group = owner[at]
+        owner[to] = -1
+        symbol, length = words, length + WORD
+
+
+def _cut_texts(rows: DataFrame, wanted: DataFrame, out: str, make) -> DataFrame:
     """Joins the lists ``wanted`` (ROW, row of the text; list) to the texts and maps (text bytes, list) by ``make``."""
     lists = wanted.groupBy(ROW).agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != ROW])).alias("list"))
-    if wanted.limit(max_broadcast + 1).count() <= max_broadcast:
-        lists = F.broadcast(lists)
+
+    names = [part.split()[0] for part in out.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            made = []
             for row, text, items in zip(pdf[ROW], pdf["text"], pdf["list"]):
-                yield make(row, text.encode(), items)
+                made += make(row, text.encode(), items)
+                if len(made) >= 50_000:
+                    yield pd.DataFrame(made, columns=names)
+                    made = []
+            yield pd.DataFrame(made, columns=names)
 
     return rows.join(lists, ROW).select(ROW, "text", "list").mapInPandas(run, out)
 
 
-def _examined(rows: DataFrame, chosen: DataFrame, least: int, shard_bytes: int, hot_bytes: int, max_broadcast: int) -> DataFrame:
+def _examined(rows: DataFrame, chosen: DataFrame, least: int, shard_bytes: int, hot_bytes: int) -> DataFrame:
     """(ROW, s, e): strings of the segments ``chosen`` (name, ROW, pos, windows, alone) that repeat, for those that are alone."""
     sizes = chosen.groupBy("name").agg(F.sum(F.col("windows") + least - 1).alias("bytes"))
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.coalesce(F.max("bytes"), F.lit(0)).alias("m")).first()
@@ -180,9 +193,8 @@ def _examined(rows: DataFrame, chosen: DataFrame, least: int, shard_bytes: int,
         large = sizes.where(F.col("bytes") > hot_bytes).select("name")  # each stands for hot_bytes: total / hot_bytes at most
         hot, cold = cold.join(F.broadcast(large), "name", "left_semi"), cold.join(F.broadcast(large), "name", "left_anti")
 
-    def slices(row: int, data: bytes, items) -> pd.DataFrame:
-        return pd.DataFrame([(x["shard"], row, x["pos"], x["alone"], data[x["pos"]:x["pos"] + x["windows"] + least - 1]) for x in items],
-                            columns=["shard", ROW, "pos", "alone", "data"])
+    def slices(row: int, data: bytes, items) -> list[tuple]:
+        return [(x["shard"], row, x["pos"], x["alone"], data[x["pos"]:x["pos"] + x["windows"] + least - 1]) for x in items]
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = pdf["data"].tolist()
@@ -201,21 +213,21 @@ def _examined(rows: DataFrame, chosen: DataFrame, least: int, shard_bytes: int,
         shift = pdf["pos"].to_numpy(dtype=np.int64)[of] - begins[of]
         return pd.DataFrame({ROW: pdf[ROW].to_numpy(dtype=np.int64)[of[a]], "s": found[a] + shift[a], "e": found[z] + shift[z] + least})
 
-    cut = _cut_texts(rows, cold.select(ROW, "shard", "pos", "windows", "alone"), f"shard long, {ROW} long, pos long, alone boolean, data binary", slices, max_broadcast)
+    cut = _cut_texts(rows, cold.select(ROW, "shard", "pos", "windows", "alone"), f"shard long, {ROW} long, pos long, alone boolean, data binary", slices)
     found = cut.groupBy("shard").applyInPandas(search, f"{ROW} long, s long, e long")
     if hot is None:
         return found
 
-    def windows(row: int, data: bytes, items) -> pd.DataFrame:
-        return pd.DataFrame([(hashlib.blake2b(data[p:p + least], digest_size=16).digest(), row, p, x["alone"])
-                             for x in items for p in range(x["pos"], x["pos"] + x["windows"])], columns=["window", ROW, "s", "alone"])
+    def windows(row: int, data: bytes, items) -> list[tuple]:
+        return [(hashlib.blake2b(data[p:p + least], digest_size=16).digest(), row, p, x["alone"])
+                for x in items for p in range(x["pos"], x["pos"] + x["windows"])]
 
-    each = stored(_cut_texts(rows, hot.select(ROW, "pos", "windows", "alone"), f"window binary, {ROW} long, s long, alone boolean", windows, max_broadcast), "windows")
+    each = stored(_cut_texts(rows, hot.select(ROW, "pos", "windows", "alone"), f"window binary, {ROW} long, s long, alone boolean", windows), "windows")
     often = each.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     return found.unionByName(each.where("alone").join(often, "window", "left_semi").select(ROW, "s", (F.col("s") + least).alias("e")))
 
 
-def repeated_spans(rows: DataFrame, least: int = LEAST, shard_bytes: int = 1 << 20, hot_bytes: int = 1 << 22, max_broadcast: int = 500_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, least: int = LEAST, shard_bytes: int = 1 << 18, hot_bytes: int = 1 << 22) -> DataFrame:
     """(ROW, spans): the byte ranges to remove, merged and in order, of each text of ``rows`` (ROW, text) that has any."""
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(keys, texts):
@@ -248,7 +260,7 @@ def repeated_spans(rows: DataFrame, least: int = LEAST, shard_bytes: int = 1 <<
     chosen = stored(contents.join(names, "name", "left_semi").select("name", "one.*", (F.col("n") == 1).alias("alone")), "chosen")
     whole = some.join(contents.where("n > 1").select("name", "content"), ["name", "content"], "left_semi") \
         .select(ROW, F.col("pos").alias("s"), (F.col("pos") + F.col("windows") + least - 1).alias("e"))
-    found = whole.unionByName(_examined(rows, chosen, least, shard_bytes, hot_bytes, max_broadcast))
+    found = whole.unionByName(_examined(rows, chosen, least, shard_bytes, hot_bytes))
 
     def merged(spans: pd.Series) -> pd.Series:
         out = []
@@ -263,12 +275,10 @@ def repeated_spans(rows: DataFrame, least: int = LEAST, shard_bytes: int = 1 <<
     return found.groupBy(ROW).agg(F.collect_list(F.struct("s", "e")).alias("spans")).select(ROW, merge("spans").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 500_000, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: its id, n_bytes, spans (removed byte ranges) and kept (the remaining bytes)."""
     rows = with_row_key(docs, id_col, text_col).select(ROW, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = stored(repeated_spans(rows.select(ROW, "text"), least, max_broadcast=max_broadcast, **how), "spans")
-    if spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()["n"] <= max_broadcast:
-        spans = F.broadcast(spans)
+    spans = stored(repeated_spans(rows.select(ROW, "text"), least, **how), "spans")
 
     @F.pandas_udf("binary")
     def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -73,7 +73,7 @@ def _op2(df, least, **how):
     return _rows(found.select("doc_id", "n_bytes", removed, F.coalesce(F.size("spans"), F.lit(0)), F.sha2("kept", 256)))
 
 
-@pytest.mark.parametrize("how", [{}, {"hot_bytes": 300}, {"shard_bytes": 1000, "max_broadcast": 0}])
+@pytest.mark.parametrize("how", [{}, {"hot_bytes": 300}, {"shard_bytes": 1000}])
 def test_suffix_dedup(spark, docs, how):
     assert _op2(_frame(spark, docs), 40, **how) == sorted(brute.op2(docs, 40), key=str)
 
