@@ -17,6 +17,7 @@ keys; an empty table gives empty files; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,53 +76,116 @@ class EliasFano:
 
 
 class LibraryEncoder:
-    """Ids of texts by the tokenizers library, which is called once for each chunk not met yet.
+    """Ids of texts by the tokenizers library, which is called once for each word not met yet.
 
-    A text is cut before each blank; the library's byte-level splitting makes the same cut as long as no
-    other white space is beside it. Texts with such places go to the library whole.
+    The library's byte-level splitting cuts before each blank, and around each line feed, that has no other white space
+    beside it, and between a letter or digit and the punctuation that ends a chunk. Texts are cut in the same places, and the ids of
+    the parts joined. Texts with other white space go to the library whole.
     """
 
     REMEMBER = 1_000_000
+    #: Punctuation that is cut off the end of a chunk; no apostrophe, which may begin a contraction.
+    TAIL = ".,!?;:%*$&|)\"}]"
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.after_blank: dict[str, bytes] = {}  # ids of a chunk that a blank precedes
+        self.plain: dict[str, bytes] = {}  # of one that begins a text or a line, and of tails
+
+        # the characters by which byte-level models write bytes: printable ones stand for themselves, the others follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.written = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str], blank: str) -> list[bytes]:
+        """Ids of words of letters, which the splitting leaves whole: they go to the library's model directly."""
+        model, written = self.tokenizer.model.tokenize, self.written
+        return [array("I", [t.id for t in model((blank + w).encode().decode("latin-1").translate(written))]).tobytes() for w in words]
+
+    def _learn(self, chunks: set[str], known: dict[str, bytes], blank: str) -> None:
+        """Ids of chunks without white space into ``known``."""
+        whole, words, cut, tails = [], [], [], set()
+        for c in chunks:
+            head = c.rstrip(self.TAIL)
+            if len(head) < len(c) and head[-1:].isalpha():
+                tail = c[len(head):]
+                cut.append((c, head, tail))
+                tails.add(tail)
+            else:
+                (words if c.isalpha() else whole).append(c)
+        for h in {h for _, h, _ in cut}.difference(known, chunks):  # a head ends in a letter, so it is never cut itself
+            (words if h.isalpha() else whole).append(h)
+        known.update(zip(words, self._word_ids(words, blank)))
+        known.update(zip(whole, self._ids([blank + c for c in whole] if blank else whole)))
+        own = list(tails.difference(self.plain))
+        self.plain.update(zip(own, self._ids(own)))
+        plain = self.plain
+        for c, head, tail in cut:
+            known[c] = known[head] + plain[tail]
+
+    def _resolve(self, chunks: set[str], known: dict[str, bytes], blank: str, lines: set[str]) -> set[str]:
+        """Learns chunks; returns those with white space that is not a single line feed."""
+        simple, folded, odd = set(), [], set()
+        for c in chunks:
+            words = c.split()
+            if len(words) == 1 and len(words[0]) == len(c):
+                simple.add(c)
+            elif words and "\n".join(words) == c:
+                folded.append((c, words))
+                lines.update(words[1:])
+                if words[0] not in known:
+                    simple.add(words[0])
+            else:
+                odd.add(c)
+        self._learn(simple, known, blank)
+        self._learn(lines.difference(self.plain), self.plain, "")
+        feed = self.feed
+        for c, words in folded:
+            known[c] = feed.join([known[words[0]], *map(self.plain.__getitem__, words[1:])])
+        return odd
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > self.REMEMBER:
-            self.known.clear()
-        cut = []
-        for t in texts:
-            chunks = (t or "").split(" ")
-            if len(chunks) > 1:
-                chunks[1:] = [" " + c for c in chunks[1:]]
-            cut.append(chunks)
-        new = {c for chunks in cut for c in chunks if c not in self.known}
-        odd = {c for c in new if not c.strip() or c[-1].isspace() or (c[1:2] if c[0] == " " else c[:1]).isspace()}
-        whole = {k: texts[k] or "" for k, chunks in enumerate(cut) if not odd.isdisjoint(chunks)} if odd else {}
-        fresh = list(new - odd)
-        self.known.update(zip(fresh, self._ids(fresh)))
-        get = self.known.__getitem__
-        out = [b"" if k in whole else b"".join(map(get, chunks)) for k, chunks in enumerate(cut)]
-        for k, ids in zip(whole, self._ids(list(whole.values()))):
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.after_blank) > self.REMEMBER:
+            self.after_blank.clear()
+            self.plain.clear()
+        (self.feed,) = self._ids(["\n"])
+        whole = [k for k, t in enumerate(texts) if t and any(x in t for x in self.special)]
+        skip = set(whole)
+        firsts, rests, new, begin = [], [], set(), set()
+        for k, t in enumerate(texts):
+            first, *rest = (t or "").split(" ") if k not in skip else [""]
+            firsts.append(first)
+            rests.append(rest)
+            new.update(rest)
+            begin.add(first)
+        odd_rest = self._resolve(new.difference(self.after_blank), self.after_blank, " ", set())
+        odd_first = self._resolve(begin.difference(self.plain), self.plain, "", set())
+        if odd_rest or odd_first:
+            whole += [k for k, (f, r) in enumerate(zip(firsts, rests)) if k not in skip and (f in odd_first or not odd_rest.isdisjoint(r))]
+            skip = set(whole)
+        get = self.after_blank.__getitem__
+        out = [b"" if k in skip else self.plain[f] + b"".join(map(get, r)) for k, (f, r) in enumerate(zip(firsts, rests))]
+        for k, ids in zip(whole, self._ids([texts[k] or "" for k in whole])):
             out[k] = ids
         return out
 
 
 def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
-                 shards: int | None = None, block_tokens: int = 1 << 20) -> None:
+                 shards: int | None = None, shard_bytes: int = 64 << 20, block_tokens: int = 1 << 20) -> None:
     """Writes the ids of all documents in ascending order of their ids to ``path``."""
     spark = docs.sparkSession
     with open(model_path, encoding="utf-8") as f:  # bounded by the vocabulary; executors need not have the file
         model = f.read()
     keyed = with_row_key(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), ROW)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        total = keyed.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+        shards = max(1, -(-total // shard_bytes))
     sorted_ = keyed.repartitionByRange(shards, F.col("id").asc_nulls_first(), ROW).sortWithinPartitions(F.col("id").asc_nulls_first(), ROW)
     names = [part.split()[0] for part in BLOCK.split(", ")]
 
