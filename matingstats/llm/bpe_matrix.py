@@ -32,7 +32,7 @@ from matingstats.llm.common import by_value
 by_value(__name__)
 
 WIDEST = 256
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 _NONE = np.int64(1 << 40)
 
 
@@ -184,7 +184,7 @@ class Encoder:
             if len(chunks) > 1:
                 chunks[1:] = [" " + c for c in chunks[1:]]
             cut.append(chunks)
-        new = {c for chunks in cut for c in chunks if c not in self.known}
+        new = set().union(*cut).difference(self.known)
         odd = {c for c in new if not c.strip() or c[-1].isspace() or (c[1:2] if c[0] == " " else c[:1]).isspace()}
         # a cut beside other white space is not one of the pattern's: these texts are split whole
         whole = {}

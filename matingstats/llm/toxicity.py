@@ -145,32 +145,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
 
 
 class Scorer:
-    """Scores texts; remembers the features of the words it has met."""
-
-    REMEMBER = 1_000_000
+    """Scores texts. An automaton of all features finds the few texts, and sentences, that have any."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def _of(self, token: str) -> tuple[str, ...]:
-        return tuple(f for w in _WORD.findall(token) for f in features(w) if f in self.model.weights)
+        import ahocorasick
+
+        self.model = model
+        self.found = None
+        if model.weights:
+            self.found = ahocorasick.Automaton()
+            kinds: dict[str, int] = {}  # 1: a word, 2: a beginning, 3: both
+            for f in model.weights:
+                key = f.removesuffix("*")
+                kinds[key] = kinds.get(key, 0) | (2 if f.endswith("*") else 1)
+            for key, kind in kinds.items():
+                self.found.add_word(key, (len(key), kind))
+            self.found.make_automaton()
 
     def evidence(self, low: str) -> bool:
         """Whether any word of a lower-cased text has a feature of the model."""
-        tokens = low.split()
-        known = self.known
-        if len(known) > self.REMEMBER:
-            known.clear()
-        for t in set(tokens).difference(known):
-            known[t] = bool(self._of(t))
-        return any(map(known.__getitem__, tokens))
+        if self.found is None:
+            return False
+        word = _WORD.match
+        for end, (n, kind) in self.found.iter(low):
+            if (end < n or not word(low, end - n)) and (kind & 2 and word(low, end + 1) or kind & 1 and not word(low, end + 1)):
+                return True
+        return False
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
         """Score, and the sentences (start, end in characters, score) that are more likely toxic than not."""
         clean, found = 1 - self.model.leak, []
         if text and self.evidence(text.lower()):
             for s in _SENTENCE.finditer(text):
-                own = {f for w in _WORD.findall(s[0].lower()) for f in features(w) if f in self.model.weights}
+                low = s[0].lower()
+                own = {f for w in _WORD.findall(low) for f in features(w) if f in self.model.weights} if self.evidence(low) else None
                 if own:
                     p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.model.bias + sum(self.model.weights[f] for f in sorted(own))))))
                     clean *= 1 - p
