@@ -1,16 +1,18 @@
-"""Special functions as Spark column expressions.
+"""Special functions as SQL text over SQL expressions, for ``F.expr``.
 
 Spark SQL has no ``lgamma``, ``erf`` or incomplete gamma, so the distribution
 tails the tests need are built here from public formulas and evaluated
-JVM-side with ``aggregate`` over ``sequence`` (no Python UDF):
+JVM-side with ``aggregate`` over ``sequence`` (no Python UDF). As text, a formula is one
+parse instead of a call per node.
 
-* ``lgamma(a)``: Stirling's series at ``a + 10`` with four correction terms,
+* ``lgamma_sql(a)``: Stirling's series at ``a + 10`` with four correction terms,
   shifted back with ten logarithms (abs. error below 1e-12 for a > 0).
-* ``gamma_q(a, x)``: regularised upper incomplete gamma Q(a, x). For
+* ``gamma_q_sql(a, x)``: regularised upper incomplete gamma Q(a, x). For
   ``x < a + 1`` the power series of P(a, x) and Q = 1 - P; otherwise the
   Legendre continued fraction for Q, evaluated backwards to a fixed depth,
   so tiny tails (1e-25) keep full relative precision.
 * chi-square upper tail = Q(df/2, x/2); two-sided normal tail = Q(1/2, z^2/2).
+* ``ln_binomial_sql``: binomial probabilities in saddle-point form.
 """
 
 from __future__ import annotations
@@ -32,94 +34,45 @@ def _c(x) -> Column:
     return F.lit(x)
 
 
-def _stirling(z: Column) -> Column:
-    z2 = z * z
-    return ((z - 0.5) * F.log(z) - z + F.lit(_HALF_LOG_2PI)
-            + 1.0 / (12.0 * z) - 1.0 / (360.0 * z * z2)
-            + 1.0 / (1260.0 * z * z2 * z2) - 1.0 / (1680.0 * z * z2 * z2 * z2))
+def let_sql(name: str, body: str, **values: str) -> str:
+    """``body`` with the struct ``name`` bound to ``values``: each is computed once. (A lambda over one element;
+    lambdas are interpreted, so long formulas do not swell the generated code.)"""
+    fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
+    return f"element_at(transform(array(named_struct({fields})), {name} -> {body}), 1)"
 
 
-def lgamma(a) -> Column:
-    """ln Gamma(a) for a > 0."""
-    a = _c(a).cast("double")
-    shifted = _stirling(a + float(_SHIFT))
-    logs = F.log(a)
-    for k in range(1, _SHIFT):
-        logs = logs + F.log(a + float(k))
-    return shifted - logs
+def stirling_error_sql(x: str) -> str:
+    """ln x! - ln(sqrt(2 pi x) (x / e)^x) as SQL text; x a non-negative whole double."""
+    w = "(se.x * se.x)"
+    body = (f"CASE WHEN se.x <= 0 THEN 0.0D WHEN se.x <= 15 THEN ln(CAST(factorial(CAST(se.x AS INT)) AS DOUBLE)) "
+            f"- (se.x + 0.5D) * ln(se.x) + se.x - {_HALF_LOG_2PI!r}D ELSE "
+            f"(1D / 12 - (1D / 360 - (1D / 1260 - (1D / 1680 - 1D / 1188 / {w}) / {w}) / {w}) / {w}) / se.x END")
+    return let_sql("se", body, x=x)
 
 
-def log_factorial(n) -> Column:
-    """ln n! for integer n >= 0: exact table range (n <= 20) via ``factorial``,
-    Stirling's series with four corrections above (abs. error < 1e-14)."""
-    n = _c(n)
-    return F.when(n <= 20, F.log(F.factorial(n.cast("int")).cast("double"))) \
-            .otherwise(_stirling(n.cast("double") + 1.0))
+def deviance_sql(x: str, m: str) -> str:
+    """x ln(x / m) + m - x, by its series where x is near m so that no digits cancel."""
+    series = f"{1 / 17!r}D"
+    for k in range(15, 1, -2):
+        series = f"({1 / k!r}D + dv.v * dv.v * {series})"
+    body = (f"CASE WHEN dv.x <= 0 THEN dv.m WHEN abs(dv.v) < 0.1D "
+            f"THEN (dv.x - dv.m) * dv.v + 2D * dv.x * dv.v * dv.v * dv.v * {series} ELSE dv.x * ln(dv.x / dv.m) + dv.m - dv.x END")
+    return let_sql("dv", body, x=x, m=m, v=f"coalesce(try_divide({x} - {m}, {x} + {m}), 0D)")
 
 
-def log_factorial_sql(x: str) -> str:
-    """``log_factorial`` as SQL text over an SQL expression ``x`` (one parse
-    instead of one round trip per operator when building large expressions)."""
-    z = f"(CAST({x} AS DOUBLE) + 1.0)"
-    return (f"(CASE WHEN {x} <= 20 THEN ln(CAST(factorial(CAST({x} AS INT)) AS DOUBLE)) ELSE "
-            f"(({z} - 0.5) * ln({z}) - {z} + {_HALF_LOG_2PI!r} + 1.0 / (12.0 * {z}) "
-            f"- 1.0 / (360.0 * {z} * {z} * {z}) + 1.0 / (1260.0 * {z} * {z} * {z} * {z} * {z}) "
-            f"- 1.0 / (1680.0 * {z} * {z} * {z} * {z} * {z} * {z} * {z})) END)")
+def ln_binomial_sql(x: str, n: str, p: str, q: str) -> str:
+    """ln P(x successes in n) in saddle-point form; q = 1 - p; whole doubles x, n with 0 <= x <= n."""
+    body = (f"CASE WHEN b.x <= 0 THEN IF(b.p < 1, b.n * log1p(-b.p), 0D) WHEN b.x >= b.n THEN IF(b.p > 0, b.n * ln(b.p), 0D) ELSE "
+            f"{stirling_error_sql('b.n')} - {stirling_error_sql('b.x')} - {stirling_error_sql('b.n - b.x')} "
+            f"- {deviance_sql('b.x', '(b.n * b.p)')} - {deviance_sql('(b.n - b.x)', '(b.n * b.q)')} "
+            f"+ 0.5D * ln(b.n / (b.x * (b.n - b.x))) - {_HALF_LOG_2PI!r}D END")
+    return let_sql("b", body, x=x, n=n, p=p, q=q)
 
 
-def log_choose(n, k) -> Column:
-    """ln C(n, k)."""
-    n, k = _c(n), _c(k)
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-
-
-def _series_p(a: Column, x: Column, lg: Column) -> Column:
-    """P(a, x) by its power series (used when x < a + 1)."""
-    n_terms = (F.lit(100.0) + F.lit(20.0) * F.sqrt(a + x)).cast("int")
-    zero = F.struct((F.lit(1.0) / a).alias("t"), (F.lit(1.0) / a).alias("s"))
-    total = F.aggregate(
-        F.sequence(F.lit(1), n_terms), zero,
-        lambda acc, n: F.struct((acc["t"] * x / (a + n)).alias("t"),
-                                (acc["s"] + acc["t"] * x / (a + n)).alias("s")),
-        lambda acc: acc["s"])
-    return total * F.exp(-x + a * F.log(x) - lg)
-
-
-def _cf_q(a: Column, x: Column, lg: Column) -> Column:
-    """Q(a, x) by the continued fraction (used when x >= a + 1).
-
-    Q = e^-x x^a / Gamma(a) / (b0 + a1/(b1 + a2/(b2 + ...))),
-    b_i = x + 2i + 1 - a, a_i = -i (i - a); evaluated from depth N back to 1.
-    """
-    depth = (F.lit(120.0) + F.lit(20.0) * F.sqrt(a)).cast("int")
-    b = lambda i: x + 2.0 * i + 1.0 - a
-    tail = F.aggregate(
-        F.sequence(depth, F.lit(1), F.lit(-1)), b(depth.cast("double")),
-        lambda t, i: b(i.cast("double") - 1.0) + (-(i * (i - a))) / t)
-    return F.exp(-x + a * F.log(x) - lg) / tail
-
-
-def gamma_q(a, x) -> Column:
-    """Regularised upper incomplete gamma Q(a, x); a > 0, x >= 0."""
-    a = _c(a).cast("double")
-    x = _c(x).cast("double")
-    lg = lgamma(a)
-    return (F.when(a.isNull() | x.isNull(), F.lit(None).cast("double"))
-            .when(F.isnan(x) | F.isnan(a), F.lit(float("nan")))
-            .when(x <= 0.0, F.lit(1.0))
-            .when(x < a + 1.0, F.greatest(F.lit(0.0), 1.0 - _series_p(a, x, lg)))
-            .otherwise(_cf_q(a, x, lg)))
-
-
-def chisq_sf(stat, df) -> Column:
-    """Upper tail of the chi-square distribution, P(X > stat)."""
-    return gamma_q(_c(df).cast("double") / 2.0, _c(stat).cast("double") / 2.0)
-
-
-def norm_two_sided(z) -> Column:
-    """Two-sided normal tail P(|Z| > |z|) = erfc(|z| / sqrt 2)."""
-    z = _c(z).cast("double")
-    return gamma_q(F.lit(0.5), z * z / 2.0)
+def ln_p(p) -> Column:
+    """ln p of a p-value, NULL where it is 0 or missing: tells small tails apart."""
+    p = _c(p)
+    return F.when(p > 0.0, F.log(p))
 
 
 def safe_div(a, b) -> Column:
@@ -132,10 +85,6 @@ def safe_div(a, b) -> Column:
             .otherwise(F.lit(float("-inf"))))
 
 
-# ---------------------------------------------------------------- SQL-text forms
-# The same formulas as SQL text over SQL expressions (column names), for
-# operators that build them per query: one parse instead of one call per node.
-
 def lgamma_sql(a: str) -> str:
     z = f"(CAST({a} AS DOUBLE) + {float(_SHIFT)!r})"
     stirling = (f"(({z} - 0.5) * ln({z}) - {z} + {_HALF_LOG_2PI!r} + 1.0 / (12.0 * {z}) "

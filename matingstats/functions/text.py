@@ -21,7 +21,7 @@ NA_YEAR_TOKEN = "N/A"
 ID_PREFIX = "UID_"
 
 # R's whitespace set for trimws(): space, tab, carriage return, line feed.
-_WS = "[ \\t\\r\\n]"
+_WS = " \t\r\n"
 # Decimal literal accepted by R's as.numeric (surrounding whitespace allowed).
 NUMERIC_TEXT = r"^[ \t\r\n]*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?[ \t\r\n]*$"
 
@@ -42,7 +42,7 @@ def na_if(c, *tokens: str) -> Column:
 
 def trimws(c) -> Column:
     """``trimws(x)``: strip space, tab, CR and LF at both ends."""
-    return F.regexp_replace(col(c), "^" + _WS + "+|" + _WS + "+$", "")
+    return F.btrim(col(c), F.lit(_WS))
 
 
 def normalise_text(c) -> Column:
@@ -51,7 +51,10 @@ def normalise_text(c) -> Column:
 
 
 def as_numeric(c) -> Column:
-    """``as.numeric(x)`` on text: decimal literals parse, anything else is NULL."""
+    """``as.numeric(x)`` on text: decimal literals parse, anything else is NULL.
+
+    Hexadecimal and ``Inf`` / ``NaN`` text, which the original would parse too, is NULL: years are decimal.
+    """
     c = col(c).cast("string")
     return F.when(c.rlike(NUMERIC_TEXT), trimws(c).try_cast("double"))
 

@@ -1,8 +1,9 @@
 """Pearson chi-square test of independence and standardised residuals.
 
 Input is a long cell table ``(group..., row, col, n)`` already reduced and
-zero-filled. Margins are window sums over the reduced cells (a few rows per
-group), the statistic one aggregate, the tail a column expression.
+zero-filled. Margins are grouped sums (map-side combined) joined back to the
+cells on the row and the column key; a NULL key is a row of the table like any
+other. The statistic is one aggregate, the tail a column expression.
 
 X^2 = sum (O - E)^2 / E with E = r c / N; for a 2 x 2 table the continuity
 correction |O - E| - min(0.5, |O - E|) is applied. df = (R - 1)(C - 1).
@@ -13,29 +14,40 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.functions.special import chisq_sf_sql, safe_div
+from matingstats.functions.special import chisq_sf_sql, ln_p, safe_div
+
+
+def _join_null_safe(x: DataFrame, y: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys``, NULL matching NULL; with no keys ``y`` is one row."""
+    if not keys:
+        return x.crossJoin(F.broadcast(y))  # an aggregate without keys: one row
+    y = y.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in y.columns if c not in keys])
+    on = None
+    for k in keys:
+        same = x[k].eqNullSafe(y[f"_on_{k}"])
+        on = same if on is None else on & same
+    return x.join(y, on).drop(*[f"_on_{k}" for k in keys])
 
 
 def _with_expected(cells: DataFrame, groups: Sequence[str], row: str, col: str, n: str) -> DataFrame:
     g = list(groups)
-    wr = Window.partitionBy(*g, row)
-    wc = Window.partitionBy(*g, col)
-    wa = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
     x = cells.select(*g, row, col, F.col(n).cast("double").alias("_o"))
-    x = (x.withColumn("_r", F.sum("_o").over(wr))
-          .withColumn("_c", F.sum("_o").over(wc))
-          .withColumn("_N", F.sum("_o").over(wa))
-          .withColumn("_nr", F.size(F.collect_set(row).over(wa)))
-          .withColumn("_nc", F.size(F.collect_set(col).over(wa))))
+    rows = x.groupBy(*g, row).agg(F.sum("_o").alias("_r"))
+    cols = x.groupBy(*g, col).agg(F.sum("_o").alias("_c"))
+    total = rows.groupBy(*g).agg(F.sum("_r").alias("_N"), F.count(F.lit(1)).alias("_nr"))
+    n_cols = cols.groupBy(*g).agg(F.count(F.lit(1)).alias("_nc"))
+    x = _join_null_safe(x, rows, [*g, row])
+    x = _join_null_safe(x, cols, [*g, col])
+    x = _join_null_safe(x, _join_null_safe(total, n_cols, g), g)
     return x.withColumn("_e", safe_div(F.col("_r") * F.col("_c"), F.col("_N")))
 
 
 def chisq_test(cells: DataFrame, row: str, col: str, n: str = "n",
                groups: Sequence[str] = (), correct: bool = True) -> DataFrame:
-    """One row per group: statistic, df, p_value, n_rows, n_cols."""
+    """One row per group: statistic, df, p_value, ln_p, n_rows, n_cols."""
     x = _with_expected(cells, groups, row, col, n)
     dev = F.abs(F.col("_o") - F.col("_e"))
     if correct:
@@ -49,7 +61,8 @@ def chisq_test(cells: DataFrame, row: str, col: str, n: str = "n",
     return out.select(*groups, "statistic", "df",
                       F.expr(chisq_sf_sql("statistic", "df")).alias("p_value"),
                       F.col("n_rows").cast("int").alias("n_rows"),
-                      F.col("n_cols").cast("int").alias("n_cols"))
+                      F.col("n_cols").cast("int").alias("n_cols")) \
+              .select(*groups, "statistic", "df", "p_value", ln_p("p_value").alias("ln_p"), "n_rows", "n_cols")
 
 
 def std_residuals(cells: DataFrame, row: str, col: str, n: str = "n",

@@ -21,9 +21,13 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matingstats.session import reliable_checkpoint
+
 POLY = "Polygynous"
 MONO = "Monogamous"
 LEVELS = [MONO, POLY]  # factor order (alphabetical, as R sorts levels)
+#: Rows of a year table that may be broadcast.
+MAX_YEARS = 10_000
 
 
 def strategy_label(multi: Column) -> Column:
@@ -130,10 +134,10 @@ def membership_strategy(rows: DataFrame, sire: str, year: str,
     separate sets; else Monogamous by the same rule; else dropped.
     ``pair``: one lookup on the (sire, year) pair.
 
-    A NULL sire or year is never a member (the sets hold no NULL). Both flag
-    tables come from the one classified table (its exchange is reused); the
-    sire flags are a shuffle join (the set grows with the data), the year
-    flags a small table that AQE broadcasts once its size is known.
+    A NULL sire or year is never a member (the sets hold no NULL). The
+    sire flags are a shuffle join (the set grows with the data). The year
+    flags are one row per year: written once, counted, and broadcast if there are at most
+    ``MAX_YEARS``, so that rows are not shuffled on a few hot years; beyond that the join shuffles.
     """
     if mode not in ("independent", "pair"):
         raise ValueError(f"mode must be 'independent' or 'pair', not {mode!r}")
@@ -148,7 +152,9 @@ def membership_strategy(rows: DataFrame, sire: str, year: str,
         drop = ["_s", "_y", "_pp", "_mm"]
     else:
         sires = flags.groupBy("_s").agg(F.max("_p").alias("_sp"), F.max("_m").alias("_sm"))
-        years = flags.groupBy("_y").agg(F.max("_p").alias("_yp"), F.max("_m").alias("_ym"))
+        years = reliable_checkpoint(flags.groupBy("_y").agg(F.max("_p").alias("_yp"), F.max("_m").alias("_ym")))
+        if years.count() <= MAX_YEARS:
+            years = F.broadcast(years)
         j = (rows.join(sires, F.col(sire) == F.col("_s"), "left")
                  .join(years, F.col(year) == F.col("_y"), "left"))
         is_p = (F.col("_sp") == 1) & (F.col("_yp") == 1)

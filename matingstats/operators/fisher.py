@@ -7,15 +7,19 @@ tolerance 1e-7).
 
 * 2 x 2 per group: pure column expressions - bisection for the two tails and
   an ``aggregate`` over the significant part of the support (grows with
-  sqrt(n)); no Python, no shuffle.
-* r x 2 per group, r <= 3: the same tail mass nested once - the first row's
-  count runs over its significant window, exploded and spread over tasks;
-  larger tables: ``groupBy(...).applyInPandas`` enumeration with numpy.
+  sqrt(n)); no Python.
+* r x 2 per group: the first r - 2 rows' counts are exploded one after the other, each over
+  its significant window, and spread over tasks; the last two rows are a 2 x 2 tail.
 * Monte-Carlo: ``spark.range(B)`` spread over partitions, ``mapInPandas``
   draws random tables with the observed margins (successive hypergeometric
   draws per row); a draw is a hit when sum ln x_ij! is at least the observed
   one. p = (1 + hits) / (B + 1). Seeds come from the partition id, so a
   re-run task repeats its draws exactly.
+
+Densities are in saddle-point form (deviance plus Stirling remainders): no large
+logarithms cancel, whatever the counts. Ends of sums are where ln P falls ``DEPTH`` below
+the threshold: the result is at least the threshold's probability, so what is
+left out is below its double precision.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matingstats.functions.special import log_choose
+from matingstats.functions.special import ln_binomial_sql
 
-# The grouped and Monte-Carlo functions below run in Python workers. Pickling
+# The Monte-Carlo functions below run in Python workers. Pickling
 # this module by value ships their code with the task, so executors need no
 # installed copy of the package.
 try:
@@ -42,6 +46,7 @@ except (ImportError, AttributeError, ValueError):  # pragma: no cover - older cl
     pass
 
 REL_TOL = 1e-7
+DEPTH = 40.0
 
 
 def fisher_2x2(tables: DataFrame, groups: Sequence[str], row: str, c1: str, c2: str) -> DataFrame:
@@ -67,17 +72,50 @@ def with_fisher_2x2(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p
     The first cell is hypergeometric (r1 = a + b, r2 = c + d, k = a + c); the
     p-value is the mass of the cells no more probable than ``a``.
     """
-    from matingstats.functions.special import log_factorial_sql as lf
     x = df.withColumns({"_f_a": F.col(a).cast("bigint"), "_f_r1": (F.col(a) + F.col(b)).cast("bigint"),
                         "_f_r2": (F.col(c) + F.col(d)).cast("bigint"), "_f_k": (F.col(a) + F.col(c)).cast("bigint")})
-    r1, r2, k, a_ = "_f_r1", "_f_r2", "_f_k", "_f_a"
-    n = f"({r1} + {r2})"
-    obs = (f"{lf(r1)} + {lf(r2)} + {lf(k)} + {lf(f'{n} - {k}')} - {lf(n)} - {lf(a_)} - {lf(f'{r1} - {a_}')}"
-           f" - {lf(f'{k} - {a_}')} - {lf(f'{r2} - {k} + {a_}')}")
-    x = x.withColumn("_f_thr", F.expr(f"({obs}) + {math.log1p(REL_TOL)!r}"))
-    x = with_hyper_tail(x, r1, r2, k, "_f_thr", "_f_mass")
-    p = F.when(F.col(r1) + F.col(r2) == 0, F.lit(None).cast("double")).otherwise(F.col("_f_mass"))
-    return x.withColumn(out, p).drop("_f_a", "_f_r1", "_f_r2", "_f_k", "_f_thr", "_f_mass")
+    x = _with_hyper(x, "_f", "_f_r1", "_f_r2", "_f_k")
+    x = x.withColumn("_f_thr", F.expr(f"{_ln_hyper('_f', '_f_a')} + {math.log1p(REL_TOL)!r}"))
+    x = with_hyper_tail(x, "_f_r1", "_f_r2", "_f_k", "_f_thr", "_f_mass")
+    p = F.when(F.col("_f_r1") + F.col("_f_r2") == 0, F.lit(None).cast("double")).otherwise(F.col("_f_mass"))
+    return x.withColumn(out, p).drop("_f_a", "_f_r1", "_f_r2", "_f_k", "_f_thr", "_f_mass", *_hyper_columns("_f"))
+
+
+def _hyper_columns(pre: str) -> list[str]:
+    return [f"{pre}_{n}" for n in ("R1", "R2", "K", "P", "Q", "C", "lo", "hi", "mode")]
+
+
+def _with_hyper(df: DataFrame, pre: str, r1: str, r2: str, k: str) -> DataFrame:
+    """Columns of the hypergeometric law (draw k from r1 + r2, r1 marked): margins as doubles, the binomial p and q
+    of the saddle point, the constant, the ends of the support and the mode."""
+    n = f"({pre}_R1 + {pre}_R2)"
+    x = df.withColumns({f"{pre}_R1": F.col(r1).cast("double"), f"{pre}_R2": F.col(r2).cast("double"), f"{pre}_K": F.col(k).cast("double"),
+                        f"{pre}_lo": F.expr(f"greatest(CAST(0 AS BIGINT), {k} - {r2})"), f"{pre}_hi": F.expr(f"CAST(least({r1}, {k}) AS BIGINT)")})
+    x = x.withColumns({f"{pre}_P": F.expr(f"coalesce(try_divide({pre}_K, {n}), 0D)"), f"{pre}_Q": F.expr(f"coalesce(try_divide({n} - {pre}_K, {n}), 1D)"),
+                       f"{pre}_mode": F.expr(f"least({pre}_hi, greatest({pre}_lo, CAST(floor(({pre}_K + 1) * ({pre}_R1 + 1) / ({n} + 2)) AS BIGINT)))")})
+    return x.withColumn(f"{pre}_C", F.expr(ln_binomial_sql(f"{pre}_K", n, f"{pre}_P", f"{pre}_Q")))
+
+
+def _ln_hyper(pre: str, v: str) -> str:
+    """ln P(X = v) under the law ``pre``; v is a bigint expression."""
+    x = f"CAST({v} AS DOUBLE)"
+    return (f"({ln_binomial_sql(x, f'{pre}_R1', f'{pre}_P', f'{pre}_Q')} + "
+            f"{ln_binomial_sql(f'({pre}_K - {x})', f'{pre}_R2', f'{pre}_P', f'{pre}_Q')} - {pre}_C)")
+
+
+def _crossings(pre: str, thr: str, left: tuple[str, str], right: tuple[str, str]) -> str:
+    """SQL struct (uL, vL, uR, vR) by bisection: neighbours with ln P(uL) <= thr < ln P(vL) on the rising side between
+    ``left`` and ln P(uR) > thr >= ln P(vR) on the falling side between ``right``. Both in one loop."""
+    # transform over a one-element array binds the midpoints and their tests once
+    step = ("element_at(transform(array(named_struct("
+            "'mL', CAST(floor((st.uL + st.vL) / 2) AS BIGINT), 'mR', CAST(floor((st.uR + st.vR) / 2) AS BIGINT))),"
+            f" m -> element_at(transform(array(named_struct('mL', m.mL, 'mR', m.mR,"
+            f" 'okL', {_ln_hyper(pre, 'm.mL')} <= {thr}, 'okR', {_ln_hyper(pre, 'm.mR')} <= {thr})),"
+            " q -> named_struct('uL', IF(q.okL, q.mL, st.uL), 'vL', IF(q.okL, st.vL, q.mL),"
+            " 'uR', IF(q.okR, st.uR, q.mR), 'vR', IF(q.okR, q.mR, st.vR))), 1)), 1)")
+    steps = f"least(64, CAST(ceil(log2(CAST({pre}_hi - {pre}_lo + 2 AS DOUBLE))) + 1 AS INT))"
+    init = f"named_struct('uL', {left[0]}, 'vL', {left[1]}, 'uR', {right[0]}, 'vR', {right[1]})"
+    return f"aggregate(sequence(1, {steps}), {init}, (st, i) -> {step})"
 
 
 def with_hyper_tail(df: DataFrame, r1: str, r2: str, k: str, thr: str, out: str) -> DataFrame:
@@ -85,257 +123,147 @@ def with_hyper_tail(df: DataFrame, r1: str, r2: str, k: str, thr: str, out: str)
     X hypergeometric (draw k from r1 + r2, r1 marked), as column expressions.
 
     X is log-concave with mode m, so {x : ln P <= thr} is two tails [lo, L]
-    and [R, hi]. L and R are found by bisection on ln P; each tail is then
-    summed outward from its crossing point with the ratio recurrence
-    P(x -/+ 1) / P(x) for at most 40 sd + 50 terms - past that the terms are
-    below e^-800 of the first, so the sum is exact in double precision while
-    the work grows with sqrt(n), not n. Row constants are computed once as
+    and [R, hi]. L and R are found by bisection on ln P, and so are the points outward
+    from which ln P is below thr - DEPTH; between them each tail is summed with the ratio recurrence
+    P(x -/+ 1) / P(x). The work grows with sqrt(n), not n. Row constants are computed once as
     columns before the ``aggregate`` loops (lambdas are evaluated without
     codegen, so nothing heavy stays inside them). The expressions are written
     as SQL text: one parse per stage instead of thousands of small calls.
     """
-    from matingstats.functions.special import log_factorial_sql as lf
-    tmp = ["_h_r1", "_h_r2", "_h_k", "_h_n", "_h_lo", "_h_hi", "_h_mode", "_h_const", "_h_thr", "_h_span",
-           "_h_pts", "_h_bis", "_h_pLR", "_h_L", "_h_R", "_h_inL", "_h_inR", "_h_atmode"]
     E = F.expr
-    x1 = df.withColumns({"_h_r1": F.col(r1).cast("bigint"), "_h_r2": F.col(r2).cast("bigint"),
-                         "_h_k": F.col(k).cast("bigint"), "_h_thr": F.col(thr).cast("double")})
-    x1 = x1.withColumn("_h_n", E("_h_r1 + _h_r2"))
-    var = ("(CAST(_h_k AS DOUBLE) * try_divide(_h_r1, CAST(_h_n AS DOUBLE)) * try_divide(_h_r2, CAST(_h_n AS DOUBLE))"
-           " * ((_h_n - _h_k) / greatest(CAST(_h_n AS DOUBLE) - 1.0, 1.0)))")
-    x1 = x1.withColumns({
-        "_h_lo": E("greatest(CAST(0 AS BIGINT), _h_k - _h_r2)"),
-        "_h_hi": E("least(_h_r1, _h_k)"),
-        "_h_const": E(f"{lf('_h_r1')} + {lf('_h_r2')} + {lf('_h_k')} + {lf('_h_n - _h_k')} - {lf('_h_n')}"),
-        "_h_span": E(f"CAST(50.0 + 40.0 * sqrt(greatest(coalesce({var}, 0.0), 0.0)) AS BIGINT)"),
-    })
-
-    def logp(v: str) -> str:
-        return f"(_h_const - {lf(v)} - {lf(f'_h_r1 - {v}')} - {lf(f'_h_k - {v}')} - {lf(f'_h_r2 - _h_k + {v}')})"
-
-    x1 = x1.withColumn("_h_mode", E("least(_h_hi, greatest(_h_lo, CAST(floor(CAST(_h_k + 1 AS DOUBLE) * (_h_r1 + 1)"
-                                    " / (_h_n + 2)) AS BIGINT)))"))
-    # one ln P expansion serves several points: [lo, hi, mode]
-    x1 = x1.withColumn("_h_pts", E(f"transform(array(_h_lo, _h_hi, _h_mode), v -> {logp('v')})"))
-    x1 = x1.withColumns({"_h_inL": E("_h_pts[0] <= _h_thr"), "_h_inR": E("_h_pts[1] <= _h_thr"),
-                         "_h_atmode": E("_h_pts[2] <= _h_thr")})
-
-    # both bisections in one loop: left keeps ln P(uL) <= thr < ln P(vL) on the
-    # rising side [lo, mode]; right keeps ln P(uR) > thr >= ln P(vR) on [mode, hi].
-    # transform over a one-element array binds the midpoints and their tests once.
-    step = (
-        "element_at(transform(array(named_struct("
-        "'mL', CAST(floor((st.uL + st.vL) / 2) AS BIGINT), 'mR', CAST(floor((st.uR + st.vR) / 2) AS BIGINT))),"
-        f" m -> element_at(transform(array(named_struct('mL', m.mL, 'mR', m.mR,"
-        f" 'okL', {logp('m.mL')} <= _h_thr, 'okR', {logp('m.mR')} <= _h_thr)),"
-        " q -> named_struct('uL', IF(q.okL, q.mL, st.uL), 'vL', IF(q.okL, st.vL, q.mL),"
-        " 'uR', IF(q.okR, st.uR, q.mR), 'vR', IF(q.okR, q.mR, st.vR))), 1)), 1)")
-    steps = "least(64, CAST(ceil(log2(CAST(_h_hi - _h_lo + 2 AS DOUBLE))) + 1 AS INT))"
-    init = "named_struct('uL', _h_lo, 'vL', _h_mode, 'uR', _h_mode, 'vR', _h_hi)"
-    x2 = x1.withColumn("_h_bis", E(f"aggregate(sequence(1, {steps}), {init}, (st, i) -> {step})"))
-    x2 = x2.withColumns({"_h_L": E("_h_bis.uL"), "_h_R": E("_h_bis.vR")})
-    x2 = x2.withColumn("_h_pLR", E(f"transform(array(_h_L, _h_R), v -> exp({logp('v')}))"))
-
-    left_ratio = ("CAST(v * (_h_r2 - _h_k + v) AS DOUBLE) / CAST((_h_r1 - v + 1) * (_h_k - v + 1) AS DOUBLE)")
-    right_ratio = ("CAST((_h_r1 - v) * (_h_k - v) AS DOUBLE) / CAST((v + 1) * (_h_r2 - _h_k + v + 1) AS DOUBLE)")
-
-    def tail(start: str, first_p: str, stop: str, sign: int, ratio: str) -> str:
+    x = df.withColumns({"_h_r1": F.col(r1).cast("bigint"), "_h_r2": F.col(r2).cast("bigint"),
+                        "_h_k": F.col(k).cast("bigint"), "_h_thr": F.col(thr).cast("double")})
+    x = _with_hyper(x, "_h", "_h_r1", "_h_r2", "_h_k")
+    # one ln P expansion serves several points
+    x = x.withColumn("_h_pts", E(f"transform(array(_h_lo, _h_hi, _h_mode), v -> {_ln_hyper('_h', 'v')})"))
+    x = x.withColumn("_h_bis", E(_crossings("_h", "_h_thr", ("_h_lo", "_h_mode"), ("_h_mode", "_h_hi"))))
+    x = x.withColumns({"_h_L": E("_h_bis.uL"), "_h_R": E("_h_bis.vR")})
+    x = x.withColumn("_h_low", E(f"_h_thr - {DEPTH!r}D"))
+    x = x.withColumn("_h_pLR", E(f"transform(array(_h_L, _h_R), v -> {_ln_hyper('_h', 'v')})"))
+    x = x.withColumn("_h_far", E(_crossings("_h", "_h_low", ("_h_lo", "_h_L"), ("_h_R", "_h_hi"))))
+    D = lambda e: f"CAST({e} AS DOUBLE)"
+    left_ratio = f"{D('v')} * {D('_h_r2 - _h_k + v')} / ({D('_h_r1 - v + 1')} * {D('_h_k - v + 1')})"
+    right_ratio = f"{D('_h_r1 - v')} * {D('_h_k - v')} / ({D('v + 1')} * {D('_h_r2 - _h_k + v + 1')})"
+
+    def tail(start: str, ln_p: str, stop: str, sign: int, ratio: str) -> str:
         # sum P(x) for x = start, start +/- 1, ..., stop using the pmf ratio
-        return (f"aggregate(sequence({start}, {stop}, CAST({sign} AS BIGINT)), named_struct('t', {first_p}, 's', 0.0D),"
+        return (f"aggregate(sequence({start}, {stop}, CAST({sign} AS BIGINT)), named_struct('t', exp({ln_p}), 's', 0.0D),"
                 f" (acc, v) -> named_struct('t', acc.t * ({ratio}), 's', acc.s + acc.t)).s")
 
-    left = f"IF(_h_inL, {tail('_h_L', '_h_pLR[0]', 'greatest(_h_lo, _h_L - _h_span)', -1, left_ratio)}, 0.0D)"
-    right = f"IF(_h_inR, {tail('_h_R', '_h_pLR[1]', 'least(_h_hi, _h_R + _h_span)', 1, right_ratio)}, 0.0D)"
+    left = (f"IF(_h_pts[0] <= _h_thr AND _h_pLR[0] > _h_low, "
+            f"{tail('_h_L', '_h_pLR[0]', 'IF(_h_pts[0] <= _h_low, _h_far.vL, _h_lo)', -1, left_ratio)}, 0.0D)")
+    right = (f"IF(_h_pts[1] <= _h_thr AND _h_pLR[1] > _h_low, "
+             f"{tail('_h_R', '_h_pLR[1]', 'IF(_h_pts[1] <= _h_low, _h_far.uR, _h_hi)', 1, right_ratio)}, 0.0D)")
     # the mode is the most probable point: at or below the threshold means every point is
-    total = f"IF(_h_atmode, 1.0D, {left} + {right})"
-    return x2.withColumn(out, E(f"least(1.0D, {total})")).drop(*tmp)
+    total = f"IF(_h_pts[2] <= _h_thr, 1.0D, {left} + {right})"
+    return x.withColumn(out, E(f"least(1.0D, {total})")).drop(
+        "_h_r1", "_h_r2", "_h_k", "_h_thr", "_h_pts", "_h_bis", "_h_L", "_h_R", "_h_low", "_h_pLR", "_h_far", *_hyper_columns("_h"))
 
 
 # ---------------------------------------------------------------- r x 2 exact
 
-def _log_fact_table(n: int) -> np.ndarray:
-    """ln k! for k = 0..n; the running sum is kept in extended precision so the
-    rounding error does not grow with n."""
-    out = np.zeros(n + 1)
-    if n:
-        out[1:] = np.cumsum(np.log(np.arange(1, n + 1, dtype=np.longdouble)), dtype=np.longdouble)
-    return out
-
-
-def fisher_rx2_p(col1: Sequence[int], col2: Sequence[int]) -> float:
-    """Exact p-value of an r x 2 table (plain numpy; used per group)."""
-    x = np.asarray(col1, dtype=np.int64)
-    y = np.asarray(col2, dtype=np.int64)
-    rows = x + y
-    keep = rows > 0
-    x, rows = x[keep], rows[keep]
-    if len(rows) < 2:
-        return 1.0
-    n, k = int(rows.sum()), int(x.sum())
-    lf = _log_fact_table(n)
-
-    def lchoose(nn, kk):
-        return lf[nn] - lf[kk] - lf[nn - kk]
-
-    obs = float(sum(lchoose(int(r), int(v)) for r, v in zip(rows, x)))
-    # partial tables over all rows but the last: running first-column totals and
-    # summed log terms, pruned to totals that can still reach k; the last row's
-    # count is then fixed by the column total
-    tot = np.zeros(1, dtype=np.int64)
-    lsum = np.zeros(1)
-    remaining = int(rows.sum())
-    for r in rows[:-1]:
-        r = int(r)
-        remaining -= r
-        vals = np.arange(r + 1, dtype=np.int64)
-        nt = (tot[:, None] + vals[None, :]).ravel()
-        nl = (lsum[:, None] + lchoose(r, vals)[None, :]).ravel()
-        ok = (nt <= k) & (nt + remaining >= k)
-        tot, lsum = nt[ok], nl[ok]
-    last = int(rows[-1])
-    x_last = k - tot
-    ok = (x_last >= 0) & (x_last <= last)
-    lsum = lsum[ok] + lchoose(last, x_last[ok])
-    base = lchoose(n, k)
-    sel = lsum <= obs + math.log1p(REL_TOL)
-    return float(min(1.0, np.exp(lsum[sel] - base).sum()))
-
-
-def fisher_rx2(tables: DataFrame, groups: Sequence[str], row: str, c1: str, c2: str) -> DataFrame:
+def fisher_rx2(tables: DataFrame, groups: Sequence[str], row: str, c1: str, c2: str, max_rows: int = 3) -> DataFrame:
     """Per group: table rows and exact p-value (NULL when fewer than two rows).
 
-    Tables of up to three rows (the valley tables) run as column expressions,
-    distributed over the first row's support (``_fisher_rx3``); larger tables
-    fall back to a grouped pandas enumeration of the same sum.
+    With first-column counts x_1..x_r and row totals r_1..r_r, P(x) is the product of
+    hypergeometric laws of x_i given the counts before it. The counts of the first r - 2 rows are
+    exploded one after the other over the windows in which the product so far is not below the threshold by more than
+    DEPTH; for the last two rows ``with_hyper_tail`` gives the mass at or below the threshold. The points are spread
+    over tasks; their number grows with n^((r - 2) / 2). Rows are taken by rising totals, which
+    leaves the widest ranges to the tail.
+
+    ``max_rows`` bounds the rows of a table (the levels of the row factor); a larger table
+    raises an error.
     """
     g = list(groups)
-    packed = tables.groupBy(*g).agg(
-        # one table per group, a handful of rows (bounded by the valley dimension)
-        F.sort_array(F.collect_list(F.struct(F.col(row).alias("key"), F.col(c1).cast("bigint").alias("x"),
-                                             (F.col(c1) + F.col(c2)).cast("bigint").alias("r")))).alias("_rows"))
-    packed = packed.withColumn("n_rows", F.size("_rows").cast("int"))
-    small = _fisher_rx3(packed.where(F.col("n_rows") <= 3), g)
-    # larger tables: unpack the same per-group rows (no join needed to route them)
-    large_rows = (packed.where(F.col("n_rows") > 3)
-                  .select(*g, F.explode("_rows").alias("_t"))
-                  .select(*g, F.col("_t")["key"].alias(row), F.col("_t")["x"].alias(c1),
-                          (F.col("_t")["r"] - F.col("_t")["x"]).alias(c2)))
-    large = _fisher_rx2_pandas(large_rows, g, row, c1, c2)
-    return small.unionByName(large)
-
-
-def _fisher_rx3(packed: DataFrame, g: list) -> DataFrame:
-    """Exact r x 2 Fisher test for r <= 3 as a distributed sum.
-
-    With first-column counts (x1, x2, x3) and row totals (r1, r2, r3):
-    P(x) = H1(x1) * H23(x2 | x1), H1 hypergeometric (r1, r2 + r3, k) and
-    H23 hypergeometric (r2, r3, k - x1). So
-    p = sum over x1 of H1(x1) * [mass of H23 at or below thr - ln H1(x1)],
-    and the inner mass is ``with_hyper_tail``. x1 runs over its significant
-    window (40 sd + 50 around the mode); the window's points are exploded and
-    spread over tasks, so the work is distributed and grows about linearly in n.
-    """
-    from matingstats.functions.special import log_factorial_sql as lf
-
-    def lc(nn: str, kk: str) -> str:
-        return f"({lf(nn)} - {lf(kk)} - {lf(f'({nn}) - ({kk})')})"
-
     E = F.expr
-    x = packed.select(*g, "n_rows",
-                      *[F.coalesce(F.get(F.col("_rows"), i)[f], F.lit(0).cast("bigint")).alias(f"_{f}{i + 1}")
-                        for i in range(3) for f in ("r", "x")])
-    x = x.withColumns({"_k": E("_x1 + _x2 + _x3"), "_n": E("_r1 + _r2 + _r3"), "_r23": E("_r2 + _r3")})
-    obs = f"{lc('_r1', '_x1')} + {lc('_r2', '_x2')} + {lc('_r3', '_x3')} - {lc('_n', '_k')}"
-    sd = ("sqrt(greatest(coalesce(CAST(_k AS DOUBLE) * try_divide(_r1, CAST(_n AS DOUBLE))"
-          " * try_divide(_r23, CAST(_n AS DOUBLE)) * ((_n - _k) / greatest(CAST(_n AS DOUBLE) - 1.0, 1.0)), 0.0), 0.0))")
-    lo = "greatest(CAST(0 AS BIGINT), _k - _r23)"
-    hi = "least(_r1, _k)"
-    mode = f"least({hi}, greatest({lo}, CAST(floor(CAST(_k + 1 AS DOUBLE) * (_r1 + 1) / (_n + 2)) AS BIGINT)))"
-    span = f"CAST(50.0 + 40.0 * {sd} AS BIGINT)"
-    x = x.withColumns({"_thr": E(f"({obs}) + {math.log1p(REL_TOL)!r}"),
-                       "_wlo": E(f"greatest({lo}, {mode} - {span})"), "_whi": E(f"least({hi}, {mode} + {span})")})
-    e = x.select(*g, "n_rows", "_r1", "_r2", "_r3", "_r23", "_k", "_n", "_thr",
-                 F.explode(F.sequence(F.col("_wlo"), F.col("_whi"))).alias("_y1"))
-    e = e.repartition(*[F.col(c) for c in g], F.col("_y1"))
-    e = e.withColumn("_lp1", E(f"{lc('_r1', '_y1')} + {lc('_r23', '_k - _y1')} - {lc('_n', '_k')}"))
-    e = e.withColumns({"_m": E("_k - _y1"), "_t2": E("_thr - _lp1")})
-    e = with_hyper_tail(e, "_r2", "_r3", "_m", "_t2", "_inner")
-    res = e.groupBy(*g).agg(F.first("n_rows").alias("n_rows"),
-                            F.sum(F.exp(F.col("_lp1")) * F.col("_inner")).alias("_p"))
+    rows = max(2, max_rows)
+    zero = "named_struct('r', CAST(0 AS BIGINT), 'x', CAST(0 AS BIGINT))"
+    t = tables.groupBy(*g).agg(F.sort_array(F.collect_list(  # one table per group: at most ``max_rows`` entries are used
+        F.struct((F.col(c1) + F.col(c2)).cast("bigint").alias("r"), F.col(c1).cast("bigint").alias("x")))).alias("_rows"))
+    t = t.withColumn("n_rows", F.when(F.size("_rows") > rows, F.raise_error(F.lit(f"a table has more than {rows} rows")).cast("int"))
+                     .otherwise(F.size("_rows")))
+    t = t.withColumn("_rows", E(f"concat(array_repeat({zero}, greatest(0, {rows} - n_rows)), _rows)"))
+    t = t.select(*g, "n_rows", *[F.get(F.col("_rows"), F.lit(i))[f].alias(f"_{f}{i + 1}") for i in range(rows) for f in ("r", "x")])
+    # the product of the laws at the observed counts
+    terms = []
+    t = t.withColumn(f"_k{1}", E(" + ".join(f"_x{i}" for i in range(1, rows + 1))))
+    for i in range(1, rows):
+        t = t.withColumns({f"_rest{i}": E(" + ".join(f"_r{j}" for j in range(i + 1, rows + 1))), f"_k{i + 1}": E(f"_k{i} - _x{i}")})
+        t = _with_hyper(t, "_o", f"_r{i}", f"_rest{i}", f"_k{i}").withColumn(f"_ln{i}", E(_ln_hyper("_o", f"_x{i}"))).drop(*_hyper_columns("_o"))
+        terms.append(f"_ln{i}")
+    t = t.withColumn("_thr", E(f"{' + '.join(terms)} + {math.log1p(REL_TOL)!r}")).withColumn("_sum", F.lit(0.0))
+    t = t.withColumn("_k", F.col("_k1")).select(*g, "n_rows", "_thr", "_sum", "_k", *[f"_r{i}" for i in range(1, rows + 1)], *[f"_rest{i}" for i in range(1, rows)])
+    for i in range(1, rows - 1):
+        t = _with_hyper(t, "_w", f"_r{i}", f"_rest{i}", "_k").withColumn("_low", E(f"_thr - _sum - {DEPTH!r}D"))
+        t = t.withColumn("_pts", E(f"transform(array(_w_lo, _w_hi, _w_mode), v -> {_ln_hyper('_w', 'v')})"))
+        t = t.withColumn("_far", E(_crossings("_w", "_low", ("_w_lo", "_w_mode"), ("_w_mode", "_w_hi"))))
+        window = ("IF(_pts[2] <= _low, CAST(array() AS array<bigint>), sequence(IF(_pts[0] <= _low, _far.vL, _w_lo), IF(_pts[1] <= _low, _far.uR, _w_hi)))")
+        t = t.withColumn("_y", F.explode(E(window))).repartition(*[F.col(c) for c in g], F.col("_k"), F.col("_y"))
+        t = t.withColumn("_sum", E(f"_sum + {_ln_hyper('_w', '_y')}")).withColumn("_k", E("_k - _y")) \
+             .drop("_y", "_low", "_pts", "_far", *_hyper_columns("_w"))
+    t = t.withColumn("_t2", E("_thr - _sum"))
+    t = with_hyper_tail(t, f"_r{rows - 1}", f"_r{rows}", "_k", "_t2", "_inner")
+    res = t.groupBy(*g).agg(F.first("n_rows").alias("n_rows"), F.sum(F.exp(F.col("_sum")) * F.col("_inner")).alias("_p"))
     p = F.when(F.col("n_rows") > 1, F.least(F.lit(1.0), F.col("_p")))
     return res.select(*g, F.col("n_rows").cast("int").alias("n_rows"), p.alias("p_value"))
 
 
-def _fisher_rx2_pandas(tables: DataFrame, g: list, row: str, c1: str, c2: str) -> DataFrame:
-    """Grouped pandas enumeration for tables with more than three rows."""
-    schema_fields = [f for f in tables.schema.fields if f.name in g]
-    from pyspark.sql import types as T
-    out_schema = T.StructType(schema_fields + [T.StructField("n_rows", T.IntegerType()),
-                                               T.StructField("p_value", T.DoubleType())])
-
-    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        n_rows = len(pdf)
-        p = fisher_rx2_p(pdf[c1].to_numpy(), pdf[c2].to_numpy()) if n_rows > 1 else None
-        rec = {k: [pdf[k].iloc[0]] for k in g}
-        rec["n_rows"] = [n_rows]
-        rec["p_value"] = [p]
-        return pd.DataFrame(rec)
-
-    return tables.select(*g, row, c1, c2).groupBy(*g).applyInPandas(per_group, out_schema)
+# ---------------------------------------------------------------- Monte-Carlo
 
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln n! by Stirling's series, shifted up for small n."""
+    z = n.astype(float) + 1.0
+    shift = np.zeros_like(z)
+    small = z < 16
+    for _ in range(16):
+        shift[small] += np.log(z[small])
+        z[small] += 1.0
+        small = small & (z < 16)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + (1 / 12 - (1 / 360 - 1 / (1260 * z * z)) / (z * z)) / z - shift
 
-# ---------------------------------------------------------------- Monte-Carlo
 
-def _sim_hits(rows: np.ndarray, k: int, obs: float, size: int, rng: np.random.Generator,
-              lf: np.ndarray) -> int:
+def _sim_hits(rows: np.ndarray, k: int, obs: float, size: int, rng: np.random.Generator) -> int:
     n_left = np.full(size, int(rows.sum()), dtype=np.int64)
     k_left = np.full(size, k, dtype=np.int64)
     stat = np.zeros(size)
     for r in rows[:-1]:
         r = int(r)
-        nbad = n_left - r
-        x = rng.hypergeometric(r, np.maximum(nbad, 0), k_left) if r else np.zeros(size, dtype=np.int64)
-        stat += lf[x] + lf[r - x]
+        x = rng.hypergeometric(r, np.maximum(n_left - r, 0), k_left) if r else np.zeros(size, dtype=np.int64)
+        stat += _log_factorial(x) + _log_factorial(r - x)
         k_left -= x
         n_left -= r
-    r = int(rows[-1])
-    stat += lf[k_left] + lf[r - k_left]
+    stat += _log_factorial(k_left) + _log_factorial(int(rows[-1]) - k_left)
     return int((stat >= obs / (1.0 + 64 * np.finfo(float).eps)).sum())
 
 
 def fisher_monte_carlo(spark: SparkSession, table: DataFrame, c1: str, c2: str,
-                       B: int = 100_000, seed: int = 20250101, partitions: int | None = None) -> DataFrame:
+                       B: int = 100_000, seed: int = 20250101, partitions: int = 16) -> DataFrame:
     """Monte-Carlo Fisher test of one r x 2 table (rows with zero total dropped).
 
-    The table itself is a reduced result (one row per colony); its two count
-    columns are brought to the driver once and shipped in the task closure.
-    The B simulated tables are generated and scored on the executors.
+    The reduced table (a row per level of the row factor) is packed into one row, in a fixed order, and joined to
+    the numbers of the draws; tables are drawn and scored on the executors. ``seed`` and ``partitions``
+    together fix the random stream. Counts of 1e9 and more are beyond the generator and raise an error.
     """
-    pdf = table.select(F.col(c1).cast("long").alias("x"), F.col(c2).cast("long").alias("y")).toPandas()
-    x = pdf["x"].to_numpy()
-    y = pdf["y"].to_numpy()
-    rows = x + y
-    keep = rows > 0
-    x, y, rows = x[keep], y[keep], rows[keep]
-    n = int(rows.sum())
-    k = int(x.sum())
-    lf = _log_fact_table(n)
-    obs = float((lf[x] + lf[y]).sum())
-    parts = partitions or max(1, min(64, B // 5000))
+    packed = table.where(F.col(c1) + F.col(c2) > 0).agg(F.sort_array(F.collect_list(
+        F.struct(F.col(c1).cast("long").alias("x"), F.col(c2).cast("long").alias("y")))).alias("cells"))
+    packed = packed.select(F.transform("cells", lambda c: c["x"]).alias("x"), F.transform("cells", lambda c: c["y"]).alias("y"))
 
     def sim(it):
         from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, pid])
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for batch in it:
             m = len(batch)
-            hits = _sim_hits(rows, k, obs, m, rng, lf) if m and len(rows) > 1 and 0 < k < n else m
-            yield pd.DataFrame({"hits": [hits], "draws": [m]})
-
-    sims = spark.range(0, B, numPartitions=parts).mapInPandas(sim, "hits long, draws long")
-    res = sims.agg(F.sum("hits").alias("hits"), F.sum("draws").alias("B"))
-    return res.select(
-        ((F.col("hits") + 1.0) / (F.col("B") + 1.0)).alias("p_value"),
-        F.col("B").cast("bigint").alias("B"),
-        F.lit(obs).alias("statistic"),
-        F.lit(int(len(rows))).alias("n_rows"))
+            if not m:
+                continue
+            x, y = (np.array(batch[c].iloc[0], dtype=np.int64) for c in ("x", "y"))
+            if (x + y).sum() >= 10**9:
+                raise ValueError("tables of 1e9 and more are beyond the random generator")
+            obs = float((_log_factorial(x) + _log_factorial(y)).sum())
+            hits = _sim_hits(x + y, int(x.sum()), obs, m, rng) if len(x) > 1 and x.sum() and y.sum() else m
+            yield pd.DataFrame({"hits": [hits], "draws": [m], "statistic": [obs], "rows": [len(x)]})
+
+    draws = spark.range(0, B, numPartitions=partitions).crossJoin(F.broadcast(packed))  # an aggregate without keys: one row
+    sims = draws.select("x", "y").mapInPandas(sim, "hits long, draws long, statistic double, rows int")
+    res = sims.agg(F.sum("hits").alias("hits"), F.sum("draws").alias("B"), F.max("statistic").alias("statistic"), F.max("rows").alias("n_rows"))
+    return res.select(((F.col("hits") + 1.0) / (F.col("B") + 1.0)).alias("p_value"), F.col("B").cast("bigint").alias("B"), "statistic", "n_rows")

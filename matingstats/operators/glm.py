@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matingstats.functions.special import chisq_sf, norm_two_sided
+from matingstats.functions.special import chisq_sf_sql, ln_p, norm_two_sided_sql
 from matingstats.session import reliable_checkpoint
 
 INTERCEPT = "(Intercept)"
@@ -29,39 +29,60 @@ def counts_by_response(df: DataFrame, x: str, y: str) -> DataFrame:
               .agg(F.count(F.lit(1)).cast("double").alias("w")))
 
 
+MAX_ITER = 100
+
+
 def fit_logistic(df: DataFrame, x: str, y: str):
-    """Fit; returns (model, reduced table, total weight)."""
+    """Fit; returns (model, reduced table). Raises if the iterations end without convergence."""
     g = reliable_checkpoint(counts_by_response(df, x, y))
     data = VectorAssembler(inputCols=["x"], outputCol="features").transform(g)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features",
-                                      labelCol="y", weightCol="w", maxIter=100, tol=1e-10)
+                                      labelCol="y", weightCol="w", maxIter=MAX_ITER, tol=1e-10)
     model = glr.fit(data)
-    n = g.agg(F.sum("w")).first()[0] or 0.0
-    return model, g, n
+    if model.summary.numIterations >= MAX_ITER:
+        raise RuntimeError(f"the logistic fit did not converge in {MAX_ITER} iterations")
+    return model, g
+
+
+def _total(g: DataFrame) -> float:
+    return g.agg(F.sum("w")).first()[0] or 0.0
 
 
 def logistic_by_counts(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Coefficient table: term, estimate, std_error, z_value, p_value."""
+    """Coefficient table: term, estimate, std_error, z_value, p_value, ln_p."""
     spark = df.sparkSession
-    model, _, _ = fit_logistic(df, x, y)
+    model, _ = fit_logistic(df, x, y)
     s = model.summary
     se = list(s.coefficientStandardErrors)   # predictor(s) first, intercept last
     est = [float(model.coefficients[0]), float(model.intercept)]
     rows = [(INTERCEPT, est[1], float(se[-1])), (x, est[0], float(se[0]))]
     out = spark.createDataFrame(rows, "term string, estimate double, std_error double")
-    z = F.col("estimate") / F.col("std_error")
-    return out.select("term", "estimate", "std_error", z.alias("z_value"), norm_two_sided(z).alias("p_value"))
+    out = out.withColumn("z_value", F.col("estimate") / F.col("std_error")) \
+             .withColumn("p_value", F.expr(norm_two_sided_sql("z_value")))
+    return out.withColumn("ln_p", ln_p("p_value"))
+
+
+def model_summary(df: DataFrame, x: str, y: str) -> DataFrame:
+    """The fit's null and residual deviance, their degrees of freedom and AIC (one row).
+
+    The response is 0/1 per row, so the saturated likelihood is 1 and AIC = deviance + 2 * 2.
+    """
+    model, g = fit_logistic(df, x, y)
+    n, s = _total(g), model.summary
+    return df.sparkSession.createDataFrame(
+        [(float(s.nullDeviance), n - 1.0, float(s.deviance), n - 2.0, float(s.deviance) + 4.0)],
+        "null_deviance double, null_df double, deviance double, resid_df double, aic double")
 
 
 def analysis_of_deviance(df: DataFrame, x: str, y: str) -> DataFrame:
     """``anova(model, test = "Chisq")``: the NULL row and the predictor row."""
     spark = df.sparkSession
-    model, _, n = fit_logistic(df, x, y)
-    s = model.summary
+    model, g = fit_logistic(df, x, y)
+    n, s = _total(g), model.summary
     null_dev, dev = float(s.nullDeviance), float(s.deviance)
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("df", T.IntegerType()),
                            T.StructField("deviance", T.DoubleType()), T.StructField("resid_df", T.DoubleType()),
                            T.StructField("resid_dev", T.DoubleType())])
     rows = [("NULL", None, None, n - 1.0, null_dev), (x, 1, null_dev - dev, n - 2.0, dev)]
     out = spark.createDataFrame(rows, schema)
-    return out.withColumn("p_value", F.when(F.col("df").isNotNull(), chisq_sf(F.col("deviance"), F.col("df"))))
+    return out.withColumn("p_value", F.when(F.col("df").isNotNull(), F.expr(chisq_sf_sql("deviance", "df"))))

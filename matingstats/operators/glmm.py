@@ -8,17 +8,14 @@ reduced log-likelihood equals the row-level one exactly.
 Laplace term of group g at (beta, sigma):
     h(u)   = sum_c [s_c eta_c - n_c ln(1 + e^eta_c)] - u^2 / 2,  eta = x beta + sigma u
     l_g    = h(u_hat) - 1/2 ln(1 + sigma^2 sum_c n_c p_c (1 - p_c))
-with u_hat from Newton steps (h is concave). The marginal log-likelihood is
-sum_g l_g: every evaluation is one Spark job of column expressions over the
-groups (each group a handful of cells) followed by a sum; a batch of candidate
-parameter vectors is scored in the same job. ``group_loglik`` is the same
-formula in numpy, kept as the reference the tests compare against. The driver only holds the
-parameter vector and runs Newton steps with finite-difference derivatives.
+with h'(u_hat) = 0, found by Newton steps kept inside a bracket until they vanish. The log-likelihood, its
+gradient and its Hessian are sums over groups of closed forms (u_hat's own derivatives follow from h' = 0);
+each evaluation is one Spark job in which the partitions return their sums. The driver only holds the
+parameter vector and takes Newton steps; a fit that does not converge raises an error.
+
 The likelihood is even in sigma, so sigma itself is a free parameter (|sigma|
 is reported); a fit on the boundary sigma = 0 converges like any interior one.
-Each Newton step scores the trial point and its derivative stencil in one job.
-Fixed-effect standard errors come from the beta block of the Hessian at the
-optimum (conditional on sigma).
+Standard errors of the fixed effects come from the inverse of the whole Hessian.
 """
 
 from __future__ import annotations
@@ -31,10 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matingstats.functions.special import norm_two_sided
+from matingstats.functions.special import norm_two_sided_sql
 from matingstats.session import reliable_checkpoint
 
+# The group terms below run in Python workers; shipped by value they need no installed package there.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # pragma: no cover - older cloudpickle
+    pass
+
 INTERCEPT = "(Intercept)"
+#: Levels of the fixed factor at most: the parameters are on the driver.
+MAX_LEVELS = 200
 
 
 def _cells(df: DataFrame, y: str, factor: str, group: str) -> DataFrame:
@@ -47,109 +55,92 @@ def _expit(eta: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * eta))
 
 
-def group_loglik(s: np.ndarray, n: np.ndarray, xb: np.ndarray, sigma: np.ndarray, iters: int = 60) -> np.ndarray:
-    """Laplace log-likelihood of one group for K parameter vectors.
-
-    ``s``, ``n``: cells (C,); ``xb``: linear predictors (K, C); ``sigma``: (K,).
+def group_mode(s: np.ndarray, n: np.ndarray, xb: np.ndarray, sigma: float) -> float:
+    """u_hat: the root of the falling function h'(u) = sigma sum(s - n p) - u."""
+    low, high = -abs(sigma) * n.sum(), abs(sigma) * n.sum()  # |s - n p| is at most n
+    u = 0.0
+    for _ in range(500):
+        p = _expit(xb + sigma * u)
+        slope = sigma * (s - n * p).sum() - u
+        low, high = (u, high) if slope > 0 else (low, u)
+        step = slope / (1.0 + sigma * sigma * (n * p * (1 - p)).sum())
+        new = u + step
+        if not low <= new <= high:
+            new = 0.5 * (low + high)
+        if abs(new - u) <= 1e-13 * (1.0 + abs(u)):
+            return new
+        u = new
+    raise RuntimeError("the mode of a group was not found")
+
+
+def group_terms(s: np.ndarray, n: np.ndarray, X: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Laplace log-likelihood of one group, gradient and Hessian in (beta, sigma).
+
+    With z = (beta, sigma, u) and G(z) = h - 1/2 ln I, I = -h_uu: l(theta) = G(theta, u_hat(theta)).
     """
-    u = np.zeros(len(sigma))
-    for _ in range(iters):
-        eta = xb + sigma[:, None] * u[:, None]
-        p = _expit(eta)
-        grad = (sigma[:, None] * (s - n * p)).sum(axis=1) - u
-        hess = -(sigma[:, None] ** 2 * n * p * (1 - p)).sum(axis=1) - 1.0
-        step = np.clip(grad / hess, -2.0, 2.0)   # damped: h is concave, steps stay bounded
-        u = u - step
-        if np.all(np.abs(step) < 1e-12):
-            break
-    eta = xb + sigma[:, None] * u[:, None]
+    beta, sigma = theta[:-1], float(theta[-1])
+    q = len(beta)
+    u = group_mode(s, n, X @ beta, sigma)
+    eta = X @ beta + sigma * u
     p = _expit(eta)
-    ll = (s * eta - n * np.logaddexp(0.0, eta)).sum(axis=1) - u * u / 2.0
-    info = (sigma[:, None] ** 2 * n * p * (1 - p)).sum(axis=1)
-    return ll - 0.5 * np.log1p(info)
+    w = p * (1 - p)
+    a1, a2, a3, a4 = s - n * p, -n * w, -n * w * (1 - 2 * p), -n * w * (1 - 6 * w)
+    J = np.column_stack([X, np.full(len(s), u), np.full(len(s), sigma)])  # d eta / d z
+    e_s, e_u = np.eye(q + 2)[q], np.eye(q + 2)[q + 1]
+    cross = np.outer(e_s, e_u) + np.outer(e_u, e_s)  # d2 eta / d z2
+
+    def outer(c: np.ndarray) -> np.ndarray:
+        return J.T @ (c[:, None] * J)
+
+    h_z = J.T @ a1 - u * e_u
+    h_zz = outer(a2) + a1.sum() * cross - np.outer(e_u, e_u)
+    # d h_zz / d u
+    h_uzz = sigma * outer(a3) + np.outer(e_s, J.T @ a2) + np.outer(J.T @ a2, e_s) + sigma * a2.sum() * cross
+    info = 1.0 - sigma * sigma * a2.sum()
+    i_z = -(sigma * sigma * (J.T @ a3) + 2 * sigma * a2.sum() * e_s)
+    i_zz = -(sigma * sigma * (outer(a4) + a3.sum() * cross)
+             + 2 * sigma * (np.outer(J.T @ a3, e_s) + np.outer(e_s, J.T @ a3)) + 2 * a2.sum() * np.outer(e_s, e_s))
+    G_z = h_z - 0.5 * i_z / info
+    G_zz = h_zz - 0.5 * (i_zz / info - np.outer(i_z, i_z) / info**2)
+    h_uu = h_zz[-1, -1]
+    u_t = -h_zz[-1, :-1] / h_uu
+    D = np.vstack([np.eye(q + 1), u_t])  # d (theta, u_hat) / d theta
+    u_tt = -(D.T @ h_uzz @ D) / h_uu
+    ll = float((s * eta - n * np.logaddexp(0.0, eta)).sum() - u * u / 2.0 - 0.5 * math.log(info))
+    return ll, D.T @ G_z, D.T @ G_zz @ D + G_z[-1] * u_tt
 
 
 class _Objective:
-    """Scores batches of parameter vectors with one Spark job each, JVM-side.
+    """Log-likelihood, gradient and Hessian at a parameter vector, one Spark job each.
 
-    Each group's cells are packed into one array (one entry per factor level,
-    bounded by the factor). The candidate vectors are exploded per group, the
-    inner Newton iteration for u_hat is an ``aggregate`` over a fixed number of
-    damped steps whose sums are nested ``aggregate`` calls over the cells, and
-    the Laplace terms are summed per candidate.
+    Each group's cells are packed into one row (one entry per factor level, bounded by the
+    factor); every partition adds up the terms of its groups and returns one row.
     """
 
     def __init__(self, cells: DataFrame, levels: list[str]):
         self.levels = levels
-        j = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col("lvl")).cast("int")
-        self.packed = cells.groupBy("g").agg(
-            F.collect_list(F.struct(j.alias("j"), F.col("n"), F.col("s"))).alias("cells"))
-
-    def __call__(self, thetas: np.ndarray) -> np.ndarray:
-        th = np.atleast_2d(np.asarray(thetas, dtype=float))
-        cand = F.array(*[F.struct(F.lit(k).alias("k"),
-                                  F.array(*[F.lit(float(v)) for v in row[:-1]]).alias("b"),
-                                  F.lit(float(abs(row[-1]))).alias("sig"))
-                         for k, row in enumerate(th)])
-        x = self.packed.select("g", "cells", F.explode(cand).alias("c"))
-        b, sig, cells = F.col("c")["b"], F.col("c")["sig"], F.col("cells")
-
-        def eta(c, u):
-            return (F.element_at(b, 1) + F.when(c["j"] > 1, F.element_at(b, c["j"])).otherwise(F.lit(0.0))
-                    + sig * u)
-
-        def expit(e):
-            return 0.5 * (1.0 + F.tanh(0.5 * e))
-
-        def step(u, _i):
-            grad = F.aggregate(cells, F.lit(0.0),
-                               lambda acc, c: acc + sig * (c["s"] - c["n"] * expit(eta(c, u)))) - u
-            hess = -F.aggregate(cells, F.lit(0.0),
-                                lambda acc, c: acc + sig * sig * c["n"] * expit(eta(c, u))
-                                * (1.0 - expit(eta(c, u)))) - 1.0
-            return u - F.least(F.lit(2.0), F.greatest(F.lit(-2.0), grad / hess))   # damped Newton
-
-        x = x.withColumn("_u", F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.lit(0.0), step))
-        u = F.col("_u")
-
-        def softplus(e):
-            return F.greatest(e, F.lit(0.0)) + F.log1p(F.exp(-F.abs(e)))
-
-        fit = F.aggregate(cells, F.lit(0.0),
-                          lambda acc, c: acc + c["s"] * eta(c, u) - c["n"] * softplus(eta(c, u)))
-        info = F.aggregate(cells, F.lit(0.0),
-                           lambda acc, c: acc + sig * sig * c["n"] * expit(eta(c, u)) * (1.0 - expit(eta(c, u))))
-        ll = fit - u * u / 2.0 - 0.5 * F.log1p(info)
-        res = x.groupBy(F.col("c")["k"].alias("k")).agg(F.sum(ll).alias("ll")).collect()
-        out = np.full(len(th), -np.inf)
-        for r in res:
-            out[r["k"]] = r["ll"]
-        return out
-
-
-def _derivatives(f: _Objective, theta: np.ndarray, h: float = 1e-4):
-    p = len(theta)
-    pts = [theta.copy()]
-    for i in range(p):
-        for sgn in (1, -1):
-            t = theta.copy(); t[i] += sgn * h; pts.append(t)
-    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-    for i, j in pairs:
-        for si, sj in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
-            t = theta.copy(); t[i] += si * h; t[j] += sj * h; pts.append(t)
-    v = f(np.array(pts))
-    f0 = v[0]
-    g = np.zeros(p)
-    H = np.zeros((p, p))
-    for i in range(p):
-        fp, fm = v[1 + 2 * i], v[2 + 2 * i]
-        g[i] = (fp - fm) / (2 * h)
-        H[i, i] = (fp - 2 * f0 + fm) / (h * h)
-    base = 1 + 2 * p
-    for m, (i, j) in enumerate(pairs):
-        pp, pm, mp, mm = v[base + 4 * m: base + 4 * m + 4]
-        H[i, j] = H[j, i] = (pp - pm - mp + mm) / (4 * h * h)
-    return f0, g, H
+        self.packed = reliable_checkpoint(cells.groupBy("g").agg(F.collect_list(F.struct("lvl", "n", "s")).alias("cells")))
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        place = {lvl: j for j, lvl in enumerate(self.levels)}
+        q = len(self.levels)
+
+        def add(batches):
+            ll, g, H = 0.0, np.zeros(q + 1), np.zeros((q + 1, q + 1))
+            for batch in batches:
+                for cells in batch["cells"]:
+                    X = np.zeros((len(cells), q))
+                    X[:, 0] = 1.0
+                    for row, c in enumerate(cells):
+                        if place[c["lvl"]]:
+                            X[row, place[c["lvl"]]] = 1.0
+                    one = group_terms(np.array([c["s"] for c in cells]), np.array([c["n"] for c in cells]), X, theta)
+                    ll, g, H = ll + one[0], g + one[1], H + one[2]
+            yield pd.DataFrame({"ll": [ll], "g": [g.tolist()], "h": [H.ravel().tolist()]})
+
+        parts = self.packed.select("cells").mapInPandas(add, "ll double, g array<double>, h array<double>").collect()  # a row a partition
+        return (math.fsum(r["ll"] for r in parts), np.sum([r["g"] for r in parts], axis=0),
+                np.sum([r["h"] for r in parts], axis=0).reshape(q + 1, q + 1))
 
 
 def _pooled_start(cells: DataFrame, levels: list[str]) -> np.ndarray:
@@ -174,52 +165,54 @@ def _ascent_direction(g: np.ndarray, H: np.ndarray) -> np.ndarray:
     return d if np.all(np.isfinite(d)) else g
 
 
-def random_intercept_logit(df: DataFrame, y: str, factor: str, group: str,
-                           max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
+def random_intercept_logit(df: DataFrame, y: str, factor: str, group: str, max_iter: int = 100) -> DataFrame:
     """Fit y ~ factor + (1 | group) on row-level 0/1 data; returns a tidy table
     (effect, term, estimate, std_error, z_value, p_value)."""
-    return _fit(_cells(df, y, factor, group), factor, group, max_iter, tol)
+    return _fit(_cells(df, y, factor, group), factor, group, max_iter)
 
 
 def random_intercept_logit_counts(df: DataFrame, group: str, factor: str, trials: str, successes: str,
-                                  max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
+                                  max_iter: int = 100) -> DataFrame:
     """The same fit from counts (trials and successes per group and level):
     the sufficient statistics, so no row per observation is ever made."""
     cells = (df.where(F.col(group).isNotNull() & F.col(factor).isNotNull())
                .groupBy(F.col(group).cast("string").alias("g"), F.col(factor).cast("string").alias("lvl"))
                .agg(F.sum(trials).cast("double").alias("n"), F.sum(successes).cast("double").alias("s"))
                .where(F.col("n") > 0))
-    return _fit(cells, factor, group, max_iter, tol)
+    return _fit(cells, factor, group, max_iter)
 
 
-def _fit(cells: DataFrame, factor: str, group: str, max_iter: int, tol: float) -> DataFrame:
-    spark = cells.sparkSession
-    cells = reliable_checkpoint(cells)
-    levels = sorted(r["lvl"] for r in cells.select("lvl").distinct().collect())
-    f = _Objective(cells, levels)
-    p = len(levels)
-    theta = np.zeros(p + 1)
-    theta[:p] = _pooled_start(cells, levels)
-    theta[-1] = 0.2
-    f0, g, H = _derivatives(f, theta)
-    for _ in range(max_iter):
+def _maximise(f, theta: np.ndarray, max_iter: int) -> tuple[np.ndarray, float, np.ndarray, int]:
+    """Newton steps with halving until the predicted gain is lost in the rounding of the log-likelihood."""
+    ll, g, H = f(theta)
+    for k in range(max_iter):
         d = _ascent_direction(g, H)
-        step, moved = 1.0, False
-        while step > 1e-6:
-            cand = theta + step * d
-            fc, gc, Hc = _derivatives(f, cand)
-            if np.isfinite(fc) and fc >= f0 - 1e-12 * (1 + abs(f0)):
-                theta, gain, moved = cand, fc - f0, True
-                f0, g, H = fc, gc, Hc
+        if g @ d <= 1e-10 * (1.0 + abs(ll) * 1e-4) and np.abs(d).max() < 1e-5:
+            return theta, ll, H, k
+        step = 1.0
+        while step > 1e-10:
+            new = f(theta + step * d)
+            if np.isfinite(new[0]) and new[0] >= ll - 1e-13 * abs(ll):
                 break
             step /= 4.0
-        if not moved or (np.abs(step * d).max() < 1e-8) or abs(gain) < tol * (1 + abs(f0)):
+        else:
             break
-    f0, g, H = _derivatives(f, theta)
-    hb = H[:p, :p]
+        theta, (ll, g, H) = theta + step * d, new
+    raise RuntimeError("the mixed model did not converge")
+
+
+def _fit(cells: DataFrame, factor: str, group: str, max_iter: int) -> DataFrame:
+    spark = cells.sparkSession
+    cells = reliable_checkpoint(cells)
+    found = cells.select("lvl").distinct().limit(MAX_LEVELS + 1).collect()
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"the factor {factor} has more than {MAX_LEVELS} levels")
+    levels = sorted(r["lvl"] for r in found)
+    p = len(levels)
+    start = np.append(_pooled_start(cells, levels), 0.2)
+    theta, ll, H, steps = _maximise(_Objective(cells, levels), start, max_iter)
     try:
-        cov = np.linalg.inv(-hb)
-        se = np.sqrt(np.clip(np.diag(cov), 0, None))
+        se = np.sqrt(np.where(np.diag(np.linalg.inv(-H)) > 0, np.diag(np.linalg.inv(-H)), np.nan))[:p]
     except np.linalg.LinAlgError:
         se = np.full(p, np.nan)
     names = [INTERCEPT] + [f"{factor}{lvl}" for lvl in levels[1:]]
@@ -227,11 +220,10 @@ def _fit(cells: DataFrame, factor: str, group: str, max_iter: int, tol: float) -
     rows = [("fixed", names[i], float(theta[i]), float(se[i])) for i in range(p)]
     rows += [("ran_pars", f"sd__(Intercept)|{group}", sigma, None),
              ("ran_pars", f"var__(Intercept)|{group}", sigma * sigma, None),
-             ("fit", "logLik", float(f0), None),
-             ("fit", "AIC", float(-2 * f0 + 2 * (p + 1)), None)]
+             ("fit", "logLik", ll, None),
+             ("fit", "AIC", float(-2 * ll + 2 * (p + 1)), None),
+             ("fit", "steps to convergence", float(steps), None)]
     schema = T.StructType([T.StructField("effect", T.StringType()), T.StructField("term", T.StringType()),
                            T.StructField("estimate", T.DoubleType()), T.StructField("std_error", T.DoubleType())])
-    out = spark.createDataFrame(rows, schema)
-    z = F.col("estimate") / F.col("std_error")
-    return out.select("effect", "term", "estimate", "std_error", z.alias("z_value"),
-                      F.when(F.col("std_error").isNotNull(), norm_two_sided(z)).alias("p_value"))
+    out = spark.createDataFrame(rows, schema).withColumn("z_value", F.col("estimate") / F.col("std_error"))
+    return out.withColumn("p_value", F.when(F.col("std_error").isNotNull(), F.expr(norm_two_sided_sql("z_value"))))

@@ -8,30 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def full_join(x: DataFrame, y: DataFrame, by: str, suffix: Sequence[str] = ("_x", "_y"),
-              skew_safe: bool = True) -> DataFrame:
+def full_join(x: DataFrame, y: DataFrame, by: str, suffix: Sequence[str] = ("_x", "_y")) -> DataFrame:
     """``full_join(x, y, by)``: NULL keys match each other, clashing non-key
     columns get suffixes, the key is the coalesce of both sides (J1).
 
-    ``<=>`` is planned as an ordinary equi-join key (sort-merge or shuffled
-    hash on the key), so no nested loop is introduced. With ``skew_safe`` the
-    full outer join is written as ``x LEFT JOIN y`` plus the rows of ``y``
-    whose key is absent from ``x`` (a left-anti join against the distinct keys
-    of ``x``): both are joins whose hot partitions AQE can split, which it
-    cannot do for a full outer join. The rows are the same either way.
+    Known keys are one full outer join: each side is read and shuffled once. The NULL keys,
+    the only ones that can be hot in a table of ids, are joined on their own as ``x LEFT
+    JOIN y`` plus the rows of ``y`` if ``x`` has none, both of which AQE can split.
     """
     common = (set(x.columns) & set(y.columns)) - {by}
     xs = x.select(F.col(by).alias("_kx"),
                   *[F.col(c).alias(c + suffix[0] if c in common else c) for c in x.columns if c != by])
     ys = y.select(F.col(by).alias("_ky"),
                   *[F.col(c).alias(c + suffix[1] if c in common else c) for c in y.columns if c != by])
-    if not skew_safe:
-        j = xs.join(ys, xs["_kx"].eqNullSafe(ys["_ky"]), "full")
-    else:
-        left = xs.join(ys, xs["_kx"].eqNullSafe(ys["_ky"]), "left")
-        keys = xs.select(F.col("_kx").alias("_kk")).distinct()
-        right_only = ys.join(keys, ys["_ky"].eqNullSafe(keys["_kk"]), "left_anti")
-        j = left.unionByName(right_only, allowMissingColumns=True)
+    known = xs.where(F.col("_kx").isNotNull()).join(ys.where(F.col("_ky").isNotNull()), F.col("_kx") == F.col("_ky"), "full")
+    xn, yn = xs.where(F.col("_kx").isNull()), ys.where(F.col("_ky").isNull())
+    left = xn.join(yn, F.col("_kx").eqNullSafe(F.col("_ky")), "left")
+    none = xn.select(F.col("_kx").alias("_kk")).distinct()
+    right_only = yn.join(none, F.col("_ky").eqNullSafe(F.col("_kk")), "left_anti")
+    j = known.unionByName(left).unionByName(right_only, allowMissingColumns=True)
     rest = [c for c in xs.columns if c != "_kx"] + [c for c in ys.columns if c != "_ky"]
     return j.select(F.coalesce(F.col("_kx"), F.col("_ky")).alias(by), *rest)
 

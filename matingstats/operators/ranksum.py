@@ -15,14 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matingstats.functions.special import norm_two_sided_sql, safe_div
+from matingstats.functions.special import ln_p, norm_two_sided_sql, safe_div
 from matingstats.functions.text import significance_yes_no
 
 
 def rank_sum_test(df: DataFrame, group: str, level: str, value: str,
                   first_level: str | None = None, alpha: float = 0.05) -> DataFrame:
     wg = Window.partitionBy(group)
-    wv = Window.partitionBy(group, value)
     x = df.select(group, level, F.col(value).cast("double").alias("_v"))
     x = (x.withColumn("_rank", F.rank().over(wg.orderBy("_v")).cast("double"))
           .withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(group, "_v")))
@@ -48,4 +47,4 @@ def rank_sum_test(df: DataFrame, group: str, level: str, value: str,
         group,
         F.when(F.col("_tested"), F.expr(norm_two_sided_sql("_z"))).alias("p_value"),
         F.when(F.col("_tested"), F.col("_w")).alias("W"))
-    return out.withColumn("Significant", significance_yes_no("p_value", alpha))
+    return out.withColumn("ln_p", ln_p("p_value")).withColumn("Significant", significance_yes_no("p_value", alpha))

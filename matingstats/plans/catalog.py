@@ -9,6 +9,7 @@ doubles rounded to 6 places.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -16,12 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matingstats.functions.text import as_integer
+from matingstats.operators.glm import analysis_of_deviance, logistic_by_counts, model_summary
+from matingstats.operators.glmm import random_intercept_logit_counts
 from matingstats.plans import contingency as CT
 from matingstats.plans import master as M
 from matingstats.plans import mixed as X
 from matingstats.plans import oracle as O
 from matingstats.plans import small as S
+from matingstats.session import reliable_checkpoint, remove_dir, shared_dir
 from matingstats.sources import roles
+from matingstats.sources.csv import read_pedigree_csv, write_csv
 
 
 class Inputs:
@@ -46,6 +52,10 @@ class Inputs:
     def places(self) -> DataFrame:
         return roles.places(self.spark, self.sf_dir)
 
+    @cached_property
+    def places_written(self) -> DataFrame:
+        return roles.places_written(self.spark, self.sf_dir)
+
     @cached_property
     def places_small(self) -> DataFrame:
         return roles.places_small(self.spark, self.sf_dir)
@@ -66,7 +76,11 @@ class Inputs:
         return S.valley_types(self.merged, self.places_small, mode)
 
     def types_master(self, form: str = "refined", mode: str = "independent") -> DataFrame:
-        return M.colony_types_master(self.master, self.places, form, mode)
+        places = self.places_written if form == "analysis" else self.places
+        return M.colony_types_master(self.master, places, form, mode)
+
+    def wide_small(self) -> DataFrame:
+        return reliable_checkpoint(S.year_valley_wide(self.types_small()))
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -83,36 +97,55 @@ def _q(fn: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataF
     return run
 
 
+def _through_csv(i: Inputs, df: DataFrame) -> DataFrame:
+    """``df`` written as CSV (NA for NULL) and read back; the written folder is removed."""
+    path = shared_dir(i.spark, "csv", uuid.uuid4().hex)
+    write_csv(df, path)
+    back = reliable_checkpoint(read_pedigree_csv(i.spark, path, df.columns))
+    remove_dir(i.spark, path)
+    return back
+
+
 def _csv_round_trip(i: Inputs) -> DataFrame:
-    """Write D3 as CSV (NA for NULL) to the shared folder and read it back."""
-    import uuid
-    from matingstats.session import shared_dir
-    from matingstats.sources.csv import read_pedigree_csv, write_csv
-    path = shared_dir(i.spark, "csv_round_trip", uuid.uuid4().hex)
-    write_csv(i.merged, path)
-    return read_pedigree_csv(i.spark, path, i.merged.columns)
+    """D3 through CSV."""
+    return _through_csv(i, i.merged)
+
+
+def _csv_small_chain(i: Inputs) -> DataFrame:
+    """The cleaned small data set from CSV files of its two inputs."""
+    return S.clean_offspring(S.merged_ped(_through_csv(i, i.parent), _through_csv(i, i.meta)))
+
+
+def _csv_master_level(i: Inputs) -> DataFrame:
+    """The mating-level table from a CSV file of the master pedigree."""
+    m = _through_csv(i, i.master).withColumn("yob", as_integer("yob")).withColumn("sire", F.col("sire").cast("bigint"))
+    return M.master_level(m)
 
 
 def _logit(i: Inputs, which: str) -> DataFrame:
-    from matingstats.operators.glm import logistic_by_counts
     if which == "master":
         return logistic_by_counts(M.master_level(i.master), "yob", "strategy_bin")
     return logistic_by_counts(S.sire_level_mating(i.merged), "yrborn", "strategy_bin")
 
 
 def _deviance(i: Inputs) -> DataFrame:
-    from matingstats.operators.glm import analysis_of_deviance
     a = analysis_of_deviance(M.master_level(i.master), "yob", "strategy_bin").withColumn("dataset", F.lit("master"))
     b = analysis_of_deviance(S.sire_level_mating(i.merged), "yrborn", "strategy_bin") \
         .withColumn("dataset", F.lit("small"))
     return a.unionByName(b)
 
 
-def _mixed_logit(i: Inputs) -> DataFrame:
+def _logit_summary(i: Inputs) -> DataFrame:
+    """Deviances, degrees of freedom and AIC of both fits."""
+    a = model_summary(M.master_level(i.master), "yob", "strategy_bin").withColumn("dataset", F.lit("master"))
+    b = model_summary(S.sire_level_mating(i.merged), "yrborn", "strategy_bin").withColumn("dataset", F.lit("small"))
+    return a.unionByName(b)
+
+
+def _mixed_logit(i: Inputs, form: str = "analysis") -> DataFrame:
     """T9 on D39: fitted from the (yob, valley) counts of D35 - the sufficient
     statistics of the one-row-per-offspring table, which is never built."""
-    from matingstats.operators.glmm import random_intercept_logit_counts
-    wide = M.valley_year_wide(i.types_master())
+    wide = M.valley_year_wide(i.types_master(form))
     counts = wide.select("yob", "valley", (F.col("Monogamous") + F.col("Polygynous")).alias("trials"),
                          F.col("Polygynous").alias("successes"))
     return random_intercept_logit_counts(counts, "yob", "valley", "trials", "successes")
@@ -142,9 +175,9 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "chisq_valley": lambda i: S.chisq_valley(i.types_small()),
     "chisq_residuals": lambda i: S.chisq_valley_residuals(i.types_small()),
     "year_valley_table": lambda i: S.year_valley_wide(i.types_small()),
-    "fisher_year_2x2": lambda i: S.fisher_by_year(i.types_small(), exact_rx2=False),
-    "fisher_year_rx2": lambda i: S.fisher_by_year(i.types_small(), exact_rx2=True),
-    "valid_fisher": lambda i: S.valid_fisher(i.types_small()),
+    "fisher_year_2x2": lambda i: S.fisher_by_year(i.wide_small(), exact_rx2=False),
+    "fisher_year_rx2": lambda i: S.fisher_by_year(i.wide_small(), exact_rx2=True),
+    "valid_fisher": lambda i: S.valid_fisher(i.wide_small()),
     "final_table": lambda i: S.final_table(i.types_small()),
     "rank_sum_small": lambda i: S.rank_sum_small(i.types_small()),
     # master data set
@@ -168,14 +201,25 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "valley_master": lambda i: M.valley_master(i.types_master()),
     "valley_year_master": lambda i: M.valley_year_master(i.types_master()),
     "rank_sum_master": lambda i: M.rank_sum_master(i.types_master()),
-    "int_audit": lambda i: M.int_audit(i.types_master()),
-    "fisher_per_year": lambda i: M.fisher_per_year(i.types_master()),
+    "colony_types_master_analysis": lambda i: i.types_master("analysis"),
+    "valley_master_analysis": lambda i: M.valley_master(i.types_master("analysis")),
+    "valley_year_master_analysis": lambda i: M.valley_year_master(i.types_master("analysis")),
+    "colony_table_analysis": lambda i: M.colony_table(i.master, form="analysis"),
+    # D36-D39 are steps of the first script: its form is the default
+    "int_audit": lambda i: M.int_audit(i.types_master("analysis")),
+    "int_audit_refined": lambda i: M.int_audit(i.types_master()),
+    "fisher_per_year": lambda i: M.fisher_per_year(i.types_master("analysis")),
+    "fisher_per_year_refined": lambda i: M.fisher_per_year(i.types_master()),
     "fisher_colony_mc": lambda i: M.fisher_colony_mc(i.master),
-    "long_offspring": lambda i: M.long_offspring(i.types_master()),
+    "fisher_colony_mc_refined": lambda i: M.fisher_colony_mc(i.master, form="refined"),
+    "long_offspring": lambda i: M.long_offspring(i.types_master("analysis")),
+    "long_offspring_refined": lambda i: M.long_offspring(i.types_master()),
     "logit_year": lambda i: _logit(i, "master"),
     "logit_year_small": lambda i: _logit(i, "small"),
     "logit_deviance": _deviance,
+    "logit_summary": _logit_summary,
     "mixed_logit": _mixed_logit,
+    "mixed_logit_refined": lambda i: _mixed_logit(i, "refined"),
     # both data sets
     "mixed_years": lambda i: X.mixed_years(i.merged, i.master),
     "mixed_sires": lambda i: X.mixed_sires(i.merged, i.master),
@@ -197,6 +241,8 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "fisher_mc_lang_toxic": lambda i: CT.fisher_mc(i.docs, "lang"),
     # source / sink
     "csv_round_trip": _csv_round_trip,
+    "csv_small_chain": _csv_small_chain,
+    "csv_master_level": _csv_master_level,
 }
 
 
@@ -306,41 +352,43 @@ join m_groups g on m.sire = g.sire and m.yob = g.yob where g.strategy = 'Monogam
 select col_area, cast(coalesce(sum(case when strategy = 'Monogamous' then n_individuals end), 0) as bigint) as Monogamous,
        cast(coalesce(sum(case when strategy = 'Polygynous' then n_individuals end), 0) as bigint) as Polygynous
 from scm group by col_area""")
-    an = {"fixed_a": "select * from master_raw where sire is not null and yob is not null and dam is not null",
-          "groups_a": """
-  select sire, yob, case when count(distinct dam) > 1 then 'Polygynous' else 'Monogamous' end as strategy
-  from fixed_a group by sire, yob""",
-          "ccm_a": """
-  select f.yob, f.col_area, g.strategy, cast(count(*) as bigint) as count
-  from fixed_a f join groups_a g on f.sire = g.sire and f.yob = g.yob group by f.yob, f.col_area, g.strategy"""}
-    q["colony_list_analysis"] = b(f"select distinct {O.trimws('lower(col_area)')} as col_area from fixed_a", an)
-    q["colony_year_counts_analysis"] = b("select * from ccm_a", an)
-    q["colony_year_number_analysis"] = b(
-        "select col_area, strategy, count(*) as n_individuals from ccm_a group by col_area, strategy", an)
+    q["colony_list_analysis"] = b(f"select distinct {O.trimws('lower(col_area)')} as col_area from fixed_a")
+    q["colony_year_counts_analysis"] = b("select * from ccm_a")
+    q["colony_year_number_analysis"] = b("select * from scm_a")
+    q["colony_types_master_analysis"] = b("select dam, sire, yob, col_area, strategy, valley from types_a")
+    q["valley_master_analysis"] = b("select * from svm_a")
+    q["valley_year_master_analysis"] = b("select * from svym_a")
+    q["colony_table_analysis"] = b("""
+select col_area, cast(coalesce(sum(case when strategy = 'Monogamous' then n_individuals end), 0) as bigint) as Monogamous,
+       cast(coalesce(sum(case when strategy = 'Polygynous' then n_individuals end), 0) as bigint) as Polygynous
+from scm_a group by col_area""")
     q["valley_master"] = b("select * from svm")
     q["valley_year_master"] = b("select * from svym")
     q["rank_sum_master"] = b("select * from (" + O.rank_sum_sql("svym", "valley", "strategy", "n_individuals") + ")")
-    q["int_audit"] = b("""
+    for name, wide in (("int_audit", "svym_wide_a"), ("int_audit_refined", "svym_wide")):
+        q[name] = b(f"""
 select cast(sum(case when regexp_full_match(coalesce(valley, ''), '[0-9]+') then 0 else 1 end) as bigint) as valley,
        cast(sum(case when regexp_full_match(cast(Monogamous as varchar), '[0-9]+') then 0 else 1 end) as bigint)
          as Monogamous,
        cast(sum(case when regexp_full_match(cast(Polygynous as varchar), '[0-9]+') then 0 else 1 end) as bigint)
          as Polygynous
-from svym_wide""")
+from {wide}""")
     rxm = O.fisher_rx3_sql("svym_wide_y", "yob", "valley", "Monogamous", "Polygynous")
-    q["fisher_per_year"] = b(f"""
+    for name, wide in (("fisher_per_year", "svym_wide_a"), ("fisher_per_year_refined", "svym_wide")):
+        q[name] = b(f"""
 select * from ({rxm}
 select t.g as year, case when tested then round(p.p, 6) end as p_value,
        case when not tested then 'NA' when p.p < 0.05 then 'Yes' else 'No' end as Significant
 from (select g, nrows > 1 and nz > 1 as tested from t
       join (select yob, sum(case when Monogamous + Polygynous > 0 then 1 else 0 end) as nz
             from svym_wide_y group by yob) z on t.g = z.yob) t
-left join p on t.g = p.g)""", {"svym_wide_y": "select * from svym_wide where yob is not null"})
-    q["long_offspring"] = b("""
+left join p on t.g = p.g)""", {"svym_wide_y": f"select * from {wide} where yob is not null"})
+    for name, wide in (("long_offspring", "svym_wide_a"), ("long_offspring_refined", "svym_wide")):
+        q[name] = b(f"""
 select yob, valley, strategy, case when strategy = 'Polygynous' then 1 else 0 end as strategy_bin
 from (select yob, valley, strategy, unnest(range(0, count)) as i from (
-  select yob, valley, 'Monogamous' as strategy, Monogamous as count from svym_wide
-  union all select yob, valley, 'Polygynous' as strategy, Polygynous as count from svym_wide))""")
+  select yob, valley, 'Monogamous' as strategy, Monogamous as count from {wide}
+  union all select yob, valley, 'Polygynous' as strategy, Polygynous as count from {wide}))""")
 
     # both data sets
     q["mixed_years"] = b("""
@@ -403,6 +451,8 @@ from (select col_area, strategy, count(*) as n_individuals, 'Small' as source fr
     q["plot_stack_colonies"] = b(_stack_sql("mcol", "source", "col_area", "strategy_fill", "n_individuals",
                                             order="strategy_fill_order"), mcol)
     q["csv_round_trip"] = b("select * from merged")
+    q["csv_small_chain"] = b("select * from clean")
+    q["csv_master_level"] = b("select * from master_level")
     docs = {"ld": "select l.doc_id, l.quality, l.toxic, d.lang from labels l join documents d on l.doc_id = d.doc_id",
             "tl": """
   select lang, cast(sum(case when toxic = 1 then 1 else 0 end) as bigint) as yes,
@@ -430,6 +480,8 @@ select contrast, cast(n_rows as integer) as n_rows, case when n_rows = 2 then ro
     q["logit_deviance"] = b(O.deviance_sql("master_level", "yob", "strategy_bin", "yob", "master")
                             + " union all "
                             + O.deviance_sql("sl_mating", "yrborn", "strategy_bin", "yrborn", "small"))
+    q["logit_summary"] = b(O.logit_summary_sql("master_level", "yob", "strategy_bin", "master") + " union all "
+                           + O.logit_summary_sql("sl_mating", "yrborn", "strategy_bin", "small"))
     return q
 
 

@@ -34,7 +34,7 @@ def outcome_table(docs: DataFrame, by: str, outcome: str = "toxic") -> DataFrame
 
 def fisher_exact(docs: DataFrame, by: str) -> DataFrame:
     t = outcome_table(docs, by)
-    return fisher_rx2(t, ["contrast"], by, "yes", "no")
+    return fisher_rx2(t, ["contrast"], by, "yes", "no", max_rows=4)
 
 
 def fisher_exact_2x2(docs: DataFrame, by: str) -> DataFrame:

@@ -20,6 +20,7 @@ from matingstats.operators.fisher import fisher_monte_carlo, fisher_rx2
 from matingstats.operators.ranksum import rank_sum_test
 from matingstats.operators.reshape import (complete_cells, non_integer_audit, pivot_longer,
                                            pivot_wider, uncount)
+from matingstats.session import reliable_checkpoint
 
 
 def _known_sire_year(m: DataFrame) -> DataFrame:
@@ -33,16 +34,23 @@ def sire_year_labels(m: DataFrame) -> DataFrame:
     return C.label_groups(_known_sire_year(m), "sire", "yob", "dam", na_is_value=True)
 
 
+def _rows_labelled(m: DataFrame, label: str) -> DataFrame:
+    """Rows of the (sire, yob) groups with that label, sorted by sire and year. The input is written once: it feeds
+    the label and the rows."""
+    known = reliable_checkpoint(_known_sire_year(m))
+    rows = C.label_rows(known, "sire", "yob", "dam", na_is_value=True)
+    return rows.where(F.col("strategy") == label).select(*m.columns) \
+               .orderBy(F.col("sire").asc_nulls_last(), F.col("yob").asc_nulls_last())
+
+
 def master_polygynous(m: DataFrame) -> DataFrame:
     """Rows of (sire, yob) groups with more than one dam (NA counted) - W1, W3."""
-    rows = C.label_rows(_known_sire_year(m), "sire", "yob", "dam", na_is_value=True)
-    return rows.where(F.col("strategy") == C.POLY).select(*m.columns)
+    return _rows_labelled(m, C.POLY)
 
 
 def master_monogamous(m: DataFrame) -> DataFrame:
     """Rows of (sire, yob) groups with exactly one dam value - W2."""
-    rows = C.label_rows(_known_sire_year(m), "sire", "yob", "dam", na_is_value=True)
-    return rows.where(F.col("strategy") == C.MONO).select(*m.columns)
+    return _rows_labelled(m, C.MONO)
 
 
 def offspring_by_year(m: DataFrame) -> DataFrame:
@@ -105,8 +113,9 @@ def fixed_master_ped(m: DataFrame, form: str = "refined") -> DataFrame:
 
 
 def colony_list(m: DataFrame, form: str = "refined") -> DataFrame:
-    """Distinct normalised colony names (sorted at output)."""
-    return fixed_master_ped(m, form).select(T.normalise_text("col_area").alias("col_area")).distinct()
+    """Distinct normalised colony names, sorted."""
+    return fixed_master_ped(m, form).select(T.normalise_text("col_area").alias("col_area")).distinct() \
+        .orderBy(F.col("col_area").asc_nulls_last())
 
 
 def colony_types_master(m: DataFrame, places: DataFrame, form: str = "refined",
@@ -114,7 +123,7 @@ def colony_types_master(m: DataFrame, places: DataFrame, form: str = "refined",
     """Distinct (dam, sire, yob, colony) in allowed colonies, strategy by
     membership in the D24 sets, valley. One inner join with the dimension is
     both the allowed-colony filter and the valley lookup."""
-    distinct_rows = fixed_master_ped(m, form).select("dam", "sire", "yob", "col_area").distinct()
+    distinct_rows = reliable_checkpoint(fixed_master_ped(m, form).select("dam", "sire", "yob", "col_area").distinct())
     if form == "refined":
         # the refined form keeps every row, and the label (some dam known and
         # either two distinct dams or also a missing one) does not change under
@@ -174,24 +183,24 @@ def colony_table(m: DataFrame, form: str = "refined") -> DataFrame:
     return pivot_wider(colony_year_number(m, form), ["col_area"], "strategy", "n_individuals", C.LEVELS)
 
 
-def fisher_colony_mc(m: DataFrame, B: int = 100_000, seed: int = 20250101) -> DataFrame:
+def fisher_colony_mc(m: DataFrame, form: str = "analysis", B: int = 100_000, seed: int = 20250101) -> DataFrame:
     """Monte-Carlo Fisher test of colony x strategy."""
-    t = colony_table(m)
+    t = colony_table(m, form)
     return fisher_monte_carlo(m.sparkSession, t, C.MONO, C.POLY, B=B, seed=seed)
 
 
-def fisher_per_year(types: DataFrame) -> DataFrame:
+def fisher_per_year(types: DataFrame, max_valleys: int = 3) -> DataFrame:
     """Fisher test of valley x strategy per year; tested only when at
     least two valleys have offspring (G11); label "Yes" / "No" / "NA"."""
-    wide = valley_year_wide(types).where(F.col("yob").isNotNull())
-    res = fisher_rx2(wide, ["yob"], "valley", C.MONO, C.POLY)   # any number of valleys
+    wide = reliable_checkpoint(valley_year_wide(types).where(F.col("yob").isNotNull()))
+    res = fisher_rx2(wide, ["yob"], "valley", C.MONO, C.POLY, max_rows=max_valleys)
     nonzero = wide.groupBy("yob").agg(
         F.sum(F.when(F.col(C.MONO) + F.col(C.POLY) > 0, 1).otherwise(0)).alias("_nz"))
     res = res.join(nonzero, "yob")
     tested = (F.col("n_rows") > 1) & (F.col("_nz") > 1)
     p = F.when(tested, F.col("p_value"))
     return res.select(F.col("yob").alias("year"), p.alias("p_value"),
-                      T.significance_text_na(p, tested).alias("Significant"))
+                      T.significance_text_na(p, tested).alias("Significant")).orderBy(F.col("year").asc_nulls_last())
 
 
 def long_offspring(types: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 Each entry is one standalone statement over the driver's pre-registered
 tables: the role views and every intermediate dataset are CTEs. Statistics
 use DuckDB's ``lgamma`` and list lambdas: the chi-square / normal tails are
-Q(a, x) = 1 - P(a, x) with P summed as a series in log space, the Fisher tests
-enumerate table supports. Doubles are rounded to 6 places on both sides.
+Q(a, x), below a + 1 from a series in log space and above from a continued fraction, the Fisher tests
+enumerate table supports. Doubles are rounded to 6 places on both sides; tails are
+also compared as ln p, so that small ones are tested too.
 """
 
 from __future__ import annotations
@@ -32,10 +33,14 @@ ROLE_CTES = {
     case when event_id % 31 = 0 then null
          else 'nation_' || cast(user_id % 25 as varchar) end as col_area,
     case when event_id % 2 = 0 then 'F' else 'M' end as sex
-  from events where event_id % 7 <> 0""",
+  from events where event_id % 7 <> 0 or event_id % 10 = 0""",
     "places": """
   select lower(n_name) as col_area,
     case when n_regionkey in (0, 1) then 'Upper Valley' else 'Lower Valley' end as valley
+  from nation where n_regionkey <> 4""",
+    "places_written": """
+  select case when n_nationkey % 2 = 0 then '  ' || lower(n_name) || ' ' else n_name end as col_area,
+    case when n_regionkey in (0, 1) then 'Upper Valley' else 'Lower Valley' end as valley
   from nation where n_regionkey <> 4""",
     "places_small": """
   select 'nation_' || cast(n_nationkey as varchar) as col_area,
@@ -55,12 +60,22 @@ def lchoose(n: str, k: str) -> str:
 
 
 def gamma_q(a: str, x: str) -> str:
-    """Q(a, x) = 1 - P(a, x), P = sum_j exp(-x + (a+j) ln x - lgamma(a+j+1)).
+    """Q(a, x): 1 - P with P = sum_j exp(-x + (a+j) ln x - lgamma(a+j+1)) below a + 1;
+    above it the upper tail itself, by Gauss' continued fraction evaluated from depth 400
+    (b_i = x + 2i + 1 - a, a_i = i (a - i)), so that small tails keep their digits.
 
-    The lambda variable has a name no column uses, so it never shadows one."""
-    return (f"(case when isnan({x}) then 'nan'::double when ({x}) <= 0 then 1.0 else greatest(0.0, 1.0 - list_sum(list_transform("
+    The lambda variables have names no column uses, so they never shadow one."""
+    return (f"(case when isnan({x}) then 'nan'::double when ({x}) <= 0 then 1.0 when ({x}) < ({a}) + 1 then greatest(0.0, 1.0 - list_sum(list_transform("
             f"range(0, cast(({x}) + 20 * sqrt({x}) + 60 as bigint)), "
-            f"lambda q_term: exp(-({x}) + (({a}) + q_term) * ln({x}) - lgamma(({a}) + q_term + 1))))) end)")
+            f"lambda q_term: exp(-({x}) + (({a}) + q_term) * ln({x}) - lgamma(({a}) + q_term + 1))))) "
+            f"else exp(-({x}) + ({a}) * ln({x}) - lgamma({a})) / (({x}) + 1 - ({a}) + list_reduce(list_transform(range(400, 0, -1), "
+            f"lambda q_depth: cast(q_depth as double)), lambda q_tail, q_depth: q_depth * (({a}) - q_depth) / "
+            f"(({x}) + 2 * q_depth + 1 - ({a}) + q_tail), 0.0)) end)")
+
+
+def ln_p(p: str) -> str:
+    """ln p to 6 places: six digits of p itself, however small."""
+    return f"case when ({p}) > 0 then round(ln({p}), 6) end"
 
 
 def chisq_sf(stat: str, df: str) -> str:
@@ -180,7 +195,34 @@ MASTER = {
   from svym group by yob, valley""",
 }
 
-_ORDER = (["master_raw", "gen_parent", "gen_meta", "places", "places_small"]
+# the first script's form: sire, year and dam known, colony text as written
+MASTER |= {
+    "fixed_a": "select * from master_raw where sire is not null and yob is not null and dam is not null",
+    "groups_a": """
+  select sire, yob, case when count(distinct dam) > 1 then 'Polygynous' else 'Monogamous' end as strategy
+  from fixed_a group by sire, yob""",
+    "ccm_a": """
+  select f.yob, f.col_area, g.strategy, cast(count(*) as bigint) as count
+  from fixed_a f join groups_a g on f.sire = g.sire and f.yob = g.yob group by f.yob, f.col_area, g.strategy""",
+    "scm_a": "select col_area, strategy, count(*) as n_individuals from ccm_a group by col_area, strategy",
+    "types_a": """
+  select * from (
+    select r.dam, r.sire, r.yob, r.col_area,
+           case when sf.sp = 1 and yf.yp = 1 then 'Polygynous'
+                when sf.sm = 1 and yf.ym = 1 then 'Monogamous' end as strategy, p.valley
+    from (select distinct dam, sire, yob, col_area from fixed_a) r join places_written p on r.col_area = p.col_area
+    left join m_sire_flags sf on r.sire = sf.s left join m_year_flags yf on r.yob = yf.y)
+  where strategy is not null""",
+    "svm_a": "select valley, strategy, count(*) as n_individuals from types_a group by valley, strategy",
+    "svym_a": "select valley, yob, strategy, count(*) as n_individuals from types_a group by valley, yob, strategy",
+    "svym_wide_a": """
+  select yob, valley,
+         cast(coalesce(sum(case when strategy = 'Monogamous' then n_individuals end), 0) as bigint) as Monogamous,
+         cast(coalesce(sum(case when strategy = 'Polygynous' then n_individuals end), 0) as bigint) as Polygynous
+  from svym_a group by yob, valley""",
+}
+
+_ORDER = (["master_raw", "gen_parent", "gen_meta", "places", "places_written", "places_small"]
           + list(SMALL) + list(MASTER))
 
 
@@ -215,7 +257,8 @@ def chisq_sql(cells: str, row: str, col: str, n: str, residuals: bool = False) -
          sum(cast({n} as double)) over (partition by {row}) as rt,
          sum(cast({n} as double)) over (partition by {col}) as ct,
          sum(cast({n} as double)) over () as nt,
-         count(distinct {row}) over () as nr, count(distinct {col}) over () as nc
+         count(distinct {row}) over () + max(case when {row} is null then 1 else 0 end) over () as nr,
+         count(distinct {col}) over () + max(case when {col} is null then 1 else 0 end) over () as nc
   from {cells}"""
     if residuals:
         return f"""
@@ -227,7 +270,7 @@ from ({base})"""
             f"else power({dev}, 2) / (rt * ct / nt) end")
     return f"""
 select round(x2, 6) as statistic, cast(df as int) as df, round({chisq_sf('x2', 'df')}, 6) as p_value,
-       cast(nr as int) as n_rows, cast(nc as int) as n_cols
+       {ln_p(chisq_sf('x2', 'df'))} as ln_p, cast(nr as int) as n_rows, cast(nc as int) as n_cols
 from (select sum({term}) as x2, any_value((nr - 1) * (nc - 1)) as df, any_value(nr) as nr,
              any_value(nc) as nc from ({base}))"""
 
@@ -269,7 +312,7 @@ st as (
          nx * ny / 12.0 * ((nx + ny + 1) - ties / ((nx + ny) * (nx + ny - 1))) as var
   from agg),
 pv as (select g, nl, w, case when nl > 1 then {p} end as p from st)
-select g as {group}, round(p, 6) as p_value, case when nl > 1 then round(w, 6) end as W,
+select g as {group}, round(p, 6) as p_value, {ln_p('p')} as ln_p, case when nl > 1 then round(w, 6) end as W,
        case when p is not null and not isnan(p) and p < 0.05 then 'Yes' else 'No' end as Significant
 from pv"""
 
@@ -333,10 +376,20 @@ def logit_sql(src: str, x: str, y: str, name: str) -> str:
     se1 = "sqrt(s00 / (s00 * s11 - s01 * s01))"
     return "select * from (" + _irls_sql(src, x, y) + f"""
 select '(Intercept)' as term, round(b0, 6) as estimate, round({se0}, 6) as std_error,
-       round(b0 / {se0}, 6) as z_value, round({norm_two_sided(f'(b0 / {se0})')}, 6) as p_value from fin
+       round(b0 / {se0}, 6) as z_value, round({norm_two_sided(f'(b0 / {se0})')}, 6) as p_value,
+       {ln_p(norm_two_sided(f'(b0 / {se0})'))} as ln_p from fin
 union all
 select '{name}' as term, round(b1, 6) as estimate, round({se1}, 6) as std_error,
-       round(b1 / {se1}, 6) as z_value, round({norm_two_sided(f'(b1 / {se1})')}, 6) as p_value from fin)"""
+       round(b1 / {se1}, 6) as z_value, round({norm_two_sided(f'(b1 / {se1})')}, 6) as p_value,
+       {ln_p(norm_two_sided(f'(b1 / {se1})'))} as ln_p from fin)"""
+
+
+def logit_summary_sql(src: str, x: str, y: str, dataset: str) -> str:
+    """Deviances, degrees of freedom and AIC of the fit (0/1 response: the saturated likelihood is 1)."""
+    null_dev = "(-2 * (sy * ln(sy / n) + (n - sy) * ln(1 - sy / n)))"
+    return "select * from (" + _irls_sql(src, x, y) + f"""
+select '{dataset}' as dataset, round({null_dev}, 6) as null_deviance, round(n - 1, 6) as null_df, round(dev, 6) as deviance,
+       round(n - 2, 6) as resid_df, round(dev + 4, 6) as aic from fin)"""
 
 
 def deviance_sql(src: str, x: str, y: str, name: str, dataset: str) -> str:

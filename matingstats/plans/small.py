@@ -17,6 +17,7 @@ from matingstats.operators.fisher import fisher_2x2, fisher_rx2
 from matingstats.operators.joins import first_per_key, full_join
 from matingstats.operators.ranksum import rank_sum_test
 from matingstats.operators.reshape import complete_cells, pivot_wider
+from matingstats.session import reliable_checkpoint
 from matingstats.sources.roles import OTHER
 
 
@@ -69,13 +70,15 @@ def sire_classification(merged: DataFrame) -> DataFrame:
 
 
 def polygynous_sires(merged: DataFrame) -> DataFrame:
-    """The polygynous rows of D7 (sorted at output)."""
-    return sire_classification(merged).where(F.col("strategy") == C.POLY)
+    """The polygynous rows of D7, sorted by sire and year."""
+    return sire_classification(merged).where(F.col("strategy") == C.POLY) \
+        .orderBy(F.col("sire_x").asc_nulls_last(), F.col("yrborn").asc_nulls_last())
 
 
 def monogamous_sires(merged: DataFrame) -> DataFrame:
-    """The monogamous rows of D7 (sorted at output)."""
-    return sire_classification(merged).where(F.col("strategy") == C.MONO)
+    """The monogamous rows of D7, sorted by sire and year."""
+    return sire_classification(merged).where(F.col("strategy") == C.MONO) \
+        .orderBy(F.col("sire_x").asc_nulls_last(), F.col("yrborn").asc_nulls_last())
 
 
 # ------------------------------------------------------- strategy per pup
@@ -116,10 +119,10 @@ def with_valley(df: DataFrame, places: DataFrame, default: str | None = OTHER) -
 def valley_types(merged: DataFrame, places: DataFrame, mode: str = "independent") -> DataFrame:
     """Distinct (dam, sire, year, colony, sex), strategy by membership
     (P14, ``independent`` or ``pair``), valley Upper / Lower / Other."""
-    rows = merged.select("dam_x", "sire_x", "yrborn", "col_area", "sex").distinct()
     # D7 labels (n_dams is not needed here). min/max of dam per (sire, year) do
     # not change under de-duplication, so they are taken from the distinct rows:
-    # the merged table is computed once and feeds both branches.
+    # the merged table is computed once, written, and feeds both branches.
+    rows = reliable_checkpoint(merged.select("dam_x", "sire_x", "yrborn", "col_area", "sex").distinct())
     cls = C.label_pairs(rows, "sire_x", "yrborn", "dam_x")
     lab = C.membership_strategy(rows, "sire_x", "yrborn", cls, "sire_x", "yrborn", mode)
     return with_valley(lab, places)
@@ -215,35 +218,35 @@ def year_valley_wide(types: DataFrame) -> DataFrame:
     return pivot_wider(t, ["yrborn", "valley"], "strategy", "n", C.LEVELS)
 
 
-def fisher_by_year(types: DataFrame, exact_rx2: bool = True) -> DataFrame:
-    """Fisher test of valley x strategy per year; NA when one valley.
+def fisher_by_year(wide: DataFrame, exact_rx2: bool = True) -> DataFrame:
+    """Fisher test of valley x strategy per year on the wide table of D21; NA when one valley.
 
-    ``exact_rx2`` runs the r x 2 test per year (grouped pandas job); otherwise
+    ``exact_rx2`` runs the r x 2 test per year; otherwise
     the "Other" valley is dropped and the 2 x 2 column form is used.
     """
-    wide = year_valley_wide(types)
     if exact_rx2:
-        res = fisher_rx2(wide, ["yrborn"], "valley", C.POLY, C.MONO)
+        res = fisher_rx2(wide, ["yrborn"], "valley", C.POLY, C.MONO, max_rows=3)  # Upper, Lower, Other
     else:
         res = fisher_2x2(wide.where(F.col("valley") != OTHER), ["yrborn"], "valley", C.POLY, C.MONO)
     return res.select("yrborn", F.when(F.col("n_rows") > 1, F.col("p_value")).alias("p_value"))
 
 
-def valid_fisher(types: DataFrame) -> DataFrame:
+def valid_fisher(wide: DataFrame) -> DataFrame:
     """P11 on D22: years with a finite p-value."""
-    r = fisher_by_year(types)
+    r = fisher_by_year(wide)
     return r.where(~T.is_na("p_value"))
 
 
 def final_table(types: DataFrame) -> DataFrame:
     """D21 + dominant strategy, joined to the per-year test, labelled.
 
-    The per-year result has one row per year (bounded by the calendar); AQE
-    broadcasts it at run time.
+    The wide table (three rows a year) is computed once and written; the test and the
+    output both read it.
     """
-    wide = year_valley_wide(types).withColumn("dominant_strategy", T.dominant_level(C.POLY, C.MONO))
-    res = fisher_by_year(types)
-    out = wide.join(res, "yrborn", "left").withColumn("significant", T.significance_label("p_value"))
+    wide = reliable_checkpoint(year_valley_wide(types))
+    res = fisher_by_year(wide)
+    out = wide.withColumn("dominant_strategy", T.dominant_level(C.POLY, C.MONO)).join(res, "yrborn", "left") \
+              .withColumn("significant", T.significance_label("p_value"))
     return out.select("yrborn", "valley", C.MONO, C.POLY, "dominant_strategy", "p_value", "significant") \
               .orderBy(F.col("yrborn").asc_nulls_last(), F.col("valley").asc_nulls_last())
 

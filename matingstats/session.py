@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: AQE re-plans joins at run time (broadcast
@@ -56,22 +58,31 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> st
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A folder every executor can reach: the checkpoint folder, else the warehouse."""
+    """A path in the checkpoint folder, which every executor can reach.
+
+    A local session without ``spark.checkpoint.dir`` gets a folder of its own; on a cluster
+    the setting is required.
+    """
     base = ensure_checkpoint_dir(spark)
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="checkpoint-"))
     base = base.rstrip("/")
     return "/".join([base, *parts]) if parts else base
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store, wherever that is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def reliable_checkpoint(df):
     """Cut lineage of a reduced table by writing it to the shared checkpoint folder.
 
-    Used before iterative loops (model fits) so a lost executor never forces a
-    re-read of the raw tables. Without a shared folder the reduced table is
-    cached instead (a lost block is then recomputed from its lineage).
+    Used where a table feeds several branches and before iterative loops (model fits), so that it is computed
+    once and a lost executor never forces a re-read of the raw tables.
     """
-    spark = df.sparkSession
-    if ensure_checkpoint_dir(spark):
-        return df.checkpoint(eager=True)
-    return df.cache()
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

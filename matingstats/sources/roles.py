@@ -9,7 +9,7 @@ The analysis needs three inputs and one dimension:
 
 The views follow FIXTURES.md section 3. The modulo predicates there plant the
 missing values (NA sire, "N/A" year, NA colony) and the one-sided ids the
-full join must keep; every row of the source tables is still read.
+full join must keep. Every row of the source tables has at least one role.
 Only the columns used are selected, so the parquet scans prune to them.
 """
 
@@ -59,11 +59,16 @@ def master_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 17 == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("sire"),
         F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED")).alias("dam"),
         F.year("o_orderdate").cast("int").alias("yob"),
-        F.when(F.col("n_nationkey") % 2 == 0,
-               F.concat(F.lit("  "), F.lower("n_name"), F.lit(" "))).otherwise(F.col("n_name")).alias("col_area"),
+        _written_colony().alias("col_area"),
     )
 
 
+def _written_colony() -> F.Column:
+    """The colony as the master pedigree has it: half of the names padded and in lower case."""
+    return F.when(F.col("n_nationkey") % 2 == 0,
+                  F.concat(F.lit("  "), F.lower("n_name"), F.lit(" "))).otherwise(F.col("n_name"))
+
+
 def gen_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parentage table: prefixed offspring id, sire and dam."""
     e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
@@ -77,10 +82,11 @@ def gen_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gen_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genotype metadata: prefixed uid, empty parent columns, birth year as
-    text ("N/A" and NULL included), colony code and sex."""
+    text ("N/A" and NULL included), colony code and sex. Ids that have no
+    parentage row are all here, so every event is on one side at least."""
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id")
     eid = F.col("event_id")
-    return e.where(eid % 7 != 0).select(
+    return e.where((eid % 7 != 0) | (eid % 10 == 0)).select(
         F.concat(F.lit(ID_PREFIX), eid.cast("string")).alias("uid"),
         F.lit(None).cast("string").alias("sire"),
         F.lit(None).cast("string").alias("dam"),
@@ -105,6 +111,12 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower("n_name").alias("col_area"), _valley_of_region().alias("valley"))
 
 
+def places_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``places`` keyed by the colony text as written, which the first script's form compares unnormalised."""
+    n = table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    return n.where(F.col("n_regionkey") != 4).select(_written_colony().alias("col_area"), _valley_of_region().alias("valley"))
+
+
 def places_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colony -> valley for the small data, keyed by the colony code of ``gen_meta``."""
     n = table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")

@@ -31,14 +31,22 @@ def test_role_view_sizes(views):
     p = views["parent"].agg(F.count("*"), F.count("sire"), F.count("dam")).first()
     assert tuple(p) == (9000, 8526, 7189)
     g = views["meta"].agg(F.count("*"), F.count("yrborn"), F.count("col_area"), F.count_distinct("yrborn")).first()
-    assert tuple(g) == (8571, 8288, 8295, 31)
+    assert tuple(g) == (8714, 8427, 8433, 31)
     pl = views["places"].groupBy("valley").count().collect()
     assert {r["valley"]: r["count"] for r in pl} == {"Upper Valley": 10, "Lower Valley": 10}
 
 
+def test_every_event_has_a_role(spark, views):
+    ids = spark.read.parquet(f"{SF_CHECK}/events.parquet").select(F.col("event_id").cast("string").alias("uid"))
+    merged = S.merged_ped(views["parent"], views["meta"])
+    assert ids.join(merged, "uid", "left_anti").count() == 0
+    one_sided = merged.agg(F.count_if(F.col("sex").isNull()), F.count_if(F.col("sex").isNotNull() & (F.col("uid").cast("long") % 10 == 0))).first()
+    assert min(one_sided) > 0
+
+
 def test_small_merge_and_classification(views):
     merged = S.merged_ped(views["parent"], views["meta"])
-    assert merged.count() == 9857
+    assert merged.count() == 10000
     d7 = S.sire_classification(merged)
     row = d7.agg(F.count("*"), F.sum(F.when(F.col("strategy") == "Polygynous", 1)), F.sum("n_dams"),
                  F.count_distinct("yrborn")).first()

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matingstats.operators.glm import analysis_of_deviance, logistic_by_counts
-from matingstats.operators.glmm import group_loglik, random_intercept_logit
+from matingstats.operators.glm import analysis_of_deviance, logistic_by_counts, model_summary
+from matingstats.operators.glmm import group_terms, random_intercept_logit
 
 
 def irls(x, y, w):
@@ -49,13 +49,15 @@ def test_logistic_equals_row_level_irls(data):
     an = {r["term"]: r for r in analysis_of_deviance(df, "year", "bin").collect()}
     assert an["year"]["resid_dev"] == pytest.approx(dev, rel=1e-6)
     assert an["year"]["resid_df"] == 398.0 and an["NULL"]["resid_df"] == 399.0
+    whole = model_summary(df, "year", "bin").first()
+    assert whole["aic"] == pytest.approx(dev + 4, rel=1e-6) and whole["null_deviance"] == pytest.approx(an["NULL"]["resid_dev"], rel=1e-9)
 
 
 def test_laplace_group_term_matches_quadrature():
     s, n = np.array([3.0, 7.0]), np.array([10.0, 12.0])
     xb = np.array([[0.2, -0.4]])
     for sigma in (0.0, 0.5, 1.0):
-        lap = group_loglik(s, n, xb, np.array([sigma]))[0]
+        lap = group_terms(s, n, np.eye(2), np.array([*xb[0], sigma]))[0]
         u = np.linspace(-10, 10, 20001)
         eta = xb[0][None, :] + sigma * u[:, None]
         ll = (s * eta - n * np.logaddexp(0, eta)).sum(1)
@@ -114,3 +116,42 @@ def test_mixed_logit_from_counts_equals_rows(spark):
     b = {r["term"]: r["estimate"] for r in random_intercept_logit(rows, "y", "valley", "g").collect()}
     for k in ("(Intercept)", "valleyUpper", "logLik"):
         assert a[k] == pytest.approx(b[k], rel=1e-7, abs=1e-9)
+
+
+def test_laplace_derivatives_match_differences():
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        n = rng.integers(1, 50, 3).astype(float)
+        s = np.floor(n * rng.random(3))
+        X = np.array([[1.0, 0, 0], [1, 1, 0], [1, 0, 1]])
+        t, h = np.array([0.3, -0.5, 0.8, 0.7 * rng.random()]), 1e-6
+        _, g, H = group_terms(s, n, X, t)
+        step = h * np.eye(4)
+        up, down = [group_terms(s, n, X, t + d) for d in step], [group_terms(s, n, X, t - d) for d in step]
+        assert g == pytest.approx(np.array([(a[0] - b[0]) / (2 * h) for a, b in zip(up, down)]), abs=1e-6)
+        assert H == pytest.approx(np.array([(a[1] - b[1]) / (2 * h) for a, b in zip(up, down)]), abs=1e-6)
+
+
+def test_laplace_mode_converges_for_large_groups():
+    # the mode lies far from 0: u is about 402
+    ll = group_terms(np.array([6e8]), np.array([1e9]), np.array([[1.0]]), np.array([0.0, 0.001]))[0]
+    assert ll == pytest.approx(-6.731e8, rel=1e-4)
+
+
+def test_standard_errors_come_from_the_whole_hessian(spark):
+    rng = np.random.default_rng(2)
+    cells = [(g, v, 40, int(rng.binomial(40, 1 / (1 + math.exp(-(b + u)))))) for g, u in enumerate(rng.normal(0, 1, 8))
+             for v, b in (("Lower", -0.2), ("Upper", 0.6))]
+    from matingstats.operators.glmm import random_intercept_logit_counts
+    df = spark.createDataFrame(cells, "g int, valley string, n long, s long")
+    fit = {r["term"]: r for r in random_intercept_logit_counts(df, "g", "valley", "n", "s").collect()}
+    theta = np.array([fit["(Intercept)"]["estimate"], fit["valleyUpper"]["estimate"], fit["sd__(Intercept)|g"]["estimate"]])
+    g, H = np.zeros(3), np.zeros((3, 3))
+    for k in range(8):
+        own = [c for c in cells if c[0] == k]
+        X = np.array([[1.0, c[1] == "Upper"] for c in own])
+        _, a, b = group_terms(np.array([c[3] for c in own], float), np.array([c[2] for c in own], float), X, theta)
+        g, H = g + a, H + b
+    assert np.abs(g).max() < 1e-4
+    se = np.sqrt(np.diag(np.linalg.inv(-H)))
+    assert fit["(Intercept)"]["std_error"] == pytest.approx(se[0], rel=1e-6) and fit["valleyUpper"]["std_error"] == pytest.approx(se[1], rel=1e-6)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from matingstats.functions import special as S
 from matingstats.operators.chisq import chisq_test, std_residuals
-from matingstats.operators.fisher import fisher_2x2, fisher_monte_carlo, fisher_rx2, fisher_rx2_p
+from matingstats.operators.fisher import fisher_2x2, fisher_monte_carlo, fisher_rx2
+from tests.reference import fisher_rx2_p
 from matingstats.operators.ranksum import rank_sum_test
 
 
@@ -23,13 +24,13 @@ def value(spark, expr):
     (0.001, 1, 0.9747728794),
 ])
 def test_chisq_tail(spark, stat, df, expected):
-    got = value(spark, S.chisq_sf(F.lit(stat), F.lit(df)))
+    got = value(spark, F.expr(S.chisq_sf_sql(f"{stat}D", str(df))))
     assert got == pytest.approx(expected, rel=1e-7)
 
 
 @pytest.mark.parametrize("z,expected", [(0.70533549, 0.4806014799), (0.65108095, 0.5149942361)])
 def test_normal_two_sided(spark, z, expected):
-    got = value(spark, S.norm_two_sided(F.lit(z)))
+    got = value(spark, F.expr(S.norm_two_sided_sql(f"{z}D")))
     assert got == pytest.approx(math.erfc(z / math.sqrt(2.0)), abs=1e-12)
     # the hand values were computed from z with more digits than printed
     assert got == pytest.approx(expected, abs=5e-9)
@@ -37,12 +38,12 @@ def test_normal_two_sided(spark, z, expected):
 
 def test_published_logistic_p_values(spark):
     # Refined.R results: b / SE -> z -> p
-    assert value(spark, S.norm_two_sided(F.lit(-0.03490 / 0.04948))) == pytest.approx(0.481, abs=5e-4)
-    assert value(spark, S.norm_two_sided(F.lit(0.01295 / 0.01989))) == pytest.approx(0.515, abs=5e-4)
+    assert value(spark, F.expr(S.norm_two_sided_sql(f"{-0.03490 / 0.04948!r}D"))) == pytest.approx(0.481, abs=5e-4)
+    assert value(spark, F.expr(S.norm_two_sided_sql(f"{0.01295 / 0.01989!r}D"))) == pytest.approx(0.515, abs=5e-4)
 
 
 def test_lgamma_matches_python(spark):
-    rows = spark.range(1, 60).select("id", S.lgamma(F.col("id") / 2.0).alias("v")).collect()
+    rows = spark.range(1, 60).select("id", F.expr(S.lgamma_sql("(id / 2.0D)")).alias("v")).collect()
     for r in rows:
         assert r["v"] == pytest.approx(math.lgamma(r["id"] / 2.0), abs=1e-11)
 
@@ -170,3 +171,48 @@ def test_monte_carlo_is_deterministic_per_seed(spark):
     # a table at the most probable configuration is never extreme: p = 1
     flat = spark.createDataFrame([("a", 5, 5), ("b", 5, 5)], "r string, x long, y long")
     assert fisher_monte_carlo(spark, flat, "x", "y", B=2000, seed=1).first()["p_value"] == 1.0
+
+
+def test_fisher_does_not_depend_on_the_order_of_rows(spark):
+    import itertools
+    rows = [(g, i, a, b) for g, p in enumerate(itertools.permutations([(95, 5), (452, 49548), (453, 49547)])) for i, (a, b) in enumerate(p)]
+    t = spark.createDataFrame(rows, "g int, r int, a long, b long")
+    for r in fisher_rx2(t, ["g"], "r", "a", "b").collect():
+        assert r["p_value"] == pytest.approx(3.185191168993e-184, rel=1e-9)
+
+
+def test_fisher_2x2_keeps_its_digits_at_large_counts(spark):
+    from matingstats.operators.fisher import with_fisher_2x2
+    tables = []
+    for n in (10**6, 10**8, 10**9):
+        tables += [(n, n, n, n + 1000), (n, n + 1000, n, n), (n, n, n + 1000, n), (n + 1000, n, n, n)]
+    tables.append((4 * 10**9, 4 * 10**9, 4 * 10**9, 4 * 10**9 + 70_000))
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(tables)], "i int, a long, b long, c long, d long")
+    p = [r["p"] for r in with_fisher_2x2(df, "a", "b", "c", "d", "p").orderBy("i").collect()]
+    for k in range(3):
+        assert p[4 * k:4 * k + 4] == pytest.approx([p[4 * k]] * 4, rel=1e-9)
+    assert p[0] == pytest.approx(0.61782331, abs=1e-7)
+    assert 0.5 < p[-1] < 0.7
+
+
+def test_fisher_rx2_of_four_and_five_rows(spark):
+    tables = {"a": [[3, 9], [8, 2], [5, 5], [1, 7]], "b": [[3, 9], [8, 2], [5, 5], [0, 0], [2, 6]], "c": [[4, 1], [1, 4]]}
+    rows = [(g, str(i), x, y) for g, t in tables.items() for i, (x, y) in enumerate(t)]
+    df = spark.createDataFrame(rows, "g string, r string, a long, b long")
+    got = {r["g"]: r["p_value"] for r in fisher_rx2(df, ["g"], "r", "a", "b", max_rows=5).collect()}
+    for g, t in tables.items():
+        t = np.array(t)
+        assert got[g] == pytest.approx(fisher_rx2_p(t[:, 0], t[:, 1]), rel=1e-10)
+    with pytest.raises(Exception, match="more than 3 rows"):
+        fisher_rx2(df, ["g"], "r", "a", "b").collect()
+
+
+def test_chisq_counts_a_null_row(spark):
+    cells = spark.createDataFrame([(None, "x", 30), (None, "y", 10), ("a", "x", 20), ("a", "y", 20), ("b", "x", 10), ("b", "y", 25)],
+                                  "r string, c string, n long")
+    r = chisq_test(cells, "r", "c").first()
+    o = np.array([[30, 10], [20, 20], [10, 25]], float)
+    e = o.sum(1)[:, None] * o.sum(0)[None, :] / o.sum()
+    assert (r["n_rows"], r["df"]) == (3, 2) and r["statistic"] == pytest.approx((((o - e) ** 2) / e).sum(), rel=1e-12)
+    assert r["ln_p"] == pytest.approx(-r["statistic"] / 2, rel=1e-12)  # two degrees of freedom
+    assert std_residuals(cells, "r", "c").count() == 6

@@ -21,7 +21,7 @@ from matingstats.operators.fisher import fisher_monte_carlo, fisher_rx2
 t = spark.createDataFrame([("g", "a", 4, 6), ("g", "b", 1, 9), ("g", "c", 7, 3), ("g", "d", 2, 8)],
                           "g string, r string, x long, y long")
 print("MC", fisher_monte_carlo(spark, t, "x", "y", B=2000, seed=1).first()["p_value"])
-print("RX", fisher_rx2(t, ["g"], "r", "x", "y").first()["p_value"])
+print("RX", fisher_rx2(t, ["g"], "r", "x", "y", max_rows=4).first()["p_value"])
 spark.stop()
 """
 
