@@ -59,16 +59,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows for jobs that run inside: bounds the memory of wide rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for jobs that run inside."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_BATCH, before)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batch to ``rows`` rows of text.
+
+    Results are lazy, so their batches follow from the session when they run; executors hold several batches of each
+    task outside of the heap.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, str(rows))
 
 
 def with_row_key(docs: DataFrame, id_col: str, *keep: str) -> DataFrame:

@@ -16,6 +16,7 @@ keys; an empty table gives empty files; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from matingstats.llm.common import ROW, by_value, with_row_key
+from matingstats.llm.common import ROW, batches_of, by_value, with_row_key
 
 by_value(__name__)
 
@@ -111,13 +112,16 @@ class LibraryEncoder:
         """Ids of chunks without white space into ``known``."""
         whole, words, cut, tails = [], [], [], set()
         for c in chunks:
+            if c.isalpha():
+                words.append(c)
+                continue
             head = c.rstrip(self.TAIL)
             if len(head) < len(c) and head[-1:].isalpha():
                 tail = c[len(head):]
                 cut.append((c, head, tail))
                 tails.add(tail)
             else:
-                (words if c.isalpha() else whole).append(c)
+                whole.append(c)
         for h in {h for _, h, _ in cut}.difference(known, chunks):  # a head ends in a letter, so it is never cut itself
             (words if h.isalpha() else whole).append(h)
         known.update(zip(words, self._word_ids(words, blank)))
@@ -130,8 +134,8 @@ class LibraryEncoder:
 
     def _resolve(self, chunks: set[str], known: dict[str, bytes], blank: str, lines: set[str]) -> set[str]:
         """Learns chunks; returns those with white space that is not a single line feed."""
-        simple, folded, odd = set(), [], set()
-        for c in chunks:
+        simple, folded, odd = {c for c in chunks if c.isalpha()}, [], set()
+        for c in chunks - simple:
             words = c.split()
             if len(words) == 1 and len(words[0]) == len(c):
                 simple.add(c)
@@ -177,7 +181,7 @@ class LibraryEncoder:
 
 
 def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
-                 shards: int | None = None, shard_bytes: int = 64 << 20, block_tokens: int = 1 << 20) -> None:
+                 shards: int | None = None, shard_bytes: int = 48 << 20, block_tokens: int = 1 << 20) -> None:
     """Writes the ids of all documents in ascending order of their ids to ``path``."""
     spark = docs.sparkSession
     with open(model_path, encoding="utf-8") as f:  # bounded by the vocabulary; executors need not have the file
@@ -193,6 +197,8 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 0, i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        gc.freeze()  # what is remembered has no cycles: not to be searched for them again and again
+        gc.set_threshold(200_000, 20, 100)
         shard, block, before, width = TaskContext.get().partitionId(), 0, 0, 4
         encoder, ids, coded, total = None, [], [], 0
 
@@ -211,8 +217,8 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 0, i
             if encoder is None:
                 encoder = LibraryEncoder(model)
                 width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 for i, c in zip(part.column("id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                     ids.append(i)
                     coded.append(c + end)
@@ -223,7 +229,8 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 0, i
         if ids:
             yield done()
 
-    sorted_.mapInArrow(run, BLOCK).write.parquet(path)
+    with batches_of(spark, 1000):
+        sorted_.mapInArrow(run, BLOCK).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
