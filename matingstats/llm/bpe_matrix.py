@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from matingstats.llm.common import by_value
+from matingstats.llm.common import bound_batches, by_value
 
 by_value(__name__)
 
@@ -228,6 +228,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     """``docs`` with the ids of ``text_col`` as an array column ``out_col`` in place of the text."""
     with open(ranks_path, "rb") as f:  # bounded by the vocabulary; executors need not have the file
         raw = f.read()
+    bound_batches(docs.sparkSession)
     others = [f for f in docs.schema.fields if f.name not in (text_col, out_col)]
     schema = T.StructType([*others, T.StructField(out_col, T.ArrayType(T.IntegerType(), False))])
 

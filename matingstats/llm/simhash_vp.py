@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.llm.common import ROW, ascii_lower, by_value, maybe_broadcast, once, small_batches, stored, with_row_key
+from matingstats.llm.common import ROW, ascii_lower, batches_of, by_value, maybe_broadcast, once, stored, with_row_key
 
 by_value(__name__)
 
@@ -174,13 +174,17 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, pieces=PIECES, sample: int
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = pdf["fp"].to_numpy()
-            for made, mask, budget, first in trees:
-                for at, own, home in route(fps.view(np.uint64), made, mask, budget):
-                    yield pd.DataFrame({"shard": np.int64(first + at), "fp": fps[own], "home": home})
+            found = [(np.full(len(own), first + at), own, np.full(len(own), home)) for made, mask, budget, first in trees
+                     for at, own, home in route(fps.view(np.uint64), made, mask, budget)]
+            if not found:
+                continue
+            shard, own, home = (np.concatenate(x) for x in zip(*found))
+            yield pd.DataFrame({"shard": shard, "fp": fps[own], "home": home})
 
     # a row grows about tenfold here, so the few bytes of a node are dealt out first
     dealt = nodes.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
-    members = stored(dealt.mapInPandas(routed, "shard long, fp long, home boolean"), "shards")
+    with batches_of(spark, 10_000):
+        members = stored(dealt.mapInPandas(routed, "shard long, fp long, home boolean"), "shards")
     # one row per leaf of a tree: no more than three times the sample
     sizes = members.groupBy("shard").agg(F.count("*").alias("m"), F.count_if("home").alias("h"))
     sizes = sizes.select("shard", F.ceil(F.col("h") / block).cast("int").alias("gh"), F.ceil(F.col("m") / block).cast("int").alias("gm")).where("gh > 0")
@@ -220,7 +224,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _grouped(keyed: DataFrame, id_col: str, text_col: str, n: int, max_bits: int, **how) -> DataFrame:
     """(ROW, id, fp, first) of every row; first is (id is null, id, ROW) of its component's first row."""
-    with small_batches(keyed.sparkSession, 500):  # a row has a hash for each word
+    with batches_of(keyed.sparkSession, 500):  # a row has a hash for each word
         rows = stored(fingerprints(keyed.select(ROW, F.col(id_col).alias("id"), F.col(text_col).alias("text")), n=n), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("first")), "nodes")
     roots = components(links(nodes.select("fp"), max_bits, **how))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.llm.common import ROW, by_value, stored, with_row_key
+from matingstats.llm.common import ROW, bound_batches, by_value, stored, with_row_key
 
 by_value(__name__)
 
@@ -277,6 +277,7 @@ def repeated_spans(rows: DataFrame, least: int = LEAST, shard_bytes: int = 1 <<
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: its id, n_bytes, spans (removed byte ranges) and kept (the remaining bytes)."""
+    bound_batches(docs.sparkSession)
     rows = with_row_key(docs, id_col, text_col).select(ROW, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = stored(repeated_spans(rows.select(ROW, "text"), least, **how), "spans")
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matingstats.llm.common import by_value, stored
+from matingstats.llm.common import bound_batches, by_value, stored
 
 by_value(__name__)
 
@@ -189,6 +189,7 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """``docs`` with score and offending (start, end, score); without the text unless ``keep_text``."""
+    bound_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     if {f.name for f in kept} & {"score", "offending"}:
         raise ValueError("docs has a column score or offending already")
