@@ -7,7 +7,7 @@ estimated from the data. A host is blocked when even the lower bound of its post
 lies above a threshold. Explicit rules come first.
 
 Everything is grouped per host before it is joined: a host with a third of all pages
-costs one row per map task in the counts. The join back to the pages is a plain
+costs one row per map task in the counts. The counts are stored and read by each level. The join back to the pages is a plain
 inner join of (page, url) with one row per host, which adaptive execution splits where
 a host is hot.
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.llm.common import ascii_lower, sql_string
+from matingstats.llm.common import ascii_lower, sql_string, stored
 
 #: (verdict, host, path) in the order of the list.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
@@ -104,7 +104,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: f
         .agg(F.max("bad").cast("double").alias("bad"))
     counts = (parts.join(seen, parts[id_col] == seen["labelled_id"], "left").groupBy("host")
               .agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")))
-    hosts = reputation(counts, weight, z)
+    # one row per host: written once, as every level's prior reads it again
+    hosts = stored(reputation(stored(counts, "hosts"), weight, z), "reputation")
     if rules:
         hosts = hosts.withColumn("fits", _rules_of_host(rules))
         hit = F.expr("get(filter(fits, r -> startswith(path, r.path)), 0)")
