@@ -10,7 +10,7 @@ Splitting is local: a text is first cut before each blank, and as long as no cut
 white space these chunks are split by the pattern on their own; the ids of a chunk are remembered
 in the task (up to ``REMEMBER`` chunks, then the memory starts anew). Other texts are split whole.
 
-Decoding gathers the bytes of all ids of a batch from one table.
+Decoding gathers the bytes of many ids at once from one table.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded one by one; an
 empty table gives an empty result; all other columns are kept by ``encode`` and ``decode``.
@@ -224,24 +224,57 @@ def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Record
         yield batch.slice(begin)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text_col`` as an array column ``out_col`` in place of the text."""
+class Decoder:
+    """Bytes of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = {r: t for t, r in ranks.items()}
+        tokens = [by_id.get(k, b"") for k in range(max(by_id) + 1)]
+        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.table = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray, step: int = 1 << 17) -> list[bytes]:
+        """Bytes of each text; its ids are ``ids`` from one of ``ends`` to the next."""
+        data, begins = [], [np.zeros(1, dtype=np.int64)]
+        for at in range(0, len(ids), step):
+            part, begin = gather(self.table, self.starts, self.lengths, ids[at:at + step])
+            data.append(part.tobytes())
+            begins.append(begin[1:] + begins[-1][-1])
+        whole, at = b"".join(data), np.concatenate(begins)[ends]
+        return [whole[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+#: Bytes of text, or ids, that a task works on at a time.
+PART = 1 << 19
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of ``text_col`` as an array column ``out_col`` in place of the text.
+
+    ``decoded_col``: a further column of the bytes that these ids decode to, made in the same task.
+    """
     with open(ranks_path, "rb") as f:  # bounded by the vocabulary; executors need not have the file
         raw = f.read()
     bound_batches(docs.sparkSession)
-    others = [f for f in docs.schema.fields if f.name not in (text_col, out_col)]
-    schema = T.StructType([*others, T.StructField(out_col, T.ArrayType(T.IntegerType(), False))])
+    others = [f for f in docs.schema.fields if f.name not in (text_col, out_col, decoded_col)]
+    schema = T.StructType([*others, T.StructField(out_col, T.ArrayType(T.IntegerType(), False))]
+                          + ([T.StructField(decoded_col, T.BinaryType())] if decoded_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = decoder = None
         for batch in batches:
             if encoder is None:
-                encoder = Encoder({base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())}, pattern)
-            for part in _slices(batch, text_col, 8 << 20):
+                ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())}
+                encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
+            for part in _slices(batch, text_col, PART):
                 coded = encoder.encode(part.column(text_col).to_pylist())
                 ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + [ids], [f.name for f in others] + [out_col])
+                flat = np.frombuffer(b"".join(coded), dtype="<i4")
+                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded_col:
+                    made.append(pa.array(decoder.decode(flat, ends), pa.binary()))
+                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + made, schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
@@ -250,24 +283,17 @@ def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str
     """``coded`` with the bytes that the ids stand for as a binary column ``out_col``."""
     with open(ranks_path, "rb") as f:
         raw = f.read()
+    bound_batches(coded.sparkSession)
     others = [f for f in coded.schema.fields if f.name != out_col]
     schema = T.StructType([*others, T.StructField(out_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = {int(r): base64.b64decode(t) for t, r in map(bytes.split, raw.splitlines())}
-        tokens = [ranks.get(k, b"") for k in range(max(ranks) + 1)]
-        lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        table = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        decoder = Decoder({base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())})
         for batch in batches:
-            for part in _slices(batch, ids_col, 1 << 20):
+            for part in _slices(batch, ids_col, PART):
                 ids = part.column(ids_col)
-                flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                data, begin = gather(table, starts, lengths, flat)
                 ends = ids.offsets.to_numpy().astype(np.int64)
-                at = begin[ends - ends[0]]
-                out = data.tobytes()
-                made = pa.array([out[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + [made], [f.name for f in others] + [out_col])
+                made = pa.array(decoder.decode(ids.flatten().to_numpy(zero_copy_only=False), ends - ends[0]), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + [made], schema.fieldNames())
 
     return coded.mapInArrow(run, schema)

@@ -97,8 +97,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``docs`` (doc_id, text)."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    back = bpe_matrix.decode(bpe_matrix.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    back = bpe_matrix.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded_col="decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -269,6 +269,11 @@ def test_bpe(spark, docs):
     more = docs + [(9000 + i, t) for i, t in enumerate([*odd, "a" * 3000, "ab" * 2000 + " " + "x" * 700, "<|endoftext|> <|endoftext|>"])]
     got = queries.bpe_digests(_frame(spark, more).select("doc_id", "text"))
     assert _rows(got) == sorted(brute.op9(more), key=str)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe_matrix.encode(_frame(spark, more), ranks, public_tokenizers.PATTERN)
+    assert "words" in coded.columns
+    back = bpe_matrix.decode(coded.select("doc_id", "ids"), ranks)
+    assert {r["doc_id"]: bytes(r["decoded"]) for r in back.collect()} == {d: (t or "").encode() for d, t in more}
 
 
 def test_library_chunks_equal_whole_texts(docs):
