@@ -197,8 +197,7 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 0, i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        gc.freeze()  # what is remembered has no cycles: not to be searched for them again and again
-        gc.set_threshold(200_000, 20, 100)
+        gc.disable()  # what is remembered has no cycles: not to be searched for them again and again
         shard, block, before, width = TaskContext.get().partitionId(), 0, 0, 4
         encoder, ids, coded, total = None, [], [], 0
 
@@ -213,21 +212,26 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 0, i
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            if encoder is None:
-                encoder = LibraryEncoder(model)
-                width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for i, c in zip(part.column("id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
-                    ids.append(i)
-                    coded.append(c + end)
-                    total += len(c) // 4 + 1
-                    if total >= block_tokens:
-                        yield done()
-                        before, block, ids, coded, total = before + total, block + 1, [], [], 0
-        if ids:
-            yield done()
+        try:
+            for batch in batches:
+                if encoder is None:
+                    encoder = LibraryEncoder(model)
+                    width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    for i, c in zip(part.column("id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
+                        ids.append(i)
+                        coded.append(c + end)
+                        total += len(c) // 4 + 1
+                        if total >= block_tokens:
+                            yield done()
+                            before, block, ids, coded, total = before + total, block + 1, [], [], 0
+            if ids:
+                yield done()
+        finally:
+            encoder = None
+            gc.enable()
+            gc.collect()  # the worker goes on to other tasks
 
     with batches_of(spark, 1000):
         sorted_.mapInArrow(run, BLOCK).write.parquet(path)
