@@ -84,7 +84,7 @@ class LibraryEncoder:
     the parts joined. Texts with other white space go to the library whole.
     """
 
-    REMEMBER = 850_000
+    REMEMBER = 700_000
     #: Punctuation that is cut off the end of a chunk; no apostrophe, which may begin a contraction.
     TAIL = ".,!?;:%*$&|)\"}]"
 
@@ -181,7 +181,7 @@ class LibraryEncoder:
 
 
 def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
-                 shards: int | None = None, shard_bytes: int = 40 << 20, block_tokens: int = 1 << 20) -> None:
+                 shards: int | None = None, shard_bytes: int = 32 << 20, block_tokens: int = 1 << 20) -> None:
     """Writes the ids of all documents in ascending order of their ids to ``path``."""
     spark = docs.sparkSession
     with open(model_path, encoding="utf-8") as f:  # bounded by the vocabulary; executors need not have the file
