@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matingstats.llm import (bpe_matrix, chat_events, decontaminate, host_reputation, secret_scan, simhash_vp, stream_dedup,
+from matingstats.llm import (bpe_matrix, chat_events, decontaminate, host_reputation, periodic_runs, secret_scan, simhash_vp, stream_dedup,
                              suffix_dedup, token_store, toxicity)
 from matingstats.llm.common import new_folder
 
@@ -109,6 +109,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+#: op11: in every tenth document the words from a place on repeat a period, both derived from its id.
+_PERIODIC = r"""CASE WHEN crc32(CAST(doc_id AS string)) % 10 = 0 THEN element_at(transform(
+    array(named_struct('w', regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0), 'g', crc32(CAST(doc_id AS string)) div 10)), d -> IF(size(d.w) = 0, '', element_at(transform(
+    array(named_struct('a', d.g % size(d.w), 'p', 1 + (size(d.w) - d.g % size(d.w)) div (3 + d.g % 8))), c ->
+    array_join(transform(sequence(0, size(d.w) - 1), i -> d.w[CAST(IF(i < c.a, i, c.a + (i - c.a) % c.p) AS int)]), ' ')), 1))), 1) ELSE text END"""
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodically repeated words of every document, and what is left when each keeps its first period."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_PERIODIC).alias("text"))
+    found = periodic_runs.with_runs(docs)
+    # the greatest length / period by cross multiplication, then the smallest start and period
+    best = F.expr("""get(array_sort(runs, (x, y) -> CASE WHEN x.length * y.period > y.length * x.period THEN -1 WHEN x.length * y.period < y.length * x.period THEN 1
+        WHEN x.start < y.start THEN -1 WHEN x.start > y.start THEN 1 WHEN x.period < y.period THEN -1 WHEN x.period > y.period THEN 1 ELSE 0 END), 0)""")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"),
+                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -120,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 

@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries ``opN_<name>`` that SQL can express.
 
-Left out: op3 (a learnt model), op5 (XXH64 and components), op8 and op9 (merges of a tokenizer); these
+Left out: op3 and op12 (learnt models), op5 (XXH64 and components), op8 and op9 (merges of a tokenizer); these
 are tested against brute force, a round trip and held-out labels.
 """
 
@@ -120,6 +120,48 @@ f AS (SELECT DISTINCT page_id, host, path, arg_max(rh || rp, len(rh || rp)) AS r
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN hp USING (host) LEFT JOIN f USING (page_id, host, path)"""
 
+# CRC-32 of the decimal id by bits; pairs of equal strings of 8 words one period apart, joined to islands, are the runs
+_OP11 = r"""
+WITH h AS (SELECT doc_id, text, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(8 * len(s)),
+             lambda i: CASE WHEN i % 8 = 0 THEN CAST(ascii(substring(s, CAST(i // 8 + 1 AS BIGINT), 1)) AS BIGINT) ELSE CAST(0 AS BIGINT) END)),
+             lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END), 4294967295) AS h
+           FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+o AS (SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM h),
+a AS (SELECT *, g % len(w) AS a, 1 + (len(w) - g % len(w)) // (3 + g % 8) AS p FROM o),
+d AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)), lambda i: w[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS BIGINT) + 1])
+      ELSE w END AS w FROM a),
+e AS (SELECT doc_id, unnest(range(greatest(len(w) - 7, 0))) AS i, w FROM d),
+k AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 8], ' ') AS k FROM e),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i),
+isles AS (SELECT doc_id, q, min(i) AS s, count(*) + q + 7 AS n FROM
+          (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM pairs) GROUP BY doc_id, q, isle),
+runs AS (SELECT doc_id, s, n, min(q) AS q FROM isles WHERE n >= 24 AND n >= 3 * q GROUP BY doc_id, s, n),
+per AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS listed, list({'s': s + q, 'e': s + n}) AS gone FROM runs GROUP BY doc_id),
+best AS (SELECT r.* FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs t WHERE t.doc_id = r.doc_id
+         AND (t.n * r.q > r.n * t.q OR t.n * r.q = r.n * t.q AND (t.s < r.s OR t.s = r.s AND t.q < r.q))))
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(n AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+       CAST(1000 * n // q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(list_filter(range(len(w)),
+              lambda i: len(list_filter(gone, lambda r: i >= r.s AND i < r.e)) = 0), lambda i: w[i + 1]), ' ') END) AS collapsed_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+_OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lower("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, unnest(list_transform(range(greatest(CAST(len(w) AS BIGINT) - m + 1, 0)), lambda i: array_to_string(w[i + 1:i + m], ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3]) AS m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS v, f AS a FROM f WHERE m > 1 AND f >= 10),
+cuts AS (SELECT c.*, k, array_to_string(v[:k], ' ') AS x, array_to_string(v[k + 1:], ' ') AS y FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+scored AS (SELECT cuts.*, fx.f AS l, fy.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(fx.f AS HUGEINT) * fy.f) AS score
+           FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y),
+one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(v[1:2], ' '), array_to_string(v[2:3], ' ')]) AS phrase FROM c WHERE m = 3) GROUP BY ALL),
+kept AS (SELECT one.* FROM one LEFT JOIN longer ON longer.lang = one.lang AND longer.phrase = one.phrase AND m = 2 WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
 SQL: dict[str, str] = {
     "op1_decontaminate": _OP1,
     "op2_suffix_dedup": _OP2,
@@ -127,6 +169,8 @@ SQL: dict[str, str] = {
     "op6_chat": _OP6,
     "op7_exact_dedup": _OP7,
     "op10_url_filter": _OP10,
+    "op11_periodic_runs": _OP11,
+    "op13_collocations": _OP13,
 }
 
 
