@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matingstats.llm import (bpe_matrix, chat_events, decontaminate, host_reputation, periodic_runs, secret_scan, simhash_vp, stream_dedup,
+from matingstats.llm import (bpe_matrix, chat_events, collocations, decontaminate, host_reputation, periodic_runs, secret_scan, simhash_vp, stream_dedup,
                              suffix_dedup, token_store, toxicity)
 from matingstats.llm.common import new_folder
 
@@ -130,6 +130,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "runs_sha256", "collapsed_sha256")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest collocations of two and three words of each language."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 
