@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matingstats.llm import (bpe_matrix, chat_events, collocations, decontaminate, host_reputation, periodic_runs, secret_scan, simhash_vp, stream_dedup,
-                             suffix_dedup, token_store, toxicity)
+from matingstats.llm import (bpe_matrix, chat_events, collocations, decontaminate, host_reputation, neighbour_quality, periodic_runs, secret_scan,
+                             simhash_vp, stream_dedup, suffix_dedup, token_store, toxicity)
 from matingstats.llm.common import new_folder
 
 
@@ -130,6 +130,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "runs_sha256", "collapsed_sha256")
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the votes of its nearest labelled neighbours, learnt from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = neighbour_quality.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    found = neighbour_quality.score(docs, model)
+    return found.select("doc_id", neighbour_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest collocations of two and three words of each language."""
     return collocations.mine(_table(spark, sf_dir, "documents"))
@@ -147,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality": op12_quality,
     "op13_collocations": op13_collocations,
 }
 
