@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import xxhash
 
@@ -147,3 +149,56 @@ def op9(docs):
     for d, text in docs:
         ids = e.encode_ordinary(text or "")
         yield d, len(ids), sha(" ".join(map(str, ids))), sha(e.decode_bytes(ids))
+
+
+def runs(words, least=24, times=3):
+    """(start, length, period) of runs by comparing all words a period apart, smallest period of each stretch."""
+    found = {}
+    for q in range(1, len(words) // times + 1):
+        i = 0
+        while i < len(words) - q:
+            j = i
+            while j < len(words) - q and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, times * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def op11(docs):
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        h = zlib.crc32(str(d).encode())
+        g, n = h // 10, len(w)
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        found = runs(w)
+        gone = {i for s, m, q in found for i in range(s + q, s + m)}
+        best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None, None, None))
+        yield (d, len(found), *best, None if best[0] is None else 1000 * best[1] // best[2], sha("".join(f"{s},{m},{q}\n" for s, m, q in found)),
+               sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+def op13(docs, longest=3, least=10, inside=50, top=2000):
+    """``docs``: (lang, text)."""
+    f, total = defaultdict(Counter), Counter()
+    for lang, t in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for m in range(1, longest + 1):
+                f[lang].update(tuple(w[i:i + m]) for i in range(len(w) - m + 1))
+    for lang, own in f.items():
+        chosen = {p: a for p, a in own.items() if len(p) > 1 and a >= least}
+        rows = []
+        for p, a in chosen.items():
+            if any(len(o) > len(p) and 100 * b >= inside * a and any(o[i:i + len(p)] == p for i in range(len(o))) for o, b in chosen.items()):
+                continue
+            score, k = min((10**6 * a * a // (own[p[:k]] * own[p[k:]]), k) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), own[p[:k]], own[p[k:]]))
+        for rank, (score, a, p, x, y) in enumerate(sorted(rows)[:top], 1):
+            yield lang, rank, p.decode(), -a, x, y, total[lang], -score

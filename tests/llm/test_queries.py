@@ -35,12 +35,12 @@ def test_sql(spark, con, name):
     assert _sorted(df.select(*cols).collect()) == _sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_suffix_dedup", "op4_secrets", "op5_simhash", "op6_chat", "op7_exact_dedup", "op8_token_store", "op9_bpe", "op10_url_filter"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_suffix_dedup", "op4_secrets", "op5_simhash", "op6_chat", "op7_exact_dedup", "op8_token_store", "op9_bpe", "op10_url_filter", "op11_periodic_runs", "op13_collocations"])
 def test_brute_force(spark, con, name):
     docs = con.execute("select doc_id, text from documents").fetchall()
     n = int(name[2:].split("_")[0])
     args = {1: [docs, con.execute("select item_id, text from benchmark").fetchall()], 6: [con.execute("select conv_id, turn, role, text from conversations").fetchall()],
-            10: [con.execute("select page_id, url from pages").fetchall()]}.get(n, [docs])
+            10: [con.execute("select page_id, url from pages").fetchall()], 13: [con.execute("select lang, text from documents").fetchall()]}.get(n, [docs])
     want = [tuple(r) for r in getattr(brute, f"op{n}")(*args)]
     got = [tuple(r) for r in queries()[name](spark, SF).collect()]
     if n == 10:  # the method's own verdicts are not in the contract
@@ -58,6 +58,16 @@ def test_toxicity_held_out(spark, con):
     assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) / len(held) > 0.93
 
 
+def test_quality_held_out(spark, con):
+    sf = SF.replace("0.001", "0.01")
+    rows = queries()["op12_quality"](spark, sf).collect()
+    labels = dict(con.execute(f"select doc_id, quality from '{sf}/labels.parquet'").fetchall())
+    assert len(rows) == con.execute(f"select count(*) from '{sf}/documents.parquet'").fetchall()[0][0]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) / len(held) > 0.95
+
+
 def test_pipeline(spark, con):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
