@@ -123,71 +123,79 @@ class Batch:
                     if not len(start):
                         break
                     columns, n = combined([c[start] for c in ahead[:m]], size)
-                    own = np.zeros((len(n), self.longest), dtype=np.int64)
-                    own[:, :m] = np.column_stack(columns)
+                    own = np.zeros((self.longest, len(n)), dtype=np.int32)
+                    for k, column in enumerate(columns):
+                        own[k] = column
                     strings.append(own)
                     weights.append(n)
                 if strings:
-                    yield from self._dealt(lang, seed, np.concatenate(strings), np.concatenate(weights), vocabulary, mixed)
+                    yield from self._dealt(lang, seed, np.concatenate(strings, axis=1), np.concatenate(weights), vocabulary, mixed)
 
     def _dealt(self, lang, seed, strings, weights, vocabulary, mixed):
-        h = np.full(len(strings), seed, dtype=np.uint64)
-        for k in range(self.longest):
-            h = (h ^ mixed[strings[:, k]]) * np.uint64(0x9E3779B97F4A7C15)
+        h = np.full(strings.shape[1], seed, dtype=np.uint64)
+        for column in strings:
+            h = (h ^ mixed[column]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        bucket = (h % np.uint64(self.buckets)).astype(np.int64)
+        bucket = (h % np.uint64(self.buckets)).astype(np.min_scalar_type(self.buckets))
         order = np.argsort(bucket, kind="stable")
-        bucket, strings, weights = bucket[order], strings[order], weights[order]
+        bucket, strings, weights = bucket[order], strings[:, order], weights[order]
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        here = np.zeros(len(vocabulary), dtype=bool)  # the words of one bucket, then their numbers in it
+        number = np.zeros(len(vocabulary), dtype=np.int32)
         for a, z in zip(first.tolist(), np.append(first[1:], len(bucket)).tolist()):
-            used, own = np.unique(strings[a:z], return_inverse=True)
-            if used[0]:  # 0 stays the empty symbol
-                used, own = np.append(0, used), own + 1
-            yield (int(bucket[a]), lang, z - a, b" ".join([vocabulary[k] for k in used[1:].tolist()]),
-                   _narrow(own.reshape(z - a, self.longest).T), _narrow(weights[a:z]))
+            own = strings[:, a:z]
+            here[own] = True
+            here[0] = True  # 0 stays the empty symbol
+            used = np.flatnonzero(here)
+            here[used] = False
+            number[used] = np.arange(len(used))
+            yield (int(bucket[a]), lang, z - a, b" ".join([vocabulary[k] for k in used[1:].tolist()]), _narrow(number[own]), _narrow(weights[a:z]))
 
 
 def frequent(strings: np.ndarray, weights: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Multikey three-way quicksort of pointers to ``strings`` (one row per depth, 0 ends a string): a pointer to each distinct string
     that weighs ``least`` or more, and its weight."""
-    depths = len(strings)
-    at = np.arange(strings.shape[1])
-    part = np.zeros(len(at), dtype=np.int64)  # partition of each pointer; those of a partition are neighbours
-    depth = np.zeros(1, dtype=np.int64)
-    if weights.sum() < least:
+    depths, size = strings.shape
+    symbols = np.ascontiguousarray(strings).ravel()
+    at = np.arange(size)  # pointers to the symbols at the current depth; a depth further is ``size`` further
+    heavy = weights.astype(np.float64)  # exact below 2^53
+    part = np.zeros(size, dtype=np.int32)  # partition of each pointer; those of a partition are neighbours
+    parts, draw = 1, np.random.default_rng(42)
+    if heavy.sum() < least:
         at = at[:0]
-    found, counts = [at[:0]], [weights[:0].astype(np.int64)]
+    found, counts = [at[:0]], [np.zeros(0, dtype=np.int64)]
     while len(at):
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        middle = (first + np.append(first[1:], len(at))) // 2
-        pivot = strings[depth, at[middle]]
-        symbol = strings[depth[part], at]
-        side = np.sign(symbol - pivot[part])
-        next_at, next_part, next_depth, made = [], [], [], 0
-        for s in (-1, 0, 1):
-            own = np.flatnonzero(side == s)
-            p = part[own]
-            weight = np.bincount(p, weights=weights[at[own]], minlength=len(depth))
+        some = first + (draw.random((3, parts)) * np.diff(np.append(first, len(at)))).astype(np.int64)
+        pivot = np.sort(symbols[at[some]], axis=0)[1]  # the median of three
+        last = at[first] >= (depths - 1) * size
+        symbol, bar = symbols[at], pivot[part]
+        made, rest = 0, []
+        for own in (symbol < bar, symbol == bar, symbol > bar):
+            equal = len(rest) == 1
+            own = np.flatnonzero(own)
+            p, ptr, w = part[own], at[own], heavy[own]
+            weight = np.bincount(p, weights=w, minlength=parts)
             keep = weight >= least
-            if not s:  # strings that are equal to their end are counted
-                ends = keep & ((pivot == 0) | (depth == depths - 1))
-                one = np.zeros(len(depth), dtype=np.int64)
-                one[p] = at[own]
-                found.append(one[ends])
+            if equal:  # strings that are equal to their end are counted
+                ends = keep & ((pivot == 0) | last)
+                one = np.zeros(parts, dtype=np.int64)
+                one[p] = ptr
+                found.append(one[ends] % size)
                 counts.append(weight[ends].astype(np.int64))
                 keep &= ~ends
-            number = np.cumsum(keep) - 1 + made
+                ptr = ptr + size
             stay = keep[p]
-            next_at.append(at[own[stay]])
-            next_part.append(number[p[stay]])
-            next_depth.append(depth[keep] + (s == 0))
+            number = np.cumsum(keep, dtype=np.int32) + np.int32(made - 1)
+            rest.append((ptr[stay], number[p[stay]], w[stay]))
             made += int(keep.sum())
-        at, part, depth = np.concatenate(next_at), np.concatenate(next_part), np.concatenate(next_depth)
+        at, part, heavy = (np.concatenate(x) for x in zip(*rest))
+        parts = made
     return np.concatenate(found), np.concatenate(counts)
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text",
-                  bucket_chars: int = 1 << 23, batch_chars: int = 1 << 24) -> DataFrame:
+                  bucket_chars: int = 1 << 22, batch_chars: int = 1 << 24) -> DataFrame:
     """(lang, m, phrase, f): the phrases of 1 to ``longest`` words that occur ``least`` times or more, and for m = 0 numbers of words
     that add up to the language's."""
     spark = docs.sparkSession
@@ -231,7 +239,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang_col:
             place = np.fromiter((words[w] for w in own), dtype=np.int32, count=len(own))
             one = np.empty((longest + 1, n), dtype=np.int32)
             one[0] = langs.setdefault(lang, len(langs)) + 1  # 0 is the empty symbol
-            one[1:] = np.append(np.int32(0), place)[_widened(codes, longest * n)].reshape(longest, n)
+            one[1:] = np.append(np.int32(0), place)[np.frombuffer(codes, dtype=f"u{len(codes) // (longest * n)}")].reshape(longest, n)
             strings.append(one)
         strings, weights = np.concatenate(strings, axis=1), np.concatenate(weights)
         at, n = frequent(strings, weights, least)
