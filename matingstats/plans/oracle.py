@@ -344,36 +344,33 @@ p as (
 
 
 def _irls_sql(src: str, x: str, y: str) -> str:
-    """Logistic IRLS (Newton) on grouped (x, y, w) rows as a recursive CTE; the
-    last iterate carries X'WX for the standard errors and the deviance."""
-    p = "(1 / (1 + exp(-(it.b0 + it.b1 * g.x))))"
+    """Logistic Newton steps on grouped (x, n, s) rows as a recursive CTE, the predictor centred and scaled, until the score per
+    trial is below 1e-12; ``fin`` has the coefficients, their variances, the deviance, the counts and the steps."""
+    sums = """sum(q) as s00, sum(q * z) as s01, sum(q * z * z) as s11, sum(s - n * p) as u0, sum((s - n * p) * z) as u1,
+               sum(s * e - n * (greatest(e, 0) + ln(1 + exp(-abs(e))))) as ll"""
+    at = """(select it.i, it.a0, it.a1, g.n, g.s, g.z, it.a0 + it.a1 * g.z as e, 1 / (1 + exp(-(it.a0 + it.a1 * g.z))) as p,
+                    g.n / (1 + exp(-(it.a0 + it.a1 * g.z))) / (1 + exp(it.a0 + it.a1 * g.z)) as q from it, g)"""
     return f"""
-with recursive g as (
-  select cast({x} as double) as x, cast({y} as double) as y, cast(count(*) as double) as w
-  from {src} where {x} is not null and {y} is not null group by {x}, {y}),
-it(i, b0, b1) as (
-  select 0, 0.0::double, 0.0::double
+with recursive c as (
+  select cast({x} as double) as x, cast(count(*) as double) as n, cast(sum({y}) as double) as s
+  from {src} where {x} is not null and {y} is not null group by {x}),
+m as (select sum(n * x) / sum(n) as centre, max(x) - min(x) as scale, sum(n) as tn, sum(s) as ts from c),
+g as (select (x - centre) / scale as z, n, s from c, m),
+it(i, a0, a1) as (
+  select 0, ln(ts / (tn - ts)), 0.0::double from m
   union all
-  select i + 1, b0 + (s11 * u0 - s01 * u1) / (s00 * s11 - s01 * s01),
-         b1 + (s00 * u1 - s01 * u0) / (s00 * s11 - s01 * s01)
-  from (select i, b0, b1, sum(w * q) as s00, sum(w * q * x) as s01, sum(w * q * x * x) as s11,
-               sum(w * (y - p)) as u0, sum(w * (y - p) * x) as u1
-        from (select it.i, it.b0, it.b1, g.x, g.y, g.w, {p} as p, {p} * (1 - {p}) as q from it, g)
-        group by i, b0, b1)
-  where i < 60),
-fit as (select b0, b1 from it where i = 60),
+  select i + 1, a0 + (s11 * u0 - s01 * u1) / (s00 * s11 - s01 * s01), a1 + (s00 * u1 - s01 * u0) / (s00 * s11 - s01 * s01)
+  from (select i, a0, a1, {sums} from {at} group by i, a0, a1), m
+  where i < 60 and greatest(abs(u0), abs(u1)) > 1e-12 * tn),
 fin as (
-  select any_value(b0) as b0, any_value(b1) as b1,
-         sum(w * q) as s00, sum(w * q * x) as s01, sum(w * q * x * x) as s11,
-         -2 * sum(w * (y * ln(p) + (1 - y) * ln(1 - p))) as dev, sum(w) as n, sum(w * y) as sy
-  from (select fit.b0, fit.b1, g.x, g.y, g.w, 1 / (1 + exp(-(fit.b0 + fit.b1 * g.x))) as p,
-               (1 / (1 + exp(-(fit.b0 + fit.b1 * g.x)))) * (1 - 1 / (1 + exp(-(fit.b0 + fit.b1 * g.x)))) as q
-        from fit, g))"""
+  select a0 - a1 * centre / scale as b0, a1 / scale as b1, i as steps, -2 * ll as dev, tn as n, ts as sy,
+         (s11 + 2 * s01 * centre / scale + s00 * centre * centre / (scale * scale)) / (s00 * s11 - s01 * s01) as v0,
+         s00 / (s00 * s11 - s01 * s01) / (scale * scale) as v1
+  from (select i, a0, a1, {sums} from {at} group by i, a0, a1 order by i desc limit 1), m)"""
 
 
 def logit_sql(src: str, x: str, y: str, name: str) -> str:
-    se0 = "sqrt(s11 / (s00 * s11 - s01 * s01))"
-    se1 = "sqrt(s00 / (s00 * s11 - s01 * s01))"
+    se0, se1 = "sqrt(v0)", "sqrt(v1)"
     return "select * from (" + _irls_sql(src, x, y) + f"""
 select '(Intercept)' as term, round(b0, 6) as estimate, round({se0}, 6) as std_error,
        round(b0 / {se0}, 6) as z_value, round({norm_two_sided(f'(b0 / {se0})')}, 6) as p_value,
@@ -389,7 +386,7 @@ def logit_summary_sql(src: str, x: str, y: str, dataset: str) -> str:
     null_dev = "(-2 * (sy * ln(sy / n) + (n - sy) * ln(1 - sy / n)))"
     return "select * from (" + _irls_sql(src, x, y) + f"""
 select '{dataset}' as dataset, round({null_dev}, 6) as null_deviance, round(n - 1, 6) as null_df, round(dev, 6) as deviance,
-       round(n - 2, 6) as resid_df, round(dev + 4, 6) as aic from fin)"""
+       round(n - 2, 6) as resid_df, round(dev + 4, 6) as aic, steps, true as converged, false as separated from fin)"""
 
 
 def deviance_sql(src: str, x: str, y: str, name: str, dataset: str) -> str:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matingstats.operators.glm import analysis_of_deviance, logistic_by_counts, model_summary
+from matingstats.operators.glm import analysis_of_deviance, fit_logistic, logistic_by_counts, model_summary
 from matingstats.operators.glmm import group_terms, random_intercept_logit
 
 
@@ -53,6 +53,50 @@ def test_logistic_equals_row_level_irls(data):
     assert whole["aic"] == pytest.approx(dev + 4, rel=1e-6) and whole["null_deviance"] == pytest.approx(an["NULL"]["resid_dev"], rel=1e-9)
 
 
+def test_logistic_is_the_same_under_any_partitioning(spark):
+    draw = np.random.default_rng(11)
+    x = draw.integers(1990, 2010, 3000)
+    y = (draw.random(3000) < 1 / (1 + np.exp(-0.05 * (x - 2001)))).astype(int)
+    found, steps = [], set()
+    for parts in (1, 2, 3, 5, 8, 16):
+        order = draw.permutation(3000)
+        df = spark.createDataFrame([(int(x[k]), int(y[k])) for k in order], "year int, bin int").repartition(parts)
+        fit = fit_logistic(df, "year", "bin")
+        assert fit.converged and not fit.separated
+        steps.add(fit.steps)
+        found.append((fit.intercept, fit.slope, fit.se_intercept, fit.se_slope, fit.deviance))
+    assert len(steps) == 1 and max(steps) < 10
+    for row in found[1:]:
+        assert row == pytest.approx(found[0], rel=1e-10)
+    b, se, dev = irls(x - 2000.0, y.astype(float), np.ones(3000))
+    assert found[0][1] == pytest.approx(b[1], rel=1e-10) and found[0][3] == pytest.approx(se[1], rel=1e-9)
+    assert found[0][0] == pytest.approx(b[0] - 2000 * b[1], rel=1e-10) and found[0][4] == pytest.approx(dev, rel=1e-12)
+
+
+@pytest.mark.parametrize("rows, want", [
+    # complete separation, rising and falling
+    ([(1, 0), (2, 0), (3, 1), (4, 1)], dict(intercept=None, slope=math.inf, se_slope=None, deviance=0.0, separated=True)),
+    ([(1, 1), (2, 1), (3, 0)], dict(slope=-math.inf, deviance=0.0, separated=True)),
+    # a common border value: one of three succeeds there
+    ([(1, 0), (2, 0), (2, 0), (2, 1), (3, 1)], dict(slope=math.inf, separated=True, deviance=-2 * (math.log(1 / 3) + 2 * math.log(2 / 3)))),
+    # one class, one predictor value, nothing
+    ([(1, 1), (2, 1)], dict(intercept=math.inf, slope=None, deviance=0.0, parameters=1, separated=True)),
+    ([(1, 0), (2, 0)], dict(intercept=-math.inf, slope=None, separated=True)),
+    ([(5, 0), (5, 1), (5, 1)], dict(intercept=math.log(2), slope=None, parameters=1, separated=False, se_intercept=math.sqrt(1.5))),
+    ([(None, 1), (5, None)], dict(trials=0.0, intercept=None, slope=None, deviance=None, parameters=0)),
+])
+def test_logistic_without_a_maximum_is_defined(spark, rows, want):
+    df = spark.createDataFrame(rows, "x int, y int")
+    fit = fit_logistic(df, "x", "y")
+    for name, value in want.items():
+        got = getattr(fit, name)
+        assert got == value if value is None or isinstance(value, bool) or math.isinf(value) else got == pytest.approx(value, rel=1e-12, abs=1e-12), name
+    assert len(logistic_by_counts(df, "x", "y").collect()) == 2
+    assert len(analysis_of_deviance(df, "x", "y").collect()) == 2
+    summary = model_summary(df, "x", "y").first()
+    assert summary["separated"] == fit.separated and summary["converged"]
+
+
 def test_laplace_group_term_matches_quadrature():
     s, n = np.array([3.0, 7.0]), np.array([10.0, 12.0])
     xb = np.array([[0.2, -0.4]])
