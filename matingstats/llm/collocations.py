@@ -252,10 +252,11 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang_col:
         return pd.DataFrame(rows, columns=["lang", "m", "phrase", "f"])
 
     dealt = texts.mapInPandas(packed, "bucket long, lang string, n long, words binary, codes binary, weights binary")
+    dealt = dealt.repartition(min(buckets, 10_000), "bucket")  # tasks grow with the buckets, not with a setting
     return dealt.groupBy("bucket").applyInPandas(counted, "lang string, m int, phrase string, f long")
 
 
-def mine(docs: DataFrame, longest: int = 3, least: int = 10, inside: int = 50, top: int = 2000, salts: int = 64, **how) -> DataFrame:
+def mine(docs: DataFrame, longest: int = 3, least: int = 10, inside: int = 50, top: int = 2000, salts: int = 16, **how) -> DataFrame:
     """The ``top`` phrases of 2 to ``longest`` words of each language: lang, rank, phrase, a, l, r, n, score.
 
     a: the phrase's count; l, r: the counts of the parts of its weakest cut; n: the language's words; score: floor(10^6 a^2 / (l r)). A phrase inside a
