@@ -8,11 +8,11 @@ tolerance 1e-7).
 * 2 x 2 per group: pure column expressions - bisection for the two tails and
   an ``aggregate`` over the significant part of the support (grows with
   sqrt(n)); no Python.
-* r x 2 per group: the first r - 2 rows' counts are exploded one after the other, each over
-  its significant window, and spread over tasks; the last two rows are a 2 x 2 tail.
+* r x 2 per group, up to three rows: the first row's counts are exploded over
+  the significant window and spread over tasks; the last two rows are a 2 x 2 tail. More rows: ``fisher_network``.
 * Monte-Carlo: ``spark.range(B)`` spread over partitions, ``mapInPandas``
   draws random tables with the observed margins (successive hypergeometric
-  draws per row); a draw is a hit when sum ln x_ij! is at least the observed
+  draws per row); a draw is a hit when it is no more probable than the observed
   one. p = (1 + hits) / (B + 1). Seeds come from the partition id, so a
   re-run task repeats its draws exactly.
 
@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matingstats.functions.special import ln_binomial_sql
+from matingstats.operators.fisher_network import BROADCAST_GROUPS, network_p
+from matingstats.session import reliable_checkpoint
 
 # The Monte-Carlo functions below run in Python workers. Pickling
 # this module by value ships their code with the task, so executors need no
@@ -162,8 +164,26 @@ def with_hyper_tail(df: DataFrame, r1: str, r2: str, k: str, thr: str, out: str)
 
 # ---------------------------------------------------------------- r x 2 exact
 
-def fisher_rx2(tables: DataFrame, groups: Sequence[str], row: str, c1: str, c2: str, max_rows: int = 3) -> DataFrame:
-    """Per group: table rows and exact p-value (NULL when fewer than two rows).
+def fisher_rx2(tables: DataFrame, groups: Sequence[str], row: str, c1: str, c2: str) -> DataFrame:
+    """Per group: table rows and exact p-value (NULL when fewer than two rows), whatever the number of rows.
+
+    Tables of up to three rows: the first row's counts are exploded, two rows are a tail (``_exploded``). If any table has more, all are
+    solved by the network of partial sums (``fisher_network``).
+    """
+    g = list(groups)
+    t = tables.groupBy(*g).agg(F.sort_array(F.collect_list(  # one table per group: its rows are the levels of a factor
+        F.struct((F.col(c1) + F.col(c2)).cast("bigint").alias("r"), F.col(c1).cast("bigint").alias("x")))).alias("_rows"))
+    t = reliable_checkpoint(t.withColumn("_g", F.monotonically_increasing_id()))  # one key, never NULL; written, so it stays
+    most, found = t.agg(F.max(F.size("_rows")), F.count(F.lit(1))).first()
+    most = most or 0
+    if most <= 3:
+        return _exploded(t.drop("_g"), g, max(most, 2))
+    p = network_p(t.select("_g", "_rows"), ["_g"], most, found <= BROADCAST_GROUPS, REL_TOL)
+    return t.select("_g", *g, F.size("_rows").alias("n_rows")).join(p, "_g").select(*g, "n_rows", F.when(F.col("n_rows") > 1, F.col("p")).alias("p_value"))
+
+
+def _exploded(t: DataFrame, groups: Sequence[str], rows: int) -> DataFrame:
+    """The test of tables (groups, _rows) of at most ``rows`` rows, by explosion.
 
     With first-column counts x_1..x_r and row totals r_1..r_r, P(x) is the product of
     hypergeometric laws of x_i given the counts before it. The counts of the first r - 2 rows are
@@ -171,18 +191,11 @@ def fisher_rx2(tables: DataFrame, groups: Sequence[str], row: str, c1: str, c2:
     DEPTH; for the last two rows ``with_hyper_tail`` gives the mass at or below the threshold. The points are spread
     over tasks; their number grows with n^((r - 2) / 2). Rows are taken by rising totals, which
     leaves the widest ranges to the tail.
-
-    ``max_rows`` bounds the rows of a table (the levels of the row factor); a larger table
-    raises an error.
     """
     g = list(groups)
     E = F.expr
-    rows = max(2, max_rows)
     zero = "named_struct('r', CAST(0 AS BIGINT), 'x', CAST(0 AS BIGINT))"
-    t = tables.groupBy(*g).agg(F.sort_array(F.collect_list(  # one table per group: at most ``max_rows`` entries are used
-        F.struct((F.col(c1) + F.col(c2)).cast("bigint").alias("r"), F.col(c1).cast("bigint").alias("x")))).alias("_rows"))
-    t = t.withColumn("n_rows", F.when(F.size("_rows") > rows, F.raise_error(F.lit(f"a table has more than {rows} rows")).cast("int"))
-                     .otherwise(F.size("_rows")))
+    t = t.withColumn("n_rows", F.size("_rows"))
     t = t.withColumn("_rows", E(f"concat(array_repeat({zero}, greatest(0, {rows} - n_rows)), _rows)"))
     t = t.select(*g, "n_rows", *[F.get(F.col("_rows"), F.lit(i))[f].alias(f"_{f}{i + 1}") for i in range(rows) for f in ("r", "x")])
     # the product of the laws at the observed counts
@@ -223,18 +236,88 @@ def _log_factorial(n: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + (1 / 12 - (1 / 360 - 1 / (1260 * z * z)) / (z * z)) / z - shift
 
 
-def _sim_hits(rows: np.ndarray, k: int, obs: float, size: int, rng: np.random.Generator) -> int:
-    n_left = np.full(size, int(rows.sum()), dtype=np.int64)
-    k_left = np.full(size, k, dtype=np.int64)
-    stat = np.zeros(size)
-    for r in rows[:-1]:
-        r = int(r)
-        x = rng.hypergeometric(r, np.maximum(n_left - r, 0), k_left) if r else np.zeros(size, dtype=np.int64)
-        stat += _log_factorial(x) + _log_factorial(r - x)
-        k_left -= x
-        n_left -= r
-    stat += _log_factorial(k_left) + _log_factorial(int(rows[-1]) - k_left)
-    return int((stat >= obs / (1.0 + 64 * np.finfo(float).eps)).sum())
+def _stirling_error(x: np.ndarray) -> np.ndarray:
+    """ln x! - ln(sqrt(2 pi x) (x / e)^x) for whole x > 0."""
+    small = np.array([0.0] + [math.lgamma(k + 1) - (k + 0.5) * math.log(k) + k - 0.5 * math.log(2 * math.pi) for k in range(1, 16)])
+    w = np.maximum(x, 16.0) ** 2
+    return np.where(x < 16, small[np.minimum(x, 15).astype(np.int64)], (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / w) / w) / w) / w) / np.sqrt(w))
+
+
+def _deviance(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """x ln(x / m) + m - x; by its series near m, where the terms cancel."""
+    d = x - m
+    v = d / (x + m)
+    near = np.abs(v) < 0.1
+    u = np.where(near, v, 0.0)
+    series = np.zeros_like(u)
+    for k in range(15, 1, -2):
+        series = 1 / k + u * u * series
+    return np.where(near, d * v + 2 * x * u ** 3 * series, x * np.log(np.where(near, 1.0, x / m)) - d)
+
+
+def ln_binomial(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """ln P(x successes in n) in saddle-point form, for arrays of equal shape with 0 <= x <= n and 0 < p < 1."""
+    inner = (x > 0) & (x < n)
+    y, t = np.where(inner, x, 1.0), np.where(inner, n, 2.0)
+    out = (_stirling_error(t) - _stirling_error(y) - _stirling_error(t - y) - _deviance(y, t * p) - _deviance(t - y, t * (1 - p))
+           + 0.5 * np.log(t / (y * (t - y))) - 0.5 * math.log(2 * math.pi))
+    return np.where(inner, out, np.where(x <= 0, n * np.log1p(-p), n * np.log(p)))
+
+
+def draw_hypergeometric(rng: np.random.Generator, good: int, bad: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Numbers of good items among ``draws`` from good + bad, one for each entry of the arrays.
+
+    Where the library's generator ends (10^9 items) by ratio of uniforms (Stadlober 1990): the hat around the mode accepts
+    a candidate by the square of a uniform against its probability relative to the mode's.
+    """
+    if good + int(bad.max(initial=0)) < 10**9:
+        return rng.hypergeometric(good, bad, draws)
+    good_, bad_, k = np.full(len(bad), float(good)), bad.astype(float), draws.astype(float)
+    n = good_ + bad_
+    low, high = np.maximum(0.0, k - bad_), np.minimum(good_, k)
+    p = np.clip(k / n, 1e-300, 1 - 1e-16)
+
+    def ln_p(x, at):
+        return ln_binomial(x, good_[at], p[at]) + ln_binomial(k[at] - x, bad_[at], p[at])
+
+    every = np.arange(len(n))
+    mode = np.clip(np.floor((k + 1) * (good_ + 1) / (n + 2)), low, high)
+    top = ln_p(mode, every)
+    spread = np.sqrt(k * (n - k) / n * (good_ / n) * (bad_ / np.maximum(n - 1, 1)) + 0.5)
+    centre, width = k * good_ / n + 0.5, 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    out = np.where(low == high, low, -1.0)
+    left = np.flatnonzero(out < 0)
+    while len(left):
+        u = 1.0 - rng.random(len(left))
+        x = np.floor(centre[left] + width[left] * (rng.random(len(left)) - 0.5) / u)
+        inside = (x >= low[left]) & (x <= high[left])
+        ok = np.zeros(len(left), dtype=bool)
+        at = left[inside]
+        ok[inside] = 2 * np.log(u[inside]) <= ln_p(x[inside], at) - top[at]
+        out[left[ok]] = x[ok]
+        left = left[~ok]
+    return out.astype(np.int64)
+
+
+def _sim_hits(rows: np.ndarray, observed: np.ndarray, size: int, rng: np.random.Generator) -> int:
+    """How many of ``size`` tables drawn with the margins are no more probable than the observed one."""
+    k, total = int(observed.sum()), int(rows.sum())
+    p = k / total
+
+    def ln_b(x: np.ndarray, r: int) -> np.ndarray:
+        return ln_binomial(x.astype(float), np.full(len(x), float(r)), np.full(len(x), p))
+
+    limit = math.fsum(float(ln_b(np.array([x]), int(r))[0]) for x, r in zip(observed, rows) if r) + math.log1p(REL_TOL)
+    n_left, k_left = np.full(size, total, dtype=np.int64), np.full(size, k, dtype=np.int64)
+    weight = np.zeros(size)
+    for r in map(int, rows[:-1]):
+        if r:
+            x = draw_hypergeometric(rng, r, n_left - r, k_left)
+            weight += ln_b(x, r)
+            k_left -= x
+            n_left -= r
+    weight += ln_b(k_left, int(rows[-1]))
+    return int((weight <= limit).sum())
 
 
 def fisher_monte_carlo(spark: SparkSession, table: DataFrame, c1: str, c2: str,
@@ -242,8 +325,8 @@ def fisher_monte_carlo(spark: SparkSession, table: DataFrame, c1: str, c2: str,
     """Monte-Carlo Fisher test of one r x 2 table (rows with zero total dropped).
 
     The reduced table (a row per level of the row factor) is packed into one row, in a fixed order, and joined to
-    the numbers of the draws; tables are drawn and scored on the executors. ``seed`` and ``partitions``
-    together fix the random stream. Counts of 1e9 and more are beyond the generator and raise an error.
+    the numbers of the draws; tables are drawn and scored on the executors, whatever the counts. ``seed`` and ``partitions``
+    together fix the random stream.
     """
     packed = table.where(F.col(c1) + F.col(c2) > 0).agg(F.sort_array(F.collect_list(
         F.struct(F.col(c1).cast("long").alias("x"), F.col(c2).cast("long").alias("y")))).alias("cells"))
@@ -257,13 +340,24 @@ def fisher_monte_carlo(spark: SparkSession, table: DataFrame, c1: str, c2: str,
             if not m:
                 continue
             x, y = (np.array(batch[c].iloc[0], dtype=np.int64) for c in ("x", "y"))
-            if (x + y).sum() >= 10**9:
-                raise ValueError("tables of 1e9 and more are beyond the random generator")
             obs = float((_log_factorial(x) + _log_factorial(y)).sum())
-            hits = _sim_hits(x + y, int(x.sum()), obs, m, rng) if len(x) > 1 and x.sum() and y.sum() else m
+            hits = _sim_hits(x + y, x, m, rng) if len(x) > 1 and x.sum() and y.sum() else m
             yield pd.DataFrame({"hits": [hits], "draws": [m], "statistic": [obs], "rows": [len(x)]})
 
     draws = spark.range(0, B, numPartitions=partitions).crossJoin(F.broadcast(packed))  # an aggregate without keys: one row
     sims = draws.select("x", "y").mapInPandas(sim, "hits long, draws long, statistic double, rows int")
     res = sims.agg(F.sum("hits").alias("hits"), F.sum("draws").alias("B"), F.max("statistic").alias("statistic"), F.max("rows").alias("n_rows"))
     return res.select(((F.col("hits") + 1.0) / (F.col("B") + 1.0)).alias("p_value"), F.col("B").cast("bigint").alias("B"), "statistic", "n_rows")
+
+
+def monte_carlo_against_exact(spark: SparkSession, table: DataFrame, c1: str, c2: str, B: int = 100_000, seed: int = 20250101) -> DataFrame:
+    """The exact p-value of a table (by the network or explosion), and whether the Monte-Carlo estimate lies within four standard errors of it.
+
+    exact_p, n_rows, statistic, B, within_four_se; one more draw of slack for the estimate's (hits + 1) / (B + 1).
+    """
+    table = reliable_checkpoint(table.select(F.col(c1).alias("_x"), F.col(c2).alias("_y")).where("_x + _y > 0"))
+    exact = fisher_rx2(table.withColumn("_one", F.lit(1)), ["_one"], "_x", "_x", "_y").select(F.col("p_value").alias("exact_p"))
+    drawn = fisher_monte_carlo(spark, table, "_x", "_y", B=B, seed=seed)
+    both = drawn.crossJoin(F.broadcast(exact))  # one row each
+    near = F.abs(F.col("p_value") - F.col("exact_p")) <= 4.0 * F.sqrt(F.col("exact_p") * (1.0 - F.col("exact_p")) / F.col("B")) + 1.0 / F.col("B")
+    return both.select("exact_p", "n_rows", "statistic", "B", near.alias("within_four_se"))

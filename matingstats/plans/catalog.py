@@ -142,6 +142,13 @@ def _logit_summary(i: Inputs) -> DataFrame:
     return a.unionByName(b)
 
 
+def _mc_estimates(i: Inputs) -> DataFrame:
+    """T5: the estimates themselves, for the colony tables and language x toxicity."""
+    a = M.fisher_colony_mc(i.master).withColumn("tested", F.lit("colony"))
+    b = M.fisher_colony_mc(i.master, form="refined").withColumn("tested", F.lit("colony_refined"))
+    return a.unionByName(b).unionByName(CT.fisher_mc(i.docs, "lang").withColumn("tested", F.lit("lang_x_toxic")))
+
+
 def _mixed_logit(i: Inputs, form: str = "analysis") -> DataFrame:
     """T9 on D39: fitted from the (yob, valley) counts of D35 - the sufficient
     statistics of the one-row-per-offspring table, which is never built."""
@@ -210,8 +217,9 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "int_audit_refined": lambda i: M.int_audit(i.types_master()),
     "fisher_per_year": lambda i: M.fisher_per_year(i.types_master("analysis")),
     "fisher_per_year_refined": lambda i: M.fisher_per_year(i.types_master()),
-    "fisher_colony_mc": lambda i: M.fisher_colony_mc(i.master),
-    "fisher_colony_mc_refined": lambda i: M.fisher_colony_mc(i.master, form="refined"),
+    "fisher_colony_mc": lambda i: M.fisher_colony_exact(i.master),
+    "fisher_colony_mc_refined": lambda i: M.fisher_colony_exact(i.master, form="refined"),
+    "fisher_mc_estimates": _mc_estimates,
     "long_offspring": lambda i: M.long_offspring(i.types_master("analysis")),
     "long_offspring_refined": lambda i: M.long_offspring(i.types_master()),
     "logit_year": lambda i: _logit(i, "master"),
@@ -238,7 +246,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "chisq_lang_toxic": lambda i: CT.chisq(i.docs, "lang"),
     "fisher_lang_toxic": lambda i: CT.fisher_exact(i.docs, "lang"),
     "fisher_quality_toxic": lambda i: CT.fisher_exact_2x2(i.docs, "quality"),
-    "fisher_mc_lang_toxic": lambda i: CT.fisher_mc(i.docs, "lang"),
+    "fisher_mc_lang_toxic": lambda i: CT.fisher_mc_exact(i.docs, "lang"),
     # source / sink
     "csv_round_trip": _csv_round_trip,
     "csv_small_chain": _csv_small_chain,
@@ -362,6 +370,11 @@ from scm group by col_area""")
 select col_area, cast(coalesce(sum(case when strategy = 'Monogamous' then n_individuals end), 0) as bigint) as Monogamous,
        cast(coalesce(sum(case when strategy = 'Polygynous' then n_individuals end), 0) as bigint) as Polygynous
 from scm_a group by col_area""")
+    for name, src in (("fisher_colony_mc", "scm_a"), ("fisher_colony_mc_refined", "scm")):
+        q[name] = b("select * from (" + O.fisher_halves_sql("ct", "Monogamous", "Polygynous") + ")", {"ct": f"""
+  select col_area, coalesce(sum(case when strategy = 'Monogamous' then n_individuals end), 0) as Monogamous,
+         coalesce(sum(case when strategy = 'Polygynous' then n_individuals end), 0) as Polygynous
+  from {src} group by col_area"""})
     q["valley_master"] = b("select * from svm")
     q["valley_year_master"] = b("select * from svym")
     q["rank_sum_master"] = b("select * from (" + O.rank_sum_sql("svym", "valley", "strategy", "n_individuals") + ")")
@@ -469,6 +482,7 @@ from (select col_area, strategy, count(*) as n_individuals, 'Small' as source fr
     q["fisher_lang_toxic"] = b("select * from (" + O.fisher_r4_sql("tl", "contrast", "lang", "yes", "no") + """
 select t.g as contrast, cast(t.nrows as integer) as n_rows, round(case when t.nrows > 1 then p.p end, 6) as p_value
 from t left join p on t.g = p.g)""", docs)
+    q["fisher_mc_lang_toxic"] = b("select * from (" + O.fisher_halves_sql("tl", "yes", "no") + ")", docs)
     f2q = O.fisher_2x2_sql("a", "b", "c", "d")
     q["fisher_quality_toxic"] = b(f"""
 select contrast, cast(n_rows as integer) as n_rows, case when n_rows = 2 then round({f2q}, 6) end as p_value from (

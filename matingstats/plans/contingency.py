@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matingstats.operators.chisq import chisq_test
-from matingstats.operators.fisher import fisher_2x2, fisher_monte_carlo, fisher_rx2
+from matingstats.operators.fisher import fisher_2x2, fisher_monte_carlo, fisher_rx2, monte_carlo_against_exact
 from matingstats.operators.reshape import pivot_longer
 from matingstats.sources.roles import table
 
@@ -34,7 +34,7 @@ def outcome_table(docs: DataFrame, by: str, outcome: str = "toxic") -> DataFrame
 
 def fisher_exact(docs: DataFrame, by: str) -> DataFrame:
     t = outcome_table(docs, by)
-    return fisher_rx2(t, ["contrast"], by, "yes", "no", max_rows=4)
+    return fisher_rx2(t, ["contrast"], by, "yes", "no")
 
 
 def fisher_exact_2x2(docs: DataFrame, by: str) -> DataFrame:
@@ -51,3 +51,7 @@ def chisq(docs: DataFrame, by: str) -> DataFrame:
 def fisher_mc(docs: DataFrame, by: str, B: int = 100_000, seed: int = 20250101) -> DataFrame:
     t = outcome_table(docs, by)
     return fisher_monte_carlo(docs.sparkSession, t, "yes", "no", B=B, seed=seed)
+
+
+def fisher_mc_exact(docs: DataFrame, by: str) -> DataFrame:
+    return monte_carlo_against_exact(docs.sparkSession, outcome_table(docs, by), "yes", "no")

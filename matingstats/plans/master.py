@@ -16,7 +16,7 @@ from matingstats.functions import text as T
 from matingstats.functions.special import safe_div
 from matingstats.operators import classify as C
 from matingstats.operators.chisq import chisq_test, std_residuals
-from matingstats.operators.fisher import fisher_monte_carlo, fisher_rx2
+from matingstats.operators.fisher import fisher_monte_carlo, fisher_rx2, monte_carlo_against_exact
 from matingstats.operators.ranksum import rank_sum_test
 from matingstats.operators.reshape import (complete_cells, non_integer_audit, pivot_longer,
                                            pivot_wider, uncount)
@@ -189,11 +189,16 @@ def fisher_colony_mc(m: DataFrame, form: str = "analysis", B: int = 100_000, see
     return fisher_monte_carlo(m.sparkSession, t, C.MONO, C.POLY, B=B, seed=seed)
 
 
-def fisher_per_year(types: DataFrame, max_valleys: int = 3) -> DataFrame:
+def fisher_colony_exact(m: DataFrame, form: str = "analysis") -> DataFrame:
+    """The exact test of colony x strategy, and the Monte-Carlo test held against it."""
+    return monte_carlo_against_exact(m.sparkSession, colony_table(m, form), C.MONO, C.POLY)
+
+
+def fisher_per_year(types: DataFrame) -> DataFrame:
     """Fisher test of valley x strategy per year; tested only when at
     least two valleys have offspring (G11); label "Yes" / "No" / "NA"."""
     wide = reliable_checkpoint(valley_year_wide(types).where(F.col("yob").isNotNull()))
-    res = fisher_rx2(wide, ["yob"], "valley", C.MONO, C.POLY, max_rows=max_valleys)
+    res = fisher_rx2(wide, ["yob"], "valley", C.MONO, C.POLY)
     nonzero = wide.groupBy("yob").agg(
         F.sum(F.when(F.col(C.MONO) + F.col(C.POLY) > 0, 1).otherwise(0)).alias("_nz"))
     res = res.join(nonzero, "yob")

