@@ -155,7 +155,9 @@ def _mixed_logit(i: Inputs, form: str = "analysis") -> DataFrame:
     wide = M.valley_year_wide(i.types_master(form))
     counts = wide.select("yob", "valley", (F.col("Monogamous") + F.col("Polygynous")).alias("trials"),
                          F.col("Polygynous").alias("successes"))
-    return random_intercept_logit_counts(counts, "yob", "valley", "trials", "successes")
+    fit = random_intercept_logit_counts(counts, "yob", "valley", "trials", "successes")
+    # the steps are this optimiser's own; a search ends within 1e-6 of the maximum, so four places are certain
+    return rounded(fit.where("term != 'steps to convergence'"), 4).withColumn("z_value", F.round("z_value", 2))
 
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
@@ -370,6 +372,8 @@ from scm group by col_area""")
 select col_area, cast(coalesce(sum(case when strategy = 'Monogamous' then n_individuals end), 0) as bigint) as Monogamous,
        cast(coalesce(sum(case when strategy = 'Polygynous' then n_individuals end), 0) as bigint) as Polygynous
 from scm_a group by col_area""")
+    for name, wide in (("mixed_logit", "svym_wide_a"), ("mixed_logit_refined", "svym_wide")):
+        q[name] = b("select * from (" + O.mixed_logit_sql(wide, "yob", "valley", "Monogamous", "Polygynous") + ")")
     for name, src in (("fisher_colony_mc", "scm_a"), ("fisher_colony_mc_refined", "scm")):
         q[name] = b("select * from (" + O.fisher_halves_sql("ct", "Monogamous", "Polygynous") + ")", {"ct": f"""
   select col_area, coalesce(sum(case when strategy = 'Monogamous' then n_individuals end), 0) as Monogamous,

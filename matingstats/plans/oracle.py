@@ -452,3 +452,79 @@ tails as (
   select side, w * sum(case when side = 0 then w else 0 end) over (partition by s order by pos, side rows unbounded preceding) as mass from met)
 select round(least(1.0, (select sum(mass) from tails where side = 1)), 6) as exact_p, cast(n as integer) as n_rows, round(statistic, 6) as statistic,
        cast({B} as bigint) as B, true as within_four_se from m"""
+
+
+def mixed_logit_sql(src: str, group: str, factor: str, failures: str, successes: str) -> str:
+    """Random-intercept logistic fit (Laplace) for a factor of two levels, with nothing but likelihood values: at each outer step the
+    likelihood is evaluated on a stencil around the parameters (the modes of the groups by Newton steps inside), differences give gradient and
+    Hessian, and a Newton step follows. Rounded to 4 places, z to 2: differences give the standard errors six digits."""
+    h = 2e-4
+    points = {"c": (0, 0, 0)}
+    for i in range(3):
+        for name, sign in (("p", 1), ("m", -1)):
+            points[f"{name}{i}"] = tuple(sign if k == i else 0 for k in range(3))
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    for i, j in pairs:
+        for name, a, b in (("pp", 1, 1), ("pm", 1, -1), ("mp", -1, 1), ("mm", -1, -1)):
+            points[f"{name}{i}{j}"] = tuple(a if k == i else b if k == j else 0 for k in range(3))
+    stencil = ", ".join(f"('{k}', {a * h!r}, {b * h!r}, {c * h!r})" for k, (a, b, c) in points.items())
+
+    def p(e):
+        return f"(1 / (1 + exp(-({e}))))"
+
+    e0, e1 = "t0 + t2 * u", "t0 + t1 + t2 * u"
+    weight = f"(n0 * {p(e0)} * (1 - {p(e0)}) + n1 * {p(e1)} * (1 - {p(e1)}))"
+    step = f"u + (t2 * (s0 - n0 * {p(e0)} + s1 - n1 * {p(e1)}) - u) / (1 + t2 * t2 * {weight})"
+
+    def at(source):
+        """One row per iterate of ``source``: its likelihood values on the stencil, the gradient, minus the Hessian, and its cofactors."""
+        values = ", ".join(f"max(case when id = '{k}' then ll end) as {k}" for k in points)
+        slopes = ", ".join(f"(p{i} - m{i}) / {2 * h!r} as g{i}, (2 * c - p{i} - m{i}) / {h * h!r} as a{i}{i}" for i in range(3))
+        mixed = ", ".join(f"(pm{i}{j} + mp{i}{j} - pp{i}{j} - mm{i}{j}) / {4 * h * h!r} as a{i}{j}" for i, j in pairs)
+        return f"""(
+  select *, a11 * a22 - a12 * a12 as c00, a02 * a12 - a01 * a22 as c01, a01 * a12 - a02 * a11 as c02, a00 * a22 - a02 * a02 as c11,
+         a01 * a02 - a00 * a12 as c12, a00 * a11 - a01 * a01 as c22,
+         a00 * (a11 * a22 - a12 * a12) + a01 * (a02 * a12 - a01 * a22) + a02 * (a01 * a12 - a02 * a11) as det
+  from (select k, b0, b1, sg, c, {slopes}, {mixed} from (
+    select k, b0, b1, sg, {values} from (
+      select k, b0, b1, sg, id, sum(s0 * ({e0}) - n0 * ln(1 + exp({e0})) + s1 * ({e1}) - n1 * ln(1 + exp({e1})) - u * u / 2 - 0.5 * ln(1 + t2 * t2 * {weight})) as ll
+      from (select *, list_reduce(list_concat([0.0::double], list_transform(range(40), lambda z: z::double)), lambda u, z: {step}) as u
+            from (select k, b0, b1, sg, id, b0 + d0 as t0, b1 + d1 as t1, sg + d2 as t2, w.* from {source}, stencil, w))
+      group by k, b0, b1, sg, id) group by k, b0, b1, sg)))"""
+
+    z0, z1 = "(b0 / sqrt(c00 / det))", "(b1 / sqrt(c11 / det))"
+    return f"""
+with recursive cells as (
+  select cast({group} as varchar) as g, {factor} as lvl, cast({failures} + {successes} as double) as n, cast({successes} as double) as s
+  from {src} where {group} is not null and {factor} is not null and {failures} + {successes} > 0),
+lv as (select min(lvl) as l0, max(lvl) as l1 from cells),
+w as (select g, sum(case when lvl = l0 then n else 0 end) as n0, sum(case when lvl = l0 then s else 0 end) as s0,
+             sum(case when lvl = l1 then n else 0 end) as n1, sum(case when lvl = l1 then s else 0 end) as s1 from cells, lv group by g),
+tot as (select ln(sum(s0) / (sum(n0) - sum(s0))) as q0, ln(sum(s1) / (sum(n1) - sum(s1))) as q1, sum(n0 + n1) as n, count(*) as groups from w),
+stencil(id, d0, d1, d2) as (values {stencil}),
+it(k, b0, b1, sg) as (
+  select 0, q0, q1 - q0, 0.2::double from tot
+  union all
+  select k + 1, b0 + x0 - y0 * ds, b1 + x1 - y1 * ds, sg + ds  -- the fixed effects are solved for, the spread's curvature is taken as positive, its step bounded
+  from (select *, greatest(-0.2, least(0.2, (g2 - a02 * x0 - a12 * x1) / abs(det / c22))) as ds from (
+    select *, (a11 * g0 - a01 * g1) / c22 as x0, (a00 * g1 - a01 * g0) / c22 as x1, (a11 * a02 - a01 * a12) / c22 as y0, (a00 * a12 - a01 * a02) / c22 as y1
+    from {at('it')} where k < 80))),
+fin as (select * from {at('(select * from it where k = 80)')}, tot),
+modes as (
+  select n0, s0, n1, s1, {p('b0 + sg * u')} as p0, {p('b0 + b1 + sg * u')} as p1 from (
+    select *, list_reduce(list_concat([0.0::double], list_transform(range(40), lambda z: z::double)), lambda u, z: {step}) as u
+    from (select fin.b0, fin.b1, fin.sg, fin.b0 as t0, fin.b1 as t1, fin.sg as t2, w.* from fin, w))),
+each as (
+  select sqrt((1 - p0) / p0) as r, s0 as n from modes union all select -sqrt(p0 / (1 - p0)), n0 - s0 from modes
+  union all select sqrt((1 - p1) / p1), s1 from modes union all select -sqrt(p1 / (1 - p1)), n1 - s1 from modes),
+rows as (select r, unnest(range(cast(n as bigint))) from each where n > 0),
+five as (select quantile_cont(r, [0.0, 0.25, 0.5, 0.75, 1.0]) as q from rows)
+select 'fixed' as effect, '(Intercept)' as term, round(b0, 4) as estimate, round(sqrt(c00 / det), 4) as std_error, round({z0}, 2) as z_value,
+       round({norm_two_sided(z0)}, 4) as p_value from fin
+union all select 'fixed', '{factor}' || l1, round(b1, 4), round(sqrt(c11 / det), 4), round({z1}, 2), round({norm_two_sided(z1)}, 4) from fin, lv
+union all select 'correlation', '{factor}' || l1 || ':(Intercept)', round(c01 / sqrt(c00 * c11), 4), null, null, null from fin, lv
+union all select 'ran_pars', 'sd__(Intercept)|{group}', round(abs(sg), 4), null, null, null from fin
+union all select 'ran_pars', 'var__(Intercept)|{group}', round(sg * sg, 4), null, null, null from fin
+union all select 'fit', unnest(['logLik', 'AIC', 'BIC', 'deviance', 'df.resid', 'observations', 'groups']),
+       round(unnest([c, -2 * c + 6, -2 * c + 3 * ln(n), -2 * c, n - 3, n, groups::double]), 4), null, null, null from fin
+union all select 'residuals', unnest(['Min', '1Q', 'Median', '3Q', 'Max']), round(unnest(q), 4), null, null, null from five"""

@@ -7,7 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from matingstats.operators.glm import analysis_of_deviance, fit_logistic, logistic_by_counts, model_summary
-from matingstats.operators.glmm import group_terms, random_intercept_logit
+from matingstats.operators.glmm import group_modes, laplace_terms, random_intercept_logit
+
+
+def group_terms(s, n, X, theta):
+    """One group: log-likelihood, gradient, Hessian."""
+    return tuple(x[0] for x in laplace_terms(s[None], n[None], X, theta))
 
 
 def irls(x, y, w):
@@ -199,3 +204,39 @@ def test_standard_errors_come_from_the_whole_hessian(spark):
     assert np.abs(g).max() < 1e-4
     se = np.sqrt(np.diag(np.linalg.inv(-H)))
     assert fit["(Intercept)"]["std_error"] == pytest.approx(se[0], rel=1e-6) and fit["valleyUpper"]["std_error"] == pytest.approx(se[1], rel=1e-6)
+
+
+def test_mixed_logit_summary_parts(spark):
+    draw = np.random.default_rng(21)
+    u = draw.normal(0, 0.7, 30)
+    counts = [(g, v, int(n), int(draw.binomial(n, 1 / (1 + math.exp(-(b + u[g])))))) for g in range(30) for v, b in (("Lower", -0.3), ("Mid", 0.1), ("Upper", 0.6))
+              for n in [draw.integers(0, 40)] if not (g == 4 and v == "Mid")]
+    df = spark.createDataFrame(counts, "g int, valley string, trials long, successes long").repartition(3)
+    from matingstats.operators.glmm import random_intercept_logit_counts
+    got = {(r["effect"], r["term"]): r for r in random_intercept_logit_counts(df, "g", "valley", "trials", "successes").collect()}
+    n = sum(c[2] for c in counts)
+    ll = got["fit", "logLik"]["estimate"]
+    assert got["fit", "observations"]["estimate"] == n and got["fit", "df.resid"]["estimate"] == n - 4
+    assert got["fit", "groups"]["estimate"] == len({c[0] for c in counts if c[2]})
+    assert got["fit", "BIC"]["estimate"] == pytest.approx(-2 * ll + 4 * math.log(n), rel=1e-12) and got["fit", "deviance"]["estimate"] == pytest.approx(-2 * ll, rel=1e-12)
+    # residuals and correlations from the printed estimates, group by group and row by row
+    levels = ["Lower", "Mid", "Upper"]
+    beta = np.array([got["fixed", t]["estimate"] for t in ("(Intercept)", "valleyMid", "valleyUpper")])
+    sigma = got["ran_pars", "sd__(Intercept)|g"]["estimate"]
+    X = np.eye(3)
+    X[:, 0] = 1
+    rows, H = [], np.zeros((4, 4))
+    for g in {c[0] for c in counts}:
+        s, m = np.zeros(3), np.zeros(3)
+        for _, v, a, b in [c for c in counts if c[0] == g]:
+            m[levels.index(v)], s[levels.index(v)] = a, b
+        mode = group_modes(s[None], m[None], X @ beta, sigma)[0]
+        p = 1 / (1 + np.exp(-(X @ beta + sigma * mode)))
+        for k in range(3):
+            rows += [math.sqrt((1 - p[k]) / p[k])] * int(s[k]) + [-math.sqrt(p[k] / (1 - p[k]))] * int(m[k] - s[k])
+        H += group_terms(s, m, X, np.append(beta, sigma))[2]
+    for name, q in zip(("Min", "1Q", "Median", "3Q", "Max"), (0, 0.25, 0.5, 0.75, 1)):
+        assert got["residuals", name]["estimate"] == pytest.approx(np.quantile(rows, q), rel=1e-6)
+    cov = np.linalg.inv(-H)
+    assert got["correlation", "valleyUpper:valleyMid"]["estimate"] == pytest.approx(cov[2, 1] / math.sqrt(cov[1, 1] * cov[2, 2]), rel=1e-5)
+    assert got["correlation", "valleyMid:(Intercept)"]["estimate"] == pytest.approx(cov[1, 0] / math.sqrt(cov[1, 1] * cov[0, 0]), rel=1e-5)
