@@ -24,6 +24,8 @@ ID_PREFIX = "UID_"
 _WS = " \t\r\n"
 # Decimal literal accepted by R's as.numeric (surrounding whitespace allowed).
 NUMERIC_TEXT = r"^[ \t\r\n]*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?[ \t\r\n]*$"
+# Hexadecimal literal: sign, whole and fractional digits, binary exponent.
+HEX_TEXT = r"^([-+]?)0[xX](?=\.?[0-9a-fA-F])([0-9a-fA-F]*)\.?([0-9a-fA-F]*)(?:[pP]([-+]?[0-9]+))?$"
 
 
 def col(c) -> Column:
@@ -51,17 +53,30 @@ def normalise_text(c) -> Column:
 
 
 def as_numeric(c) -> Column:
-    """``as.numeric(x)`` on text: decimal literals parse, anything else is NULL.
+    """``as.numeric(x)`` on text (F3); white space around is allowed, anything that is no number is NULL.
 
-    Hexadecimal and ``Inf`` / ``NaN`` text, which the original would parse too, is NULL: years are decimal.
+    Decimal literals; hexadecimal ones with an optional fraction and binary exponent (``0x1F``, ``0x1.8p3``); ``Inf``, ``infinity`` and
+    ``NaN`` in either case, signed or not.
     """
     c = col(c).cast("string")
-    return F.when(c.rlike(NUMERIC_TEXT), trimws(c).try_cast("double"))
+    t = trimws(c)
+    digits = F.concat(F.regexp_extract(t, HEX_TEXT, 2), F.regexp_extract(t, HEX_TEXT, 3))
+    value = F.aggregate(F.regexp_extract_all(F.lower(digits), F.lit("."), F.lit(0)), F.lit(0.0),
+                        lambda a, d: a * 16.0 + (F.instr(F.lit("0123456789abcdef"), d) - 1))
+    binary = F.coalesce(F.regexp_extract(t, HEX_TEXT, 4).try_cast("double"), F.lit(0.0)) - 4.0 * F.length(F.regexp_extract(t, HEX_TEXT, 3))
+    # in two factors, so that neither overflows where the product does not
+    scaled = value * F.pow(F.lit(2.0), F.floor(binary / 2)) * F.pow(F.lit(2.0), binary - F.floor(binary / 2))
+    sign = F.when(t.startswith("-"), -1.0).otherwise(1.0)
+    return (F.when(c.rlike(NUMERIC_TEXT), t.try_cast("double"))
+            .when(t.rlike(HEX_TEXT), sign * F.when(value == 0.0, 0.0).otherwise(scaled))
+            .when(t.rlike(r"(?i)^[-+]?(inf|infinity)$"), sign * float("inf"))
+            .when(t.rlike(r"(?i)^[-+]?nan$"), F.lit(float("nan"))))
 
 
 def as_integer(c) -> Column:
-    """``as.integer(x)``: numeric parse, then truncation toward zero."""
-    return as_numeric(c).try_cast("int")
+    """``as.integer(x)``: numeric parse, then truncation toward zero; NULL beyond +-(2^31 - 1)."""
+    x = as_numeric(c)
+    return F.when(F.abs(x) < 2.0**31, x).try_cast("int")
 
 
 def is_na(c) -> Column:

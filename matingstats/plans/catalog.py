@@ -157,7 +157,7 @@ def _mixed_logit(i: Inputs, form: str = "analysis") -> DataFrame:
                          F.col("Polygynous").alias("successes"))
     fit = random_intercept_logit_counts(counts, "yob", "valley", "trials", "successes")
     # the steps are this optimiser's own; a search ends within 1e-6 of the maximum, so four places are certain
-    return rounded(fit.where("term != 'steps to convergence'"), 4).withColumn("z_value", F.round("z_value", 2))
+    return rounded(fit.where("term != 'steps to convergence'"), 4).withColumn("z_value", F.round("z_value", 1))
 
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {

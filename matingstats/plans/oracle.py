@@ -457,7 +457,7 @@ select round(least(1.0, (select sum(mass) from tails where side = 1)), 6) as exa
 def mixed_logit_sql(src: str, group: str, factor: str, failures: str, successes: str) -> str:
     """Random-intercept logistic fit (Laplace) for a factor of two levels, with nothing but likelihood values: at each outer step the
     likelihood is evaluated on a stencil around the parameters (the modes of the groups by Newton steps inside), differences give gradient and
-    Hessian, and a Newton step follows. Rounded to 4 places, z to 2: differences give the standard errors six digits."""
+    Hessian, and a Newton step follows. Rounded to 4 places, z to 1: differences give the standard errors six digits."""
     h = 2e-4
     points = {"c": (0, 0, 0)}
     for i in range(3):
@@ -519,9 +519,9 @@ each as (
   union all select sqrt((1 - p1) / p1), s1 from modes union all select -sqrt(p1 / (1 - p1)), n1 - s1 from modes),
 rows as (select r, unnest(range(cast(n as bigint))) from each where n > 0),
 five as (select quantile_cont(r, [0.0, 0.25, 0.5, 0.75, 1.0]) as q from rows)
-select 'fixed' as effect, '(Intercept)' as term, round(b0, 4) as estimate, round(sqrt(c00 / det), 4) as std_error, round({z0}, 2) as z_value,
+select 'fixed' as effect, '(Intercept)' as term, round(b0, 4) as estimate, round(sqrt(c00 / det), 4) as std_error, round({z0}, 1) as z_value,
        round({norm_two_sided(z0)}, 4) as p_value from fin
-union all select 'fixed', '{factor}' || l1, round(b1, 4), round(sqrt(c11 / det), 4), round({z1}, 2), round({norm_two_sided(z1)}, 4) from fin, lv
+union all select 'fixed', '{factor}' || l1, round(b1, 4), round(sqrt(c11 / det), 4), round({z1}, 1), round({norm_two_sided(z1)}, 4) from fin, lv
 union all select 'correlation', '{factor}' || l1 || ':(Intercept)', round(c01 / sqrt(c00 * c11), 4), null, null, null from fin, lv
 union all select 'ran_pars', 'sd__(Intercept)|{group}', round(abs(sg), 4), null, null, null from fin
 union all select 'ran_pars', 'var__(Intercept)|{group}', round(sg * sg, 4), null, null, null from fin
