@@ -31,11 +31,27 @@ def full_join(x: DataFrame, y: DataFrame, by: str, suffix: Sequence[str] = ("_x"
     return j.select(F.coalesce(F.col("_kx"), F.col("_ky")).alias(by), *rest)
 
 
+#: Column of a row's place in its input; ``_x`` and ``_y`` after a full join.
+POSITION = "position"
+
+
+def scan_position() -> F.Column:
+    """Place of a row in the files of a Parquet scan: file, then row; to be selected from the scan itself."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(POSITION)
+
+
+def joined_position(df: DataFrame) -> DataFrame:
+    """``position`` of a full join's rows from its sides': the rows of x in their order (matches of one row in the order of y), then
+    the rows of y without a match in theirs."""
+    x, y = F.col(f"{POSITION}_x"), F.col(f"{POSITION}_y")
+    return df.withColumn(POSITION, F.struct(x.isNull().alias("only_y"), x.alias("x"), y.alias("y"))).drop(f"{POSITION}_x", f"{POSITION}_y")
+
+
 def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """``distinct(key, .keep_all = TRUE)``: one row per key.
 
-    Input order does not exist in Spark, so "first" is the smallest row by
-    ``order`` (then the remaining columns), NULLs first. It is an aggregate
+    "First" is the smallest row by ``order`` (then the remaining columns), NULLs first: ``[POSITION]`` is the order of the
+    input, where the scan carried it. It is an aggregate
     (``min`` of a struct), so a hot key is combined map-side instead of being
     buffered in one window partition.
     """

@@ -72,6 +72,11 @@ class Inputs:
     def clean(self) -> DataFrame:
         return S.clean_offspring(self.merged)
 
+    @cached_property
+    def clean_placed(self) -> DataFrame:
+        """D4 with the rows' position in the input."""
+        return S.clean_offspring(S.merged_ped(roles.gen_parent(self.spark, self.sf_dir, position=True), roles.gen_meta(self.spark, self.sf_dir, position=True)))
+
     def types_small(self, mode: str = "independent") -> DataFrame:
         return S.valley_types(self.merged, self.places_small, mode)
 
@@ -162,6 +167,8 @@ def _mixed_logit(i: Inputs, form: str = "analysis") -> DataFrame:
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     # small data set
+    "parent_new": lambda i: S.parent_new(i.parent),
+    "small_ped": lambda i: S.small_ped(i.meta),
     "merge_pedigree": lambda i: i.merged,
     "clean_offspring": lambda i: i.clean,
     "unique_matings": lambda i: S.unique_matings(i.merged),
@@ -169,7 +176,10 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "sire_classification": lambda i: S.sire_classification(i.merged),
     "polygynous_sires": lambda i: S.polygynous_sires(i.merged),
     "monogamous_sires": lambda i: S.monogamous_sires(i.merged),
-    "offspring_strategy": lambda i: S.offspring_strategy(i.clean),
+    "sire_strategy_again": lambda i: S.sire_strategy_again(i.clean),
+    "summary_clean": lambda i: S.summary_clean(i.merged),
+    "offspring_strategy": lambda i: S.offspring_strategy(i.clean_placed),
+    "first_offspring": lambda i: M.first_offspring(roles.master_raw(i.spark, i.sf_dir, position=True)),
     "colony_summary": lambda i: S.colony_summary(i.clean),
     "valley_types_independent": lambda i: i.types_small("independent"),
     "valley_types_pair": lambda i: i.types_small("pair"),
@@ -199,6 +209,8 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "master_residuals": lambda i: M.master_residuals(i.master),
     "master_level": lambda i: M.master_level(i.master),
     "master_level_counts": lambda i: M.master_level_counts(i.master),
+    "fixed_master_ped": lambda i: M.fixed_master_ped(i.master),
+    "fixed_master_ped_analysis": lambda i: M.fixed_master_ped(i.master, form="analysis"),
     "colony_list": lambda i: M.colony_list(i.master),
     "colony_types_master": lambda i: i.types_master(),
     "colony_year_counts": lambda i: M.colony_year_counts(i.master),
@@ -265,6 +277,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _sql() -> dict[str, str]:
     b = O.build
     q: dict[str, str] = {}
+    q["parent_new"] = b("select * from parent_new")
+    q["small_ped"] = b("select * from small_ped")
+    q["sire_strategy_again"] = b("select * from ssa")
+    q["summary_clean"] = b("select sire_x, yrborn, cast(coalesce(n_dams, 0) as double) as n_dams, strategy from cls")
+    q["fixed_master_ped"] = b("select * from fixed")
+    q["fixed_master_ped_analysis"] = b("select * from fixed_a")
     q["merge_pedigree"] = b("select * from merged")
     q["clean_offspring"] = b("select * from clean")
     q["unique_matings"] = b("select * from unique_matings")
@@ -272,7 +290,16 @@ def _sql() -> dict[str, str]:
     q["sire_classification"] = b("select * from cls")
     q["polygynous_sires"] = b("select * from cls where strategy = 'Polygynous'")
     q["monogamous_sires"] = b("select * from cls where strategy = 'Monogamous'")
-    q["offspring_strategy"] = b("select * from os")
+    q["offspring_strategy"] = b("""
+select uid, dam, sire, yrborn, col_area, strategy from (
+  select c.uid, c.dam, c.sire, c.yrborn, c.col_area, s.strategy,
+         row_number() over (partition by c.uid order by case when e.event_id % 10 = 0 then 1 else 0 end, e.place) as rn
+  from clean c join ssa s on c.sire = s.sire and c.yrborn = s.yrborn
+  join (select event_id, row_number() over () as place from events) e on c.uid = cast(e.event_id as varchar)) where rn = 1""")
+    q["first_offspring"] = b("""
+select uid, sire, dam, yob, col_area from (
+  select m.*, row_number() over (partition by sire order by place) as rn
+  from master_raw m join (select o_orderkey, row_number() over () as place from orders) o on m.uid = o.o_orderkey where sire is not null) where rn = 1""")
     q["colony_summary"] = b("select col_area, strategy, count(*) as n_individuals from os group by col_area, strategy")
     q["valley_types_independent"] = b("select * from types_small")
     q["valley_types_pair"] = b("select * from vt_pair")

@@ -16,6 +16,7 @@ from matingstats.functions import text as T
 from matingstats.functions.special import safe_div
 from matingstats.operators import classify as C
 from matingstats.operators.chisq import chisq_test, std_residuals
+from matingstats.operators.joins import POSITION, first_per_key
 from matingstats.operators.fisher import fisher_monte_carlo, fisher_rx2, monte_carlo_against_exact
 from matingstats.operators.ranksum import rank_sum_test
 from matingstats.operators.reshape import (complete_cells, non_integer_audit, pivot_longer,
@@ -176,6 +177,11 @@ def int_audit(types: DataFrame) -> DataFrame:
     return non_integer_audit(valley_year_wide(types), ["valley", C.MONO, C.POLY])
 
 
+def first_offspring(m: DataFrame) -> DataFrame:
+    """G7 on the master pedigree: of each known sire the first row by input order."""
+    return first_per_key(m.where(F.col("sire").isNotNull()), "sire", [POSITION]).drop(POSITION)
+
+
 # ----------------------------------------------------------- tests D37-D39
 
 def colony_table(m: DataFrame, form: str = "refined") -> DataFrame:

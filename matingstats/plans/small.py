@@ -14,7 +14,7 @@ from matingstats.functions import text as T
 from matingstats.operators import classify as C
 from matingstats.operators.chisq import chisq_test, std_residuals
 from matingstats.operators.fisher import fisher_2x2, fisher_rx2
-from matingstats.operators.joins import first_per_key, full_join
+from matingstats.operators.joins import POSITION, first_per_key, full_join, joined_position
 from matingstats.operators.ranksum import rank_sum_test
 from matingstats.operators.reshape import complete_cells, pivot_wider
 from matingstats.session import reliable_checkpoint
@@ -40,12 +40,15 @@ def merged_ped(parent: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def clean_offspring(merged: DataFrame) -> DataFrame:
-    """D4: "N/A" year is missing; sire and year known; five columns; uid stripped once more."""
+    """D4: "N/A" year is missing; sire and year known; five columns; uid stripped once more. (And the rows' position, if the join carried it.)"""
     y = T.na_if("yrborn", T.NA_YEAR_TOKEN)
+    kept = []
+    if f"{POSITION}_x" in merged.columns:
+        merged, kept = joined_position(merged), [POSITION]
     return (merged.withColumn("yrborn", y)
                   .where(F.col("sire_x").isNotNull() & F.col("yrborn").isNotNull())
                   .select(T.strip_prefix("uid").alias("uid"), F.col("dam_x").alias("dam"),
-                          F.col("sire_x").alias("sire"), "yrborn", "col_area"))
+                          F.col("sire_x").alias("sire"), "yrborn", "col_area", *kept))
 
 
 def unique_matings(merged: DataFrame) -> DataFrame:
@@ -91,12 +94,13 @@ def sire_strategy_again(clean: DataFrame) -> DataFrame:
 def offspring_strategy(clean: DataFrame) -> DataFrame:
     """Pups with a known strategy, one row per uid.
 
-    ``left_join`` + ``!is.na(strategy)`` is an inner join; the first row per
-    uid is the smallest by (yrborn, sire, dam, col_area), NULLs first.
+    ``left_join`` + ``!is.na(strategy)`` is an inner join; the first row per uid is the first by input order where
+    ``clean`` carries the position, else the smallest by (yrborn, sire, dam, col_area), NULLs first.
     """
-    j = clean.join(sire_strategy_again(clean), ["sire", "yrborn"], "inner") \
-             .select("uid", "dam", "sire", "yrborn", "col_area", "strategy")
-    return first_per_key(j, "uid", ["yrborn", "sire", "dam", "col_area"])
+    placed = POSITION in clean.columns
+    columns = ["uid", "dam", "sire", "yrborn", "col_area", "strategy"]
+    j = clean.join(sire_strategy_again(clean), ["sire", "yrborn"], "inner").select(*columns, *([POSITION] if placed else []))
+    return first_per_key(j, "uid", [POSITION] if placed else ["yrborn", "sire", "dam", "col_area"]).select(*columns)
 
 
 def colony_summary(clean: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matingstats.functions.text import ID_PREFIX, NA_YEAR_TOKEN
+from matingstats.operators.joins import POSITION, scan_position
 
 UPPER = "Upper Valley"
 LOWER = "Lower Valley"
@@ -36,7 +37,10 @@ COLUMN_TYPES = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, position: bool = False) -> DataFrame:
+    """The columns ``cols`` of a table (default: all); ``position``: with the rows' places in the input."""
+    if position:
+        return table(spark, sf_dir, name, *cols).select(*cols, scan_position())
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     types = COLUMN_TYPES.get(name, {})
     if cols and all(c in types for c in cols):
@@ -46,10 +50,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def master_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _kept(position: bool) -> list[str]:
+    return [POSITION] if position else []
+
+
+def master_raw(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
     """Master pedigree: one row per offspring (an order), its sire (customer),
     dam (order priority), year of birth and colony (nation name, half padded)."""
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", position=position)
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     j = (o.join(c, o.o_custkey == c.c_custkey)
@@ -59,7 +67,7 @@ def master_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 17 == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("sire"),
         F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED")).alias("dam"),
         F.year("o_orderdate").cast("int").alias("yob"),
-        _written_colony().alias("col_area"),
+        _written_colony().alias("col_area"), *_kept(position),
     )
 
 
@@ -69,22 +77,22 @@ def _written_colony() -> F.Column:
                   F.concat(F.lit("  "), F.lower("n_name"), F.lit(" "))).otherwise(F.col("n_name"))
 
 
-def gen_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gen_parent(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
     """Parentage table: prefixed offspring id, sire and dam."""
-    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", position=position)
     return e.where(F.col("event_id") % 10 != 0).select(
         F.concat(F.lit(ID_PREFIX), F.col("event_id").cast("string")).alias("id"),
         F.when(F.col("event_id") % 19 == 0, F.lit(None).cast("string"))
          .otherwise(F.col("user_id").cast("string")).alias("sire"),
-        F.nullif(F.col("event_type"), F.lit("error")).alias("dam"),
+        F.nullif(F.col("event_type"), F.lit("error")).alias("dam"), *_kept(position),
     )
 
 
-def gen_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gen_meta(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
     """Genotype metadata: prefixed uid, empty parent columns, birth year as
     text ("N/A" and NULL included), colony code and sex. Ids that have no
     parentage row are all here, so every event is on one side at least."""
-    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id")
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", position=position)
     eid = F.col("event_id")
     return e.where((eid % 7 != 0) | (eid % 10 == 0)).select(
         F.concat(F.lit(ID_PREFIX), eid.cast("string")).alias("uid"),
@@ -95,7 +103,7 @@ def gen_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.dayofmonth("ts").cast("string")).alias("yrborn"),
         F.when(eid % 31 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("nation_"), (F.col("user_id") % 25).cast("string"))).alias("col_area"),
-        F.when(eid % 2 == 0, F.lit("F")).otherwise(F.lit("M")).alias("sex"),
+        F.when(eid % 2 == 0, F.lit("F")).otherwise(F.lit("M")).alias("sex"), *_kept(position),
     )
 
 
