@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -60,17 +61,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows for jobs that run inside."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(rows))
+def batches_of(spark: SparkSession, rows: int, size: int | None = None):
+    """Arrow batches of at most ``rows`` rows, and about ``size`` bytes, for jobs that run inside."""
+    bounds = {_BATCH: str(rows)} | ({_BATCH_BYTES: str(size)} if size else {})
+    before = {k: spark.conf.get(k, None) for k in bounds}
+    for k, v in bounds.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def worker_state(name: str, key, make):
+    """What ``make`` returns, kept by this Python process under ``name`` until another ``key`` is asked for: tasks that follow each other in a
+    worker share it."""
+    kept = sys.modules.setdefault("_matingstats_kept", types.ModuleType("_matingstats_kept")).__dict__
+    if kept.get(name, (None,))[0] != key:
+        kept[name] = key, make()
+    return kept[name][1]
+
+
+def release_memory() -> None:
+    """Gives memory that is free in this Python process back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -16,7 +16,7 @@ keys; an empty table gives empty files; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from matingstats.llm.common import ROW, batches_of, by_value, with_row_key
+from matingstats.llm.common import ROW, batches_of, by_value, maybe_broadcast, release_memory, with_row_key, worker_state
 
 by_value(__name__)
 
-BLOCK = ("shard int, block int, before long, n_docs int, n_tokens long, width int, doc_ids array<bigint>, ids binary, "
+BLOCK = ("shard int, block int, before long, n_docs int, n_tokens long, width int, doc_ids array<{kind}>, ids binary, "
          "low_bits int, low binary, high binary, samples binary")
 
 
@@ -81,10 +81,11 @@ class LibraryEncoder:
 
     The library's byte-level splitting cuts before each blank, and around each line feed, that has no other white space
     beside it, and between a letter or digit and the punctuation that ends a chunk. Texts are cut in the same places, and the ids of
-    the parts joined. Texts with other white space go to the library whole.
+    the parts joined. Texts with other white space go to the library whole, and so do all texts if the file describes another splitting.
     """
 
-    REMEMBER = 700_000
+    #: Bytes of remembered chunks and ids, about, in both tables together.
+    REMEMBER = 96 << 20
     #: Punctuation that is cut off the end of a chunk; no apostrophe, which may begin a contraction.
     TAIL = ".,!?;:%*$&|)\"}]"
 
@@ -93,6 +94,11 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        described = json.loads(model)
+        splitting = described.get("pre_tokenizer") or {}
+        self.cuts = (described.get("normalizer") is None and splitting.get("type") == "ByteLevel" and splitting.get("use_regex", True)
+                     and not splitting.get("add_prefix_space", True) and described["model"].get("type") == "BPE")
+        self.held = 0
         self.after_blank: dict[str, bytes] = {}  # ids of a chunk that a blank precedes
         self.plain: dict[str, bytes] = {}  # of one that begins a text or a line, and of tails
 
@@ -155,9 +161,19 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.after_blank) > self.REMEMBER:
+        if not self.cuts:
+            return self._ids([t or "" for t in texts])
+        if self.held > self.REMEMBER:
             self.after_blank.clear()
             self.plain.clear()
+            self.held = 0
+        before = len(self.after_blank) + len(self.plain)
+        try:
+            return self._encoded(texts)
+        finally:  # an entry has about 250 bytes, the text, its ids and their place in the table, and what the text has beyond a word's length
+            self.held += 250 * (len(self.after_blank) + len(self.plain) - before) + sum(len(t or "") for t in texts)
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
         (self.feed,) = self._ids(["\n"])
         whole = [k for k, t in enumerate(texts) if t and any(x in t for x in self.special)]
         skip = set(whole)
@@ -181,23 +197,28 @@ class LibraryEncoder:
 
 
 def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
-                 shards: int | None = None, shard_bytes: int = 32 << 20, block_tokens: int = 1 << 20) -> None:
-    """Writes the ids of all documents in ascending order of their ids to ``path``."""
+                 shards: int | None = None, shard_bytes: int = 32 << 20, block_tokens: int = 1 << 20, most_shards: int = 8192) -> None:
+    """Writes the ids of all documents in ascending order of their ids to ``path``. Text ids are kept as texts, whole numbers as long.
+
+    At most ``most_shards`` ranges, however much text there is: memory is that of a block and a batch, whatever a shard holds.
+    """
     spark = docs.sparkSession
     with open(model_path, encoding="utf-8") as f:  # bounded by the vocabulary; executors need not have the file
         model = f.read()
-    keyed = with_row_key(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), ROW)
+    whole = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
+    kind = "bigint" if whole else "string"
+    layout = BLOCK.format(kind=kind)
+    keyed = with_row_key(docs, id_col, text_col).select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text"), ROW)
     if not shards:
         total = keyed.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-        shards = max(1, -(-total // shard_bytes))
+        shards = min(most_shards, max(1, -(-total // shard_bytes)))
     sorted_ = keyed.repartitionByRange(shards, F.col("id").asc_nulls_first(), ROW).sortWithinPartitions(F.col("id").asc_nulls_first(), ROW)
-    names = [part.split()[0] for part in BLOCK.split(", ")]
+    names = [part.split()[0] for part in layout.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        gc.disable()  # what is remembered has no cycles: not to be searched for them again and again
         shard, block, before, width = TaskContext.get().partitionId(), 0, 0, 4
         encoder, ids, coded, total = None, [], [], 0
 
@@ -207,15 +228,15 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 0, i
             ef = EliasFano.of(ends)
             row = [shard, block, before, len(ids), int(ends[-1]), width, ids, flat.astype("<u2" if width == 2 else "<u4").tobytes(),
                    ef.low_bits, ef.low, ef.high, ef.samples]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(),
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64() if whole else pa.string()), pa.binary(),
                      pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
         end = np.array([end_id], dtype="<u4").tobytes()
         try:
             for batch in batches:
-                if encoder is None:
-                    encoder = LibraryEncoder(model)
+                if encoder is None:  # one for all tasks of the worker
+                    encoder = worker_state("token encoder", hash(model), lambda: LibraryEncoder(model))
                     width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
@@ -228,22 +249,23 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = 0, i
                             before, block, ids, coded, total = before + total, block + 1, [], [], 0
             if ids:
                 yield done()
-        finally:
-            encoder = None
-            gc.enable()
-            gc.collect()  # the worker goes on to other tasks
+        finally:  # the worker goes on to other tasks
+            ids = coded = batch = part = None
+            release_memory()
 
-    with batches_of(spark, 1000):
-        sorted_.mapInArrow(run, BLOCK).write.parquet(path)
+    with batches_of(spark, 1000, 8 << 20):
+        sorted_.mapInArrow(run, layout).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the files: doc_id, start (ids before it), n_tokens, ids_crc32."""
-    blocks = spark.read.schema(BLOCK).parquet(path)
+    blocks = spark.read.parquet(path)
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    id_type = pa.int64() if kind == "bigint" else pa.string()
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row a task of the writer
     bases = totals.select("shard", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
-    placed = blocks.join(F.broadcast(bases), "shard").withColumn("begin", F.col("base") + F.col("before"))
+    placed = blocks.join(maybe_broadcast(bases, 100_000), "shard").withColumn("begin", F.col("base") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,8 +274,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ends = EliasFano(r["n_docs"] + 1, r["low_bits"], r["low"], r["high"], r["samples"]).select(np.arange(r["n_docs"] + 1))
                 ids = np.frombuffer(r["ids"], dtype=f"<u{r['width']}").astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["begin"] + ends[:-1]), pa.array(np.diff(ends)),
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], id_type), pa.array(r["begin"] + ends[:-1]), pa.array(np.diff(ends)),
                                                   pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     cols = ["begin", "n_docs", "width", "doc_ids", "ids", "low_bits", "low", "high", "samples"]
-    return placed.select(*cols).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select(*cols).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

@@ -288,6 +288,42 @@ def test_library_chunks_equal_whole_texts(docs):
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in own.encode(texts)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_remembered_words_are_bounded_in_bytes():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        own = token_store.LibraryEncoder(f.read())
+    own.REMEMBER = 100_000
+    most = 0
+    for k in range(200):  # without a blank every text is a chunk of its own
+        texts = [f"w{k}x{j}" * 5 for j in range(50)]
+        got = own.encode(texts)
+        most = max(most, len(own.plain) + len(own.after_blank))
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got[:2]] == [own.tokenizer.encode(t).ids for t in texts[:2]]
+    assert most < 1000
+
+
+def test_other_splittings_go_to_the_library_whole():
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        described = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**described["pre_tokenizer"], "add_prefix_space": True}},
+                   {"pre_tokenizer": {**described["pre_tokenizer"], "use_regex": False}}):
+        model = json.dumps({**described, **change})
+        whole, texts = Tokenizer.from_str(model), ["The cat, the Hat", " a  b", "x", "", None]
+        got = token_store.LibraryEncoder(model).encode(texts)
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_of_text_ids(spark):
+    path = new_folder(spark, "tokens")
+    rows = spark.createDataFrame([("b", "x y"), ("a", "z"), (None, "")], "doc_id string, text string")
+    token_store.write_tokens(rows, path, public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(map(tuple, token_store.read_tokens(spark, path).collect()), key=lambda r: r[1])
+    assert [r[:3] for r in got] == [(None, 0, 1), ("a", 1, 2), ("b", 3, 3)]
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x?y"), (2, "https://net"), (3, "x://net/"), (4, None), (5, "no scheme/net/"), (6, "http://example.com/de/#a"), (7, "http://www.org/fr/"),
             (8, "http://u:p@example.org:80/fr/"), (9, "://bad.net/x://y"), (10, ""), (11, "http://ÉXAMPLE.net/fr\n/"), (1, "http://A.Example.NET/en/x?y"), (12, "http://a.bnet/")]
