@@ -116,3 +116,27 @@ def test_study_places_dimension(spark):
     m = master(spark, [("A", "d1", 2001, " River "), ("A", "d2", 2001, "NorthPk"), ("A", "d1", 2001, "elsewhere")])
     rows = {(r["col_area"], r["valley"], r["strategy"]) for r in M.colony_types_master(m, p).collect()}
     assert rows == {("river", "Lower Valley", "Polygynous"), ("northpk", "Upper Valley", "Polygynous")}
+
+
+def test_first_row_by_input_order_through_the_joins(spark, tmp_path):
+    """Two files a side, repeated ids on both: the original order is x's rows, matches of one row in y's order, then y's own rows."""
+    from matingstats.operators.joins import POSITION, joined_position, scan_position
+
+    def side(name, parts, schema):
+        for k, rows in enumerate(parts):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name / f"part={k}"))
+        return spark.read.parquet(str(tmp_path / name)).select(*[c.split()[0] for c in schema.split(", ")], scan_position())
+
+    x_rows = [[("b", 1), ("a", 2), ("b", 3)], [("c", 4), ("a", 5)]]
+    y_rows = [[("a", "p"), ("z", "q")], [("b", "r"), ("a", "s"), ("z", "t"), ("b", "u")]]
+    x, y = side("x", x_rows, "uid string, n int"), side("y", y_rows, "uid string, v string")
+    j = joined_position(full_join(x, y, "uid"))
+    fx, fy = [r for p in x_rows for r in p], [r for p in y_rows for r in p]
+    want = [(u, n, v) for u, n in fx for v in ([v for w, v in fy if w == u] or [None])] + [(u, None, v) for u, v in fy if u not in {w for w, _ in fx}]
+    assert [tuple(r) for r in j.orderBy(POSITION).select("uid", "n", "v").collect()] == want
+    first = {}
+    for u, n, v in want:
+        first.setdefault(u, (n, v))
+    for parts in (1, 5):
+        got = first_per_key(j.repartition(parts), "uid", [POSITION]).drop(POSITION).collect()
+        assert {r["uid"]: (r["n"], r["v"]) for r in got} == first

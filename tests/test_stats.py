@@ -294,3 +294,40 @@ def test_monte_carlo_held_against_the_exact_test(spark):
     row = monte_carlo_against_exact(spark, t, "x", "y", B=20_000).first()
     assert row["within_four_se"] and row["n_rows"] == 4
     assert row["exact_p"] == pytest.approx(fisher_rx2_p(np.array([3, 8, 5, 1]), np.array([9, 2, 5, 7])), rel=1e-9)
+
+
+@pytest.mark.parametrize("width", [4])
+def test_rank_sum_of_ten_million_values_in_one_group(spark, width):
+    n = 10_000_000
+    df = spark.range(0, n, 1, 8).select(F.lit("g").alias("g"), F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("level"),
+                                        F.floor((F.col("id") * 7919 % n) / width).cast("double").alias("v"))
+    row = rank_sum_test(df, "g", "level", "v").first()
+    ids = np.arange(n)
+    rank = (ids * 7919 % n) // width * width + (width + 1) / 2  # mid-ranks: every value occurs ``width`` times
+    x = ids % 3 == 0
+    w = rank[x].sum() - x.sum() * (x.sum() + 1) / 2
+    assert row["W"] == pytest.approx(w, rel=1e-12)
+    nx, ny = float(x.sum()), float(n - x.sum())
+    var = nx * ny / 12 * ((n + 1) - (n / width) * (width ** 3 - width) / (n * (n - 1.0)))
+    d = w - nx * ny / 2
+    assert row["p_value"] == pytest.approx(math.erfc(abs((d - math.copysign(0.5, d)) / math.sqrt(var)) / math.sqrt(2)), rel=1e-6)
+
+
+def test_rank_sum_windows_have_a_bucket_key(spark):
+    df = spark.createDataFrame([("g", "A", 1.0), ("g", "B", 2.0)], "g string, level string, v double")
+    plan = rank_sum_test(df, "g", "level", "v")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if line.strip(" +-:").startswith("Window")]
+    assert windows and all("_part" in line for line in windows)
+
+
+def test_rank_sum_of_many_groups_equals_pooled_ranks(spark):
+    draw = np.random.default_rng(2)
+    rows = [(str(g) if g else None, str(draw.choice(["a", "b"])), float(draw.integers(0, 6))) for g in range(5) for _ in range(40)] + [("solo", "a", 1.0), ("solo", "a", 2.0)]
+    got = {r["g"]: r for r in rank_sum_test(spark.createDataFrame(rows, "g string, l string, v double").repartition(4), "g", "l", "v").collect()}
+    for g in {r[0] for r in rows} - {"solo"}:
+        own = [(r[1], r[2]) for r in rows if r[0] == g]
+        v = np.array([b for _, b in own])
+        rank = np.array([(v < b).sum() + ((v == b).sum() + 1) / 2 for b in v])
+        x = np.array([a == "a" for a, _ in own])
+        assert got[g]["W"] == pytest.approx(rank[x].sum() - x.sum() * (x.sum() + 1) / 2)
+    assert got["solo"]["W"] is None and got["solo"]["p_value"] is None
