@@ -245,6 +245,11 @@ class Decoder:
         return [whole[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1, ...: names with dots cannot be handed to Arrow functions."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 #: Bytes of text, or ids, that a task works on at a time.
 PART = 1 << 19
 
@@ -252,7 +257,8 @@ PART = 1 << 19
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the ids of ``text_col`` as an array column ``out_col`` in place of the text.
 
-    ``decoded_col``: a further column of the bytes that these ids decode to, made in the same task.
+    ``decoded_col``: a further column of the bytes that these ids decode to, made in the same task. Columns called like the results are
+    replaced; all others are kept, whatever they are called.
     """
     with open(ranks_path, "rb") as f:  # bounded by the vocabulary; executors need not have the file
         raw = f.read()
@@ -260,6 +266,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     others = [f for f in docs.schema.fields if f.name not in (text_col, out_col, decoded_col)]
     schema = T.StructType([*others, T.StructField(out_col, T.ArrayType(T.IntegerType(), False))]
                           + ([T.StructField(decoded_col, T.BinaryType())] if decoded_col else []))
+    text, kept = f"c{docs.columns.index(text_col)}", [f"c{docs.columns.index(f.name)}" for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = decoder = None
@@ -267,33 +274,34 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             if encoder is None:
                 ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())}
                 encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
-            for part in _slices(batch, text_col, PART):
-                coded = encoder.encode(part.column(text_col).to_pylist())
+            for part in _slices(batch, text, PART):
+                coded = encoder.encode(part.column(text).to_pylist())
                 ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(coded), dtype="<i4")
                 made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decoded_col:
                     made.append(pa.array(decoder.decode(flat, ends), pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + made, schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return _numbered(docs).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``coded`` with the bytes that the ids stand for as a binary column ``out_col``."""
+    """``coded`` with the bytes that the ids stand for as a binary column ``out_col``, which replaces one of that name."""
     with open(ranks_path, "rb") as f:
         raw = f.read()
     bound_batches(coded.sparkSession)
     others = [f for f in coded.schema.fields if f.name != out_col]
     schema = T.StructType([*others, T.StructField(out_col, T.BinaryType())])
+    coded_ids, kept = f"c{coded.columns.index(ids_col)}", [f"c{coded.columns.index(f.name)}" for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder({base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())})
         for batch in batches:
-            for part in _slices(batch, ids_col, PART):
-                ids = part.column(ids_col)
+            for part in _slices(batch, coded_ids, PART):
+                ids = part.column(coded_ids)
                 ends = ids.offsets.to_numpy().astype(np.int64)
                 made = pa.array(decoder.decode(ids.flatten().to_numpy(zero_copy_only=False), ends - ends[0]), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + [made], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [made], schema.fieldNames())
 
-    return coded.mapInArrow(run, schema)
+    return _numbered(coded).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Key of a row inside an operator; never returned.
-ROW = "__row"
+ROW = "__matingstats_row"
 
 
 def by_value(module: str) -> None:
@@ -115,16 +115,37 @@ def with_row_key(docs: DataFrame, id_col: str, *keep: str) -> DataFrame:
     column). Otherwise the rows are numbered and stored, so that the numbers stay the same
     when tasks run again.
     """
-    cols = list(dict.fromkeys([id_col, *keep]))
-    kind = dict(docs.dtypes)[id_col]
-    if kind in ("bigint", "int", "smallint", "tinyint"):
-        worst = (docs.groupBy(F.col(id_col).cast("long").alias("k")).count()
-                 .agg(F.max(F.col("count") + F.col("k").isNull().cast("long")).alias("m")).first()["m"])
-        if worst is None or worst == 1:
-            return docs.select(*cols, F.col(id_col).cast("long").alias(ROW))
+    cols = [quoted(c) for c in dict.fromkeys([id_col, *keep])]
+    if _is_key(docs, id_col):
+        return docs.select(*cols, quoted(id_col).cast("long").alias(ROW))
     return stored(docs.select(*cols, F.monotonically_increasing_id().alias(ROW)), "rows")
 
 
+def quoted(name: str) -> Column:
+    """The column called ``name``, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _is_key(docs: DataFrame, id_col: str) -> bool:
+    """Whether the column is a whole number, unique and never null: one cheap scan of it."""
+    if dict(docs.dtypes)[id_col] not in ("bigint", "int", "smallint", "tinyint"):
+        return False
+    worst = (docs.groupBy(quoted(id_col).cast("long").alias("k")).count()
+             .agg(F.max(F.col("count") + F.col("k").isNull().cast("long")).alias("m")).first()["m"])
+    return worst is None or worst == 1
+
+
+def with_whole_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(``whole``, ``ROW``, ``id``, ``text``): all columns of ``docs`` in a struct, whatever they are called, the key of ``with_row_key``, and the two
+    columns that operators work on; ``select("whole.*")`` gives the rows back."""
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("whole"))
+    if _is_key(docs, id_col):
+        rows = rows.withColumn(ROW, F.col("whole").getField(id_col).cast("long"))
+    else:
+        rows = stored(rows.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    return rows.select("whole", ROW, F.col("whole").getField(id_col).alias("id"), F.col("whole").getField(text_col).alias("text"))
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows: the check before every broadcast hint."""
     return df.limit(max_rows + 1).count() <= max_rows

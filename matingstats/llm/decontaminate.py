@@ -5,9 +5,9 @@ words is one window). Their 64-bit hashes form a hash set that is shipped to eve
 word windows are looked up in it as they are scanned, and every hit is verified on the
 words themselves. One pass over the documents, no shuffle of texts.
 
-The set is a literal in the plan, so its size is counted first. Beyond ``max_set`` windows the
-same lookup is a join of the documents' window hashes with the benchmark's, and
-the verification follows on the row.
+The set is a literal in the plan, so its size is counted first. Beyond ``max_set`` windows it is a broadcast table of the hashes alone, in
+ranges of ``max_hashes`` and a pass for each: windows are looked up as they are made, and only those found
+are shuffled, to meet the words they are verified by. Memory is that of one range, whatever the benchmark's size.
 
 Defined results: a null or empty text, or one without words, has no hits; null or empty
 items are no windows; an item with a null id gives hits but is not listed; repeated benchmark items
@@ -17,15 +17,20 @@ columns are kept by the filters and ignored by the report.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.llm.common import ROW, ascii_lower, once, sql_string, with_row_key
+from matingstats.llm.common import ROW, ascii_lower, maybe_broadcast, once, quoted, small_enough, sql_string, stored, with_row_key
 
 WINDOW = 13
 #: Windows that may be shipped as a literal set (about 100 bytes each, with their words).
 MAX_SET = 100_000
 
+#: Hashes that may be broadcast at once (about 16 bytes each).
+MAX_HASHES = 4_000_000
+
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
@@ -69,29 +74,34 @@ def _by_set(docs: DataFrame, windows: list) -> DataFrame:
     return once(docs, hits=F.expr(f"filter({named}, c -> c.key IN ({keys}))" if windows else named))
 
 
-def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Adds ``hits`` by joining the hashes of the documents' windows with the benchmark's."""
+def _by_passes(docs: DataFrame, windows: DataFrame, max_hashes: int) -> DataFrame:
+    """Adds ``hits`` by broadcast sets of hashes, as many passes as they need: only windows whose hash is a benchmark's go on, to be
+    joined with the words for the verification on the row."""
     lengths = [r["len"] for r in windows.select("len").distinct().collect()]  # at most n values
     wanted = windows.select("hash", "len", "key").distinct()
+    hashes = wanted.select("hash").distinct()
+    passes = -(-hashes.count() // max_hashes)
     at = F.explode(F.expr("flatten(array(" + ", ".join(_positions(n, "true") for n in lengths) + "))"))
     seen = docs.select(ROW, "h", at.alias("c")).select(ROW, "c.pos", "c.len", F.expr("xxhash64(slice(h, c.pos + 1, c.len))").alias("hash"))
-    found = (seen.join(wanted, ["hash", "len"])
+    parts = [seen.join(F.broadcast(hashes.where(F.pmod("hash", F.lit(passes)) == k)), "hash", "left_semi") for k in range(passes)]
+    some = stored(reduce(DataFrame.unionByName, parts), "candidates")
+    found = (some.join(wanted, ["hash", "len"])
              .groupBy(F.col(ROW).alias("of")).agg(F.collect_list(F.struct("pos", "len", "key")).alias("found")))
-    docs = docs.join(found, docs[ROW] == found["of"], "left").drop("of")
+    docs = docs.join(maybe_broadcast(found, MAX_SET), docs[ROW] == found["of"], "left").drop("of")
     return once(docs, hits=F.expr("""filter(coalesce(found, array()),
         c -> array_join(slice(words, c.pos + 1, c.len), ' ') = c.key)""")).drop("found")
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set: int = MAX_SET, text_col: str = "text") -> DataFrame:
-    """``docs`` (with a key ``ROW``) and n_words, n_hit and hits (pos, len, key), sorted and verified."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set: int = MAX_SET, max_hashes: int = MAX_HASHES) -> DataFrame:
+    """``docs`` (text, and a key ``ROW`` that stays when tasks run again) and n_words, n_hit and hits (pos, len, key), sorted and verified."""
     windows = benchmark_windows(benchmark, n)
-    docs = once(docs, words=words(F.col(text_col)))
+    docs = once(docs, words=words(F.col("text")))
     docs = once(docs, h=F.expr("transform(words, x -> xxhash64(x))"))
     distinct = windows.select("key", "len", "hash", "head").distinct()
-    if distinct.limit(max_set + 1).count() <= max_set:
+    if small_enough(distinct, max_set):
         docs = _by_set(docs, distinct.collect())
     else:
-        docs = _by_join(docs, windows)
+        docs = _by_passes(docs, windows, max_hashes)
     covered = """aggregate(array_sort(hits), named_struct('end', 0, 'n', 0L), (a, c) -> named_struct(
         'end', greatest(a.end, c.pos + c.len),
         'n', a.n + greatest(0, c.pos + c.len - greatest(a.end, c.pos))), a -> a.n)"""
@@ -99,26 +109,29 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set: i
     return docs.withColumn("n_words", F.size("words").cast("long")).withColumn("hits", F.array_sort("hits")).drop("words", "h")
 
 
+def _whole_rows(docs: DataFrame, benchmark: DataFrame, n: int, max_set: int) -> DataFrame:
+    """(whole, ROW, text): the set lookup needs no key; where rows are joined again their numbers are written first, so that they stay."""
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("whole")).withColumn(ROW, F.monotonically_increasing_id())
+    if not small_enough(benchmark_windows(benchmark, n).select("key").distinct(), max_set):
+        rows = stored(rows, "rows")
+    return rows.withColumn("text", F.col("whole").getField("text"))
+
+
 def is_contaminated() -> Column:
     """At least one word in twenty lies inside a benchmark window."""
     return F.expr("n_hit > 0 AND 20 * n_hit >= n_words")
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set: int = MAX_SET, max_hashes: int = MAX_HASHES) -> DataFrame:
     """``docs`` without the contaminated ones; all columns and all other rows stay."""
-    cols = docs.columns
-    keyed = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(cols)],
-                        F.monotonically_increasing_id().alias(ROW), F.col("text").alias("text"))
-    kept = find_hits(keyed, benchmark, n, max_set).where(~is_contaminated())
-    return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(cols)])
+    kept = find_hits(_whole_rows(docs, benchmark, n, max_set), benchmark, n, max_set, max_hashes).where(~is_contaminated())
+    return kept.select("whole.*")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set: int = MAX_SET, max_hashes: int = MAX_HASHES) -> DataFrame:
     """``docs`` with every hit word, and the separators up to the next word, cut from ``text``; null stays null."""
     cols = docs.columns
-    keyed = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(cols)],
-                        F.monotonically_increasing_id().alias(ROW), F.col("text").alias("text"))
-    hit = find_hits(keyed, benchmark, n, max_set)
+    hit = find_hits(_whole_rows(docs, benchmark, n, max_set), benchmark, n, max_set, max_hashes)
     spans = F.expr("""aggregate(hits, CAST(array() AS array<struct<s:int,e:int>>), (a, c) -> IF(
         size(a) > 0 AND c.pos <= a[size(a) - 1].e,
         concat(slice(a, 1, size(a) - 1), array(named_struct('s', a[size(a) - 1].s, 'e', greatest(a[size(a) - 1].e, c.pos + c.len)))),
@@ -129,12 +142,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set
            .withColumn("pieces", F.regexp_extract_all("text", F.lit(_ANY_WORD + _SEPARATORS), F.lit(0)))
            .withColumn("lead", F.regexp_extract("text", "^" + _SEPARATORS, 0))
            .withColumn("text", F.when(F.col("n_hit") > 0, cut).otherwise(F.col("text"))))
-    return hit.select(*[F.col("text" if c == "text" else f"__{i}").alias(c) for i, c in enumerate(cols)])
+    return hit.select(*[F.col("text") if c == "text" else F.col("whole").getField(c).alias(c) for c in cols])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set: int = MAX_SET, id_col: str = "doc_id") -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_set: int = MAX_SET, id_col: str = "doc_id", max_hashes: int = MAX_HASHES) -> DataFrame:
     """One row per document: its id, n_words, n_hit, items (sorted strings), contaminated."""
-    hit = find_hits(with_row_key(docs, id_col, "text"), benchmark, n, max_set)
+    hit = find_hits(with_row_key(docs, id_col, "text"), benchmark, n, max_set, max_hashes)
     seen = hit.select(ROW, id_col, "n_words", "n_hit",
                       F.explode_outer(F.expr("array_distinct(transform(hits, c -> c.key))")).alias("key"))
     items = benchmark_windows(benchmark, n).where("item_id IS NOT NULL").select("key", F.col("item_id").cast("string").alias("item"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.llm.common import bound_batches, by_value, stored
+from matingstats.llm.common import bound_batches, by_value, quoted, stored
 
 by_value(__name__)
 
@@ -155,7 +155,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
     ids = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
            .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("good"))
            .orderBy(F.xxhash64("id"), "id").limit(sample))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where("text IS NOT NULL")
     rows = rows.join(F.broadcast(ids), "id")  # at most ``sample`` rows
     return stored(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("good").alias("good"), F.min("id").alias("id")).drop("h"), "sample")
 
@@ -196,5 +196,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", block: int = 25
                 out.append(votes(own, [terms.counts(t) for t in texts.iloc[k:k + block]]))
             yield pd.Series(np.concatenate(out))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "score")]
-    return docs.select(*kept, voted(F.col(f"`{text_col}`")).alias("score"))
+    kept = [quoted(c) for c in docs.columns if c not in (text_col, "score")]
+    return docs.select(*kept, voted(quoted(text_col)).alias("score"))

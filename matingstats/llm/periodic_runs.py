@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.llm.common import bound_batches, by_value
+from matingstats.llm.common import bound_batches, by_value, quoted
 
 by_value(__name__)
 
@@ -303,6 +303,6 @@ def with_runs(docs: DataFrame, text_col: str = "text", least: int = LEAST, times
             runs = [[{"start": s, "length": n, "period": q} for s, n, q in r] for r in out[1]]
             yield pd.DataFrame({"n_words": pd.Series(out[0], dtype="int64"), "runs": pd.Series(runs, dtype=object), "collapsed": pd.Series(out[2], dtype=object)})
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in made]
+    kept = [quoted(c) for c in docs.columns if c != text_col and c not in made]
     # a generator's columns stay columns: Catalyst would copy the function into lambdas that use its result
-    return docs.select(*kept, F.inline_outer(F.array(found(F.col(f"`{text_col}`")))).alias(*made))
+    return docs.select(*kept, F.inline_outer(F.array(found(quoted(text_col)))).alias(*made))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.llm.common import ROW, ascii_lower, batches_of, by_value, maybe_broadcast, once, stored, with_row_key
+from matingstats.llm.common import ROW, ascii_lower, batches_of, by_value, maybe_broadcast, once, stored, with_row_key, with_whole_rows
 
 by_value(__name__)
 
@@ -243,7 +243,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, max_bits: int = MAX_BITS,
                 max_broadcast: int = 1_000_000, **how) -> DataFrame:
     """``docs`` with the first document (smallest id) of each group; all columns stay."""
-    keyed = with_row_key(docs, id_col, *docs.columns)
-    found = _grouped(keyed, id_col, text_col, n, max_bits, **how)
+    keyed = with_whole_rows(docs, id_col, text_col)
+    found = _grouped(keyed, "id", "text", n, max_bits, **how)
     dropped = stored(found.where(F.col("first")[ROW] != F.col(ROW)).select(ROW), "dropped")
-    return keyed.join(maybe_broadcast(dropped, max_broadcast), ROW, "left_anti").select(*docs.columns)
+    return keyed.join(maybe_broadcast(dropped, max_broadcast), ROW, "left_anti").select("whole.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matingstats.llm.common import ROW, ascii_lower, maybe_broadcast, new_folder, small_enough, stored, with_row_key
+from matingstats.llm.common import ROW, ascii_lower, maybe_broadcast, new_folder, small_enough, stored, with_row_key, with_whole_rows
 
 #: State on disk; no space allocated ahead for each of many small stores.
 _STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -98,10 +98,10 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 1_000_000, **how) -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns stay."""
-    keyed = with_row_key(docs, id_col, *docs.columns)
+    keyed = with_whole_rows(docs, id_col, text_col)
     how = {"digest_chars": 64, "batch_bytes": 1 << 30} | how
-    found = _row_decisions(keyed, id_col, text_col, max_broadcast=200_000, **how)
+    found = _row_decisions(keyed, "id", "text", max_broadcast=200_000, **how)
     dropped = stored(found.where(F.col("keep")[ROW] != F.col(ROW)).select(ROW), "dropped")
     if small_enough(dropped, max_broadcast):
         dropped = F.broadcast(dropped)
-    return keyed.join(dropped, ROW, "left_anti").select(*docs.columns)
+    return keyed.join(dropped, ROW, "left_anti").select("whole.*")

@@ -13,7 +13,7 @@ weights are fitted. Scoring covers every whole text, in the partitions in which
 Defined results: a null or empty text, or one without evidence, gets the leak as its score and no offending
 sentences; with no usable labels the model is empty and every score is 0; a document labelled more than once is toxic if any label
 says so; null ids or labels are not learnt from; repeated rows are scored one by one; an empty table
-gives an empty result; all other columns are kept.
+gives an empty result; all other columns are kept, but ``score`` and ``offending``, which the results replace.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matingstats.llm.common import bound_batches, by_value, stored
+from matingstats.llm.common import bound_batches, by_value, quoted, stored
 
 by_value(__name__)
 
@@ -190,9 +190,7 @@ class Scorer:
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """``docs`` with score and offending (start, end, score); without the text unless ``keep_text``."""
     bound_batches(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
-    if {f.name for f in kept} & {"score", "offending"}:
-        raise ValueError("docs has a column score or offending already")
+    kept = [f for f in docs.schema.fields if (keep_text or f.name != text_col) and f.name not in ("score", "offending")]
     place = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(place))]))
@@ -202,5 +200,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
             got = [scorer.score(t) for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in got], "offending": [o for _, o in got]})
 
-    out = docs.withColumn("__toxicity", scored(F.col(text_col)))
-    return out.select(*[F.col(f"`{f.name}`") for f in kept], "__toxicity.score", "__toxicity.offending")
+    kept = [quoted(f.name) for f in kept]
+    # the result's name is nobody's: columns keep theirs
+    out = docs.select(F.struct(*kept).alias("kept") if kept else F.lit(None).alias("kept"), scored(quoted(text_col)).alias("found"))
+    return out.select(*(["kept.*"] if kept else []), "found.score", "found.offending")

@@ -49,13 +49,13 @@ def _op1(df, bench, **how):
     return _rows(found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long"), F.sha2(F.array_join("items", ","), 256), "contaminated"))
 
 
-@pytest.mark.parametrize("max_set", [100_000, 0])  # the shipped set, and the join beyond it
-def test_decontamination(spark, docs, max_set):
+@pytest.mark.parametrize("max_set,max_hashes", [(100_000, 1), (0, 10**6), (0, 3)])  # the shipped set, one pass beyond it, many
+def test_decontamination(spark, docs, max_set, max_hashes):
     items = [(1, "the token éa ñ x1 password aa b ab cd don t the"), (2, "x1 Aa"), (3, None), (4, ""), (5, "don't"), (None, "aa b"), (2, "x1 Aa"),
              (6, " ".join(docs[20][1].split()[:30]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert _op1(_frame(spark, docs), bench, max_set=max_set) == sorted(brute.op1(docs, items), key=str)
-    kept = decontaminate.remove_documents(_frame(spark, docs), bench, max_set=max_set)
+    assert _op1(_frame(spark, docs), bench, max_set=max_set, max_hashes=max_hashes) == sorted(brute.op1(docs, items), key=str)
+    kept = decontaminate.remove_documents(_frame(spark, docs), bench, max_set=max_set, max_hashes=max_hashes)
     bad = {r[0] for r in brute.op1(docs, items) if r[5]}
     assert kept.columns == _frame(spark, docs).columns and 0 < len(bad) < len(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _ in docs if d not in bad)
@@ -343,6 +343,31 @@ def test_reputation_shrinks_to_the_parent(spark):
     assert all(r["low"] <= r["mean"] <= r["high"] for r in got.values())
 
 
+ODD_COLUMNS = ["a.b", "__row", "score", "offending", "ids", "decoded", "whole", "id", "found", "words", "h", "kept", "text2", "runs", "n_words", "x`y"]
+
+
+@pytest.mark.parametrize("name,replaced", [("remove_documents", []), ("remove_spans", []), ("near", []), ("exact", []), ("toxicity", ["score", "offending"]), ("encode", ["ids", "decoded"]),
+                                           ("runs", ["runs", "n_words"]), ("quality", ["score"])])
+def test_columns_of_any_name_are_kept(spark, name, replaced):
+    from matingstats.llm import neighbour_quality, periodic_runs
+
+    rows = [(1, "one two three four"), (2, "five six"), (None, None), (2, "seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(f"v{k}").alias(c) for k, c in enumerate(ODD_COLUMNS)])
+    bench = spark.createDataFrame([(1, "nothing of it")], "item_id long, text string")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    run = {"remove_documents": lambda d: decontaminate.remove_documents(d, bench), "remove_spans": lambda d: decontaminate.remove_spans(d, bench, max_set=0),
+           "near": simhash_vp.deduplicate, "exact": stream_dedup.deduplicate, "toxicity": lambda d: toxicity.score(d, toxicity.Model(), keep_text=True),
+           "encode": lambda d: bpe_matrix.encode(d, ranks, public_tokenizers.PATTERN, decoded_col="decoded"),
+           "runs": periodic_runs.with_runs, "quality": lambda d: neighbour_quality.score(d, neighbour_quality.fit(d, spark.createDataFrame([], "doc_id long, quality int")))}[name]
+    got = run(docs)
+    assert got.count() == len(rows)
+    for k, c in enumerate(ODD_COLUMNS):
+        if c not in replaced:
+            assert {r[0] for r in got.select("`" + c.replace("`", "``") + "`").collect()} == {f"v{k}"}
+    if name in ("remove_documents", "remove_spans", "near", "exact"):
+        assert got.columns == docs.columns
+
+
 def test_empty_tables(spark):
     empty = _frame(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
