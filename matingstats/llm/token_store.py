@@ -85,7 +85,7 @@ class LibraryEncoder:
     """
 
     #: Bytes of remembered chunks and ids, about, in both tables together.
-    REMEMBER = 96 << 20
+    REMEMBER = 128 << 20
     #: Punctuation that is cut off the end of a chunk; no apostrophe, which may begin a contraction.
     TAIL = ".,!?;:%*$&|)\"}]"
 
@@ -116,6 +116,7 @@ class LibraryEncoder:
 
     def _learn(self, chunks: set[str], known: dict[str, bytes], blank: str) -> None:
         """Ids of chunks without white space into ``known``."""
+        self._count(chunks)
         whole, words, cut, tails = [], [], [], set()
         for c in chunks:
             if c.isalpha():
@@ -138,6 +139,10 @@ class LibraryEncoder:
         for c, head, tail in cut:
             known[c] = known[head] + plain[tail]
 
+    def _count(self, chunks) -> None:
+        """An entry has about 200 bytes besides its characters and ids."""
+        self.held += 200 * len(chunks) + 3 * sum(map(len, chunks))
+
     def _resolve(self, chunks: set[str], known: dict[str, bytes], blank: str, lines: set[str]) -> set[str]:
         """Learns chunks; returns those with white space that is not a single line feed."""
         simple, folded, odd = {c for c in chunks if c.isalpha()}, [], set()
@@ -154,6 +159,7 @@ class LibraryEncoder:
                 odd.add(c)
         self._learn(simple, known, blank)
         self._learn(lines.difference(self.plain), self.plain, "")
+        self._count([c for c, _ in folded])
         feed = self.feed
         for c, words in folded:
             known[c] = feed.join([known[words[0]], *map(self.plain.__getitem__, words[1:])])
@@ -167,13 +173,6 @@ class LibraryEncoder:
             self.after_blank.clear()
             self.plain.clear()
             self.held = 0
-        before = len(self.after_blank) + len(self.plain)
-        try:
-            return self._encoded(texts)
-        finally:  # an entry has about 250 bytes, the text, its ids and their place in the table, and what the text has beyond a word's length
-            self.held += 250 * (len(self.after_blank) + len(self.plain) - before) + sum(len(t or "") for t in texts)
-
-    def _encoded(self, texts: list[str | None]) -> list[bytes]:
         (self.feed,) = self._ids(["\n"])
         whole = [k for k, t in enumerate(texts) if t and any(x in t for x in self.special)]
         skip = set(whole)
