@@ -6,7 +6,7 @@ are tested against brute force, a round trip and held-out labels.
 
 from __future__ import annotations
 
-from matingstats.llm import secret_scan
+from matingstats.llm import host_reputation, secret_scan
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -101,23 +101,39 @@ def _shrunk(level: str, prior: str) -> str:
            FROM (SELECT *, least(greatest({prior}, 1e-6), 1 - 1e-6) AS m FROM {level}) WHERE n > 0)))"""
 
 
+def _beta_below(x: float) -> str:
+    """I_x(a, b) of columns a, b: the continued fraction from its end, by whichever side converges."""
+    def side(x, a, b):
+        term = (f"CASE WHEN k % 2 = 1 THEN -({a} + (k - 1) / 2) * ({a} + {b} + (k - 1) / 2) ELSE (k / 2) * ({b} - k / 2) END "
+                f"* {x} / (({a} + k - 1) * ({a} + k))")
+        return (f"exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) / {a} / "
+                f"list_reduce(list_concat([1.0::DOUBLE], list_transform(range(CAST(60 + 4 * sqrt({a} + {b}) AS BIGINT), 0, -1), lambda k: k::DOUBLE)), "
+                f"lambda t, k: 1 + {term} / t)")
+    return f"CASE WHEN {x} < (a + 1) / (a + b + 2) THEN {side(x, 'a', 'b')} ELSE 1 - {side(1 - x, 'b', 'a')} END"
+
+
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.+$', '')"
+_LABELS = f"CASE WHEN regexp_full_match({_BARE}, '(?:.*\\.)?(?:{'|'.join(host_reputation.SECOND_LEVEL)})\\.[a-z][a-z]') THEN 2 ELSE 1 END"
+
 _OP10 = rf"""
 WITH p AS (SELECT page_id, {_lower("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 l AS (SELECT doc_id AS page_id, max(CAST(1 - quality AS DOUBLE)) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
-h AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
-             string_split(host, '.')[-1] AS suffix FROM p LEFT JOIN l USING (page_id) GROUP BY host),
+hb AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, coalesce(sum(bad), 0) AS bad, {_BARE} AS bare, {_LABELS} AS k FROM p LEFT JOIN l USING (page_id) GROUP BY host),
+h AS (SELECT host, n, bad, CASE WHEN address THEN bare ELSE array_to_string(list_slice(string_split(bare, '.'), -k - 1, -1), '.') END AS domain,
+             CASE WHEN address THEN '(address)' ELSE array_to_string(list_slice(string_split(bare, '.'), -k, -1), '.') END AS suffix
+      FROM (SELECT *, regexp_full_match(bare, '[0-9]+([.][0-9]+){{3}}|\[.*\]') AS address FROM hb)),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 x AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT coalesce((sum(bad) + 1) / (sum(n) + 2), 0.5) FROM d) AS whole FROM d GROUP BY 1),
 xm AS (SELECT suffix, a / (a + b) AS sm FROM {_shrunk('x', 'whole')}),
 dj AS (SELECT * FROM d JOIN xm USING (suffix)),
 dm AS (SELECT domain, a / (a + b) AS dm FROM {_shrunk('dj', 'sm')}),
 hj AS (SELECT * FROM h JOIN dm USING (domain)),
-hp AS (SELECT host, greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) AS low FROM {_shrunk('hj', 'dm')}),
+hp AS (SELECT host, a / (a + b) > 0.5 AND {_beta_below(0.5)} < 0.05 AS sure FROM {_shrunk('hj', 'dm')}),
 r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS r(v, rh, rp)),
 f AS (SELECT DISTINCT page_id, host, path, arg_max(rh || rp, len(rh || rp)) AS rule, arg_max(v, len(rh || rp)) AS v
       FROM (SELECT DISTINCT page_id, host, path FROM p) JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN sure THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN hp USING (host) LEFT JOIN f USING (page_id, host, path)"""
 
 # CRC-32 of the decimal id by bits; pairs of equal strings of 8 words one period apart, joined to islands, are the runs
