@@ -13,7 +13,8 @@ One tree over whole fingerprints with the full budget would be exact too, but it
 of unrelated fingerprints to any vantage point crowd around 32 with a deviation of 4, so seven tenths lie within 4 bits of
 any useful threshold. Pieces keep the budgets, and thereby the overlaps, small.
 
-The trees are built from a bounded sample (``sample`` fingerprints, the smallest by hash); they only steer
+The trees grow with the data: first from a bounded sample (``sample`` fingerprints, the smallest by hash), then leaves with more than ``most``
+homes get a tree of their own from a sample of their members, and so on until no leaf is larger or no vantage point splits it. Samples only steer
 the partitioning, all fingerprints are routed. Equal fingerprints are one node. A leaf with over ``block``
 members is dealt as pairs of blocks. A shard returns a spanning forest of the links in it, never all pairs;
 components come from alternating large-star and small-star rounds, each written to the shared folder.
@@ -111,9 +112,9 @@ def build_tree(values: np.ndarray, mask: int, budget: int, leaf: int, tries: int
     return nodes
 
 
-def route(values: np.ndarray, nodes: list, mask: int, budget: int) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """(leaf, places in ``values``, whether at home there)."""
-    todo = [(0, np.arange(len(values)), True)]
+def route(values: np.ndarray, nodes: list, mask: int, budget: int, home: bool = True) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(leaf, places in ``values``, whether at home there); ``home``: whether they are at home in what the tree stands over."""
+    todo = [(0, np.arange(len(values)), home)]
     while todo:
         k, own, home = todo.pop()
         if not len(own):
@@ -156,39 +157,98 @@ def linked(members: np.ndarray, home: np.ndarray, max_bits: int, step: int = 256
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, pieces=PIECES, sample: int = 1 << 14, leaf: int = 1000, block: int = 20_000) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of ``nodes`` (distinct fp) within ``max_bits``."""
-    if sum(p for p, _ in pieces) != 64 or sum(b + 1 for _, b in pieces) <= max_bits:
-        raise ValueError("the pieces must have 64 bits, and budgets that leave no pair out")
+#: Shard numbers of one tree.
+_TREE = 1 << 40
+
+
+def _leaves(nodes: list) -> int:
+    return sum(n[0] is None for n in nodes)
+
+
+def shards(nodes: DataFrame, pieces=PIECES, sample: int = 1 << 14, leaf: int = 1000, most: int = 16_000) -> DataFrame:
+    """(shard, fp, home): the members of all leaves of the trees over ``pieces``; about ``leaf`` homes each, more than ``most`` only where no
+    vantage point splits them."""
     spark, total = nodes.sparkSession, nodes.count()
     some = nodes.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()  # at most ``sample`` rows
     values = np.array([r["fp"] for r in some], dtype=np.int64).view(np.uint64)
-    trees, low, leaves = [], 0, 0
+    masks, low = [], 0
     for bits, budget in pieces:
-        mask = ((1 << bits) - 1) << low
-        made = build_tree(values, mask, budget, max(2, int(leaf * len(values) / max(total, 1))))
-        trees.append((made, mask, budget, leaves))
-        leaves += sum(n[0] is None for n in made)
+        masks.append((((1 << bits) - 1) << low, budget))
         low += bits
+    trees = [build_tree(values, mask, budget, max(2, int(leaf * len(values) / max(total, 1)))) for mask, budget in masks]
+    used = [_leaves(t) for t in trees]
+
+    def frame(found: list) -> pd.DataFrame:
+        shard, fp, home = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"shard": shard, "fp": fp, "home": home})
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = pdf["fp"].to_numpy()
-            found = [(np.full(len(own), first + at), own, np.full(len(own), home)) for made, mask, budget, first in trees
+            found = [(np.full(len(own), k * _TREE + at), fps[own], np.full(len(own), home)) for k, (made, (mask, budget)) in enumerate(zip(trees, masks))
                      for at, own, home in route(fps.view(np.uint64), made, mask, budget)]
-            if not found:
-                continue
-            shard, own, home = (np.concatenate(x) for x in zip(*found))
-            yield pd.DataFrame({"shard": shard, "fp": fps[own], "home": home})
+            if found:
+                yield frame(found)
 
     # a row grows about tenfold here, so the few bytes of a node are dealt out first
     dealt = nodes.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    layout = "shard long, fp long, home boolean"
     with batches_of(spark, 10_000):
-        members = stored(dealt.mapInPandas(routed, "shard long, fp long, home boolean"), "shards")
-    # one row per leaf of a tree: no more than three times the sample
+        members = stored(dealt.mapInPandas(routed, layout), "shards")
+    ready = []
+    while True:
+        sizes = members.groupBy("shard").agg(F.count_if("home").alias("h")).where(F.col("h") > most)
+        large = {r["shard"]: r["h"] for r in sizes.orderBy(F.col("h").desc(), "shard").limit(max(1, sample // 64)).collect()}
+        if not large:
+            break
+        share = max(2, sample // len(large))
+        at = F.broadcast(spark.createDataFrame(list(large.items()), "shard long, h long"))  # at most sample / 64 rows
+        seen = (members.where("home").join(at, "shard").where(F.pmod(F.xxhash64("fp", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("h") / share))) == 0)
+                .select("shard", "fp").limit(4 * sample).collect())
+        own: dict[int, list[int]] = {k: [] for k in large}
+        for x in seen:
+            own[x["shard"]].append(x["fp"])
+        grown = {}
+        for k, fps in own.items():
+            mask, budget = masks[k // _TREE]
+            values = np.array(sorted(fps), dtype=np.int64).view(np.uint64)
+            made = build_tree(values, mask, budget, max(2, int(leaf * len(values) / large[k])))
+            if _leaves(made) > 1:
+                grown[k] = made, (k // _TREE) * _TREE + used[k // _TREE]
+                used[k // _TREE] += _leaves(made)
+
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                found = []
+                for (k, home), part in pdf.groupby(["shard", "home"]):
+                    made, first = grown[k]
+                    fps = part["fp"].to_numpy()
+                    found += [(np.full(len(own), first + at), fps[own], np.full(len(own), there))
+                              for at, own, there in route(fps.view(np.uint64), made, *masks[k // _TREE], bool(home))]
+                if found:
+                    yield frame(found)
+
+        whole = [k for k in large if k not in grown]
+        if whole:
+            ready.append(members.where(F.col("shard").isin(whole)))
+        again = members.where(F.col("shard").isin(list(grown)))
+        rest = members.where(~F.col("shard").isin(list(large)))
+        with batches_of(spark, 10_000):
+            members = stored(rest.unionByName(again.mapInPandas(split, layout)), "shards")
+    for part in ready:
+        members = members.unionByName(part)
+    return members
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, pieces=PIECES, block: int = 20_000, **how) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of ``nodes`` (distinct fp) within ``max_bits``."""
+    if sum(p for p, _ in pieces) != 64 or sum(b + 1 for _, b in pieces) <= max_bits:
+        raise ValueError("the pieces must have 64 bits, and budgets that leave no pair out")
+    members = shards(nodes, pieces, **how)
+    # one row per leaf of a tree: they grow with the fingerprints
     sizes = members.groupBy("shard").agg(F.count("*").alias("m"), F.count_if("home").alias("h"))
     sizes = sizes.select("shard", F.ceil(F.col("h") / block).cast("int").alias("gh"), F.ceil(F.col("m") / block).cast("int").alias("gm")).where("gh > 0")
-    dealt = members.join(F.broadcast(sizes), "shard").withColumn("at", F.expr("""CASE
+    dealt = members.join(maybe_broadcast(sizes, 100_000), "shard").withColumn("at", F.expr("""CASE
         WHEN gh = 1 AND gm = 1 THEN array(named_struct('i', 0, 'j', 0, 'home', home))
         ELSE concat(transform(sequence(0, gh - 1), i -> named_struct('i', i, 'j', CAST(pmod(xxhash64(fp, 1), gm) AS int), 'home', false)),
                     IF(home, transform(sequence(0, gm - 1), j -> named_struct('i', CAST(pmod(xxhash64(fp, 2), gh) AS int), 'j', j, 'home', true)),

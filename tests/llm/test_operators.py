@@ -343,6 +343,46 @@ def test_reputation_shrinks_to_the_parent(spark):
     assert all(r["low"] <= r["mean"] <= r["high"] for r in got.values())
 
 
+def test_trees_grow_until_their_leaves_are_small(spark):
+    draw = np.random.default_rng(6)
+    base = draw.integers(0, 1 << 63, 19_000, dtype=np.uint64) * np.uint64(2) + draw.integers(0, 2, 19_000, dtype=np.uint64)
+    near = base[:1000].copy()
+    for _ in range(4):  # up to four bits away
+        near ^= np.uint64(1) << draw.integers(0, 64, 1000, dtype=np.uint64)
+    values = np.unique(np.concatenate([base, near]))
+    fps = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    sizes = simhash_vp.shards(fps, sample=100, leaf=60, most=300).groupBy("shard").agg(F.count_if("home").alias("h")).collect()
+    assert len(sizes) > 100 and max(r["h"] for r in sizes) <= 300  # a sample of 100 alone gives some ten leaves of thousands
+    homes = sum(r["h"] for r in sizes)
+    assert homes == 3 * len(values)  # every fingerprint is at home once in each tree
+    edges = simhash_vp.links(fps, sample=100, leaf=60, most=300).collect()
+    group = {int(v): int(v) for v in values.view(np.int64)}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for r in edges:
+        group[root(r["a"])] = root(r["b"])
+    found = {}
+    for v in group:
+        found.setdefault(root(v), set()).add(v)
+    want = {int(v): int(v) for v in values.view(np.int64)}
+    group, pairs = want, []
+    for at in range(0, len(values), 500):
+        i, j = np.nonzero(np.bitwise_count(values[at:at + 500, None] ^ values[None, :]) <= 4)
+        pairs += zip((i + at).tolist(), j.tolist())
+    signed = values.view(np.int64).tolist()
+    for i, j in pairs:
+        group[root(signed[i])] = root(signed[j])
+    exact = {}
+    for v in group:
+        exact.setdefault(root(v), set()).add(v)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, exact.values()))
+    assert sum(len(x) > 1 for x in exact.values()) >= 900
+
+
 ODD_COLUMNS = ["a.b", "__row", "score", "offending", "ids", "decoded", "whole", "id", "found", "words", "h", "kept", "text2", "runs", "n_words", "x`y"]
 
 
