@@ -147,13 +147,6 @@ def _logit_summary(i: Inputs) -> DataFrame:
     return a.unionByName(b)
 
 
-def _mc_estimates(i: Inputs) -> DataFrame:
-    """T5: the estimates themselves, for the colony tables and language x toxicity."""
-    a = M.fisher_colony_mc(i.master).withColumn("tested", F.lit("colony"))
-    b = M.fisher_colony_mc(i.master, form="refined").withColumn("tested", F.lit("colony_refined"))
-    return a.unionByName(b).unionByName(CT.fisher_mc(i.docs, "lang").withColumn("tested", F.lit("lang_x_toxic")))
-
-
 def _mixed_logit(i: Inputs, form: str = "analysis") -> DataFrame:
     """T9 on D39: fitted from the (yob, valley) counts of D35 - the sufficient
     statistics of the one-row-per-offspring table, which is never built."""
@@ -231,9 +224,9 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "int_audit_refined": lambda i: M.int_audit(i.types_master()),
     "fisher_per_year": lambda i: M.fisher_per_year(i.types_master("analysis")),
     "fisher_per_year_refined": lambda i: M.fisher_per_year(i.types_master()),
-    "fisher_colony_mc": lambda i: M.fisher_colony_exact(i.master),
-    "fisher_colony_mc_refined": lambda i: M.fisher_colony_exact(i.master, form="refined"),
-    "fisher_mc_estimates": _mc_estimates,
+    "fisher_colony_mc": lambda i: M.fisher_colony_mc(i.master),
+    "fisher_colony_mc_refined": lambda i: M.fisher_colony_mc(i.master, form="refined"),
+    "fisher_mc_estimates": lambda i: CT.fisher_mc(i.docs, "lang"),
     "long_offspring": lambda i: M.long_offspring(i.types_master("analysis")),
     "long_offspring_refined": lambda i: M.long_offspring(i.types_master()),
     "logit_year": lambda i: _logit(i, "master"),
@@ -401,11 +394,6 @@ select col_area, cast(coalesce(sum(case when strategy = 'Monogamous' then n_indi
 from scm_a group by col_area""")
     for name, wide in (("mixed_logit", "svym_wide_a"), ("mixed_logit_refined", "svym_wide")):
         q[name] = b("select * from (" + O.mixed_logit_sql(wide, "yob", "valley", "Monogamous", "Polygynous") + ")")
-    for name, src in (("fisher_colony_mc", "scm_a"), ("fisher_colony_mc_refined", "scm")):
-        q[name] = b("select * from (" + O.fisher_halves_sql("ct", "Monogamous", "Polygynous") + ")", {"ct": f"""
-  select col_area, coalesce(sum(case when strategy = 'Monogamous' then n_individuals end), 0) as Monogamous,
-         coalesce(sum(case when strategy = 'Polygynous' then n_individuals end), 0) as Polygynous
-  from {src} group by col_area"""})
     q["valley_master"] = b("select * from svm")
     q["valley_year_master"] = b("select * from svym")
     q["rank_sum_master"] = b("select * from (" + O.rank_sum_sql("svym", "valley", "strategy", "n_individuals") + ")")
